@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .simhash import simhash_groups
+from .suffix import repeats_removed
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,5 +18,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op9_simhash": op9_simhash}
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_removed(_table(spark, sf_dir, "documents"), length=100)
+
+
+QUERIES = {"op6_suffix": op6_suffix, "op9_simhash": op9_simhash}
 ORACLE: dict[str, str] = {}

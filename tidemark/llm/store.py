@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +45,11 @@ class Scratch:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
