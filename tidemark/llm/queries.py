@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .simhash import simhash_groups
 from .suffix import repeats_removed
 
@@ -22,5 +23,9 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_removed(_table(spark, sf_dir, "documents"), length=100)
 
 
-QUERIES = {"op6_suffix": op6_suffix, "op9_simhash": op9_simhash}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+QUERIES = {"op6_suffix": op6_suffix, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe}
 ORACLE: dict[str, str] = {}
