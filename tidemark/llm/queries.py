@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf
+from . import bpe, crf, mix
 from .simhash import simhash_groups
 from .suffix import repeats_removed
 
@@ -23,6 +23,11 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_removed(_table(spark, sf_dir, "documents"), length=100)
 
 
+def op7_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix.copies(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op8_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return crf.quality(docs, crf.fit(docs, _table(spark, sf_dir, "labels")))
@@ -32,5 +37,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {"op6_suffix": op6_suffix, "op8_crf": op8_crf, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe}
+QUERIES = {"op6_suffix": op6_suffix, "op7_pivotal": op7_pivotal, "op8_crf": op8_crf, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe}
 ORACLE: dict[str, str] = {}
