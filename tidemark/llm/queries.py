@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf, mix
+from . import bpe, crf, mix, pq
 from .simhash import simhash_groups
 from .suffix import repeats_removed
 
@@ -19,6 +19,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op1_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.near_copies(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_removed(_table(spark, sf_dir, "documents"), length=100)
 
@@ -37,5 +41,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {"op6_suffix": op6_suffix, "op7_pivotal": op7_pivotal, "op8_crf": op8_crf, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op1_pq": op1_pq, "op6_suffix": op6_suffix, "op7_pivotal": op7_pivotal, "op8_crf": op8_crf, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe}
+ORACLE = {
+    "op1_pq": """
+        WITH RECURSIVE usable AS (
+          SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, x -> x <> 0)) > 0),
+        links AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+        reach(node, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a)
+        SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+        FROM embeddings e JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) c ON e.vec_id = c.node
+    """,
+}
