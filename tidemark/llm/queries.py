@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf, mix, pq
+from . import bpe, crf, mih, mix, pq
 from .simhash import simhash_groups
 from .suffix import repeats_removed
 
@@ -23,6 +23,11 @@ def op1_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq.near_copies(_table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op5_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return mih.search(rows, rows.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_removed(_table(spark, sf_dir, "documents"), length=100)
 
@@ -41,7 +46,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {"op1_pq": op1_pq, "op6_suffix": op6_suffix, "op7_pivotal": op7_pivotal, "op8_crf": op8_crf, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe}
+QUERIES = {"op1_pq": op1_pq, "op5_mih": op5_mih, "op6_suffix": op6_suffix, "op7_pivotal": op7_pivotal, "op8_crf": op8_crf, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe}
 ORACLE = {
     "op1_pq": """
         WITH RECURSIVE usable AS (
