@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf, mih, mix, pq
+from . import bpe, crf, hosts, mih, mix, pq, shard
 from .simhash import simhash_groups
 from .suffix import repeats_removed
 
@@ -23,6 +23,14 @@ def op1_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq.near_copies(_table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op2_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
+def op4_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard.digest(_table(spark, sf_dir, "documents"), shards=24)
+
+
 def op5_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     return mih.search(rows, rows.filter(F.col("vec_id") % 20 == 0), k=20)
@@ -46,13 +54,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {"op1_pq": op1_pq, "op5_mih": op5_mih, "op6_suffix": op6_suffix, "op7_pivotal": op7_pivotal, "op8_crf": op8_crf, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe}
+QUERIES = {"op1_pq": op1_pq, "op2_hosts": op2_hosts, "op4_histogram": op4_histogram, "op5_mih": op5_mih, "op6_suffix": op6_suffix, "op7_pivotal": op7_pivotal, "op8_crf": op8_crf, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe}
 ORACLE = {
+    "op2_hosts": hosts.ORACLE,
     "op1_pq": """
         WITH RECURSIVE usable AS (
           SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
-          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-            AND len(list_filter(embedding, x -> x <> 0)) > 0),
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
         links AS (
           SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
           WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
