@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf, hosts, mih, mix, pq, shard
+from . import bpe, crf, hosts, mih, mix, pq, shard, toxic
 from .simhash import simhash_groups
 from .suffix import repeats_removed
 
@@ -27,6 +27,11 @@ def op2_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
 
+def op3_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxic.score(docs, toxic.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op4_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.digest(_table(spark, sf_dir, "documents"), shards=24)
 
@@ -54,7 +59,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {"op1_pq": op1_pq, "op2_hosts": op2_hosts, "op4_histogram": op4_histogram, "op5_mih": op5_mih, "op6_suffix": op6_suffix, "op7_pivotal": op7_pivotal, "op8_crf": op8_crf, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe}
+QUERIES = {"op1_pq": op1_pq, "op2_hosts": op2_hosts, "op3_chain": op3_chain, "op4_histogram": op4_histogram, "op5_mih": op5_mih, "op6_suffix": op6_suffix, "op7_pivotal": op7_pivotal, "op8_crf": op8_crf, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe}
 ORACLE = {
     "op2_hosts": hosts.ORACLE,
     "op1_pq": """
