@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import tidy
+
 LONG_PIECE = 256
 SLICE = 2 << 20
 MEMO = 300_000
@@ -62,8 +64,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encoder and decoder of one process."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = MEMO):
+        self.ranks, self.pattern, self.memo = ranks, regex.compile(pattern), memo
         self.bytes_id = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         rows = [(a * 1048576 + b, rank) for token, rank in ranks.items() for k in range(1, len(token)) if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
@@ -102,7 +104,7 @@ class Codec:
     def learn(self, words: set[str]) -> None:
         """Puts the packed ids of the words into the memo."""
         fresh = [w for w in words if w not in self.young]
-        if len(self.young) + len(fresh) > MEMO:
+        if len(self.young) + len(fresh) > self.memo:
             self.young, self.old = {}, self.young
             fresh = list(words)
         known = self.old
@@ -157,19 +159,19 @@ class Codec:
 _codecs: dict[int, Codec] = {}
 
 
-def _codec(shipped, pattern: str) -> Codec:
-    key = hash((shipped.value, pattern))
+def _codec(shipped, pattern: str, memo: int) -> Codec:
+    key = hash((shipped.value, pattern, memo))
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec({base64.b64decode(t): int(r) for t, r in (line.split() for line in shipped.value.splitlines())}, pattern)
+        _codecs[key] = Codec({base64.b64decode(t): int(r) for t, r in (line.split() for line in shipped.value.splitlines())}, pattern, memo)
     return _codecs[key]
 
 
-def _slices(values, size):
+def _slices(values, size, most: int = SLICE):
     begin, total = 0, 0
     for i, v in enumerate(values):
         n = size(v)
-        if i > begin and total + n > SLICE:
+        if i > begin and total + n > most:
             yield begin, i
             begin, total = i, 0
         total += n
@@ -191,23 +193,30 @@ def _ship(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(file.read())  # one vocabulary, whatever the size of the data
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, columns=("ids", "n_tokens")) -> DataFrame:
-    """(doc_id, *columns); columns of ids, n_tokens, ids_sha256, decoded and decoded_sha256 (of the ids, decoded)."""
+def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, columns=("ids", "n_tokens"), memo: int = MEMO, slice_bytes: int = SLICE, reuse: bool = True) -> DataFrame:
+    """(doc_id, *columns); columns of ids, n_tokens, ids_sha256, decoded and decoded_sha256 (of the ids, decoded).
+
+    ``memo``, ``slice_bytes`` and ``reuse`` (a process keeps its tables for its next task) trade memory for time; results
+    are the same.
+    """
     shipped = _ship(docs, path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     kinds = {"array<int>": pa.list_(pa.int32()), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
     def run(batches):
-        codec = _codec(shipped, pattern)
+        codec = _codec(shipped, pattern, memo)
         for batch in batches:
             texts = batch.column(1)
-            for a, b in _slices(texts, lambda t: len(t.as_buffer()) if t.is_valid else 0):
+            for a, b in _slices(texts, lambda t: len(t.as_buffer()) if t.is_valid else 0, slice_bytes):
                 packed = codec.encode([t or "" for t in texts[a:b].to_pylist()])
                 plain = codec.decode(packed) if any(c.startswith("decoded") for c in columns) else [b""] * len(packed)
                 made = [pa.array([_COLUMNS[c][1](i, t) for i, t in zip(packed, plain)], kinds[_COLUMNS[c][0]]) for c in columns]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *made], names=["doc_id", *columns])
+        if not reuse:
+            del codec
+            _codecs.clear()
 
     out = ", ".join(["doc_id long", *(f"{c} {_COLUMNS[c][0]}" for c in columns)])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, out)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), out)
 
 
 def decode(encoded: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -215,7 +224,7 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str = public_to
     shipped = _ship(encoded, path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
     def run(batches):
-        codec = _codec(shipped, pattern)
+        codec = _codec(shipped, pattern, MEMO)
         for batch in batches:
             ids = batch.column(1)
             for a, b in _slices(ids, lambda t: 4 * len(t.values) if t.is_valid else 0):

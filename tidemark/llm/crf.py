@@ -23,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import tidy
+
 PER_CLASS = 3000
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[ord("A") : ord("Z") + 1] = 1
@@ -220,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = PER
                 yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], *(pa.array(list(p), pa.binary()) for p in zip(*parts))], names=["label", "x", "size"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text")).join(sample, "__id")
-    rows = found.select("__text", F.col("__label").cast("int")).mapInArrow(run, "label int, x binary, size binary").collect()
+    rows = found.select("__text", F.col("__label").cast("int")).mapInArrow(tidy(run), "label int, x binary, size binary").collect()
     rows.sort(key=lambda r: (r.label, bytes(r.x)))
     if not rows:
         return train(np.zeros((0, WIDTH)), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0))
@@ -241,19 +243,21 @@ def quality(docs: DataFrame, model: Model, folds: int = 5, threshold: float = 0.
                 score = shipped.value.score([t or "" for t in batch.column(1)[a:b].to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(score)], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows whose text scores at least ``threshold``; all columns stay."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def score(text):
-        import pandas as pd
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # some dozen numbers
+    text = docs.columns.index("text")
 
-        return pd.Series(shipped.value.score([t or "" for t in text]) if len(text) else np.empty(0))
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(text)
+            for a, b in _slices(texts):
+                score = shipped.value.score([t or "" for t in texts[a:b].to_pylist()])
+                yield batch.slice(a, b - a).filter(pa.array(score >= threshold))
 
-    return docs.filter(score(F.col("text").cast("string")) >= threshold)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components, local_forest
-from .store import Scratch, partitions
+from .store import Scratch, partitions, tidy
 
 _LANES = (np.arange(8) * 256).astype(np.int64)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
             found = np.array([fingerprint((texts[i].as_py() or "").encode(), width) for i in range(len(texts))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def correlated(together: np.ndarray, n: int, parts: int) -> list[list[int]]:

@@ -21,11 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Scratch, partitions
+from .store import Scratch, partitions, tidy
 
 GRAM = 24  # bytes of an anchor
-PIECE = 2 << 20  # bytes of text that one call works on
-CHUNK = 12 << 20  # bytes of runs that one suffix array holds
+PIECE = 1 << 20  # bytes of text that one call works on
+CHUNK = 3 << 20  # bytes of runs that one suffix array holds
 CROWD = 60_000  # different runs of one anchor from which their windows are sorted instead
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -251,7 +251,7 @@ def spans(docs: DataFrame, scratch: Scratch, length: int = 100) -> DataFrame:
     """(rid, start, stop), byte ranges to remove, of docs with a unique long ``rid`` in their order and ``text``."""
     spark = docs.sparkSession
     wide = partitions(spark)
-    marks = docs.select("rid", "text").mapInArrow(_mark(length), "anchor long, seg long, rid long, lo int, n short, rel short")
+    marks = docs.select("rid", "text").mapInArrow(tidy(_mark(length)), "anchor long, seg long, rid long, lo int, n short, rel short")
     kind, family = Window.partitionBy("anchor", "seg"), Window.partitionBy("anchor")
     seen = marks.repartition(wide, "anchor").withColumn("first", F.min(F.struct("rid", "lo")).over(kind))
     seen = seen.withColumn("isfirst", F.struct("rid", "lo") == F.col("first")).withColumn("crowd", F.sum(F.col("isfirst").cast("int")).over(family))
@@ -259,26 +259,28 @@ def spans(docs: DataFrame, scratch: Scratch, length: int = 100) -> DataFrame:
     scratch.release()
     equal = seen.filter("not isfirst").select("rid", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (length - 1)).cast("int").alias("stop"))
     wanted = seen.filter("isfirst and crowd > 1").distinct().groupBy("rid").agg(F.collect_list(F.struct("anchor", "lo", "n", "crowd")).alias("marks"))
-    bodies = docs.select("rid", "text").join(wanted, "rid").select("text", "rid", "marks").mapInArrow(_bodies(length), "anchor long, rid long, lo int, n short, body binary, crowd int")
+    bodies = docs.select("rid", "text").join(wanted, "rid").select("text", "rid", "marks").mapInArrow(tidy(_bodies(length)), "anchor long, rid long, lo int, n short, body binary, crowd int")
     bodies = scratch.keep(bodies)
     scratch.release()
     some = bodies.filter(F.col("crowd") <= CROWD).repartition(wide, "anchor").sortWithinPartitions("anchor")
-    found = some.mapInArrow(_scan(length), "rid long, start int, stop int")
+    found = some.mapInArrow(tidy(_scan(length)), "rid long, start int, stop int")
     crowded = bodies.filter(F.col("crowd") > CROWD).mapInArrow(_windows(length), "window binary, rid long, start int")
     first = crowded.groupBy("window").agg(F.min(F.struct("rid", "start")).alias("first"), F.count("*").alias("k")).filter("k > 1")
     again = crowded.join(first, "window").filter(F.struct("rid", "start") > F.col("first")).select("rid", "start", (F.col("start") + length).cast("int").alias("stop"))
     return equal.union(found).union(again)
 
 
-def with_rid(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs with a long ``rid`` that follows doc_id: doc_id itself unless it repeats or has nulls."""
+def with_rid(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """docs with a long ``__rid`` that follows doc_id (doc_id itself unless it repeats or has nulls), and one row a rid."""
     odd = docs.agg((F.count("*") - F.count_distinct("doc_id")).alias("n")).first()[0]
     if not odd:
-        return docs.withColumn("rid", F.col("doc_id").cast("long"))
+        out = docs.withColumn("__rid", F.col("doc_id").cast("long"))
+        return out, out
     key = docs.select("doc_id", F.xxhash64("text").alias("__text")).distinct().orderBy(F.asc_nulls_last("doc_id"), "__text")
-    key = scratch.keep(key.withColumn("rid", F.monotonically_increasing_id())).withColumnRenamed("doc_id", "__id")
+    key = scratch.keep(key.withColumn("__rid", F.monotonically_increasing_id())).withColumnRenamed("doc_id", "__id")
     both = docs.withColumn("__hash", F.xxhash64("text"))
-    return both.join(key, both["doc_id"].eqNullSafe(key["__id"]) & (F.col("__hash") == F.col("__text"))).drop("__id", "__text", "__hash")
+    out = both.join(key, both["doc_id"].eqNullSafe(key["__id"]) & (F.col("__hash") == F.col("__text"))).drop("__id", "__text", "__hash")
+    return out, out.dropDuplicates(["__rid"])
 
 
 def merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -313,43 +315,43 @@ def _cut(batches):
 
 def _marked(docs: DataFrame, length: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "suffix")
-    docs = with_rid(docs, scratch)
-    found = scratch.keep(spans(docs, scratch, length))
+    docs, once = with_rid(docs, scratch)
+    found = scratch.keep(spans(once.select(F.col("__rid").alias("rid"), "text"), scratch, length))
     scratch.release()
-    marks = found.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
-    return docs.join(marks, "rid", "left")
+    marks = found.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("start", "stop")).alias("__marks"))
+    return docs.join(marks, "__rid", "left")
 
 
 def repeats_removed(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row."""
     marked = _marked(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), length)
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return marked.select("doc_id", "text", "marks").mapInArrow(_cut, out).drop("kept")
+    return marked.select("doc_id", "text", F.col("__marks").alias("marks")).mapInArrow(tidy(_cut), out).drop("kept")
 
 
 def cut(docs: DataFrame, length: int = 100) -> DataFrame:
     """docs with the repeats cut from ``text``; spans shrink to whole characters. A text without spans stays as it is."""
 
-    @F.pandas_udf("string")
-    def keep(text, marks):
-        import pandas as pd
-
-        out = []
-        for t, found in zip(text, marks):
-            if found is None or t is None:
-                out.append(t)
-                continue
-            raw, kept, at = t.encode(), [], 0
-            for a, b in merged([(m["start"], m["stop"]) for m in found]):
-                while a < b and raw[a] & 0xC0 == 0x80:
-                    a += 1
-                while b < len(raw) and b > a and raw[b] & 0xC0 == 0x80:
-                    b -= 1
-                kept.append(raw[at:a])
-                at = b
-            out.append(b"".join([*kept, raw[at:]]).decode())
-        return pd.Series(out)
+    names, text = docs.columns, docs.columns.index("text")
+
+    def shorter(value, marks):
+        if not marks.is_valid or not value.is_valid:
+            return value.as_py()
+        raw, kept, at = value.as_py().encode(), [], 0
+        for a, b in merged([(m["start"], m["stop"]) for m in marks.as_py()]):
+            while a < b and raw[a] & 0xC0 == 0x80:
+                a += 1
+            while a < b < len(raw) and raw[b] & 0xC0 == 0x80:
+                b -= 1
+            kept.append(raw[at:a])
+            at = b
+        return b"".join([*kept, raw[at:]]).decode()
+
+    def run(batches):
+        for batch in batches:
+            cols = [batch.column(i) for i in range(len(names))]
+            cols[text] = pa.array([shorter(t, m) for t, m in zip(cols[text], batch.column(len(names)))], cols[text].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    names = docs.columns
     marked = _marked(docs, length)
-    return marked.withColumn("text", keep("text", "marks")).select(*names)
+    return marked.select(*names, "__marks").mapInArrow(tidy(run), docs.schema)
