@@ -53,10 +53,10 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(blob: bytes, starts: np.ndarray, sizes: np.ndarray, length: int):
-    """(text, lo, windows, anchor's place after lo, anchor, hash) of each run; texts lie in blob one after another."""
+    """(text, lo, windows, anchor, hash) of each run; texts lie in blob one after another."""
     keep = np.flatnonzero(sizes >= length)
     if not len(keep):
-        return [np.empty(0, np.int64)] * 6
+        return [np.empty(0, np.int64)] * 5
     arr = np.frombuffer(blob, np.uint8)
     h = _hashes(arr)
     bits = np.uint64(len(arr).bit_length())
@@ -70,7 +70,7 @@ def runs(blob: bytes, starts: np.ndarray, sizes: np.ndarray, length: int):
     text = keep[np.searchsorted(begin, cut[:-1], "right") - 1]
     digest = xxhash.xxh3_64_intdigest
     seg = np.array([digest(blob[a:b]) for a, b in zip(lo.tolist(), (lo + n + length - 1).tolist())], dtype=np.uint64).view(np.int64)
-    return [text, lo - starts[text], n, place - lo, h[place].view(np.int64), seg]
+    return [text, lo - starts[text], n, h[place].view(np.int64), seg]
 
 
 def _pieces(rids, texts, length: int):
@@ -89,16 +89,43 @@ def _pieces(rids, texts, length: int):
         yield found
 
 
+def _settled(anchor, seg, rid, lo):
+    """Which runs repeat an earlier run of the same piece: a combine before the exchange, as no count can change them."""
+    by = np.lexsort([lo, rid, seg, anchor])
+    out = np.zeros(len(by), dtype=bool)
+    out[by[1:]] = (anchor[by[1:]] == anchor[by[:-1]]) & (seg[by[1:]] == seg[by[:-1]])
+    return out
+
+
+def _joined(rid, lo, n, length):
+    """Runs to remove, as (rid, first byte, windows) of the stretches that they cover together."""
+    by = np.lexsort([lo, rid])
+    rid, lo, stop = rid[by], lo[by], (lo + n + length - 1)[by]
+    if not len(rid):
+        return rid, lo, n
+    new = np.concatenate([[True], (rid[1:] != rid[:-1]) | (lo[1:] > stop[:-1])])
+    at = np.flatnonzero(new)
+    return rid[at], lo[at], np.maximum.reduceat(stop, at) - lo[at] - length + 1
+
+
 def _mark(length: int):
+    def rows(anchor, seg, rid, lo, n, done):
+        cols = [pa.array(anchor), pa.array(seg), pa.array(rid), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.full(len(rid), done))]
+        return pa.RecordBatch.from_arrays(cols, names=["anchor", "seg", "rid", "lo", "n", "done"])
+
     def run(batches):
         for batch in batches:
             for part in _pieces(batch.column(0).to_pylist(), batch.column(1), length):
                 sizes = np.array([len(x) for _, _, x in part])
-                text, lo, n, rel, anchor, seg = runs(b"".join(x for _, _, x in part), np.cumsum(sizes) - sizes, sizes, length)
+                text, lo, n, anchor, seg = runs(b"".join(x for _, _, x in part), np.cumsum(sizes) - sizes, sizes, length)
                 if len(text):
                     rid = np.array([r for r, _, _ in part])[text]
                     lo = lo + np.array([o for _, o, _ in part])[text]
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(seg), pa.array(rid), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(rel.astype(np.int16))], names=["anchor", "seg", "rid", "lo", "n", "rel"])
+                    done = _settled(anchor, seg, rid, lo)
+                    yield rows(*(x[~done] for x in (anchor, seg, rid, lo, n)), False)
+                    rid, lo, n = _joined(rid[done], lo[done], n[done], length)
+                    # settled rows ride along under keys of their own, so that no key gathers them
+                    yield rows(rid * 0x9E3779B97F4A7C1 + lo, lo.astype(np.int64), rid, lo, n, True)
 
     return run
 
@@ -251,15 +278,15 @@ def spans(docs: DataFrame, scratch: Scratch, length: int = 100) -> DataFrame:
     """(rid, start, stop), byte ranges to remove, of docs with a unique long ``rid`` in their order and ``text``."""
     spark = docs.sparkSession
     wide = partitions(spark)
-    marks = docs.select("rid", "text").mapInArrow(tidy(_mark(length)), "anchor long, seg long, rid long, lo int, n short, rel short")
+    marks = docs.select("rid", "text").mapInArrow(tidy(_mark(length)), "anchor long, seg long, rid long, lo int, n int, done boolean")
     kind, family = Window.partitionBy("anchor", "seg"), Window.partitionBy("anchor")
     seen = marks.repartition(wide, "anchor").withColumn("first", F.min(F.struct("rid", "lo")).over(kind))
-    seen = seen.withColumn("isfirst", F.struct("rid", "lo") == F.col("first")).withColumn("crowd", F.sum(F.col("isfirst").cast("int")).over(family))
+    seen = seen.withColumn("isfirst", ~F.col("done") & (F.struct("rid", "lo") == F.col("first"))).withColumn("crowd", F.sum(F.col("isfirst").cast("int")).over(family))
     seen = scratch.keep(seen.filter("not isfirst or crowd > 1").select("anchor", "rid", "lo", "n", "isfirst", F.col("crowd").cast("int")))
     scratch.release()
     equal = seen.filter("not isfirst").select("rid", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (length - 1)).cast("int").alias("stop"))
     wanted = seen.filter("isfirst and crowd > 1").distinct().groupBy("rid").agg(F.collect_list(F.struct("anchor", "lo", "n", "crowd")).alias("marks"))
-    bodies = docs.select("rid", "text").join(wanted, "rid").select("text", "rid", "marks").mapInArrow(tidy(_bodies(length)), "anchor long, rid long, lo int, n short, body binary, crowd int")
+    bodies = docs.select("rid", "text").join(wanted, "rid").select("text", "rid", "marks").mapInArrow(tidy(_bodies(length)), "anchor long, rid long, lo int, n int, body binary, crowd int")
     bodies = scratch.keep(bodies)
     scratch.release()
     some = bodies.filter(F.col("crowd") <= CROWD).repartition(wide, "anchor").sortWithinPartitions("anchor")
