@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .store import Scratch, partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
-CELL = 20_000  # documents that a cell should hold
+CELL = 2_500  # documents that a cell should hold
 FAN_IN = 512  # leftovers that one node of the tree takes
 
 
