@@ -142,7 +142,29 @@ def _near(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, own: np.ndarray, rad
     return local_forest(np.concatenate(xs), np.concatenate(ys)) if xs else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def plan(spark: SparkSession, fps: DataFrame, radius: int, parts: tuple[int, ...] = (2, 3, 4)) -> list[tuple[list[int], int]]:
+def _earlier(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, own: np.ndarray, radius: int):
+    """For each row of a run the nearest owner of its key with a smaller id, if within the radius: (id, distance, that id)."""
+    by = np.lexsort([rep, ~own, key])  # owners first, by id, so that the first minimum is the smallest id
+    key, fp, rep, own = key[by], fp[by], rep[by], own[by]
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    found = []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        k = int(own[a:b].sum())
+        if b - a < 2 or not k:
+            continue
+        step = max(1, (1 << 20) // k)
+        for i in range(a, b, step):
+            j = min(i + step, b)
+            apart = np.bitwise_count(fp[i:j, None] ^ fp[None, a : a + k])
+            apart[rep[i:j, None] <= rep[None, a : a + k]] = 255
+            best = apart.argmin(1)
+            near = apart[np.arange(j - i), best]
+            ok = np.flatnonzero(near <= radius)
+            found.append((rep[i + ok], near[ok].astype(np.int64), rep[a + best[ok]]))
+    return [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 3
+
+
+def plan(spark: SparkSession, fps: DataFrame, radius: int, parts: tuple[int, ...] = (2, 3, 4, 5, 6)) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each probed partition, from counts over all fingerprints."""
 
     def sums(batches):
@@ -173,8 +195,8 @@ def plan(spark: SparkSession, fps: DataFrame, radius: int, parts: tuple[int, ...
     return [(g, t) for g, t in zip(groups, chosen) if t >= 0]
 
 
-def link(fps: DataFrame, radius: int, chosen: list[tuple[list[int], int]], width: int) -> DataFrame:
-    """Edges (a, b) between ids of fingerprints within the radius; fps: (fp, rep), fp distinct."""
+def _met(fps: DataFrame, chosen: list[tuple[list[int], int]], width: int, find, names: list[str]) -> DataFrame:
+    """Every fingerprint (fp, rep) under each key it probes; ``find`` sees whole runs of equal keys and gives long columns."""
 
     def probes(batches):
         for batch in batches:
@@ -186,22 +208,29 @@ def link(fps: DataFrame, radius: int, chosen: list[tuple[list[int], int]], width
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp.view(np.int64)), pa.array(rep), pa.array(np.full(len(fp), mask == 0))], names=["key", "fp", "rep", "own"])
 
     def verify(batches):
+        def out(cols):
+            key, fp, rep, own = cols
+            got = find(key, np.ascontiguousarray(fp).view(np.uint64), rep, own)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=names)
+
         rest: list[np.ndarray] | None = None
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             cols = [np.concatenate(x) for x in zip(rest, cols)] if rest else cols
-            key = cols[0]
-            last = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on in the next batch
             rest = [c[last:] for c in cols]
             if last:
-                a, b = _near(key[:last], cols[1][:last].view(np.uint64), cols[2][:last], cols[3][:last], radius)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield out([c[:last] for c in cols])
         if rest:
-            a, b = _near(rest[0], np.ascontiguousarray(rest[1]).view(np.uint64), rest[2], rest[3], radius)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield out(rest)
 
     met = fps.select("fp", "rep").mapInArrow(probes, "key long, fp long, rep long, own boolean")
-    return met.repartition(width, "key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long")
+    return met.repartition(width, "key").sortWithinPartitions("key").mapInArrow(tidy(verify), ", ".join(f"{n} long" for n in names))
+
+
+def link(fps: DataFrame, radius: int, chosen: list[tuple[list[int], int]], width: int) -> DataFrame:
+    """Edges (a, b) that span the links between fingerprints within the radius; fps: (fp, rep), fp distinct."""
+    return _met(fps, chosen, width, lambda *run: _near(*run, radius), ["a", "b"])
 
 
 def simhash_groups(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
@@ -217,7 +246,62 @@ def simhash_groups(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFram
     return marked.join(named, "fp", "left").select("doc_id", "fp", F.expr("if(doc_id is null, null, component_id)").alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
-    """The documents whose id is the smallest of their group; all columns stay."""
-    keep = simhash_groups(docs, radius, width).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["__kept"], "left_semi")
+def _sets(width: int):
+    """(doc_id, bag): the distinct hashes of a document's shingles, sorted."""
+
+    def run(batches):
+        for batch in batches:
+            bags = []
+            for text in batch.column(1):
+                words = (text.as_py() or "").encode().lower().split()
+                shingles = {xxhash.xxh64_intdigest(b" ".join(words[i : i + width])) for i in range(max(1, len(words) - width + 1))} if words else set()
+                bags.append(np.sort(np.fromiter(shingles, np.uint64, len(shingles))).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], names=["doc_id", "bag"])
+
+    return run
+
+
+def _alike(similarity: float):
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], names=["doc_id"])
+
+    return run
+
+
+def drop_near_copies(docs: DataFrame, radius: int = 12, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without near copies of earlier ones; all columns stay.
+
+    A document's partner is the one of smallest id with its fingerprint, or else, of those with a smaller id, the nearest
+    within the radius. It goes if their texts are equal or their distinct shingles have a Jaccard similarity of at least
+    ``similarity``. Partners have smaller ids, so the groups that partners tie together keep their first document. Rows
+    without an id stay, and so do all rows of an id that stays.
+    """
+    spark = docs.sparkSession
+    scratch, wide = Scratch(spark, "copies"), partitions(spark)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null")
+    marked = fingerprints(texts, width)
+    marked = scratch.keep(marked)
+    hashes = texts.select("doc_id", F.xxhash64("text").alias("hash")).groupBy("doc_id").agg(F.min("hash").alias("hash"))
+    fps = scratch.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    chosen = plan(spark, fps, radius)
+    found = _met(fps, chosen, wide, lambda *run: _earlier(*run, radius), ["rep", "apart", "partner"])
+    nearest = found.groupBy("rep").agg(F.min(F.struct("apart", "partner")).alias("best")).select(F.col("rep").alias("doc_id"), "best.partner")
+    equal = marked.join(fps, "fp").filter("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("partner"))
+    pairs = equal.union(nearest.join(equal.select("doc_id"), "doc_id", "left_anti"))
+    pairs = pairs.join(hashes, "doc_id").join(hashes.select(F.col("doc_id").alias("partner"), F.col("hash").alias("other")), "partner")
+    pairs = scratch.keep(pairs.select("doc_id", "partner", (F.col("hash") == F.col("other")).alias("same")))
+    scratch.release()
+    open_ = pairs.filter("not same").select("doc_id", "partner")
+    need = open_.select("doc_id").union(open_.select("partner")).distinct()
+    bags = scratch.keep(texts.join(need, "doc_id", "left_semi").mapInArrow(tidy(_sets(width)), "doc_id long, bag binary"))
+    scratch.release()
+    other = bags.select(F.col("doc_id").alias("partner"), F.col("bag").alias("other"))
+    alike = open_.join(bags, "doc_id").join(other, "partner").select("doc_id", "bag", "other").mapInArrow(_alike(similarity), "doc_id long")
+    gone = scratch.keep(pairs.filter("same").select("doc_id").union(alike).select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
