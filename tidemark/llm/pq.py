@@ -8,6 +8,7 @@ triangle inequality), so that no link is lost, and what passes is decided by the
 
 Links are counted where they are found and only a spanning forest of them is emitted, never the pairs of a group. Equal
 vectors are one vector with a count. A crowded list is cut into blocks of members, each probed by everyone.
+The number of lists grows with the root of the vectors, so that lists grow no faster than it while few are probed.
 
 The quantisers are fitted on at most ``sample`` vectors; every vector is indexed and searched.
 
@@ -67,9 +68,6 @@ def fit(x: np.ndarray, lists: int, subspaces: int = 8, words: int = 256) -> Quan
     return Quantiser(dim, coarse, [kmeans(residual[:, a:b], words, 6) for a, b in zip(cuts, cuts[1:])], cuts)
 
 
-_ROWS = "label long, cell int, member boolean, rep long, mult long, v array<double>"
-
-
 def _place(shipped, radius: float):
     """Each vector as a member of its list and as a prober of every list that it must look into."""
 
@@ -183,9 +181,9 @@ def near_copies(vectors: DataFrame, cosine: float = 0.98, sample: int = SAMPLE)
     spark = vectors.sparkSession
     scratch, wide = Scratch(spark, "pq"), partitions(spark)
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").alias("v"))
     fit_for = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable("v")
-    marked = base.withColumn("h1", F.when(fit_for, F.xxhash64("v"))).withColumn("h2", F.when(fit_for, F.xxhash64(F.lit(1), F.array_join(F.transform("v", lambda x: x.cast("string")), ","))))
+    marked = base.withColumn("h1", F.when(fit_for, F.xxhash64("v"))).withColumn("h2", F.when(fit_for, F.xxhash64(F.lit(1), "v")))
     marked = scratch.keep(marked)
     same = ["label", "h1", "h2"]
     unique = scratch.keep(marked.filter("h1 is not null").groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.any_value("v").alias("v")))
@@ -195,9 +193,9 @@ def near_copies(vectors: DataFrame, cosine: float = 0.98, sample: int = SAMPLE)
     if lengths:
         rows = unique.filter(F.size("v") == lengths.d).orderBy(F.xxhash64("rep"), "rep").select("v").limit(sample).toArrow()
         x = matrix(rows.column("v").combine_chunks())
-        quantiser = fit(x / np.linalg.norm(x, axis=1)[:, None], max(1, min(1024, round(n**0.5 / 4))))
+        quantiser = fit(x / np.linalg.norm(x, axis=1)[:, None], max(1, min(1024, round(n**0.5 / 16))))
     shipped = spark.sparkContext.broadcast(quantiser)  # codebooks, bounded by the sample
-    placed = scratch.keep(unique.select("label", "rep", "mult", "v").mapInArrow(_place(shipped, radius), _ROWS))
+    placed = scratch.keep(unique.select("label", "rep", "mult", "v").mapInArrow(_place(shipped, radius), f"label long, cell int, member boolean, rep long, mult long, v {base.schema['v'].dataType.simpleString()}"))
     blocks = placed.filter("member").groupBy(F.col("label").alias("l"), F.col("cell").alias("c")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     both = placed.join(blocks, (F.col("label") == F.col("l")) & (F.col("cell") == F.col("c")))
     where = F.when(F.col("member"), F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
