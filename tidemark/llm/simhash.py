@@ -71,7 +71,7 @@ def correlated(together: np.ndarray, n: int, parts: int) -> list[list[int]]:
     return groups
 
 
-def allocate(widths: list[int], crowds: list[int], n: int, radius: int, row_cost: float = 8.0) -> tuple[float, list[int]]:
+def allocate(widths: list[int], crowds: list[int], n: int, radius: int, row_cost: float = 1000.0) -> tuple[float, list[int]]:
     """Cheapest thresholds t_i >= -1 that add up to radius - parts + 1.
 
     ``crowds`` has the sum of squared value counts of each partition over all fingerprints. A threshold t is taken to
@@ -274,7 +274,7 @@ def _alike(similarity: float):
     return run
 
 
-def drop_near_copies(docs: DataFrame, radius: int = 12, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_copies(docs: DataFrame, radius: int = 10, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near copies of earlier ones; all columns stay.
 
     A document's partner is the one of smallest id with its fingerprint, or else, of those with a smaller id, the nearest
