@@ -67,7 +67,8 @@ def pipe_indicator(bars: DataFrame, indicator: Callable, inputs, outputs, **sett
 
     ``inputs`` is a dict (argument -> column) or a list of columns. If the indicator returns Columns for column names it
     stays in the JVM; otherwise it gets arrays, ticker by ticker. One result counts as a tuple of one; names or values
-    that are None are left out, and the shorter of the two lists decides.
+    that are None are left out, and the shorter of the two lists decides; since a plan's columns are fixed before arrays
+    are seen, a named output that a callable leaves out is a column of nulls.
     """
     if not isinstance(inputs, (dict, list, tuple)):
         raise ValueError("inputs must be a dict or a list of columns")
