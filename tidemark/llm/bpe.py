@@ -28,7 +28,7 @@ from .store import tidy
 
 LONG_PIECE = 256
 SLICE = 2 << 20
-MEMO = 300_000
+MEMO = 600_000
 STEP = 40_000  # words that one recursive query contracts
 
 _ENCODE = """
