@@ -141,3 +141,15 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in components(df, Scratch(spark, "t")).collect()}
     assert all(got[i] == 0 for i in range(201)) and all(got[600 + i] == 500 for i in range(50))
     assert components(df.limit(0), Scratch(spark, "t")).collect() == []
+
+
+def test_scratch_tables_can_be_deleted(spark, docs):
+    import os
+
+    from tidemark.llm import store
+
+    rows = simhash.simhash_groups(docs).count()
+    roots = [r.removeprefix("file:").replace("//", "/") for r in store._roots]
+    assert rows and any(map(os.path.exists, roots))
+    store.clean(spark)
+    assert not any(map(os.path.exists, roots)) and not store._roots

@@ -20,6 +20,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_roots: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the scratch tables of this session's finished calls; call it once their results are written."""
+    while _roots:
+        _delete(spark, _roots.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
     """Tables of one operator call, written as Parquet to the shared folder.
 
@@ -31,6 +45,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        _roots.append(self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self._n}"
@@ -41,11 +56,8 @@ class Scratch:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = getattr(df, "_scratch_path", None)
-        if path:
-            jvm = self.spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path := getattr(df, "_scratch_path", None):
+            _delete(self.spark, path)
 
     def release(self) -> None:
         """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
