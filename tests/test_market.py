@@ -346,6 +346,14 @@ def test_entropy_and_gaps(spark):
     assert values(learning.fill_gaps(gaps, "close", ["datetime", "ticker"]), "close") == [1.0, 1.0, 1.0, 2.0, 2.0]
 
 
+def test_auc(spark):
+    rng = np.random.default_rng(5)
+    y, s = rng.integers(0, 2, 60), rng.integers(0, 12, 60) / 4
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "y int, s double")
+    want = np.mean([(a > b) + (a == b) / 2 for a in s[y == 1] for b in s[y == 0]])
+    assert learning.auc(df, "y", "s").first().auc == pytest.approx(want)
+
+
 def samples(spark):
     rng = np.random.default_rng(3)
     rows = [(t, DAY + timedelta(i), float(a), float(b), float(a + b * 0.3 > 0), float(b > 0), 1.0 + i % 2) for i in range(120) for t in "AB" for a, b in [rng.normal(size=2)]]

@@ -239,6 +239,18 @@ class TripleBarrier(_Windowed):
         return _labels.triple_barrier(marked, self.get("inputCol"), "_stop", self.get("multiple"), self.get("horizon")).drop("_stop")
 
 
+def auc(rows: DataFrame, label: str, score: str, keys: list[str] = ()) -> DataFrame:
+    """(keys, auc): chance that a row of class 1 scores above one of class 0, ties counting half.
+
+    Scores are added up by value first, so that the running count meets one row a distinct score.
+    """
+    by = rows.groupBy(*keys, F.col(score).alias("_s")).agg(F.sum((F.col(label) == 1).cast("long")).alias("_p"), F.sum((F.col(label) != 1).cast("long")).alias("_n"))
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    below = by.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    wins = F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2))
+    return below.groupBy(*keys).agg(F.try_divide(wins, F.sum("_p") * F.sum("_n")).alias("auc"))
+
+
 def scores(model: Model, rows: DataFrame, label: str) -> DataFrame:
     """(f1, log_loss, n) of a model with probabilities, as one aggregate."""
     p = F.element_at(vector_to_array("probability"), 2)
