@@ -6,25 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: members of the Australian indices of 20, 50 and 100 companies in January 2026
-ASX20 = (
-    "ALL ANZ BHP BXB CBA CSL FMG GMG MQG NAB NST QBE RIO SIG TCL TLS WBC WDS WES WOW"
-)
-ASX50 = (
-    "AIA ALQ ALL ANZ BHP BSL BXB CBA COH COL CPU CSL EVN FPH FMG GMG IAG JHX LNW LYC MQG MPL NAB NEM NST ORI ORG PLS PME QAN "
-    "QBE REA RMD RIO SCG SGH SIG S32 SGP SUN TCL TLS SOL WES WBC WTC WDS WOW XRO YAL"
-)
-ASX100 = (
-    "A2M AIA ALD ALQ ALX ALL AMCDD ANZ APA APE ARG ASX AZJ AFI BEN BHP BSL BXB CAR CBA CDA CHC CGF CMM COH COL CPU CSL DXS EDV "
-    "EVN FPH FMG GMD GMG GPT GGP HVN HUB IGO IFT IAG JHX JBH LNW LTR LYC MQG MPL MCY MEZ MIN MGR NAB NWL NEM NXT NST ORI ORG "
-    "PRU PLS PME QAN QBE QUB RMS RHC REA REH RMD RIO SFR STO SCG SEK SGH SIG SHL S32 SGP SUN TNE TLS TLC TPG TCL VAU VCX SOL "
-    "WES WGX WBC WHC WTC WDS WOW WOR XRO YAL"
-)
+ASX20 = [
+    "ALL.AX", "ANZ.AX", "BHP.AX", "BXB.AX", "CBA.AX", "CSL.AX", "FMG.AX", "GMG.AX", "MQG.AX", "NAB.AX",
+    "NST.AX", "QBE.AX", "RIO.AX", "SIG.AX", "TCL.AX", "TLS.AX", "WBC.AX", "WDS.AX", "WES.AX", "WOW.AX",
+]
+ASX50 = [
+    "AIA.AX", "ALQ.AX", "ALL.AX", "ANZ.AX", "BHP.AX", "BSL.AX", "BXB.AX", "CBA.AX", "COH.AX", "COL.AX",
+    "CPU.AX", "CSL.AX", "EVN.AX", "FPH.AX", "FMG.AX", "GMG.AX", "IAG.AX", "JHX.AX", "LNW.AX", "LYC.AX",
+    "MQG.AX", "MPL.AX", "NAB.AX", "NEM.AX", "NST.AX", "ORI.AX", "ORG.AX", "PLS.AX", "PME.AX", "QAN.AX",
+    "QBE.AX", "REA.AX", "RMD.AX", "RIO.AX", "SCG.AX", "SGH.AX", "SIG.AX", "S32.AX", "SGP.AX", "SUN.AX",
+    "TCL.AX", "TLS.AX", "SOL.AX", "WES.AX", "WBC.AX", "WTC.AX", "WDS.AX", "WOW.AX", "XRO.AX", "YAL.AX",
+]
+ASX100 = [
+    "A2M.AX", "AIA.AX", "ALD.AX", "ALQ.AX", "ALX.AX", "ALL.AX", "AMCDD.AX", "ANZ.AX", "APA.AX", "APE.AX",
+    "ARG.AX", "ASX.AX", "AZJ.AX", "AFI.AX", "BEN.AX", "BHP.AX", "BSL.AX", "BXB.AX", "CAR.AX", "CBA.AX",
+    "CDA.AX", "CHC.AX", "CGF.AX", "CMM.AX", "COH.AX", "COL.AX", "CPU.AX", "CSL.AX", "DXS.AX", "EDV.AX",
+    "EVN.AX", "FPH.AX", "FMG.AX", "GMD.AX", "GMG.AX", "GPT.AX", "GGP.AX", "HVN.AX", "HUB.AX", "IGO.AX",
+    "IFT.AX", "IAG.AX", "JHX.AX", "JBH.AX", "LNW.AX", "LTR.AX", "LYC.AX", "MQG.AX", "MPL.AX", "MCY.AX",
+    "MEZ.AX", "MIN.AX", "MGR.AX", "NAB.AX", "NWL.AX", "NEM.AX", "NXT.AX", "NST.AX", "ORI.AX", "ORG.AX",
+    "PRU.AX", "PLS.AX", "PME.AX", "QAN.AX", "QBE.AX", "QUB.AX", "RMS.AX", "RHC.AX", "REA.AX", "REH.AX",
+    "RMD.AX", "RIO.AX", "SFR.AX", "STO.AX", "SCG.AX", "SEK.AX", "SGH.AX", "SIG.AX", "SHL.AX", "S32.AX",
+    "SGP.AX", "SUN.AX", "TNE.AX", "TLS.AX", "TLC.AX", "TPG.AX", "TCL.AX", "VAU.AX", "VCX.AX", "SOL.AX",
+    "WES.AX", "WGX.AX", "WBC.AX", "WHC.AX", "WTC.AX", "WDS.AX", "WOW.AX", "WOR.AX", "XRO.AX", "YAL.AX",
+]
 INDICES = {"asx20": ASX20, "asx50": ASX50, "asx100": ASX100}
 
 
-def members(spark: SparkSession, files: dict[str, str] | None = None, suffix: str = ".AX") -> DataFrame:
+def members(spark: SparkSession, files: dict[str, str] | None = None) -> DataFrame:
     """(index_name, ticker) of the built-in indices and of those whose symbols a file lists."""
-    own = spark.createDataFrame([(name, s + suffix) for name, text in INDICES.items() for s in text.split()], "index_name string, ticker string")
+    own = spark.createDataFrame([(name, s) for name, symbols in INDICES.items() for s in symbols], "index_name string, ticker string")
     for name, path in (files or {}).items():
         own = own.union(spark.read.text(path).filter("trim(value) <> ''").select(F.lit(name), F.trim("value")))
     return own
