@@ -43,15 +43,16 @@ def fingerprint(text: bytes, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, fp): the 64 bits as a signed long."""
+    """(doc_id, fp, hash): the 64 bits as a signed long, and a hash of the whole text."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1)
             found = np.array([fingerprint((texts[i].as_py() or "").encode(), width) for i in range(len(texts))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "hash"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("hash")).mapInArrow(tidy(run), "doc_id long, fp long, hash long")
 
 
 def correlated(together: np.ndarray, n: int, parts: int) -> list[list[int]]:
@@ -278,24 +279,21 @@ def drop_near_copies(docs: DataFrame, radius: int = 10, width: int = 5, similari
     """docs without near copies of earlier ones; all columns stay.
 
     A document's partner is the one of smallest id with its fingerprint, or else, of those with a smaller id, the nearest
-    within the radius. It goes if their texts are equal or their distinct shingles have a Jaccard similarity of at least
-    ``similarity``. Partners have smaller ids, so the groups that partners tie together keep their first document. Rows
+    within the radius (an id with several texts may have several). It goes if their texts are equal or their distinct
+    shingles have a Jaccard similarity of at least ``similarity``. Partners have smaller ids, so the groups that partners tie together keep their first document. Rows
     without an id stay, and so do all rows of an id that stays.
     """
     spark = docs.sparkSession
     scratch, wide = Scratch(spark, "copies"), partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null")
-    marked = fingerprints(texts, width)
-    marked = scratch.keep(marked)
-    hashes = texts.select("doc_id", F.xxhash64("text").alias("hash")).groupBy("doc_id").agg(F.min("hash").alias("hash"))
-    fps = scratch.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    chosen = plan(spark, fps, radius)
-    found = _met(fps, chosen, wide, lambda *run: _earlier(*run, radius), ["rep", "apart", "partner"])
-    nearest = found.groupBy("rep").agg(F.min(F.struct("apart", "partner")).alias("best")).select(F.col("rep").alias("doc_id"), "best.partner")
-    equal = marked.join(fps, "fp").filter("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("partner"))
-    pairs = equal.union(nearest.join(equal.select("doc_id"), "doc_id", "left_anti"))
-    pairs = pairs.join(hashes, "doc_id").join(hashes.select(F.col("doc_id").alias("partner"), F.col("hash").alias("other")), "partner")
-    pairs = scratch.keep(pairs.select("doc_id", "partner", (F.col("hash") == F.col("other")).alias("same")))
+    marked = scratch.keep(fingerprints(texts, width))
+    firsts = marked.groupBy("fp").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
+    fps = scratch.keep(firsts.select("fp", F.col("first.doc_id").alias("rep"), F.col("first.hash").alias("other")))
+    found = _met(fps, plan(spark, fps, radius), wide, lambda *run: _earlier(*run, radius), ["rep", "apart", "partner"])
+    nearest = found.groupBy("rep").agg(F.min(F.struct("apart", "partner")).alias("best"))
+    equal = marked.join(fps, "fp").filter("doc_id <> rep").select("doc_id", F.col("rep").alias("partner"), (F.col("hash") == F.col("other")).alias("same"))
+    # texts of different fingerprints are not equal
+    pairs = scratch.keep(equal.union(nearest.select(F.col("rep").alias("doc_id"), "best.partner", F.lit(False))))
     scratch.release()
     open_ = pairs.filter("not same").select("doc_id", "partner")
     need = open_.select("doc_id").union(open_.select("partner")).distinct()
