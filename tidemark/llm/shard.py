@@ -3,7 +3,8 @@
 Rows are sorted by (hash of the text, doc_id), so that equal texts lie together. Each round counts exact bytes between
 candidate boundaries over all partitions, first over prefixes of the hash and then over twelve more bits of it in only
 those buckets that a splitter falls into, until every splitter is within ``tolerance`` of its target or its bucket is a
-single text. A text that large is cut by ranges of doc_id, counted in the same way; smaller groups stay whole.
+single text. A text that large is cut by ranges of doc_id, counted in the same way; groups of equal texts of up to twice
+the tolerance always stay whole. The tolerance is a share of a shard, so a shard is off by twice as much at most.
 
 With the splitters fixed, rows are counted once more by cell (a shard's part of a hash bucket, or of a large text's
 range), which gives each cell its first slot, and the rows are exchanged once, by cell.
@@ -93,7 +94,7 @@ def _after(boundary: tuple[int, int | None]) -> Column:
     return past.cast("int")
 
 
-def sharded(keys: DataFrame, shards: int, tolerance: float = 0.005) -> DataFrame:
+def sharded(keys: DataFrame, shards: int, tolerance: float = 0.02) -> DataFrame:
     """``keyed`` rows with shard and slot in place of the keys. Give it a table that is cheap to read again."""
     n, least = keys.agg(F.count("*"), F.min("__doc")).first()
     keys = keys.withColumn("__id", F.coalesce("__doc", F.lit((least or 0) - 1)))
@@ -120,12 +121,12 @@ def sharded(keys: DataFrame, shards: int, tolerance: float = 0.005) -> DataFrame
     return out.drop(*cell, *(f"{c}_s" for c in cell), "__start", "__big", "__lo", "__step", "__id")
 
 
-def equal_bytes(docs: DataFrame, shards: int = 24, tolerance: float = 0.005) -> DataFrame:
+def equal_bytes(docs: DataFrame, shards: int = 24, tolerance: float = 0.02) -> DataFrame:
     """All columns of docs and shard and slot; the keys are counted from a narrow table, the rows exchanged once."""
     return sharded(keyed(docs), shards, tolerance).drop("__h", "__size", "__doc")
 
 
-def digest(docs: DataFrame, shards: int = 24, tolerance: float = 0.005) -> DataFrame:
+def digest(docs: DataFrame, shards: int = 24, tolerance: float = 0.02) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of each row."""
     scratch = Scratch(docs.sparkSession, "shard")
     narrow = scratch.keep(keyed(docs).select("__h", "__size", "__doc", F.crc32(F.col("text").cast("string")).alias("__crc")))
