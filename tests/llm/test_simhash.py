@@ -99,6 +99,23 @@ def test_near_copies_of_long_texts_go_and_others_stay(spark):
     assert sum(2 * i + 1 in kept for i in range(60)) <= 3
 
 
+def test_copies_at_eleven_and_twelve_bits_go(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    while len(rows) < 12:
+        words = [word() for _ in range(60)]
+        other = [*words[:30], word(), *words[31:]]
+        a, b = " ".join(words), " ".join(other)
+        if (slow(a, 5) ^ slow(b, 5)).bit_count() in (11, 12):
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    assert all(len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b)) for (_, a), (_, b) in zip(rows[::2], rows[1::2]))
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 12, 2))
+
+
 def test_empty(docs):
     assert simhash.simhash_groups(docs.limit(0)).collect() == []
 
