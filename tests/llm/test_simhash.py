@@ -116,6 +116,30 @@ def test_copies_at_eleven_and_twelve_bits_go(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 12, 2))
 
 
+def test_every_candidate_is_compared(spark):
+    import random
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    menu = [word() for _ in range(5)] * 200
+    fresh = lambda: menu + [word() for _ in range(300)]
+    rows = []
+    for _ in range(6):  # equal fingerprints: another text first, then one, its exact and its near copy
+        text = fresh()
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate([fresh(), text, text, [*text[:-5], *fresh()[-5:]]])]
+    assert len({slow(t, 5) for _, t in rows}) == 1
+    # the nearest earlier fingerprint is of another text, the copy's is farther off
+    while len(rows) < 36:
+        a, b = [word() for _ in range(40)], [word() for _ in range(14)]
+        near, copy, last = " ".join([*a[:38], *b]), " ".join([*a, word()]), " ".join([*a])
+        f = [slow(t, 5) for t in (near, copy, last)]
+        s = [shingles(t) for t in (near, copy, last)]
+        if (f[0] ^ f[2]).bit_count() < (f[1] ^ f[2]).bit_count() and len(s[0] & s[2]) < 0.8 * len(s[0] | s[2]) and (f[0] ^ f[1]).bit_count() > 0:
+            rows += [(len(rows) + i, t) for i, t in enumerate((near, copy, last))]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(24) if i % 4 < 2] + [i for i in range(24, 36) if i % 3 < 2]
+
+
 def test_empty(docs):
     assert simhash.simhash_groups(docs.limit(0)).collect() == []
 

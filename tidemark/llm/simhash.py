@@ -24,6 +24,7 @@ from .store import Scratch, partitions, tidy
 _LANES = (np.arange(8) * 256).astype(np.int64)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 SEED = 42
+SKETCH = 512  # cells of parities
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -247,21 +248,105 @@ def simhash_groups(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFram
     return marked.join(named, "fp", "left").select("doc_id", "fp", F.expr("if(doc_id is null, null, component_id)").alias("component_id"))
 
 
+def _bag(text: str | None, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    words = (text or "").encode().lower().split()
+    shingles = {xxhash.xxh64_intdigest(b" ".join(words[i : i + width])) for i in range(max(1, len(words) - width + 1))} if words else set()
+    return np.sort(np.fromiter(shingles, np.uint64, len(shingles)))
+
+
 def _sets(width: int):
-    """(doc_id, bag): the distinct hashes of a document's shingles, sorted."""
+    """(doc_id, bag) of each document."""
 
     def run(batches):
         for batch in batches:
-            bags = []
-            for text in batch.column(1):
-                words = (text.as_py() or "").encode().lower().split()
-                shingles = {xxhash.xxh64_intdigest(b" ".join(words[i : i + width])) for i in range(max(1, len(words) - width + 1))} if words else set()
-                bags.append(np.sort(np.fromiter(shingles, np.uint64, len(shingles))).tobytes())
+            bags = [_bag(text.as_py(), width).tobytes() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], names=["doc_id", "bag"])
 
     return run
 
 
+def _sketches(width: int):
+    """(rep, size, sketch): how many shingles a bag has, and the parity of their counts over SKETCH cells."""
+
+    def run(batches):
+        for batch in batches:
+            bags = [_bag(text.as_py(), width) for text in batch.column(1)]
+            odd = [np.packbits(np.bincount((b % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes() for b in bags]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) for b in bags], pa.int64()), pa.array(odd, pa.binary())], names=["rep", "size", "sketch"])
+
+    return run
+
+
+def _possible(key: np.ndarray, cols: list[np.ndarray], chosen: list[tuple[list[int], int]], radius: int, similarity: float):
+    """(id, smaller id) of each asking row and owner of its key within the radius that may be alike, where they meet first.
+
+    Two bags differ in at least as many shingles as their parities differ in cells, so nothing alike is left out.
+    """
+    fp, rep, own, ask, size, sketch = cols
+    masks = [(np.uint64(sum(1 << b for b in bits)), t) for bits, t in chosen]
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    both = np.flatnonzero(np.logical_or.reduceat(own, cut[:-1]) & np.logical_or.reduceat(ask, cut[:-1]) & (np.diff(cut) > 1))
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for g in both.tolist():
+        at = np.arange(cut[g], cut[g + 1])
+        mine, theirs = at[ask[at]], at[own[at]]
+        part = int(key[cut[g]].view(np.uint64) >> np.uint64(58))
+        step = max(1, (1 << 18) // len(theirs))
+        for i in range(0, len(mine), step):
+            x, y = mine[i : i + step, None], theirs[None]
+            ok = (rep[y] < rep[x]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9)
+            apart = fp[x] ^ fp[y]
+            ok &= np.bitwise_count(apart) <= radius
+            for mask, t in masks[:part]:
+                ok &= np.bitwise_count(apart & mask) > t
+            p, q = np.nonzero(ok)
+            p, q = mine[i + p], theirs[q]
+            total = size[p] + size[q]
+            shared = (total - np.bitwise_count(sketch[p] ^ sketch[q]).sum(1, dtype=np.int64)) / 2
+            ok = shared >= similarity * (total - shared) - 1e-9
+            found.append((rep[p[ok]], rep[q[ok]]))
+    return [np.concatenate(c) for c in zip(*found)]
+
+
+def _others(texts: DataFrame, chosen: list[tuple[list[int], int]], radius: int, similarity: float, width: int) -> DataFrame:
+    """(doc_id, partner) of every row that asks and every earlier text that may be alike; texts: (fp, rep, ask, size, sketch)."""
+    names = ["key", "fp", "rep", "own", "ask", "size", "sketch"]
+
+    def probes(batches):
+        for batch in batches:
+            asking = batch.filter(batch.column(2))
+            for k, (bits, t) in enumerate(chosen):
+                for mask in _flips(len(bits), t):
+                    rows = asking if mask else batch
+                    fp = rows.column(0).to_numpy().view(np.uint64)
+                    key = (_part(fp, bits) ^ mask | np.uint64(k) << np.uint64(58)).view(np.int64)
+                    fp_, rep, ask, size, sketch = rows.columns
+                    yield pa.RecordBatch.from_arrays([pa.array(key), fp_, rep, pa.array(np.full(len(fp), mask == 0)), ask, size, sketch], names=names)
+
+    def verify(batches):
+        def out(cols):
+            got = _possible(cols[0], [np.ascontiguousarray(cols[1]).view(np.uint64), *cols[2:]], chosen, radius, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["doc_id", "partner"])
+
+        rest: list[np.ndarray] | None = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]]
+            cols.append(np.frombuffer(b"".join(batch.columns[-1].to_pylist()), np.uint64).reshape(-1, SKETCH // 64))
+            cols = [np.concatenate(x) for x in zip(rest, cols)] if rest else cols
+            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on in the next batch
+            rest = [c[last:] for c in cols]
+            if last:
+                yield out([c[:last] for c in cols])
+        if rest:
+            yield out(rest)
+
+    met = texts.select("fp", "rep", "ask", "size", "sketch").mapInArrow(probes, "key long, fp long, rep long, own boolean, ask boolean, size long, sketch binary")
+    return met.repartition(width, "key").sortWithinPartitions("key").mapInArrow(tidy(verify), "doc_id long, partner long")
+
+
 def _alike(similarity: float):
     def run(batches):
         for batch in batches:
@@ -275,31 +360,45 @@ def _alike(similarity: float):
     return run
 
 
+def _verified(texts: DataFrame, pairs: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """doc_id of the pairs (doc_id, partner) whose texts are alike."""
+    need = pairs.select("doc_id").union(pairs.select("partner")).distinct()
+    bags = scratch.keep(texts.join(need, "doc_id", "left_semi").mapInArrow(tidy(_sets(width)), "doc_id long, bag binary"))
+    scratch.release()
+    other = bags.select(F.col("doc_id").alias("partner"), F.col("bag").alias("other"))
+    return pairs.join(bags, "doc_id").join(other, "partner").select("doc_id", "bag", "other").mapInArrow(_alike(similarity), "doc_id long")
+
+
 def drop_near_copies(docs: DataFrame, radius: int = 12, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near copies of earlier ones; all columns stay.
 
-    A document's partner is the one of smallest id with its fingerprint, or else, of those with a smaller id, the nearest
-    within the radius (an id with several texts may have several). It goes if their texts are equal or their distinct
-    shingles have a Jaccard similarity of at least ``similarity``. Partners have smaller ids, so the groups that partners tie together keep their first document. Rows
-    without an id stay, and so do all rows of an id that stays.
+    A document goes if one of smaller id has an equal text, or a fingerprint within the radius and distinct shingles of a
+    Jaccard similarity of at least ``similarity``. Equal texts are settled by their hash, and one of each is compared:
+    first with one partner (the smallest id of its fingerprint, or else the nearest fingerprint of a smaller id), then, if
+    that is not alike, with all others within the radius. So no two documents that stay are such copies. Rows without an
+    id stay, and so do all rows of an id that stays.
     """
     spark = docs.sparkSession
     scratch, wide = Scratch(spark, "copies"), partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null")
     marked = scratch.keep(fingerprints(texts, width))
-    firsts = marked.groupBy("fp").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
-    fps = scratch.keep(firsts.select("fp", F.col("first.doc_id").alias("rep"), F.col("first.hash").alias("other")))
-    found = _met(fps, plan(spark, fps, radius), wide, lambda *run: _earlier(*run, radius), ["rep", "apart", "partner"])
+    unlike = scratch.keep(marked.groupBy("fp", "hash").agg(F.min("doc_id").alias("first")))
+    equal = marked.join(unlike, ["fp", "hash"]).filter("doc_id <> first").select("doc_id")
+    fps = scratch.keep(unlike.groupBy("fp").agg(F.min("first").alias("rep")))
+    chosen = plan(spark, fps, radius)
+    found = _met(fps, chosen, wide, lambda *run: _earlier(*run, radius), ["rep", "apart", "partner"])
     nearest = found.groupBy("rep").agg(F.min(F.struct("apart", "partner")).alias("best"))
-    equal = marked.join(fps, "fp").filter("doc_id <> rep").select("doc_id", F.col("rep").alias("partner"), (F.col("hash") == F.col("other")).alias("same"))
-    # texts of different fingerprints are not equal
-    pairs = scratch.keep(equal.union(nearest.select(F.col("rep").alias("doc_id"), "best.partner", F.lit(False))))
+    shared = unlike.join(fps, "fp").filter("first <> rep").select(F.col("first").alias("doc_id"), F.col("rep").alias("partner"))
+    pairs = scratch.keep(shared.union(nearest.select(F.col("rep").alias("doc_id"), "best.partner")))
     scratch.release()
-    open_ = pairs.filter("not same").select("doc_id", "partner")
-    need = open_.select("doc_id").union(open_.select("partner")).distinct()
-    bags = scratch.keep(texts.join(need, "doc_id", "left_semi").mapInArrow(tidy(_sets(width)), "doc_id long, bag binary"))
+    gone = scratch.keep(equal.union(_verified(texts, pairs, width, similarity, scratch)).distinct())
     scratch.release()
-    other = bags.select(F.col("doc_id").alias("partner"), F.col("bag").alias("other"))
-    alike = open_.join(bags, "doc_id").join(other, "partner").select("doc_id", "bag", "other").mapInArrow(_alike(similarity), "doc_id long")
-    gone = scratch.keep(pairs.filter("same").select("doc_id").union(alike).select(F.col("doc_id").alias("__gone")).distinct())
+    asking = pairs.join(gone, "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), F.lit(True).alias("ask")).distinct()
+    compared = unlike.select("fp", F.col("first").alias("rep"))
+    sketches = texts.join(compared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(tidy(_sketches(width)), "rep long, size long, sketch binary")
+    compared = compared.join(asking, "rep", "left").join(sketches, "rep").withColumn("ask", F.coalesce("ask", F.lit(False)))
+    rest = scratch.keep(_others(scratch.keep(compared), chosen, radius, similarity, wide))
+    scratch.release()
+    more = _verified(texts, rest, width, similarity, scratch)
+    gone = scratch.keep(gone.union(more).select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
