@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline as cp
-from tests.llm.test_simhash import brute_drops
+from tests.llm.test_simhash import brute_drops, true_drops
 from tests.llm.test_suffix import brute
 from tidemark.llm import bpe
 
@@ -54,6 +54,7 @@ def test_stages(spark, folder):
     before, after = seen["simhash"]
     gone = brute_drops([(i, r.text) for i, r in before.items()])
     assert gone and {r.doc_id for r in after} == set(before) - gone
+    assert gone == true_drops([(i, r.text) for i, r in before.items()])
     before, after = seen["suffix"]
     want = brute([(i, r.text) for i, r in before.items()])
     assert any(n for _, n, _, _ in want.values())

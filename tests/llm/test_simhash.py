@@ -72,6 +72,41 @@ def brute_drops(rows, radius=10, width=5, similarity=0.8):
     return gone
 
 
+def true_drops(rows, radius=64, width=5, similarity=0.8):
+    """Documents with an equal text or enough similarity to any earlier one, all pairs compared; within the radius, if given."""
+    rows = sorted((r[0], r[1]) for r in rows if r[0] is not None)
+    bags = [shingles(t, width) for _, t in rows]
+    fps = [slow(t, width) for _, t in rows] if radius < 64 else [0] * len(rows)
+    alike = lambda i, j: rows[i][1] == rows[j][1] or len(bags[i] & bags[j]) >= similarity * len(bags[i] | bags[j]) - 1e-9
+    return {rows[i][0] for i in range(len(rows)) if any((fps[i] ^ fps[j]).bit_count() <= radius and alike(i, j) for j in range(i))}
+
+
+def test_recall_against_all_pairs(spark, corpus):
+    import random
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = [r[1] or "" for r in corpus if r[0] is not None]
+    for i in range(80):
+        words = [word() for _ in range(rng.choice([30, 80, 200]))]
+        for _ in range(4):
+            texts.append(" ".join(words))
+            words = list(words)
+            for k in rng.sample(range(len(words)), rng.randint(0, len(words) // 40 + 1)):
+                words[k] = word()
+    menu = " ".join([word() for _ in range(5)] * 100)
+    for _ in range(10):  # equal fingerprints of different texts, and copies of each
+        text = f"{menu} {' '.join(word() for _ in range(120))}"
+        texts += [text, text, f"{text} more"]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    gone, true, near = {i for i, _ in rows} - kept, true_drops(rows), true_drops(rows, radius=12)
+    print(f"recall {len(gone & true)} of {len(true)}, within 12 bits {len(near)}")
+    assert gone == near and gone <= true
+    assert len(gone) >= 0.9 * len(true)
+
+
 def test_dropped_copies(clash, corpus):
     kept = simhash.drop_near_copies(clash)
     assert kept.columns == clash.columns
