@@ -6,7 +6,7 @@ from the models fitted on all training rows. The last category is the label ``to
 and their training labels are rows labelled toxic that hold a seed word of the kind.
 
 Features are the presence of words and of their first four and five letters, hashed; those that say most about the label
-are kept. Whole texts are read, and a text is scored by its distinct words, whatever its length.
+are kept, and none whose difference between the classes may be chance. Whole texts are read, and a text is scored by its distinct words, whatever its length.
 
 Learned from rows whose crc32 of the id, as text, is not a multiple of ``folds``, at most ``per_class`` documents of each
 class (the bound of the training sample).
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 PER_CLASS = 4000
 SPACE = 1 << 20  # hashed features
-KEEP = 1024  # features that the models use
+KEEP = 1024  # features that the models use, at most
+LEAST = 2.0  # standard errors from no difference that a feature needs
 # fixed values: seed words of the kinds
 KINDS = {"insult": ["idiot", "moron", "stupid", "clown", "loser"], "contempt": ["worthless", "pathetic"], "dehumanising": ["scum", "trash", "disgusting", "vermin"]}
 _WORD = re.compile(r"[^\W\d_]+")
@@ -130,6 +131,7 @@ def train(found: list[np.ndarray], toxic: np.ndarray, kinds: dict[str, list[str]
     odds = np.log((on + 0.5) / (n1 + 1)) - np.log((off + 0.5) / (n0 + 1))
     odds /= np.sqrt(1 / (on + 0.5) + 1 / (off + 0.5))  # standard errors away from no difference
     odds[on + off < min(4, n1)] = 0
+    odds[np.abs(odds) < LEAST] = 0
     best = np.argsort(-np.abs(odds), kind="stable")[:KEEP]
     best = np.sort(best[odds[best] != 0])
     chain.place[best] = np.arange(len(best))
