@@ -34,6 +34,16 @@ def test_equal_bytes(spark):
     assert len(sizes) == 24 and max(sizes) - mean < 0.045 * mean and mean - min(sizes) < 0.045 * mean
 
 
+def test_shards_of_different_texts_are_within_one_percent(spark):
+    # hashes whose first twelve bits take 256 values, so that a bucket of the first round is a tenth of a shard
+    rows = spark.range(500_000).selectExpr("id as doc_id", "concat('text ', id) as text").filter("pmod(shiftright(xxhash64(text), 52), 16) = 0")
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    by = check_shards(shard.digest(rows).collect(), texts)
+    sizes = [sum(r["size"] for r in rs) for rs in by.values()]
+    mean = sum(sizes) / 24
+    assert len(sizes) == 24 and max(abs(s - mean) for s in sizes) <= 0.01 * mean
+
+
 def test_equal_texts_stay_together(spark):
     texts = {i: f"text {i // 3} " * (1 + i // 3 % 7) for i in range(9000)}
     rows = shard.digest(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()

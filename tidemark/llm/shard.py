@@ -3,8 +3,9 @@
 Rows are sorted by (hash of the text, doc_id), so that equal texts lie together. Each round counts exact bytes between
 candidate boundaries over all partitions, first over prefixes of the hash and then over twelve more bits of it in only
 those buckets that a splitter falls into, until every splitter is within ``tolerance`` of its target or its bucket is a
-single text. A text that large is cut by ranges of doc_id, counted in the same way; groups of equal texts of up to twice
-the tolerance always stay whole. The tolerance is a share of a shard, so a shard is off by twice as much at most.
+single text. A single text may lie within ``whole`` of the target instead, so that groups of equal texts of up to twice
+that always stay whole; a larger one is cut by ranges of doc_id, counted in the same way. Both are shares of a shard, so a
+shard is off by twice the tolerance at most, and by twice ``whole`` only where a group would be split.
 
 With the splitters fixed, rows are counted once more by cell (a shard's part of a hash bucket, or of a large text's
 range), which gives each cell its first slot, and the rows are exchanged once, by cell.
@@ -32,11 +33,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__h": F.xxhash64(text), "__size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8, "__doc": F.col("doc_id").cast("long")})
 
 
-def splitters(keys: DataFrame, shards: int, tolerance: float) -> list[tuple[int, int | None]]:
+def splitters(keys: DataFrame, shards: int, tolerance: float, whole: float) -> list[tuple[int, int | None]]:
     """shards - 1 boundaries (hash, id): rows below sort before them; id None is the start of the hash value."""
     total = keys.agg(F.sum("__size")).first()[0] or 0
     goal = {k: total * k / shards for k in range(1, shards)}
-    near, found = tolerance * total / shards, {}
+    near, far, found = tolerance * total / shards, whole * total / shards, {}
     base = {k: 0 for k in goal}  # bytes before the bucket that splitter k is in
     bucket: dict[int, int] = {}
     shift = 64
@@ -53,7 +54,7 @@ def splitters(keys: DataFrame, shards: int, tolerance: float) -> list[tuple[int,
                     continue
                 if below + r.n >= goal[k]:
                     before, after = goal[k] - below, below + r.n - goal[k]
-                    if min(before, after) <= near:
+                    if min(before, after) <= (far if r.lo == r.hi else near):
                         edge = r.b if before <= after else r.b + 1
                         found[k] = (edge << shift, None)
                     elif r.lo == r.hi:
@@ -94,11 +95,11 @@ def _after(boundary: tuple[int, int | None]) -> Column:
     return past.cast("int")
 
 
-def sharded(keys: DataFrame, shards: int, tolerance: float = 0.02) -> DataFrame:
+def sharded(keys: DataFrame, shards: int, tolerance: float = 0.005, whole: float = 0.02) -> DataFrame:
     """``keyed`` rows with shard and slot in place of the keys. Give it a table that is cheap to read again."""
     n, least = keys.agg(F.count("*"), F.min("__doc")).first()
     keys = keys.withColumn("__id", F.coalesce("__doc", F.lit((least or 0) - 1)))
-    marks = splitters(keys, shards, tolerance)
+    marks = splitters(keys, shards, tolerance, whole)
     keys = keys.withColumn("__shard", sum((_after(m) for m in marks), F.lit(0)))
     # at most CROWD rows: the texts with over one CROWD-th of all rows, with the range of their ids
     crowded = keys.groupBy(F.col("__h").alias("__big")).agg(F.count("*").alias("__k"), F.min("__id").alias("__lo"), F.max("__id").alias("__hi")).filter(F.col("__k") > max(1, n // CROWD))
@@ -121,14 +122,14 @@ def sharded(keys: DataFrame, shards: int, tolerance: float = 0.02) -> DataFrame:
     return out.drop(*cell, *(f"{c}_s" for c in cell), "__start", "__big", "__lo", "__step", "__id")
 
 
-def equal_bytes(docs: DataFrame, shards: int = 24, tolerance: float = 0.02) -> DataFrame:
+def equal_bytes(docs: DataFrame, shards: int = 24, tolerance: float = 0.005, whole: float = 0.02) -> DataFrame:
     """All columns of docs and shard and slot; the keys are counted from a narrow table, the rows exchanged once."""
-    return sharded(keyed(docs), shards, tolerance).drop("__h", "__size", "__doc")
+    return sharded(keyed(docs), shards, tolerance, whole).drop("__h", "__size", "__doc")
 
 
-def digest(docs: DataFrame, shards: int = 24, tolerance: float = 0.02) -> DataFrame:
+def digest(docs: DataFrame, shards: int = 24, tolerance: float = 0.005, whole: float = 0.02) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of each row."""
     scratch = Scratch(docs.sparkSession, "shard")
     narrow = scratch.keep(keyed(docs).select("__h", "__size", "__doc", F.crc32(F.col("text").cast("string")).alias("__crc")))
-    done = sharded(narrow, shards, tolerance)
+    done = sharded(narrow, shards, tolerance, whole)
     return done.select(F.col("__doc").alias("doc_id"), F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
