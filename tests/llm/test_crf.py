@@ -41,6 +41,48 @@ def test_features_of_neighbours():
     assert not x[0, crf._OWN : crf._OWN + near].any() and not x[4, crf._OWN : crf._OWN + 2 * near].any()
 
 
+def test_most_frequent_word_is_counted_alike_at_any_number_of_words():
+    for kinds in (5, 12, 13, 40):
+        words = [f"w{k}" for k in range(kinds)]
+        x, _, _ = crf.features([" ".join(words * 2)])
+        assert x[0, 13] == pytest.approx(2 / (2 * kinds))
+
+
+def sample_of(seed=1, n=60):
+    rng = random.Random(seed)
+    texts = ["\n".join(" ".join(rng.choice(["GOOD", "bad!!", "word", "x9"][i % 2 :: 2]) for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(1, 6))) for i in range(n)]
+    return texts, np.arange(n) % 2
+
+
+def test_training_and_scoring_agree(monkeypatch):
+    seen, aggregate = [], crf.aggregate
+    monkeypatch.setattr(crf, "aggregate", lambda *a: seen.append(aggregate(*a)) or seen[-1])
+    texts, label = sample_of()
+    model = crf.train(*crf.features(texts), label, np.ones(len(texts)))
+    assert np.abs(seen[0] - model.raw(texts)).max() < 1e-12
+
+
+def test_scores_match_enumeration():
+    texts, label = sample_of()
+    model = crf.train(*crf.features(texts), label, np.ones(len(texts)))
+    x, counts, size = crf.features(texts)
+    end = 0
+    for text, n, got in zip(texts, counts, model.score(texts)):
+        rows, weight = slice(end, end + n), size[end : end + n] + 1
+        end += n
+        line = [sum(w * min(8, max(-8, (v - m) / s)) for w, v, m, s in zip(model.weights, r, model.mean, model.spread)) + model.weights[-1] for r in x[rows].astype(float)]
+        mean = min(1 - 1e-4, max(1e-4, float((brute(line, model.trans) * weight).sum() / weight.sum())))
+        assert got == pytest.approx(1 / (1 + np.exp(-(model.slope * np.log(mean / (1 - mean)) + model.offset))), abs=1e-9)
+
+
+def test_sample_of_long_and_repeated_documents(marked):
+    docs, labels = marked
+    long = docs.withColumn("text", F.when(F.col("doc_id") == 6, F.expr("repeat(concat(text, '\\n'), 400)")).otherwise(F.col("text")))
+    more = long.union(long).union(long.filter("doc_id = 9").withColumn("text", F.lit("zzz")))
+    a, b = crf.fit(long, labels, most_lines=50), crf.fit(more, labels, most_lines=50)
+    assert np.allclose(a.weights, b.weights)
+
+
 @pytest.fixture(scope="module")
 def marked(spark):
     rng = random.Random(2)

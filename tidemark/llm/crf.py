@@ -6,16 +6,19 @@ length and calibrated on the training documents. Lines have no labels of their o
 label on each line and then once lets clearly good lines of bad documents be good.
 
 Only text is read to score; labels, lang, source and doc_id are not. Labels are learned from rows whose crc32 of the id,
-as text, is not a multiple of ``folds``, at most ``per_class`` documents of each class (the bound of the training sample).
+as text, is not a multiple of ``folds``: at most ``per_class`` documents of each class and of each at most ``most_lines``
+lines, neighbours at a place that depends on the text (the bounds of the training sample). Scores read every line.
 
 Defined cases: a null text is one empty line, and so is an empty one; null or repeated labels are left out or taken once
-(the smaller); with no label, or labels of one class, the score is the smoothed share of good ones; a null id counts as
+(the smaller), and of several texts of an id the smallest is learned from; with no label, or labels of one class, the score is the smoothed share of good ones; a null id counts as
 not held out; repeated rows get equal scores; an empty table gives no rows; other columns stay as they are in
 ``good_documents`` and are ignored by ``quality``.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from .store import tidy
 
 PER_CLASS = 3000
+MOST_LINES = 2000
 SLICE = 2 << 20
 
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -56,7 +60,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             n = len(w)
             if n:
                 kinds = set(w)
-                most = 0 if len(kinds) == n else max(map(w.count, kinds)) if len(kinds) <= 12 else n - len(kinds) + 1
+                most = 0 if len(kinds) == n else max(Counter(w).values())
                 twice = sum(map(bytes.__eq__, w, w[1:])) if len(kinds) < n else 0
                 words.append((n, len(kinds) / n, twice / n, most / n, times[line] > 1 and len(line) > 0, line[-1:] in (b".", b"!", b"?"), line[:1].isupper()))
             else:
@@ -128,7 +132,7 @@ class Model:
 
     def raw(self, texts: list[str]) -> np.ndarray:
         x, counts, size = features(texts)
-        good, _ = Chains(counts).marginals(np.clip((x - self.mean) / self.spread, -8, 8) @ self.weights, self.trans)
+        good, _ = Chains(counts).marginals(inputs(x, self.mean, self.spread) @ self.weights, self.trans)
         return aggregate(good, counts, size)
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -137,6 +141,11 @@ class Model:
         return 1 / (1 + np.exp(-(self.slope * self.raw(texts) + self.offset)))
 
 
+def inputs(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Features on one scale and a last column of ones; training and scoring both go through here."""
+    return np.column_stack([np.clip((x - mean) / spread, -8, 8), np.ones(len(x))])
+
+
 def aggregate(good: np.ndarray, counts: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Log odds of the mean marginal, a line weighing its bytes and one more."""
     begin = np.cumsum(counts) - counts
@@ -168,10 +177,8 @@ def train(x: np.ndarray, counts: np.ndarray, size: np.ndarray, label: np.ndarray
     good_share = float((share * label).sum() + 1) / float(share.sum() + 2)
     if len(set(label.tolist())) < 2:
         return Model(np.zeros(0), np.zeros(0), np.zeros(0), np.zeros((2, 2)), 0.0, good_share)
-    mean, spread = x.mean(0), np.maximum(x.std(0), 1e-3)
-    x = np.clip((x - mean) / spread, -8, 8).astype(np.float64)
-    x[:, -1] = 1.0  # the flag of a last line makes room for the bias
-    mean[-1], spread[-1] = -1.0, 1.0
+    mean, spread = x.mean(0, dtype=np.float64), np.maximum(x.std(0, dtype=np.float64), 1e-3)
+    x = inputs(x, mean, spread)
     chains = Chains(counts)
     weight = 1 / np.sqrt(counts)
     target = label[chains.doc].astype(float)
@@ -190,7 +197,7 @@ def train(x: np.ndarray, counts: np.ndarray, size: np.ndarray, label: np.ndarray
         hess = np.array([[(v * raw * raw).sum() + 1e-2, (v * raw).sum()], [(v * raw).sum(), v.sum() + 1e-6]])
         da, db = np.clip(np.linalg.solve(hess, g), -1, 1)
         a, b = a + da, b + db
-    return Model(mean.astype(np.float64), spread.astype(np.float64), w, trans, max(a, 1e-3), b)
+    return Model(mean, spread, w, trans, max(a, 1e-3), b)
 
 
 def _slices(texts):
@@ -205,7 +212,14 @@ def _slices(texts):
         yield begin, len(texts)
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = PER_CLASS) -> Model:
+def _some(text: str, most: int) -> str:
+    """The text, or if it has more lines, ``most`` neighbouring ones."""
+    lines = text.split("\n")
+    begin = zlib.crc32(text.encode()) % max(1, len(lines) - most + 1)
+    return text if len(lines) <= most else "\n".join(lines[begin : begin + most])
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = PER_CLASS, most_lines: int = MOST_LINES) -> Model:
     """Learns from at most ``per_class`` labelled documents of each class outside the held-out fold."""
     named = labels.filter("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min("quality").alias("__label"))
     named = named.filter(F.crc32(F.col("__id").cast("string")) % folds != 0)
@@ -216,12 +230,13 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = PER
     def run(batches):
         for batch in batches:
             for a, b in _slices(batch.column(0)):
-                x, counts, size = features([t or "" for t in batch.column(0)[a:b].to_pylist()])
+                x, counts, size = features([_some(t or "", most_lines) for t in batch.column(0)[a:b].to_pylist()])
                 ends = np.cumsum(counts)
                 parts = [(x[e - c : e].tobytes(), size[e - c : e].astype(np.int32).tobytes()) for e, c in zip(ends, counts)]
                 yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], *(pa.array(list(p), pa.binary()) for p in zip(*parts))], names=["label", "x", "size"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text")).join(sample, "__id")
+    found = found.groupBy("__id").agg(F.min(F.coalesce("__text", F.lit(""))).alias("__text"), F.min("__label").alias("__label"))  # one text an id
     rows = found.select("__text", F.col("__label").cast("int")).mapInArrow(tidy(run), "label int, x binary, size binary").collect()
     rows.sort(key=lambda r: (r.label, bytes(r.x)))
     if not rows:
