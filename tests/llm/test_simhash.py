@@ -175,6 +175,48 @@ def test_every_candidate_is_compared(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(24) if i % 4 < 2] + [i for i in range(24, 36) if i % 3 < 2]
 
 
+def test_all_texts_of_an_id_share_a_component(spark):
+    rows = [(5, "one text of some words"), (9, "one text of some words"), (9, "and quite another thing"), (12, "and quite another thing"), (13, "far away from both")]
+    got = sorted((r.doc_id, r.component_id) for r in simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(5, 5), (9, 5), (9, 5), (12, 5), (13, 13)]
+
+
+def test_crowded_keys_are_cut_into_blocks(spark, docs, corpus, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 2)
+    check(simhash.simhash_groups(docs).collect(), corpus)
+    fps = np.arange(200, dtype=np.uint64)  # one value in all but a few bits
+    df = spark.createDataFrame([(int(v), int(v)) for v in fps], "fp long, rep long")
+    chosen = [(list(range(8, 64)), 0)]
+    assert simhash._crowded(df, chosen) == {0: 100}
+    got = {r.node: r.component for r in components(simhash.link(df, 1, chosen, 3), Scratch(spark, "t")).collect()}
+    assert set(got.values()) == {0} and len(got) == 200
+    want = {i for i in range(1, 200) if any(bin(i ^ j).count("1") <= 1 for j in range(i))}
+    met = simhash._met(df, chosen, 3, lambda *run: simhash._earlier(*run, 1), ["rep", "apart", "partner"])
+    assert {r.rep for r in met.collect()} == want
+
+
+def test_partners_of_many_are_dealt_to_many_places(spark, clash, monkeypatch):
+    want = sorted(r.doc_id or -1 for r in simhash.drop_near_copies(clash).collect())
+    monkeypatch.setattr(simhash, "SPLIT", 1)
+    monkeypatch.setattr(simhash, "BLOCK", 3)
+    assert sorted(r.doc_id or -1 for r in simhash.drop_near_copies(clash).collect()) == want
+
+
+def test_long_runs_come_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "BLOCK", 5)
+    key = np.array([1] * 3 + [2] * 90 + [3] * 4 + [4] * 60 + [9])
+    own = np.concatenate([[c < min(7, n) for c in range(n)] for n in (3, 90, 4, 60, 1)])
+    rows = [pa.RecordBatch.from_arrays([pa.array(key[i : i + 8]), pa.array(np.arange(len(key))[i : i + 8]), pa.array(own[i : i + 8])], names=["k", "i", "own"]) for i in range(0, len(key), 8)]
+    met = set()
+    for k, i, o in simhash._runs(rows, lambda b: [c.to_numpy(zero_copy_only=False) for c in b.columns], 2):
+        assert len(k) <= 60
+        for v in np.unique(k):
+            met |= {(a, b) for a in i[(k == v) & o].tolist() for b in i[k == v].tolist()}
+    assert met == {(a, b) for a in range(len(key)) if own[a] for b in range(len(key)) if key[a] == key[b]}
+
+
 def test_empty(docs):
     assert simhash.simhash_groups(docs.limit(0)).collect() == []
 

@@ -3,9 +3,12 @@
 Correlated bits are grouped into partitions, each partition gets its own threshold (unequal, -1 for "not probed") by
 dynamic programming on estimated candidate counts, and every pair within the radius meets in some partition.
 
+Keys that very many fingerprints own are cut into blocks of owners, each met by every row that probes the key; a task
+holds one block of owners and a piece of its probers at a time.
+
 Defined cases: a null text has no words (fingerprint zero, linked like any other); rows with a null id get a
-fingerprint but no component and link nothing; repeated rows share a component; an empty table gives no rows; other
-columns of the input are ignored whatever their names are.
+fingerprint but no component and link nothing; repeated rows share a component, and so do all texts of one id; an empty
+table gives no rows; other columns of the input are ignored whatever their names are.
 """
 
 from __future__ import annotations
@@ -25,6 +28,9 @@ _LANES = (np.arange(8) * 256).astype(np.int64)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 SEED = 42
 SKETCH = 512  # cells of parities
+BLOCK = 1 << 16  # owners of a key that one block holds
+CROWDED = 4096  # keys of a partition that can be cut into blocks: each has over this share of all fingerprints
+SPLIT = 1000  # partners of one text that are compared in one place
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -197,37 +203,90 @@ def plan(spark: SparkSession, fps: DataFrame, radius: int, parts: tuple[int, ...
     return [(g, t) for g, t in zip(groups, chosen) if t >= 0]
 
 
+def _crowded(fps: DataFrame, chosen: list[tuple[list[int], int]]) -> dict[int, int]:
+    """Blocks of each key with over BLOCK owners, and over 1 / CROWDED of all; at most CROWDED keys a partition."""
+
+    def own(batches):
+        for batch in batches:
+            fp = batch.column(0).to_numpy().view(np.uint64)
+            for k, (bits, _) in enumerate(chosen):
+                yield pa.RecordBatch.from_arrays([pa.array((_part(fp, bits) | np.uint64(k) << np.uint64(58)).view(np.int64))], names=["key"])
+
+    counts = fps.select("fp").mapInArrow(own, "key long").groupBy("key").agg(F.count("*").alias("n"))
+    return {r.key: -(-r.n // BLOCK) for r in counts.filter(F.col("n") > max(BLOCK, fps.count() // CROWDED)).collect()}
+
+
+def _keys(fp: np.ndarray, chosen: list[tuple[list[int], int]], crowds: dict[int, int], asking: np.ndarray | None = None):
+    """(row, key, whether it owns the key) of everything that rows probe; rows that do not ask only own.
+
+    A key is a partition's number, a block and a value. A row owns its own value in the block that its hash picks, and
+    probes all other blocks of it, and all blocks of the values near to it.
+    """
+    many = np.array(sorted(crowds), dtype=np.int64)
+    blocks = np.array([crowds[k] for k in sorted(crowds)], dtype=np.int64)
+    every = np.arange(len(fp))
+    mix = (fp * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+    for k, (bits, t) in enumerate(chosen):
+        part = _part(fp, bits)
+        for mask in _flips(len(bits), t):
+            row = every if asking is None or not mask else every[asking]
+            key = (part[row] ^ mask | np.uint64(k) << np.uint64(58)).view(np.int64)
+            at = np.searchsorted(many, key)
+            n = np.where(np.append(many, 0)[at] == key, np.append(blocks, 1)[at], 1) if len(many) else np.ones(len(row), np.int64)
+            home = (mix[row] % n.astype(np.uint64)).astype(np.int64)
+            if len(many) and (n > 1).any():
+                block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                row, key, home = np.repeat(row, n), np.repeat(key, n) | block << 32, np.repeat(home, n)
+                own = (block == home) & (mask == 0)
+                if asking is not None:
+                    keep = own | asking[row]
+                    row, key, own = row[keep], key[keep], own[keep]
+                yield row, key, own
+            else:
+                yield row, key, np.full(len(row), mask == 0)
+
+
+def _runs(batches, columns, own: int):
+    """Whole runs of equal keys, sorted, as lists of columns; a run too long for one task comes as all its owners (the
+    column ``own`` tells them; they come first) with one piece of the others after another."""
+    held: list[list[np.ndarray]] = []
+    put = lambda parts: [np.concatenate(c) for c in zip(*parts)]
+    for batch in batches:
+        if not len(batch):
+            continue
+        cols = columns(batch)
+        last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on in the next batch
+        if held and (last or held[-1][0][-1] != cols[0][0]):
+            yield put([*held, [c[:last] for c in cols]])
+            held = []
+        elif last:
+            yield [c[:last] for c in cols]
+        held.append([c[last:] for c in cols])
+        if sum(len(h[0]) for h in held) > 4 * BLOCK + (int(held[0][own].sum()) if len(held) > 1 else 0):
+            whole = put(held)
+            yield whole
+            held = [[c[whole[own]] for c in whole]]
+    if held:
+        yield put(held)
+
+
 def _met(fps: DataFrame, chosen: list[tuple[list[int], int]], width: int, find, names: list[str]) -> DataFrame:
     """Every fingerprint (fp, rep) under each key it probes; ``find`` sees whole runs of equal keys and gives long columns."""
+    crowds = _crowded(fps, chosen)
 
     def probes(batches):
         for batch in batches:
             fp, rep = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            for k, (bits, t) in enumerate(chosen):
-                own = _part(fp, bits)
-                for mask in _flips(len(bits), t):
-                    key = (own ^ mask | np.uint64(k) << np.uint64(58)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp.view(np.int64)), pa.array(rep), pa.array(np.full(len(fp), mask == 0))], names=["key", "fp", "rep", "own"])
+            for row, key, own in _keys(fp, chosen, crowds):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row].view(np.int64)), pa.array(rep[row]), pa.array(own)], names=["key", "fp", "rep", "own"])
 
     def verify(batches):
-        def out(cols):
-            key, fp, rep, own = cols
+        for key, fp, rep, own in _runs(batches, lambda b: [c.to_numpy(zero_copy_only=False) for c in b.columns], 3):
             got = find(key, np.ascontiguousarray(fp).view(np.uint64), rep, own)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=names)
-
-        rest: list[np.ndarray] | None = None
-        for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            cols = [np.concatenate(x) for x in zip(rest, cols)] if rest else cols
-            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on in the next batch
-            rest = [c[last:] for c in cols]
-            if last:
-                yield out([c[:last] for c in cols])
-        if rest:
-            yield out(rest)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=names)
 
     met = fps.select("fp", "rep").mapInArrow(probes, "key long, fp long, rep long, own boolean")
-    return met.repartition(width, "key").sortWithinPartitions("key").mapInArrow(tidy(verify), ", ".join(f"{n} long" for n in names))
+    return met.repartition(width, "key").sortWithinPartitions("key", F.desc("own")).mapInArrow(tidy(verify), ", ".join(f"{n} long" for n in names))
 
 
 def link(fps: DataFrame, radius: int, chosen: list[tuple[list[int], int]], width: int) -> DataFrame:
@@ -235,6 +294,15 @@ def link(fps: DataFrame, radius: int, chosen: list[tuple[list[int], int]], width
     return _met(fps, chosen, width, lambda *run: _near(*run, radius), ["a", "b"])
 
 
+def _tied(marked: DataFrame, fps: DataFrame) -> DataFrame:
+    """Edges between the fingerprints of ids that have several."""
+    ids = marked.filter("doc_id is not null")
+    several = ids.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("doc_id")
+    both = ids.join(several, "doc_id", "left_semi").join(fps, "fp").select("doc_id", "rep")
+    low = both.groupBy("doc_id").agg(F.min("rep").alias("b"))
+    return both.join(low, "doc_id").filter("rep <> b").select(F.col("rep").alias("a"), "b")
+
+
 def simhash_groups(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): smallest doc_id reachable over links of at most ``radius`` differing bits."""
     spark = docs.sparkSession
@@ -242,9 +310,8 @@ def simhash_groups(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFram
     marked = scratch.keep(fingerprints(docs, width))
     fps = scratch.keep(marked.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     edges = link(fps, radius, plan(spark, fps, radius), partitions(spark))
-    found = components(edges, scratch)
+    found = components(edges.union(_tied(marked, fps)), scratch)
     named = fps.join(found, fps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    # one id with several texts ties their groups together only through its own node
     return marked.join(named, "fp", "left").select("doc_id", "fp", F.expr("if(doc_id is null, null, component_id)").alias("component_id"))
 
 
@@ -312,39 +379,26 @@ def _possible(key: np.ndarray, cols: list[np.ndarray], chosen: list[tuple[list[i
 def _others(texts: DataFrame, chosen: list[tuple[list[int], int]], radius: int, similarity: float, width: int) -> DataFrame:
     """(doc_id, partner) of every row that asks and every earlier text that may be alike; texts: (fp, rep, ask, size, sketch)."""
     names = ["key", "fp", "rep", "own", "ask", "size", "sketch"]
+    crowds = _crowded(texts, chosen)
 
     def probes(batches):
         for batch in batches:
-            asking = batch.filter(batch.column(2))
-            for k, (bits, t) in enumerate(chosen):
-                for mask in _flips(len(bits), t):
-                    rows = asking if mask else batch
-                    fp = rows.column(0).to_numpy().view(np.uint64)
-                    key = (_part(fp, bits) ^ mask | np.uint64(k) << np.uint64(58)).view(np.int64)
-                    fp_, rep, ask, size, sketch = rows.columns
-                    yield pa.RecordBatch.from_arrays([pa.array(key), fp_, rep, pa.array(np.full(len(fp), mask == 0)), ask, size, sketch], names=names)
+            fp, asking = batch.column(0).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)
+            for row, key, own in _keys(fp, chosen, crowds, asking):
+                fp_, rep, ask, size, sketch = batch.take(pa.array(row)).columns
+                yield pa.RecordBatch.from_arrays([pa.array(key), fp_, rep, pa.array(own), ask, size, sketch], names=names)
+
+    def columns(batch):
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]]
+        return [*cols, np.frombuffer(b"".join(batch.columns[-1].to_pylist()), np.uint64).reshape(-1, SKETCH // 64)]
 
     def verify(batches):
-        def out(cols):
+        for cols in _runs(batches, columns, 3):
             got = _possible(cols[0], [np.ascontiguousarray(cols[1]).view(np.uint64), *cols[2:]], chosen, radius, similarity)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["doc_id", "partner"])
-
-        rest: list[np.ndarray] | None = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]]
-            cols.append(np.frombuffer(b"".join(batch.columns[-1].to_pylist()), np.uint64).reshape(-1, SKETCH // 64))
-            cols = [np.concatenate(x) for x in zip(rest, cols)] if rest else cols
-            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on in the next batch
-            rest = [c[last:] for c in cols]
-            if last:
-                yield out([c[:last] for c in cols])
-        if rest:
-            yield out(rest)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["doc_id", "partner"])
 
     met = texts.select("fp", "rep", "ask", "size", "sketch").mapInArrow(probes, "key long, fp long, rep long, own boolean, ask boolean, size long, sketch binary")
-    return met.repartition(width, "key").sortWithinPartitions("key").mapInArrow(tidy(verify), "doc_id long, partner long")
+    return met.repartition(width, "key").sortWithinPartitions("key", F.desc("own")).mapInArrow(tidy(verify), "doc_id long, partner long")
 
 
 def _alike(similarity: float):
@@ -361,12 +415,14 @@ def _alike(similarity: float):
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """doc_id of the pairs (doc_id, partner) whose texts are alike."""
+    """doc_id of the pairs (doc_id, partner) whose texts are alike; a text that is the partner of many is dealt to many places."""
     need = pairs.select("doc_id").union(pairs.select("partner")).distinct()
     bags = scratch.keep(texts.join(need, "doc_id", "left_semi").mapInArrow(tidy(_sets(width)), "doc_id long, bag binary"))
     scratch.release()
-    other = bags.select(F.col("doc_id").alias("partner"), F.col("bag").alias("other"))
-    return pairs.join(bags, "doc_id").join(other, "partner").select("doc_id", "bag", "other").mapInArrow(_alike(similarity), "doc_id long")
+    places = pairs.groupBy("partner").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("places"))
+    dealt = pairs.join(places, "partner").select("doc_id", "partner", F.pmod(F.xxhash64("doc_id"), "places").cast("int").alias("place"))
+    other = bags.join(places, F.col("doc_id") == F.col("partner")).select("partner", F.col("bag").alias("other"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
+    return dealt.join(bags, "doc_id").join(other, ["partner", "place"]).select("doc_id", "bag", "other").mapInArrow(_alike(similarity), "doc_id long")
 
 
 def drop_near_copies(docs: DataFrame, radius: int = 12, width: int = 5, similarity: float = 0.8) -> DataFrame:
