@@ -29,11 +29,29 @@ def test_round_trip(texts):
     assert CODEC.decode(packed) == [t.encode() for t in texts]
 
 
-def test_long_pieces_agree_with_the_recursion(monkeypatch):
-    words = {"abcabcabd" * 20, "thethethe" * 15, "zzzzzzzz" * 12}
-    want = CODEC.encode(sorted(words))
-    monkeypatch.setattr(bpe, "LONG_PIECE", 4)
-    assert bpe.Codec(RANKS, public_tokenizers.PATTERN).encode(sorted(words)) == want
+def test_long_words():
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list(letters), n)) for letters, n in (("ab", 1500), ("abcdefghijklmnopqrstuvwxyz", 900), ("etaoin", 1200))] + ["a" * 20_001, "xyx" * 500]
+    assert [np.frombuffer(p, "<u4").tolist() for p in CODEC.encode(words)] == [REAL.encode_ordinary(w) for w in words]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet="abcxyz", min_size=1, max_size=40), min_size=1, max_size=5))
+def test_pairs_of_one_rank_in_one_step(words):
+    """A vocabulary in which tokens are parts of others of lower rank, so that one contraction can undo the next."""
+    assert [np.frombuffer(p, "<u4").tolist() for p in ODDER.encode(words)] == [contract(w.encode()) for w in words]
+
+
+ODD_RANKS = {bytes([b]): b for b in range(256)} | {t: 256 + i for i, t in enumerate([b"bc", b"abc", b"xx", b"abca", b"xxx", b"ab", b"xab", b"yy", b"yyyy", b"yyy", b"abab", b"cab", b"ca"])}
+ODDER = bpe.Codec(ODD_RANKS, r"[a-z]+", memo=20)
+
+
+def contract(word):
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while pairs := [(ODD_RANKS[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ODD_RANKS]:
+        i = min(pairs)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ODD_RANKS[p] for p in parts]
 
 
 def test_unknown_ids_raise():

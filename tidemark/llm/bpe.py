@@ -1,20 +1,21 @@
 """Byte-level BPE in DuckDB: a recursive query contracts token-position rows, an ordered aggregation decodes.
 
 Each partition's process has its own in-memory DuckDB with the merge table. The distinct pieces that the pattern finds
-in a slice of texts become rows (word, position, token, next token); each step joins the pairs with the merge table and
-contracts every word's leftmost pair of minimum rank, until no word has a pair left. Decoding reads nothing but ids.
+in a slice of texts become rows (word, position, token); each step joins the pairs with the merge table and contracts
+every word's leftmost pair of minimum rank, and with it, from left to right, the word's other pairs of that rank: they
+are what the next steps would contract, unless the new token is part of a token of lower rank (table ``alone``; then only
+the leftmost goes). Steps end when no word has a pair left; rows are replaced by their key, so that a very long word keeps
+one row a byte whatever the number of its steps. Decoding reads nothing but ids.
 
 Defined cases: a null text is empty and an empty text has no ids; ids outside the vocabulary raise; repeated rows are
-encoded alike; an empty table gives no rows; other columns are ignored whatever their names are. A piece of over
-LONG_PIECE bytes (one word of that length, which a recursion would rescan once a merge) has the same contraction done
-with a heap instead. Texts are worked on in slices of SLICE bytes, and a process remembers at most 2 x MEMO pieces.
+encoded alike; an empty table gives no rows; other columns are ignored whatever their names are. Texts are worked on in
+slices of SLICE bytes, and a process remembers at most 2 x MEMO pieces.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 
 import duckdb
 import numpy as np
@@ -26,32 +27,28 @@ from pyspark.sql import functions as F
 
 from .store import tidy
 
-LONG_PIECE = 256
 SLICE = 2 << 20
 MEMO = 600_000
 STEP = 40_000  # words that one recursive query contracts
 
 _ENCODE = """
-WITH RECURSIVE state(word, place, token, next_place, next_token, done) AS (
-  SELECT word, place, token, lead(place) OVER o, lead(token) OVER o, false FROM fresh WINDOW o AS (PARTITION BY word ORDER BY place)
+WITH RECURSIVE state(word, place, token, done) USING KEY (word, place) AS (
+  SELECT word, place, token, false FROM fresh
   UNION ALL
   SELECT * FROM (
     WITH pairs AS (
-      SELECT s.*, (m.merged::BIGINT << 32) | s.place AS pick
-      FROM state s LEFT JOIN merges m ON m.pair = s.token::BIGINT * 1048576 + s.next_token WHERE NOT s.done),
-    best AS (SELECT word, min(pick) AS pick FROM pairs GROUP BY word),
-    hit AS (
-      SELECT p.word, p.place AS first_place, p.next_place AS second_place, (b.pick >> 32)::INTEGER AS merged
-      FROM pairs p JOIN best b ON p.word = b.word AND p.pick = b.pick),
-    act AS (SELECT h.*, p.next_place AS after_place, p.next_token AS after_token FROM hit h JOIN pairs p ON p.word = h.word AND p.place = h.second_place)
-    SELECT p.word, p.place,
-      CASE WHEN p.place = a.first_place THEN a.merged ELSE p.token END,
-      CASE WHEN p.place = a.first_place THEN a.after_place ELSE p.next_place END,
-      CASE WHEN p.place = a.first_place THEN a.after_token WHEN p.next_place = a.first_place THEN a.merged ELSE p.next_token END,
-      a.word IS NULL
-    FROM pairs p LEFT JOIN act a ON p.word = a.word WHERE a.word IS NULL OR p.place <> a.second_place)
+      SELECT s.*, m.merged, (m.merged::BIGINT << 32) | s.nth AS pick FROM (
+        SELECT word, place, token, lead(token) OVER o AS follows, row_number() OVER o AS nth FROM state WHERE NOT done AND token >= 0
+        WINDOW o AS (PARTITION BY word ORDER BY place)) s
+      LEFT JOIN merges m ON m.pair = s.token::BIGINT * 1048576 + s.follows),
+    best AS (SELECT word, min(pick) >> 32 AS best, min(pick) & 4294967295 AS first FROM pairs GROUP BY word),
+    hits AS (
+      SELECT p.word, p.place, p.token, p.nth, b.best, b.first, coalesce(p.merged = b.best AND (p.nth = b.first OR NOT r.alone), false) AS hit
+      FROM pairs p JOIN best b ON p.word = b.word LEFT JOIN alone r ON r.id = b.best),
+    gaps AS (SELECT *, nth - coalesce(max(CASE WHEN NOT hit THEN nth END) OVER (PARTITION BY word ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS far FROM hits)
+    SELECT word, place, CASE WHEN far % 2 = 0 THEN -1 WHEN hit THEN best::INTEGER ELSE token END, best IS NULL FROM gaps)
 )
-SELECT list(token ORDER BY place) AS ids FROM state WHERE done GROUP BY word ORDER BY word
+SELECT list(token ORDER BY place) AS ids FROM state WHERE token >= 0 GROUP BY word ORDER BY word
 """
 _DECODE = "SELECT doc, string_agg(piece, '' ORDER BY place) AS text FROM tokens JOIN vocabulary USING (id) GROUP BY doc"
 
@@ -65,12 +62,16 @@ class Codec:
     """Encoder and decoder of one process."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = MEMO):
-        self.ranks, self.pattern, self.memo = ranks, regex.compile(pattern), memo
+        self.pattern, self.memo = regex.compile(pattern), memo
+        self.known = np.fromiter(ranks.values(), np.int64, len(ranks))
         self.bytes_id = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         rows = [(a * 1048576 + b, rank) for token, rank in ranks.items() for k in range(1, len(token)) if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         pair, merged = zip(*rows) if rows else ((), ())
         self._table("merges", {"pair": pa.array(pair, pa.int64()), "merged": pa.array(merged, pa.int32())})
+        # tokens that begin or end a token of lower rank
+        alone = {c for token, rank in ranks.items() for k in range(1, len(token)) for c in (token[:k], token[k:]) if ranks.get(c, -1) > rank}
+        self._table("alone", {"id": pa.array(ranks.values(), pa.int32()), "alone": pa.array([t in alone for t in ranks])})
         # bytes as Latin-1 characters, so that any cut of a character can be aggregated as text
         self._table("vocabulary", {"id": pa.array(ranks.values(), pa.int32()), "piece": pa.array([t.decode("latin-1") for t in ranks], pa.string())})
         self.young: dict[str, bytes] = {}
@@ -81,26 +82,6 @@ class Codec:
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def _long(self, word: bytes) -> list[int]:
-        """Leftmost pair of minimum rank, again and again, by a heap over linked positions."""
-        token: list = self.bytes_id[np.frombuffer(word, np.uint8)].tolist()
-        end = list(range(1, len(word) + 1))
-        after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
-        heap = [(r, i, i + 2) for i in range(len(word) - 1) if (r := self.ranks.get(word[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, stop = heapq.heappop(heap)
-            if token[i] is None or after[i] >= len(word) or end[after[i]] != stop:
-                continue
-            j = after[i]
-            token[i], token[j], end[i], after[i] = rank, None, stop, after[j]
-            if after[i] < len(word):
-                before[after[i]] = i
-            for k in (before[i], i):
-                if k >= 0 and after[k] < len(word) and (r := self.ranks.get(word[k : end[after[k]]])) is not None:
-                    heapq.heappush(heap, (r, k, end[after[k]]))
-        return [t for t in token if t is not None]
-
     def learn(self, words: set[str]) -> None:
         """Puts the packed ids of the words into the memo."""
         fresh = [w for w in words if w not in self.young]
@@ -117,22 +98,16 @@ class Codec:
         for s in range(0, len(rest), STEP):
             some = rest[s : s + STEP]
             raw = [w.encode() for w in some]
-            short = [i for i, b in enumerate(raw) if len(b) <= LONG_PIECE]
-            for i, b in enumerate(raw):
-                if len(b) > LONG_PIECE:
-                    self.young[some[i]] = np.array(self._long(b), dtype="<u4").tobytes()
-            if not short:
-                continue
-            sizes = np.array([len(raw[i]) for i in short])
+            sizes = np.array([len(b) for b in raw])
             at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            token = self.bytes_id[np.frombuffer(b"".join(raw[i] for i in short), np.uint8)]
-            self.db.register("fresh", pa.table({"word": np.repeat(np.arange(len(short), dtype=np.int32), sizes), "place": at.astype(np.int32), "token": token}))
+            token = self.bytes_id[np.frombuffer(b"".join(raw), np.uint8)]
+            self.db.register("fresh", pa.table({"word": np.repeat(np.arange(len(raw), dtype=np.int32), sizes), "place": at.astype(np.int32), "token": token}))
             ids = self.db.sql(_ENCODE).to_arrow_table().column("ids").combine_chunks()
             self.db.unregister("fresh")
             packed, cut = ids.values.to_numpy().astype("<u4").tobytes(), (4 * ids.offsets.to_numpy()).tolist()
             first = cut[0]
-            for k, i in enumerate(short):
-                self.young[some[i]] = packed[cut[k] - first : cut[k + 1] - first]
+            for k, w in enumerate(some):
+                self.young[w] = packed[cut[k] - first : cut[k + 1] - first]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (little-endian, 32 bits) of each text."""
@@ -146,7 +121,7 @@ class Codec:
         sizes = np.array([len(p) // 4 for p in packed], dtype=np.int64)
         out = [b""] * len(packed)
         if len(ids):
-            if not np.isin(ids, np.fromiter(self.ranks.values(), np.int64)).all():
+            if not np.isin(ids, self.known).all():
                 raise ValueError("an id is not in the vocabulary")
             self.db.register("tokens", pa.table({"doc": np.repeat(np.arange(len(packed), dtype=np.int32), sizes), "place": np.arange(len(ids), dtype=np.int32), "id": ids.astype(np.int32)}))
             found = self.db.sql(_DECODE).to_arrow_table()
