@@ -55,6 +55,25 @@ def test_no_vectors(spark):
     assert sorted((r.vec_id or -1, r.n_links, r.kept) for r in copies) == [(-1, 0, False), (5, 1, True), (5, 1, True)]
 
 
+def test_an_id_with_two_vectors(spark):
+    a, b, c = [1.0] + [0.0] * 7, [1.0, 0.1] + [0.0] * 6, [0.0] * 7 + [1.0]
+    rows = [(5, a, 1), (5, c, 1), (9, b, 1), (12, c, 1), (13, c, 2), (14, None, 1), (14, b, 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in pq.near_copies(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == [(5, 1, 5, True), (5, 2, 5, True), (9, 2, 5, False), (12, 1, 5, False), (13, 0, 13, True), (14, 0, 14, True), (14, 2, 5, False)]
+
+
+def test_links_between_many_lists(spark, monkeypatch):
+    fit = pq.fit
+    monkeypatch.setattr(pq, "fit", lambda x, lists: fit(x, 24))
+    monkeypatch.setattr(pq, "BLOCK", 20)
+    df, rows = table(spark, n=900, dim=6, seed=4)
+    a, b = brute_links(rows, 0.98)
+    n = np.bincount(np.concatenate([a, b]), minlength=len(rows))
+    low = dict(zip(*local_forest(a, b)))
+    for r in pq.near_copies(df).collect():
+        assert (r.n_links, r.component_id) == (n[r.vec_id], low.get(r.vec_id, r.vec_id))
+
+
 def test_lists_that_are_not_probed_hold_no_link():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 8))
@@ -102,6 +121,46 @@ def test_few_candidates_and_none(spark):
     assert mih.search(df.filter("vec_id = 0"), df.filter("vec_id = 0"), 5).count() == 0
 
 
+def test_ties_between_equal_vectors_go_by_id(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(700, 37))
+    for g in range(30):  # 30 groups of 15 equal vectors at odd places
+        x[rng.choice(700, 15, replace=False)] = rng.normal(size=37)
+    ids = np.arange(700)
+    for i in range(0, 700, 20):
+        for part in (ids, np.sort(rng.choice(ids, 333, replace=False)), ids[::-1]):
+            got, score = mih._best(x[part].copy(), part, np.arange(len(part)), x[i], 40)
+            exact = {int(j): mih.inner(x[j : j + 1], x[i])[0] for j in part}
+            assert got.tolist() == sorted(exact, key=lambda j: (-exact[j], j))[:40]
+            assert score.tolist() == [exact[j] for j in got]
+    rows = [(int(i), v.tolist(), 0) for i, v in enumerate(x)]
+    found = mih.search(df := spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), df.filter("vec_id % 20 = 0"), k=20).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    same = [[i for i in range(700) if (x[i] == x[j]).all()] for j in range(700)]
+    for q, rs in by.items():
+        for s, i in rs:
+            peers = [j for j in same[i] if j != q and j < i]
+            assert all((s, j) in rs for j in peers)  # a later copy only after every earlier one
+
+
+def test_radius_grows_until_k_are_met(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 20))
+    hasher = mih.fit(x, float(np.linalg.norm(x, axis=1).max()), 5, 0.9)
+    hasher.radius = 7
+
+    class Shipped:
+        value = hasher
+
+    import pyarrow as pa
+
+    t = lambda rows: pa.table({"vec_id": pa.array(rows), "v": pa.array([x[i].tolist() for i in rows])})
+    got = mih._search(Shipped, 290)(t([0, 20]), t(list(range(300))))
+    assert len(got) == 580
+
+
 def test_every_code_within_the_radius_is_retrieved():
     rng = np.random.default_rng(3)
     codes = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) >> rng.integers(0, 30, 3000).astype(np.uint64)

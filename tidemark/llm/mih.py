@@ -7,11 +7,13 @@ r - 7; so probing each index at its own t_j retrieves every code within r. What
 reranked by the exact inner product of the original vectors in double precision.
 
 Largest inner products become smallest angles by one more coordinate that lifts every candidate to the largest norm. The
-radius is the smallest one that holds ``recall`` of the true neighbours in a sample; a query that meets fewer than k
-codes in it takes all candidates of the block.
+radius is the smallest one that holds ``recall`` of the true neighbours in a sample; it grows for a query that meets fewer
+than k codes in it.
 
 Candidates and queries are dealt to blocks; every query block meets every candidate block once, as a stated query set
-must, and passes on k rows. Rotation and radius are learned from at most ``sample`` vectors; every row is indexed.
+must, and passes on k rows. Blocks grow with the table (up to LARGEST rows), as each side is sent once a block of the
+other. Rotation and radius are learned from at most ``sample`` vectors; every row is indexed. Scores are added up in the
+order of components, so that equal vectors have equal scores wherever they lie.
 
 Defined cases: vectors that are null, zero, empty or hold null or non-finite components, or of another length than most,
 take no part, nor do null ids; a query is never its own neighbour, nor are rows that repeat its id; of rows that repeat
@@ -33,6 +35,8 @@ from .vectors import matrix, usable
 SAMPLE = 8192
 BLOCK = 8192
 QUERIES = 16384
+LARGEST = 65536
+SLACK = 1e-9  # of the norms, above any difference between two orders of summing
 PARTS = 8
 
 
@@ -108,11 +112,21 @@ class Index:
         return np.flatnonzero(np.unpackbits(found, count=self.size))
 
 
-def _best(score, ids, k):
-    if len(score) > k:
-        edge = np.partition(score, len(score) - k)[len(score) - k]
-        near = np.flatnonzero(score >= edge)
-        score, ids = score[near], ids[near]
+def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of x with q, added up one component after another."""
+    total = np.zeros(len(x))
+    for d in range(len(q)):
+        total += x[:, d] * q[d]
+    return total
+
+
+def _best(x, ids, met, q, k):
+    """The k largest of the rows ``met``, ties by id; a fast product only leaves out what cannot be among them."""
+    if len(met) > k:
+        rough = x[met] @ q
+        slack = SLACK * float(np.sqrt(q @ q)) * float(np.sqrt((x[met] ** 2).sum(1).max()))
+        met = met[rough >= np.partition(rough, len(met) - k)[len(met) - k] - slack]
+    score, ids = inner(x[met], q), ids[met]
     by = np.lexsort([ids, -score])[:k]
     return ids[by], score[by]
 
@@ -127,14 +141,19 @@ def _search(shipped, k: int):
         x, ids = matrix(rows.column("v").combine_chunks()), rows.column("vec_id").to_numpy()
         q, who = matrix(queries.column("v").combine_chunks()), queries.column("vec_id").to_numpy()
         codes = hasher.codes(x, True)
-        index = Index(codes, hasher.thresholds(hasher.radius))
+        indexes: dict[int, Index] = {}
         out = [[], [], []]
         for code, mine, me in zip(hasher.codes(q, False), q, who.tolist()):
-            met = index.probe(np.array([code]))
-            met = met[(np.bitwise_count(codes[met] ^ code) <= hasher.radius) & (ids[met] != me)]
-            if len(met) < k:
-                met = np.flatnonzero(ids != me)
-            near, score = _best(x[met] @ mine, ids[met], k)
+            radius, met = hasher.radius, ids[:0]
+            while True:
+                if radius not in indexes:
+                    indexes[radius] = Index(codes, hasher.thresholds(radius))
+                met = indexes[radius].probe(np.array([code]))
+                met = met[(np.bitwise_count(codes[met] ^ code) <= radius) & (ids[met] != me)]
+                if len(met) >= k or radius >= 64:
+                    break
+                radius = min(64, radius + 8)
+            near, score = _best(x, ids, met, mine, k)
             out[0].append(np.full(len(near), me))
             out[1].append(near)
             out[2].append(score)
@@ -143,7 +162,7 @@ def _search(shipped, k: int):
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.97, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.95, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of ``vectors`` that each of ``queries`` meets; both (vec_id, embedding)."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "mih")
@@ -157,7 +176,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     n, top = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()
     got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(sample).toArrow()
     shipped = spark.sparkContext.broadcast(fit(matrix(got.column("v").combine_chunks()), top, k, recall))
-    wide, tall = -(-n // BLOCK), max(1, -(-asked.count() // QUERIES))
+    size = lambda rows, least: max(least, min(LARGEST, rows // 64))
+    asks = asked.count()
+    wide, tall = -(-n // size(n, BLOCK)), max(1, -(-asks // size(asks, QUERIES)))
     pick = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = asked.withColumn("qb", pick(tall)).select("vec_id", "v", "qb", every(wide).alias("cb"))
