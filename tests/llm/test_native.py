@@ -54,9 +54,31 @@ def test_equal_texts_stay_together(spark):
     assert all(len(s) == 1 for s in at.values())
 
 
+def test_ids_over_the_whole_range(spark):
+    ids = spark.range(3000).selectExpr("xxhash64(id) as doc_id", "'one text' as text").union(spark.sql("select * from values (9223372036854775807L, 'one text'), (-9223372036854775808L, 'one text')"))
+    texts = {r.doc_id: r.text for r in ids.collect()}
+    by = check_shards(shard.digest(ids).collect(), texts)
+    assert len(by) == 24 and max(len(v) for v in by.values()) - min(len(v) for v in by.values()) <= 4
+
+
+def test_crowded_texts_with_clustered_ids_and_equal_rows_are_spread(spark):
+    rows = spark.range(4000).selectExpr("if(id < 3990, id, id * 1000000000000000) as doc_id", "'one text' as text")
+    rows = rows.union(spark.range(3000).selectExpr("7L as doc_id", "'another text' as text")).repartition(6)
+    got = shard.digest(rows).collect()
+    sizes = {}
+    for r in got:
+        sizes.setdefault(r.shard, []).append(r)
+    total = sum(r["size"] for r in got)
+    assert len(sizes) == 24 and all(abs(sum(r["size"] for r in rs) - total / 24) <= 0.01 * total / 24 + 20 for rs in sizes.values())
+    assert all(sorted(r.slot for r in rs) == list(range(len(rs))) for rs in sizes.values())
+
+
 def test_small_tables_and_other_columns(clash, corpus):
-    out = shard.equal_bytes(clash.drop("shard"), 4)
-    assert set(out.columns) == set(clash.columns) | {"slot"} and out.count() == len(corpus) + 1
+    odd = clash.withColumns({"Slot": F.lit("mine"), "__h": F.lit(1), "__row": F.lit(2), "__shard": F.lit(3)})
+    out = shard.equal_bytes(odd, 4)
+    assert out.columns == [{"shard": "input_shard", "Slot": "input_Slot"}.get(c, c) for c in odd.columns] + ["shard", "slot"]
+    assert out.count() == len(corpus) + 1 and {r.input_Slot for r in out.collect()} == {"mine"}
+    assert out.filter("shard between 0 and 3 and slot >= 0 and input_shard = 'x' and __h = 1").count() == len(corpus) + 1
     assert shard.digest(clash.limit(0)).count() == 0
     assert [r.slot for r in shard.digest(clash.filter("doc_id = 3").limit(1)).collect()] == [0]
 
