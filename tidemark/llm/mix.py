@@ -3,9 +3,11 @@
 Every source gets a target number of words; each of its documents should be copied target / source size times. The
 whole part of that is taken outright. The fractions meet in pairs: mass moves at random from one document to the other
 until one of the two is 0 or 1, and the other goes on to the next pair, so that expected copies stay exact and the sum
-of fractions is kept at every step. Documents of a source are dealt to cells by size, a cell is streamed in order of
-size (pairs are of near-equal size, so that moving mass hardly moves words), and what each cell has left over meets in
-the next level of a reduction tree, up to one document a source.
+of fractions is kept at every step. Documents of a source are dealt to numbered cells by size, a cell is streamed in order
+of size (pairs are of near-equal size, so that moving mass hardly moves words), and what is left over, one document a cell
+at most, goes to the cell's parent in a reduction tree, number div FAN_IN, up to one document a source. The number of
+documents taken is kept exactly; words follow as far as the sizes of a source's documents allow (one document of 20 % of
+its source's words cannot be taken in part).
 
 All draws are a hash of the seed, the level and the document; cells depend on the data alone, so reruns agree whatever
 the partitions are.
@@ -26,7 +28,8 @@ from .store import Scratch, partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
 CELL = 2_500  # documents that a cell should hold
-FAN_IN = 512  # leftovers that one node of the tree takes
+FAN_IN = 256  # children, so leftovers, of one node of the tree
+BANDS = 512  # bands of size, eight to each doubling, the largest first
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
@@ -136,30 +139,31 @@ def copies(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float =
     base = base.join(table, base["source"].eqNullSafe(table["s"])).drop("s")
     # a cell is a source, or where that is large, its documents of like size, split by the key; large documents come
     # first everywhere, so that what is left in the end is small
-    band = F.when(F.col("cells") == 1, 0).otherwise(9999 - F.floor(F.log2("size") * 8))
-    cell = F.concat_ws(".", F.lpad(F.col("rank").cast("string"), 10, "0"), F.lpad(band.cast("string"), 4, "0"), F.lpad(F.pmod("key", "cells").cast("string"), 8, "0"))
-    open_ = base.filter("size > 0 and rate > floor(rate)").select(cell.alias("node"), "rid", "key", F.expr("rate - floor(rate)").alias("part"), "size", "doc_id")
+    band = F.least(F.lit(BANDS - 1), F.greatest(F.lit(0), F.lit(BANDS - 1) - F.floor(F.log2("size") * 8)))
+    number = F.when(F.col("cells") == 1, F.lit(0)).otherwise(band * F.col("cells") + F.pmod("key", "cells"))
+    open_ = base.filter("size > 0 and rate > floor(rate)").select(_node(F.col("rank"), number), "rid", "key", F.expr("rate - floor(rate)").alias("part"), "size", "doc_id")
     now = open_.repartition(wide, "node").sortWithinPartitions("node", F.desc("size"), "key", "doc_id").select("node", "rid", "key", "part")
     now = scratch.keep(now.mapInArrow(_round(0), _ROWS))
     is_settled = "part < 1e-9 or part > 1 - 1e-9"
     extra, left, level = now.filter(is_settled), now.filter(f"not ({is_settled})"), 1
-    root = F.substring_index("node", ".", 1)
-    while True:
-        widest = left.groupBy(root.alias("root")).count().agg(F.max("count")).first()[0] or 0
-        if widest <= 1:
-            extra = extra.union(left.mapInArrow(_last, _ROWS))
-            break
-        # leftovers of a source, in order of their nodes, meet FAN_IN at a time; a node passes on one at most
-        nth = F.row_number().over(Window.partitionBy(root).orderBy("node", "key")) - 1
-        up = F.concat_ws(".", root, F.lpad(F.floor(nth / FAN_IN).cast("string"), 12, "0"))
-        met = left.select(up.alias("up"), "rid", "key", "part", "node").repartition(wide, "up").sortWithinPartitions("up", "node", "key")
+    largest = max((-(-d // CELL) for _, _, d in totals), default=1)
+    last = largest * BANDS - 1 if largest > 1 else 0  # the largest number of a cell
+    while last > 0:
+        rank, number = F.substring_index("node", ".", 1), F.substring_index("node", ".", -1).cast("long")
+        met = left.select(_node(rank, F.floor(number / FAN_IN)).alias("up"), "rid", "key", "part", "node").repartition(wide, "up").sortWithinPartitions("up", "node", "key")
         now = scratch.keep(met.select(F.col("up").alias("node"), "rid", "key", "part").mapInArrow(_round(level), _ROWS))
-        extra, left, level = extra.union(now.filter(is_settled)), now.filter(f"not ({is_settled})"), level + 1
+        extra, left, level, last = extra.union(now.filter(is_settled)), now.filter(f"not ({is_settled})"), level + 1, last // FAN_IN
+    extra = extra.union(left.mapInArrow(_last, _ROWS))
     extra = extra.filter("part > 0.5").select(F.col("rid").alias("one_more"))
     n = F.when(F.col("size") > 0, F.floor("rate")).otherwise(0) + F.col("one_more").isNotNull().cast("long")
     return base.join(extra, base["rid"] == extra["one_more"], "left").select("doc_id", "source", "size", "source_size", "target", n.cast("long").alias("copies"), "key")
 
 
+def _node(rank, number):
+    """A cell of a source, by its number; sorts as the numbers do."""
+    return F.concat_ws(".", F.lpad(rank.cast("string"), 10, "0"), F.lpad(number.cast("string"), 19, "0")).alias("node")
+
+
 def _key(seed: int):
     return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
 
