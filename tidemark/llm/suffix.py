@@ -4,7 +4,11 @@ A match of ``length`` bytes holds the same minimiser at the same place in both t
 runs that share a minimiser (its anchor), and only runs with equal anchors need comparing. Equal runs are settled by
 their hash in a sort; of what is left, one run of each kind goes to the enhanced suffix array of its anchors. There a
 stack scan of the common-prefix intervals tests each interval for diverse left extensions and gives the maximal repeats
-with all their occurrences.
+with all their occurrences: ``repeat_groups`` has them as rows, ``spans`` keeps what must go.
+
+Hot runs are pre-aggregated before the exchange: a piece of text sends one run of each kind, a task none that it has sent
+before (for the kinds that it met again, as many as it remembers; the exchange settles the rest). An anchor with over CROWD
+different runs has its windows met by hash, in an aggregate, as no one task should hold so many.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; repeated rows (same id and text) are
 one document and none of them precedes another; one id with several texts, or a null id, is ordered by id (null last)
@@ -26,7 +30,8 @@ from .store import Scratch, partitions, tidy
 GRAM = 24  # bytes of an anchor
 PIECE = 1 << 20  # bytes of text that one call works on
 CHUNK = 3 << 20  # bytes of runs that one suffix array holds
-CROWD = 60_000  # different runs of one anchor from which their windows are sorted instead
+CROWD = 60_000  # different runs of one anchor that one suffix array takes
+HOT = 1 << 16  # kinds of runs that a task remembers
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -90,11 +95,35 @@ def _pieces(rids, texts, length: int):
 
 
 def _settled(anchor, seg, rid, lo):
-    """Which runs repeat an earlier run of the same piece: a combine before the exchange, as no count can change them."""
+    """(runs that repeat an earlier run of the same piece, first runs of the kinds that are repeated): a combine before the
+    exchange, as no count can change them."""
     by = np.lexsort([lo, rid, seg, anchor])
     out = np.zeros(len(by), dtype=bool)
-    out[by[1:]] = (anchor[by[1:]] == anchor[by[:-1]]) & (seg[by[1:]] == seg[by[:-1]])
-    return out
+    same = (anchor[by[1:]] == anchor[by[:-1]]) & (seg[by[1:]] == seg[by[:-1]])
+    out[by[1:]] = same
+    return out, by[:-1][same & ~out[by[:-1]]]
+
+
+class _Sent:
+    """Kinds of runs that a task has sent and met more than once; later runs of them are settled."""
+
+    def __init__(self, most: int = HOT):
+        self.most, self.cols = most, [np.empty(0, np.int64)] * 4  # anchor, seg, rid, lo, sorted by the first two
+
+    def again(self, anchor, seg, rid, lo):
+        out = np.zeros(len(anchor), dtype=bool)
+        if len(self.cols[0]):
+            a, s, r, o = self.cols
+            at = np.minimum(np.searchsorted(a, anchor), len(a) - 1)  # an anchor with several kinds shows its first one
+            out = (a[at] == anchor) & (s[at] == seg) & ((r[at] < rid) | (r[at] == rid) & (o[at] < lo))
+        return out
+
+    def add(self, *cols):
+        if len(cols[0]):
+            both = [np.concatenate([new, old])[: self.most] for new, old in zip(cols, self.cols)]
+            by = np.lexsort([both[3], both[2], both[1], both[0]])
+            by = by[np.concatenate([[True], (both[0][by][1:] != both[0][by][:-1]) | (both[1][by][1:] != both[1][by][:-1])])]
+            self.cols = [c[by] for c in both]
 
 
 def _joined(rid, lo, n, length):
@@ -108,12 +137,13 @@ def _joined(rid, lo, n, length):
     return rid[at], lo[at], np.maximum.reduceat(stop, at) - lo[at] - length + 1
 
 
-def _mark(length: int):
+def _mark(length: int, settle: bool = True):
     def rows(anchor, seg, rid, lo, n, done):
         cols = [pa.array(anchor), pa.array(seg), pa.array(rid), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.full(len(rid), done))]
         return pa.RecordBatch.from_arrays(cols, names=["anchor", "seg", "rid", "lo", "n", "done"])
 
     def run(batches):
+        sent = _Sent()
         for batch in batches:
             for part in _pieces(batch.column(0).to_pylist(), batch.column(1), length):
                 sizes = np.array([len(x) for _, _, x in part])
@@ -121,7 +151,13 @@ def _mark(length: int):
                 if len(text):
                     rid = np.array([r for r, _, _ in part])[text]
                     lo = lo + np.array([o for _, o, _ in part])[text]
-                    done = _settled(anchor, seg, rid, lo)
+                    if not settle:
+                        yield rows(anchor, seg, rid, lo, n, False)
+                        continue
+                    done, first = _settled(anchor, seg, rid, lo)
+                    done |= sent.again(anchor, seg, rid, lo)
+                    first = first[~done[first]]
+                    sent.add(*(x[first] for x in (anchor, seg, rid, lo)))
                     yield rows(*(x[~done] for x in (anchor, seg, rid, lo, n)), False)
                     rid, lo, n = _joined(rid[done], lo[done], n[done], length)
                     # settled rows ride along under keys of their own, so that no key gathers them
@@ -133,9 +169,10 @@ def _mark(length: int):
 def maximal_repeats(texts: list[bytes], order: np.ndarray, counts: np.ndarray, length: int):
     """Maximal repeats of at least ``length`` bytes among the suffixes that begin in the first counts[i] bytes of texts[i].
 
-    Yields (repeat's length, [(text, start) of its occurrences that no longer repeat has, the first of all of them last]);
-    ``order`` ranks the texts' origins: an occurrence is earlier by order[text] + start. The suffix array holds the
-    suffixes that share their first ``length`` bytes with another; those are the intervals of that depth or more.
+    Yields (repeat's length, all of its occurrences as [(text, start)], those of them that no longer repeat has settled,
+    the first of all last); ``order`` ranks the texts' origins: an occurrence is earlier by order[text] + start. The suffix
+    array holds the suffixes that share their first ``length`` bytes with another; those are the intervals of that depth
+    or more.
     """
     sizes = np.array([len(t) for t in texts])
     starts = np.cumsum(sizes) - sizes
@@ -201,53 +238,78 @@ def maximal_repeats(texts: list[bytes], order: np.ndarray, counts: np.ndarray, l
     rank = (order[text] + at - starts[text]).tolist()
     where = list(zip(text.tolist(), (at - starts[text]).tolist()))
     left, depths = left.tolist(), [*lcp[1:].tolist(), 0]
-    stack: list[list] = []  # depth, left byte or None if diverse, open occurrences
+    stack: list[list] = []  # depth, left byte or None if diverse, open occurrences, first place in the suffix array
     for i, depth in enumerate(depths):
-        node = [1 << 60, left[i], [i]]
+        node = [1 << 60, left[i], [i], i]
         while stack and stack[-1][0] > depth:
             top = stack.pop()
             top[2].extend(node[2])
             top[1] = top[1] if top[1] == node[1] else None
             members = sorted(top[2], key=rank.__getitem__, reverse=True)
             if top[1] is None and len(members) > 1:
-                yield top[0], [where[j] for j in members]
-            node = [top[0], top[1], [members[-1]]]
+                yield top[0], where[top[3] : i + 1], [where[j] for j in members]
+            node = [top[0], top[1], [members[-1]], top[3]]
         if depth:
             if stack and stack[-1][0] == depth:
                 stack[-1][2].extend(node[2])
                 stack[-1][1] = stack[-1][1] if stack[-1][1] == node[1] else None
             else:
-                stack.append([depth, node[1], node[2]])
+                stack.append([depth, *node[1:]])
 
 
 def _scan(length: int):
     """Runs (rid, lo, n, body), sorted by anchor, to the spans of all but the first occurrence of each maximal repeat."""
 
     def spans(part):
-        anchor, rid, lo, n, body = (np.concatenate([p[k] for p in part]) for k in range(5))
+        _, rid, lo, n, body = (np.concatenate([p[k] for p in part]) for k in range(5))
         # origins are ranked by (rid, lo); starts differ by under 2**31, so that rank and offset add up
         _, rank = np.unique(rid, return_inverse=True)
         order = (rank.astype(np.int64) << 31) + lo
-        out = [(rid[t], lo[t] + s, lo[t] + s + depth) for depth, where in maximal_repeats(body.tolist(), order, n.astype(np.int64), length) for t, s in where[:-1]]
+        out = [(rid[t], lo[t] + s, lo[t] + s + depth) for depth, _, where in maximal_repeats(body.tolist(), order, n.astype(np.int64), length) for t, s in where[:-1]]
         a, b, c = (np.array(x, dtype=np.int64) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b.astype(np.int32)), pa.array(c.astype(np.int32))], names=["rid", "start", "stop"])
 
+    return _arrays(spans)
+
+
+def _groups(length: int):
+    """Runs to (group, n_bytes, anchor, seg, at): the occurrences of each maximal repeat, as places in a kind of run."""
+
+    def occurrences(part):
+        anchor, _, lo, n, body, seg = (np.concatenate([p[k] for p in part]) for k in range(6))
+        out, texts = [], body.tolist()
+        for depth, where, _ in maximal_repeats(texts, np.arange(len(texts)) << 31, n.astype(np.int64), length):
+            t, s = where[0]
+            name = xxhash.xxh3_64_intdigest(texts[t][s : s + depth]) - (1 << 63)
+            out += [(name, depth, anchor[t], seg[t], s) for t, s in where]
+        cols = zip(*out) if out else [()] * 5
+        kinds = (np.int64, np.int32, np.int64, np.int64, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(c, dtype=k)) for c, k in zip(cols, kinds)], names=["group", "n_bytes", "anchor", "seg", "at"])
+
+    return _arrays(occurrences)
+
+
+def _arrays(work):
+    """Feeds ``work`` whole anchors (rows are sorted by them), about CHUNK bytes of runs at a time."""
+
     def run(batches):
         part, size, last = [], 0, None
         for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            if not len(batch):
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             cut = np.flatnonzero(np.concatenate([[cols[0][0] != last], cols[0][1:] != cols[0][:-1]]))
             last = cols[0][-1]
             grown = np.cumsum([len(x) for x in cols[4]])
             begin = 0
             for c in cut:  # only a new anchor may begin a new array
                 if size + grown[c - 1] * (c > 0) - (grown[begin - 1] if begin else 0) >= CHUNK:
-                    yield spans([*part, [x[begin:c] for x in cols]])
+                    yield work([*part, [x[begin:c] for x in cols]])
                     part, size, begin = [], 0, c
             part.append([x[begin:] for x in cols])
             size += grown[-1] - (grown[begin - 1] if begin else 0)
         if part:
-            yield spans(part)
+            yield work(part)
 
     return run
 
@@ -257,9 +319,9 @@ def _bodies(length: int):
         for batch in batches:
             for text, rid, marks in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2)):
                 raw, found = (text.as_py() or "").encode(), marks.values
-                anchor, lo, n, crowd = (found.field(k).to_numpy() for k in range(4))
+                anchor, lo, n, more = (found.field(k).to_numpy() for k in range(4))
                 body = [raw[a:b] for a, b in zip(lo.tolist(), (lo + n + length - 1).tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(np.full(len(lo), rid)), pa.array(lo), pa.array(n), pa.array(body, pa.binary()), pa.array(crowd)], names=["anchor", "rid", "lo", "n", "body", "crowd"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(np.full(len(lo), rid)), pa.array(lo), pa.array(n), pa.array(body, pa.binary()), pa.array(more)], names=["anchor", "rid", "lo", "n", "body", "more"])
 
     return run
 
@@ -286,17 +348,39 @@ def spans(docs: DataFrame, scratch: Scratch, length: int = 100) -> DataFrame:
     scratch.release()
     equal = seen.filter("not isfirst").select("rid", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (length - 1)).cast("int").alias("stop"))
     wanted = seen.filter("isfirst and crowd > 1").distinct().groupBy("rid").agg(F.collect_list(F.struct("anchor", "lo", "n", "crowd")).alias("marks"))
-    bodies = docs.select("rid", "text").join(wanted, "rid").select("text", "rid", "marks").mapInArrow(tidy(_bodies(length)), "anchor long, rid long, lo int, n int, body binary, crowd int")
+    bodies = docs.select("rid", "text").join(wanted, "rid").select("text", "rid", "marks").mapInArrow(tidy(_bodies(length)), "anchor long, rid long, lo int, n int, body binary, more int")
     bodies = scratch.keep(bodies)
     scratch.release()
-    some = bodies.filter(F.col("crowd") <= CROWD).repartition(wide, "anchor").sortWithinPartitions("anchor")
+    some = bodies.filter(F.col("more") <= CROWD).repartition(wide, "anchor").sortWithinPartitions("anchor")
     found = some.mapInArrow(tidy(_scan(length)), "rid long, start int, stop int")
-    crowded = bodies.filter(F.col("crowd") > CROWD).mapInArrow(_windows(length), "window binary, rid long, start int")
+    crowded = bodies.filter(F.col("more") > CROWD).mapInArrow(_windows(length), "window binary, rid long, start int")
     first = crowded.groupBy("window").agg(F.min(F.struct("rid", "start")).alias("first"), F.count("*").alias("k")).filter("k > 1")
     again = crowded.join(first, "window").filter(F.struct("rid", "start") > F.col("first")).select("rid", "start", (F.col("start") + length).cast("int").alias("stop"))
     return equal.union(found).union(again)
 
 
+def repeat_groups(docs: DataFrame, length: int = 100) -> DataFrame:
+    """(group, n_bytes, doc_id, start): every occurrence of every repeat of at least ``length`` bytes, a row each.
+
+    A group is a maximal repeat of the suffix array of an anchor, or a run that occurs more than once; ``group`` is a hash
+    of its bytes. A repeat that is longer than a run (as passages of many lines are) comes as one group a run, which overlap
+    by all but one byte of ``length``. All different runs of one anchor meet in one task here. Defined cases as in ``spans``.
+    """
+    spark = docs.sparkSession
+    scratch, wide = Scratch(spark, "groups"), partitions(spark)
+    _, once = with_rid(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), scratch)
+    once = once.select(F.col("__rid").alias("rid"), "doc_id", "text")
+    marks = scratch.keep(once.select("rid", "text").mapInArrow(tidy(_mark(length, False)), "anchor long, seg long, rid long, lo int, n int, done boolean").drop("done"))
+    kinds = scratch.keep(marks.groupBy("anchor", "seg").agg(F.min(F.struct("rid", "lo", "n")).alias("one"), F.count("*").alias("times")))
+    several = kinds.groupBy("anchor").agg(F.count("*").alias("crowd")).filter("crowd > 1").select("anchor")
+    wanted = kinds.join(several, "anchor", "left_semi").groupBy("one.rid").agg(F.collect_list(F.struct("anchor", "one.lo", "one.n", "seg")).alias("marks"))
+    bodies = once.join(wanted, "rid").select("text", "rid", "marks").mapInArrow(tidy(_bodies(length)), "anchor long, rid long, lo int, n int, body binary, more long")
+    found = bodies.repartition(wide, "anchor").sortWithinPartitions("anchor").mapInArrow(tidy(_groups(length)), "group long, n_bytes int, anchor long, seg long, at int")
+    runs_ = kinds.filter("times > 1").select(F.xxhash64("anchor", "seg").alias("group"), (F.col("one.n") + (length - 1)).alias("n_bytes"), "anchor", "seg", F.lit(0).alias("at"))
+    all_ = found.union(runs_).join(marks, ["anchor", "seg"]).select("group", "n_bytes", "rid", (F.col("lo") + F.col("at")).alias("start")).distinct()
+    return all_.join(once.select("rid", "doc_id"), "rid").select("group", "n_bytes", "doc_id", "start")
+
+
 def with_rid(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """docs with a long ``__rid`` that follows doc_id (doc_id itself unless it repeats or has nulls), and one row a rid."""
     odd = docs.agg((F.count("*") - F.count_distinct("doc_id")).alias("n")).first()[0]
