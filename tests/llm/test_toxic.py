@@ -10,7 +10,7 @@ from tidemark.llm import toxic
 def marked(spark):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
-    seeds = [w for k in toxic.KINDS.values() for w in k]
+    seeds = ["idiot", "moron", "clown", "worthless", "pathetic", "scum", "trash", "vermin"]
     rows, labels = [], []
     for i in range(500):
         bad = i % 5 == 0
@@ -33,7 +33,7 @@ def test_held_out(marked):
     held = [r for r in rows if r.held_out and r.doc_id < 500]
     assert all(r.predicted == (r.doc_id % 5 == 0) for r in held)
     assert next(r for r in rows if r.doc_id == 902).predicted == 1
-    assert all(0 <= r[c] <= 1 for r in rows for c in ("p_insult", "p_contempt", "p_dehumanising", "p_toxic"))
+    assert all(0 <= r[c] <= 1 for r in rows for c in ("p_kind_1", "p_kind_2", "p_kind_3", "p_toxic"))
     assert toxic.score(docs.limit(0), chain).count() == 0
 
 
@@ -54,6 +54,61 @@ def test_logistic_against_gradient():
     assert np.abs(np.append(x.T @ (p - y) + w[:-1], (p - y).sum())).max() < 0.05
 
 
+def newton(x, y, penalty=0.3):
+    """The same model as ``toxic.logistic``, by plain Newton steps."""
+    full, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+    keep = np.append(np.full(x.shape[1], penalty), 1e-9)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-full @ w))
+        w = w + np.clip(np.linalg.solve((full.T * (p * (1 - p))) @ full + np.diag(keep), full.T @ (y - p) - keep * w), -2, 2)
+    return w
+
+
+def test_chain_against_brute_force():
+    rng = np.random.default_rng(3)
+    n = 400
+    toxic_ = (rng.random(n) < 0.3).astype(np.int64)
+    kind = rng.integers(0, 2, n)
+    bags = [np.unique(np.concatenate([rng.integers(100, 130, 4), rng.integers(10 + 10 * k, 16 + 10 * k, 2) if t and rng.random() < 0.9 else rng.integers(60, 90, 2)])).astype(np.int32) for t, k in zip(toxic_, kind)]
+    names = {"first": toxic_ * (kind == 0), "second": toxic_ * (kind == 1)}
+    chain = toxic.train(bags, toxic_, names)
+    used = np.flatnonzero(chain.place >= 0)
+    x = np.array([[float(f in set(b.tolist())) for f in used] for b in bags])
+    fold = toxic.fold_of(bags, 5)
+    earlier, real = np.zeros((n, 0)), np.zeros((n, 0))
+    for y in [*names.values(), toxic_]:
+        own, out = np.column_stack([x, earlier]), np.zeros(n)
+        for k in range(5):
+            w = newton(own[fold != k], y[fold != k])
+            out[fold == k] = 1 / (1 + np.exp(-(own[fold == k] @ w[:-1] + w[-1])))
+        w = newton(own, y)
+        real = np.column_stack([real, 1 / (1 + np.exp(-(np.column_stack([x, real]) @ w[:-1] + w[-1])))])
+        earlier = np.column_stack([earlier, out])
+    assert np.abs(chain.predict(bags) - real).max() < 0.02
+    assert chain.names == ["first", "second", "toxic"]
+
+
+def test_kinds_are_clusters_of_toxic_rows():
+    rng = np.random.default_rng(1)
+    toxic_ = np.repeat([1, 1, 1, 0], [60, 40, 20, 200])
+    group = np.repeat([0, 1, 2, 3], [60, 40, 20, 200])
+    x = np.zeros((320, 9))
+    for i, g in enumerate(group):
+        if g < 3:
+            x[i, 3 * g + rng.integers(0, 3, 2)] = 1
+    got = toxic.kinds_of(x, toxic_, 3)
+    assert (got[toxic_ == 0] == -1).all() and set(got[toxic_ == 1].tolist()) == {0, 1, 2}
+    assert np.bincount(got[toxic_ == 1]).tolist() == sorted(np.bincount(got[toxic_ == 1]).tolist(), reverse=True)
+
+
+def test_copies_share_a_fold_and_long_and_repeated_documents_are_bounded(marked):
+    docs, labels = marked
+    bag = np.arange(9, dtype=np.int32)
+    assert len(set(toxic.fold_of([bag, bag.copy(), bag.copy()], 5).tolist())) == 1
+    a, b = toxic.fit(docs, labels), toxic.fit(docs.union(docs).union(docs.filter("doc_id = 9").selectExpr("doc_id", "'zzz' as text", "p_toxic")), labels)
+    assert all(np.allclose(v, w) for v, w in zip(a.weights, b.weights))
+
+
 def test_without_both_classes(marked):
     docs, labels = marked
     rows = toxic.score(docs, toxic.fit(docs, labels.filter("toxic = 0"))).collect()

@@ -1,19 +1,23 @@
 """Toxicity by a classifier chain of logistic models.
 
 Categories are predicted one after another; each model sees the text's features and the probabilities of the categories
-before it. In training these are out-of-fold predictions, so that a model meets what it will meet later; in use they come
-from the models fitted on all training rows. The last category is the label ``toxic``; the earlier ones are kinds of it,
-and their training labels are rows labelled toxic that hold a seed word of the kind.
+before it. In training these are out-of-fold predictions (folds by the hash of the features, so that copies share one), so
+that a model meets what it will meet later; in use they come from the models fitted on all training rows. The last category
+is the label ``toxic``. The tables label nothing else, so the earlier categories are found in the data: the toxic training
+rows are clustered by the features that speak for toxicity, and each cluster is a kind, the largest first. Labels of one's
+own for the kinds can be given to ``train`` instead.
 
-Features are the presence of words and of their first four and five letters, hashed; those that say most about the label
-are kept, and none whose difference between the classes may be chance. Whole texts are read, and a text is scored by its distinct words, whatever its length.
+Features are the presence of words and of their first four and five letters, hashed; the ``KEEP`` that say most about the
+label are used, and none whose difference between the classes may be chance. Whole texts are read, and a text is scored by
+its distinct words, whatever its length.
 
-Learned from rows whose crc32 of the id, as text, is not a multiple of ``folds``, at most ``per_class`` documents of each
-class (the bound of the training sample).
+Learned from rows whose crc32 of the id, as text, is not a multiple of ``folds``: at most ``per_class`` documents of each
+class and MOST distinct features of each (those of the smallest hashes), which bounds the training sample.
 
 Defined cases: a null or empty text has no features and gets the models' base rates; null labels are left out, repeated
-ones count once (toxic if any is); without both classes all get the smoothed share of toxic rows; a null id counts as not
-held out; repeated rows get equal scores; an empty table gives no rows; other columns are ignored.
+ones count once (toxic if any is), and of several texts of an id the smallest is learned from; without both classes all get
+the smoothed share of toxic rows; a null id counts as not held out; repeated rows get equal scores; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .vectors import kmeans, nearest
+
 PER_CLASS = 4000
 SPACE = 1 << 20  # hashed features
 KEEP = 1024  # features that the models use, at most
+MOST = 50_000  # features of one training document
+KINDS = 3  # categories before the last
 LEAST = 2.0  # standard errors from no difference that a feature needs
-# fixed values: seed words of the kinds
-KINDS = {"insult": ["idiot", "moron", "stupid", "clown", "loser"], "contempt": ["worthless", "pathetic"], "dehumanising": ["scum", "trash", "disgusting", "vermin"]}
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -43,10 +49,6 @@ def hashed(text: str) -> np.ndarray:
     return np.unique(np.fromiter((crc32(p.encode()) for p in parts), np.int64, len(parts)) % SPACE)
 
 
-def _mark(words: list[str]) -> np.ndarray:
-    return np.array([crc32(w.encode()) % SPACE for w in words])
-
-
 @dataclass
 class Chain:
     names: list[str]
@@ -119,8 +121,26 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 4
     return w
 
 
-def train(found: list[np.ndarray], toxic: np.ndarray, kinds: dict[str, list[str]] = KINDS, folds: int = 5) -> Chain:
-    names = [*kinds, "toxic"]
+def kinds_of(x: np.ndarray, toxic: np.ndarray, kinds: int) -> np.ndarray:
+    """The cluster of each toxic row, 0 the largest; -1 for other rows."""
+    own = np.flatnonzero(toxic)
+    rows = x[own] / np.maximum(np.sqrt((x[own] ** 2).sum(1)), 1.0)[:, None]
+    cluster = nearest(rows, kmeans(rows, kinds))
+    size = np.bincount(cluster, minlength=kinds)
+    rank = np.empty(len(size), dtype=np.int64)
+    rank[np.argsort(-size, kind="stable")] = np.arange(len(size))
+    out = np.full(len(toxic), -1)
+    out[own] = rank[cluster]
+    return out
+
+
+def fold_of(found: list[np.ndarray], folds: int) -> np.ndarray:
+    return np.array([crc32(f.tobytes()) % folds for f in found], dtype=np.int64)
+
+
+def train(found: list[np.ndarray], toxic: np.ndarray, kinds: int | dict[str, np.ndarray] = KINDS, folds: int = 5) -> Chain:
+    """``kinds``: how many categories to find before the last one, or their names with a 0/1 label for each row."""
+    names = [*(kinds if isinstance(kinds, dict) else (f"kind_{k + 1}" for k in range(kinds))), "toxic"]
     base = float(toxic.sum() + 1) / (len(toxic) + 2)
     chain = Chain(names, np.full(SPACE, -1, dtype=np.int32), base=base)
     if len(set(toxic.tolist())) < 2:
@@ -136,16 +156,17 @@ def train(found: list[np.ndarray], toxic: np.ndarray, kinds: dict[str, list[str]
     best = np.sort(best[odds[best] != 0])
     chain.place[best] = np.arange(len(best))
     x = chain.rows(found).astype(np.float64)
-    fold = np.arange(len(toxic)) % folds
+    if isinstance(kinds, dict):
+        labels = [np.asarray(y, dtype=float) for y in kinds.values()]
+    else:
+        cluster = kinds_of(x[:, odds[best] > 0], toxic, kinds)
+        labels = [(cluster == k).astype(float) for k in range(kinds)]
+    fold = fold_of(found, folds)
     earlier = np.zeros((len(toxic), 0))
-    for name in names:
-        y = toxic.astype(float)
-        if name in kinds:
-            seeds = _mark(kinds[name])
-            y = y * np.array([np.isin(seeds, f).any() for f in found])
+    for y in [*labels, toxic.astype(float)]:
         own = np.column_stack([x, earlier])
         out = np.empty(len(y))
-        for k in range(folds):
+        for k in np.unique(fold):
             test = fold == k
             w = logistic(own[~test], y[~test])
             out[test] = _sigmoid(own[test] @ w[:-1] + w[-1])
@@ -154,7 +175,7 @@ def train(found: list[np.ndarray], toxic: np.ndarray, kinds: dict[str, list[str]
     return chain
 
 
-def fit(docs: DataFrame, labels: DataFrame, kinds: dict[str, list[str]] = KINDS, folds: int = 5, per_class: int = PER_CLASS) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, kinds: int = KINDS, folds: int = 5, per_class: int = PER_CLASS) -> Chain:
     named = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").alias("__label"))
     named = named.filter(F.crc32(F.col("__id").cast("string")) % folds != 0)
     picked = [named.filter(F.col("__label") == k).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for k in (0, 1)]
@@ -162,10 +183,11 @@ def fit(docs: DataFrame, labels: DataFrame, kinds: dict[str, list[str]] = KINDS,
 
     def run(batches):
         for batch in batches:
-            bags = [hashed(t.as_py() or "").astype(np.int32) for t in batch.column(0)]
+            bags = [hashed(t.as_py() or "").astype(np.int32)[:MOST] for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([b.tobytes() for b in bags], pa.binary())], names=["label", "bag"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text")).join(sample, "__id")
+    found = found.groupBy("__id").agg(F.min(F.coalesce("__text", F.lit(""))).alias("__text"), F.min("__label").alias("__label"))  # one text an id
     rows = found.select("__text", F.col("__label").cast("int")).mapInArrow(run, "label int, bag binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (crc32(r["bag"]), r["bag"], r["label"]))
     return train([np.frombuffer(r["bag"], np.int32) for r in rows], np.array([r["label"] for r in rows], dtype=np.int64), kinds)
