@@ -114,8 +114,9 @@ def web(spark):
     pages, labels = [], []
     for i in range(3000):
         host = "spam.bad-place.org" if i % 3 == 0 else f"h{i % 40}.site{i % 8}.org"
+        host = {7: "10.0.0.7:81", 8: "www.a.co.xy:8080", 9: "shop.b.co.xy.", 10: "[::1]:9", 11: "alone"}.get(i % 100, host)
         pages.append((i, f"http://{host}/en/{i}"))
-        labels.append((i, 0 if rng.random() < (0.8 if i % 3 == 0 else 0.05) else 1, 0))
+        labels.append((i, 0 if rng.random() < (0.8 if host == "spam.bad-place.org" else 0.05) else 1, 0))
     labels += [(1, 1, 1), (None, 0, 0), (2, None, None)]
     return spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), pages, labels
 
@@ -125,10 +126,43 @@ def test_reputation_blocks_what_is_surely_bad(web):
     got = hosts.judge(pages, labels).groupBy("host").agg(F.collect_set("verdict")[0].alias("v")).collect()
     assert {r.host for r in got if r.v == "block"} == {"spam.bad-place.org"}
     rep = {r.host: r for r in hosts.reputations(hosts.parse(pages), labels).collect()}
-    worst = max((r for r in rep.values() if r.n < 60), key=lambda r: r.bad / r.n)
+    worst = max((r for r in rep.values() if r.host.startswith("h")), key=lambda r: r.bad / r.n)
     assert worst.mean < worst.bad / worst.n  # shrunk towards its domain
 
 
+def test_the_bound_decides(web):
+    """Hosts around the bound are blocked or allowed as the quantile of their posterior says."""
+    from math import lgamma
+
+    import numpy as np
+
+    pages, labels, *_ = web
+    spark, made = pages.sparkSession, []
+    for host, n, bad in (("many.a.org", 400, 120), ("few.b.org", 4, 2), ("even.c.org", 400, 80), *((f"x.d{k}.org", 60, 1) for k in range(20))):
+        made += [(f"http://{host}/en/{len(made) + k}", int(k >= bad)) for k in range(n)]
+    some = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(made)], "page_id long, url string")
+    marks = spark.createDataFrame([(i, q, 0) for i, (_, q) in enumerate(made)], "doc_id long, quality int, toxic int")
+    rep = {r.host: r for r in hosts.reputations(hosts.parse(some), marks).collect()}
+    assert rep["many.a.org"].below < 0.01 and 0.3 < rep["even.c.org"].below < 0.7
+    assert rep["few.b.org"].mean > 0.2 and rep["few.b.org"].below > 0.05  # too few pages to be sure
+    got = {r.host for r in hosts.judge(some, marks).filter("verdict = 'block'").collect()}
+    assert got == {"many.a.org"}
+    for a, b, x in ((0.4, 3.0, 0.2), (12.5, 40.0, 0.2), (300.0, 900.0, 0.3), (2.0, 1.0, 0.9), (5000.0, 20000.0, 0.2)):
+        t = (np.arange(2_000_000) + 0.5) / 2_000_000 * x
+        want = np.exp((a - 1) * np.log(t) + (b - 1) * np.log1p(-t) + lgamma(a + b) - lgamma(a) - lgamma(b)).mean() * x
+        got = pages.sparkSession.range(1).select(hosts.beta_below(x, F.lit(a), F.lit(b))).first()[0]
+        assert got == pytest.approx(want, abs=1e-2 if a < 1 else 1e-6)
+
+
+def test_domains_and_suffixes(spark, tmp_path):
+    (tmp_path / "list").write_text("// a comment\n\ncom\ngithub.io\n*.ck\na.b.jp\n")
+    suffixes = hosts.read_suffixes(str(tmp_path / "list"))
+    assert suffixes == ["a.b.jp", "github.io"]
+    want = {"h1.com.sg": ("h1.com.sg", "com.sg"), "x.h2.com.sg": ("h2.com.sg", "com.sg"), "x.org:801": ("x.org", "org"), "me.github.io": ("me.github.io", "github.io"), "q.p.a.b.jp": ("p.a.b.jp", "a.b.jp"), "1.2.3.4:5": ("1.2.3.4", "ip"), "[::1]:80": ("[::1]", "ip"), "one": ("one", "one"), "": ("", ""), "a.b.com.": ("b.com", "com"), "com.sg": ("com.sg", "com.sg")}
+    rows = hosts.levels(spark.createDataFrame([(h,) for h in want], "host string"), suffixes).collect()
+    assert {r.host: (r.domain, r.suffix) for r in rows} == want
+
+
 def test_reputation_matches_sql(web):
     pages, labels, p, l = web
     db = duckdb.connect()
