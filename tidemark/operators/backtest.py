@@ -5,6 +5,8 @@ Broker, stated in full: a signal on bar i is an order for bar i + 1, filled at i
 none affordable cancels the order. A sell while long closes the position with ``exit_mode="close"``; with ``"order"`` it
 is an order sized from what cash could still buy, so that a fully invested account cancels it. Every fill pays fee +
 rate x value. With ``finalize`` an open position is closed at the last close. Equity is cash plus position at the close.
+``margin`` below 1 lends: cash pays for 1 / margin times as much, and an account whose equity is gone at a close is closed
+there for good.
 """
 
 from __future__ import annotations
@@ -92,6 +94,7 @@ class Broker:
     trade_on_close: bool = False
     finalize: bool = True
     exit_mode: str = "close"
+    margin: float = 1.0
 
     def run(self, bars: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
         """(equity, units held, trades (entry bar, exit bar, units, entry price, exit price, profit)) of one ticker."""
@@ -109,7 +112,7 @@ class Broker:
 
         def fill(i, side, price):
             nonlocal cash, units, entry
-            affordable = int(max(0.0, cash - fee) // (price * (1 + rate))) if price > 0 else 0
+            affordable = int(max(0.0, cash - fee) / self.margin // (price * (1 + rate))) if price > 0 else 0
             if side > 0 and not units and affordable:
                 cost = fee + rate * affordable * price
                 units, entry = affordable, (i, price, cost)
@@ -117,12 +120,14 @@ class Broker:
             elif side < 0 and units and (self.exit_mode == "close" or affordable):
                 close(i, price)
 
+        broke = False
         for i in range(len(bars)):
-            if self.trade_on_close:
+            if self.trade_on_close and not broke:
                 fill(i, signal[i], closes[i])
-            elif i:
+            elif i and not broke:
                 fill(i, signal[i - 1], opens[i])
-            if i == len(bars) - 1 and self.finalize and units:
+            broke = broke or bool(units) and cash + units * closes[i] <= 0
+            if units and (broke or i == len(bars) - 1 and self.finalize):
                 held[i] = units
                 close(i, closes[i])
             equity[i] = cash + units * closes[i]
@@ -230,15 +235,28 @@ def flatten_results(rows: DataFrame, metrics: list[str]) -> DataFrame:
 
 
 class BatchBacktester:
-    """Runs a strategy over many tickers and keeps the results as Parquet below ``path``."""
+    """Runs a strategy over many tickers and keeps the results as Parquet below ``path``.
+
+    Bars come as one table, as a table a symbol, or from an organiser's test rows; a strategy as a spec, or as a function
+    that makes one from ``params``.
+    """
 
     def __init__(self, path: str):
         self.path, self.results, self.spec = path, None, None
 
-    def run(self, bars: DataFrame, spec: StrategySpec, symbols: list[str] | str = "all", broker: Broker | None = None) -> DataFrame:
+    def run(self, bars: DataFrame | dict[str, DataFrame] | None, spec: StrategySpec | Callable[..., StrategySpec], symbols: list[str] | str = "all", broker: Broker | None = None, organiser=None, **params) -> DataFrame | None:
+        """The mean of each metric; None without bars. ``results`` has a row a ticker."""
         from ..sources.universe import chosen
+        from .panel import union_assets
 
-        self.spec, self.results = spec, backtest(spec.signals(chosen(bars, symbols)), broker)
+        if bars is not None and organiser is not None:
+            raise ValueError("give bars or an organiser, not both")
+        bars = organiser.test() if organiser is not None else union_assets(bars) if isinstance(bars, dict) else bars
+        if bars is None:
+            self.results = None
+            return None
+        self.spec = spec(**params) if callable(spec) else spec
+        self.results = backtest(self.spec.signals(chosen(bars, symbols)), broker)
         return average_metrics(self.results)
 
     def save(self, day=None) -> str | None:
@@ -250,3 +268,8 @@ class BatchBacktester:
         name = f"{day or date.today():%Y-%m-%d}_{self.spec.name}"
         result_rows(self.results, name).write.mode("append").parquet(self.path)
         return name
+
+    def load(self, spark, batch: str | None = None) -> DataFrame:
+        """The stored rows, of one batch if it is named."""
+        rows = spark.read.schema(schema.RESULTS).parquet(self.path)
+        return rows if batch is None else rows.filter(F.col("batch_run_name") == batch)

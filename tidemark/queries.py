@@ -424,13 +424,104 @@ def signal_pnl(spark, d):
     return got.select("ticker", "datetime", "position", (F.round("pnl", 6) + 0.0).alias("pnl"), (F.round("equity", 6) + 0.0).alias("equity"))
 
 
-def _runs(spark, d):
-    return backtest.backtest(backtest.sma_cross().signals(B.daily_bars(spark, d)), backtest.Broker(cash=10_000_000.0, commission=(3.0, 0.001)))
+def _accounts(fee: float = 3.0, rate: float = 0.001, cash: float = 1e7, on_close: bool = False, finalize: bool = True, exit_mode: str = "close", margin: float = 1.0) -> str:
+    """The broker as a recursion over each ticker's bars: a row (ticker, i, tm, c, equity, held, its closed trade) a bar."""
+    price, side = ("c", "signal") if on_close else ("o", "before")
+    able = "" if exit_mode == "close" else " AND able > 0"
+    return "WITH RECURSIVE " + _SIGNALS.removeprefix("WITH ") + f""",
+b AS (SELECT ticker, datetime AS tm, open AS o, close AS c, signal, coalesce(lag(signal) {_W}), 0) AS before, row_number() {_W}) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n FROM bars JOIN signals USING (ticker, datetime, close)),
+r(ticker, i, tm, c, n, cash, units, entry, entry_price, entry_cost, broke, held, t_entry, t_units, t_entry_price, t_exit_price, t_pnl) AS (
+  SELECT ticker, -1::BIGINT, min(tm), 0.0::DOUBLE, any_value(n), {cash}::DOUBLE, 0.0::DOUBLE, NULL::TIMESTAMP, 0.0::DOUBLE, 0.0::DOUBLE, false, 0.0::DOUBLE, NULL::TIMESTAMP, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM b GROUP BY ticker
+  UNION ALL SELECT ticker, i, tm, c, n, CASE WHEN ends THEN cash1 + (units1 * c - ({fee} + {rate} * units1 * c)) ELSE cash1 END, CASE WHEN ends THEN 0 ELSE units1 END, entry1, price1, cost1, broke1, units1,
+    CASE WHEN sells THEN entry WHEN ends THEN entry1 END, CASE WHEN sells THEN units WHEN ends THEN units1 END, CASE WHEN sells THEN entry_price WHEN ends THEN price1 END, CASE WHEN sells THEN p WHEN ends THEN c END,
+    CASE WHEN sells THEN units * (p - entry_price) - ({fee} + {rate} * units * p) - entry_cost WHEN ends THEN units1 * (c - price1) - ({fee} + {rate} * units1 * c) - cost1 END
+  FROM (SELECT *, units1 > 0 AND (broke1 OR {finalize} AND i = n - 1) AS ends FROM (SELECT *, broke OR units1 > 0 AND cash1 + units1 * c <= 0 AS broke1
+    FROM (SELECT *, CASE WHEN buys THEN able WHEN sells THEN 0 ELSE units END AS units1, CASE WHEN buys THEN cash - (able * p + ({fee} + {rate} * able * p)) WHEN sells THEN cash + (units * p - ({fee} + {rate} * units * p)) ELSE cash END AS cash1,
+      CASE WHEN buys THEN tm ELSE entry END AS entry1, CASE WHEN buys THEN p ELSE entry_price END AS price1, CASE WHEN buys THEN {fee} + {rate} * able * p ELSE entry_cost END AS cost1
+    FROM (SELECT *, NOT broke AND side > 0 AND units = 0 AND able > 0 AS buys, NOT broke AND side < 0 AND units > 0{able} AS sells
+    FROM (SELECT r.ticker, b.i, b.tm, b.c, b.n, b.{price} AS p, b.{side} AS side, r.cash, r.units, r.entry, r.entry_price, r.entry_cost, r.broke, floor(greatest(0, r.cash - {fee}) / {margin} / (b.{price} * (1 + {rate}))) AS able FROM r JOIN b ON b.ticker = r.ticker AND b.i = r.i + 1))))))
+, runs AS (SELECT *, cash + units * c AS equity FROM r WHERE i >= 0),
+trades AS (SELECT ticker, t_entry AS entry, tm AS exit, t_units::BIGINT AS units, t_entry_price AS entry_price, t_exit_price AS exit_price, t_pnl AS pnl FROM runs WHERE t_units IS NOT NULL)"""
 
 
-@register()
+def _runs(spark, d, **settings):
+    return backtest.backtest(backtest.sma_cross().signals(B.daily_bars(spark, d)), backtest.Broker(cash=10_000_000.0, **{"commission": (3.0, 0.001), **settings}))
+
+
+_TRADES = " SELECT ticker, entry, exit, units, entry_price, exit_price, printf('%.5e', pnl) AS pnl FROM trades"
+
+
+def _trades(runs):
+    out = runs.select("ticker", F.explode("trades").alias("t")).select("ticker", "t.*")
+    return out.withColumns({"entry": F.col("entry").cast("timestamp_ntz"), "exit": F.col("exit").cast("timestamp_ntz"), "pnl": F.format_string("%.5e", "pnl")})
+
+
+@register(_accounts() + _TRADES)
 def broker_fold(spark, d):
-    return _runs(spark, d).select("ticker", F.explode("trades").alias("t")).select("ticker", "t.*")
+    return _trades(_runs(spark, d))
+
+
+@register(_accounts(fee=0.0, rate=0.002, on_close=True, finalize=False) + _TRADES)
+def broker_on_close(spark, d):
+    """Fills at the signal's own close, a rate only, nothing closed at the end."""
+    return _trades(_runs(spark, d, commission=0.002, trade_on_close=True, finalize=False))
+
+
+@register(_accounts(exit_mode="order") + _TRADES)
+def broker_exit_by_order(spark, d):
+    """A sell is an order of its own, which a fully invested account cannot pay for."""
+    return _trades(_runs(spark, d, exit_mode="order"))
+
+
+@register(_accounts(margin=0.5) + _TRADES)
+def broker_margin(spark, d):
+    return _trades(_runs(spark, d, margin=0.5))
+
+
+@register(_accounts() + " SELECT ticker, tm AS datetime, printf('%.5e', equity) AS equity, held AS units FROM runs")
+def equity_curve(spark, d):
+    out = _runs(spark, d).select("ticker", F.explode("equity").alias("e")).select("ticker", "e.*")
+    return out.select("ticker", F.col("datetime").cast("timestamp_ntz").alias("datetime"), F.format_string("%.5e", "equity").alias("equity"), "units")
+
+
+_SIX = "printf('%.5e', value)"
+_METRICS = _accounts() + """, bar AS (SELECT *, equity / lag(equity) OVER w - 1 AS ret, ln(equity) - ln(lag(equity) OVER w) AS a, ln(c) - ln(lag(c) OVER w) AS b, 1 - equity / max(equity) OVER (PARTITION BY ticker ORDER BY i) AS fall,
+  lag(tm) OVER w AS was, coalesce(lead(tm) OVER w, tm) AS nxt FROM runs WINDOW w AS (PARTITION BY ticker ORDER BY i)),
+whole AS (SELECT ticker, epoch(max(tm)) - epoch(min(tm)) AS lasted, 100 * avg((held > 0)::INT) AS exposed, arg_max(equity, i) AS final, max(equity) AS peak, arg_min(c, i) AS c0, arg_max(c, i) AS c1,
+  CASE WHEN avg((isodow(tm) >= 6)::INT) > 0.2 THEN 365 ELSE 252 END AS per, exp(avg(ln(1 + ret))) - 1 AS m, var_samp(ret) AS v, sqrt(avg(CASE WHEN ret < 0 THEN ret * ret WHEN ret >= 0 THEN 0 END)) AS down, covar_samp(a, b) / var_samp(b) AS beta, max(fall) AS worst FROM bar GROUP BY ticker),
+spell AS (SELECT ticker, max(fall) AS deep, epoch(max(nxt)) - epoch(coalesce(min(was), min(tm))) AS lasted FROM (SELECT *, sum((fall <= 0)::INT) OVER (PARTITION BY ticker ORDER BY i) AS k FROM bar) WHERE fall > 0 GROUP BY ticker, k),
+spells AS (SELECT ticker, avg(deep) AS deep, max(lasted) AS longest, avg(lasted) AS usual FROM spell GROUP BY ticker),
+deal AS (SELECT *, pnl / (units * entry_price) AS gain, epoch(exit) - epoch(entry) AS lasted FROM trades),
+deals AS (SELECT ticker, count(*)::DOUBLE AS n, avg((pnl > 0)::INT) AS win, max(gain) AS best, min(gain) AS least, exp(avg(ln(1 + gain))) - 1 AS usual, max(lasted) AS longest, avg(lasted) AS lasted, avg(gain) AS expect,
+  sum(pnl) FILTER (pnl > 0) / nullif(-sum(pnl) FILTER (pnl < 0), 0) AS factor, sqrt(count(*)) * avg(pnl) / stddev_samp(pnl) AS sqn, avg(pnl) FILTER (pnl > 0) / -avg(pnl) FILTER (pnl < 0) AS ratio FROM deal GROUP BY ticker),
+yearly AS (SELECT *, power(1 + m, per) - 1 AS annual, sqrt(power(v + power(1 + m, 2), per) - power(1 + m, 2 * per)) AS spread, 100 * (final / 1e7 - 1) AS ret, 100 * (c1 / c0 - 1) AS hold FROM whole),
+metrics AS (SELECT y.ticker, y.lasted::DOUBLE AS "Duration", exposed::DOUBLE AS "Exposure Time [%]", final AS "Equity Final [$]", peak AS "Equity Peak [$]", ret AS "Return [%]", hold AS "Buy & Hold Return [%]", 100 * annual AS "Return (Ann.) [%]",
+  100 * spread AS "Volatility (Ann.) [%]", 100 * (power(final / 1e7, 365.25 * 86400 / y.lasted) - 1) AS "CAGR [%]", annual / nullif(spread, 0) AS "Sharpe Ratio", annual / nullif(down * sqrt(per), 0) AS "Sortino Ratio",
+  annual / nullif(worst, 0) AS "Calmar Ratio", ret - beta * hold AS "Alpha [%]", beta AS "Beta", -100 * worst AS "Max. Drawdown [%]", -100 * s.deep AS "Avg. Drawdown [%]", s.longest::DOUBLE AS "Max. Drawdown Duration", s.usual::DOUBLE AS "Avg. Drawdown Duration",
+  coalesce(n, 0) AS "# Trades", 100 * win AS "Win Rate [%]", 100 * best AS "Best Trade [%]", 100 * least AS "Worst Trade [%]", 100 * d.usual AS "Avg. Trade [%]", d.longest::DOUBLE AS "Max. Trade Duration", d.lasted::DOUBLE AS "Avg. Trade Duration",
+  factor AS "Profit Factor", 100 * expect AS "Expectancy [%]", sqn AS "SQN", win - (1 - win) / ratio AS "Kelly Criterion" FROM yearly y LEFT JOIN spells s USING (ticker) LEFT JOIN deals d USING (ticker)),
+named AS (UNPIVOT metrics ON COLUMNS(* EXCLUDE (ticker)) INTO NAME metric VALUE value)"""
+
+
+@register(_METRICS + f" SELECT ticker, metric, {_SIX} AS value FROM named WHERE isfinite(value)")
+def run_metrics(spark, d):
+    """Every metric of every ticker's run, six digits of each."""
+    got = _runs(spark, d).select("ticker", F.explode("metrics").alias("metric", "value"))
+    return got.withColumn("value", F.format_string("%.5e", "value"))
+
+
+@register(_METRICS + f" SELECT metric, {_SIX} AS value, n FROM (SELECT metric, avg(value) AS value, count(*) AS n FROM named WHERE isfinite(value) AND ticker IN ('1-URGENT', '2-HIGH') GROUP BY metric)")
+def batch_saved(spark, d):
+    """A batch over a table a symbol, one of which fails: saved, read back and averaged."""
+    bars, path = B.daily_bars(spark, d), f"{_scratch(spark)}/results"
+    frames = {t: bars.filter(F.col("ticker") == t).drop("ticker") for t in TICKERS[:2]}
+    frames["BROKEN"] = frames["1-URGENT"].limit(30).withColumn("close", F.lit(None).cast("double"))
+    batch = backtest.BatchBacktester(path)
+    batch.run(frames, backtest.sma_cross, broker=backtest.Broker(cash=10_000_000.0, commission=(3.0, 0.001)), n1=10, n2=20)
+    stored = batch.load(spark, batch.save(date(2024, 1, 31)))
+    named = stored.select("ticker", F.explode(F.from_json("metrics", "map<string,string>")).alias("metric", "value"))
+    good = named.filter("ticker <> 'BROKEN'").select("metric", F.col("value").try_cast("double").alias("value"))
+    return good.groupBy("metric").agg(F.format_string("%.5e", F.avg("value")).alias("value"), F.count("*").alias("n"))
 
 
 _STATS = _BARS + """, stats AS (SELECT ticker, count(*)::DOUBLE AS bars, sum((close > open)::INT)::DOUBLE AS rises, CASE WHEN ticker <> '5-LOW' THEN max(volume)::DOUBLE END AS busiest FROM bars GROUP BY ticker)"""
