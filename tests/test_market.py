@@ -72,7 +72,7 @@ def test_vendor_source(spark):
 
 def test_universe(spark):
     got = {r.index_name: r["count"] for r in universe.members(spark).groupBy("index_name").count().collect()}
-    assert got == {"asx20": 20, "asx50": 50, "asx100": 100}
+    assert got == {"asx20": 20, "asx50": 50, "asx100": 100, "asx200": 207}
     bars = frame(spark, [1.0, 2.0])
     assert universe.chosen(bars, "all").count() == universe.chosen(bars, ["A", "B"]).count() == 2
     assert [r.ticker for r in universe.absent(bars, ["A", "B"]).collect()] == ["B"]
@@ -362,8 +362,8 @@ def samples(spark):
 
 def test_two_stages(spark):
     rows = samples(spark)
-    model = learning.PrimarySecondary(LogisticRegression(maxIter=5), LogisticRegression(maxIter=5), ["a"], ["b"], n_splits=3)
-    organiser = learning.AssetOrganiser(model, rows, DAY + timedelta(100), "y", "meta", "w")
+    model = learning.PrimarySecondary(LogisticRegression(maxIter=5), LogisticRegression(maxIter=5), ["a"], ["b"], n_splits=3, label="y", meta_label="meta", weight="w")
+    organiser = learning.AssetOrganiser(model, rows, DAY + timedelta(100))
     with pytest.raises(ValueError):
         organiser.test()
     got = organiser.prepare().test("A").collect()
@@ -384,6 +384,101 @@ def test_search_and_engine(spark, tmp_path):
     assert learning.scores(model, samples(spark), "y").first().log_loss < 0.5
 
 
+def test_proposals_follow_the_better_trials():
+    space = {"a": list(range(6)), "b": list(range(6))}
+    search = learning.Search(None, space, None, n_trials=36, startup=8)
+
+    def play(upto):
+        for trial in range(1 + max((r[1] for r in search.rows), default=-1), upto):
+            c = search.propose(trial)
+            search.rows.append(("study", trial, {}, list(c), 0, -abs(c[0] - 4.0) - abs(c[1] - 1.0), "complete"))
+
+    play(30)
+    tried = [tuple(r[3]) for r in search.rows]
+    assert len(set(tried)) == 30 and search.best() == {"a": 4, "b": 1}
+    first, later = tried[:8], tried[8:16]
+    far = lambda cs: np.mean([abs(a - 4) + abs(b - 1) for a, b in cs])
+    assert far(later) < far(first)
+    again = learning.Search(None, space, None, n_trials=36, startup=8)
+    again.rows = search.rows[:20]  # a study taken up again goes on as it would have
+    assert [again.propose(20)] == [tried[20]]
+    play(36)
+    assert len(search.rows) == 36 and search.propose(36) is None
+
+
+def test_search_prunes_and_stops(spark):
+    folds = splits.purged_kfold(samples(spark), 3)
+    scores = {0: 0.9, 1: 0.8, 2: 0.7, 3: 0.6, 4: 0.5, 5: 0.1, 6: 0.95, 7: 0.2}
+    build = lambda s: learning.BelowMean(inputCol="a", factor=float(s["k"]))
+    search = learning.Search(build, {"k": list(range(8))}, lambda rows, label: 0.5, n_trials=8, sampler="random")
+    asked = []
+    search.build = lambda s: asked.append(s["k"]) or build(s)
+    search.metric = lambda rows, label: scores[asked[-1]]
+    states = {r.params["k"]: r.state for r in search.run(folds, "y").collect()}
+    order = list(dict.fromkeys(asked))
+    for i, k in enumerate(order):
+        done = sorted(scores[j] for j in order[:i] if states[str(j)] == "complete")
+        assert states[str(k)] == ("pruned" if len(done) >= 5 and scores[k] < np.median(done) else "complete")
+    assert learning.Search(build, {"k": [1]}, search.metric).run(folds, "y", timeout=-1).count() == 0
+
+
+def test_saved_model(spark, tmp_path):
+    rows = samples(spark)
+    model = learning.PrimarySecondary(LogisticRegression(maxIter=5), LogisticRegression(maxIter=5), ["a"], ["b"], n_splits=3, label="y", meta_label="meta").fit(rows)
+    model.save(f"file://{tmp_path}/m")
+    back = learning.PrimarySecondaryModel.load(f"file://{tmp_path}/m")
+    key = lambda df, c: [r[c] for r in df.orderBy("ticker", "datetime").collect()]
+    assert key(back.predict(rows), "prediction") == key(model.transform(rows), "final_decision")
+    assert np.allclose(key(back.predict_proba(rows), "probability"), [[1 - p, p] for p in key(model.transform(rows), "secondary_proba")])
+
+
+def test_many_columns(spark):
+    df = frame(spark, walk(90)).withColumn("other", F.col("close") * 2)
+    out = learning.FractionalDiff(inputCols=["close", "other"], threshold=1e-2).transform(df)
+    assert np.allclose(np.array(values(out, "other_frac_diff")[30:]), 2 * np.array(values(out, "close_frac_diff")[30:]))
+    assert {"close_trend_t", "other_trend_t"} <= set(learning.TrendScanning(inputCols=["close", "other"], windows=[5]).transform(df).columns)
+
+
+def test_batch_inputs(spark, tmp_path):
+    bars = frame(spark, walk(60))
+    batch = backtest.BatchBacktester(f"file://{tmp_path}/r")
+    assert batch.run(None, backtest.sma_cross) is None and batch.save() is None
+
+    class Organiser:
+        def test(self):
+            return bars
+
+    with pytest.raises(ValueError):
+        batch.run(bars, backtest.sma_cross, organiser=Organiser())
+    a = {r.metric: r.value for r in batch.run(None, backtest.sma_cross, organiser=Organiser(), n1=3, n2=8).collect()}
+    b = {r.metric: r.value for r in batch.run({"A": bars.drop("ticker")}, backtest.sma_cross(3, 8)).collect()}
+    assert a == b and a["# Trades"] >= 1
+
+
+def test_margin():
+    bars = pd.DataFrame({"datetime": pd.date_range("2024-01-01", periods=5), "open": [10.0, 10, 10, 4, 4], "close": [10.0, 10, 9, 4, 40], "signal": [1, 0, 0, 1, 0]})
+    equity, held, trades = backtest.Broker(cash=100.0, commission=0.0, margin=0.5).run(bars)
+    assert trades == [(1, 3, 20, 10.0, 4.0, -120.0)]  # twice the cash, gone at the fourth close
+    assert equity.tolist() == [100, 100, 80, -20, -20] and held.tolist() == [0, 20, 20, 20, 0]
+
+
+def test_failed_requests_lose_only_their_quarter(spark, tmp_path):
+    rows = frame(spark, walk(400)).drop("ticker")
+
+    def fetch(ticker, start, stop, interval):
+        if start.month == 4:
+            raise OSError("down")
+        return rows.filter((F.col("datetime") >= F.lit(start)) & (F.col("datetime") < F.lit(stop)))
+
+    first = rows.agg(F.min("datetime")).first()[0]
+    market = store.MarketStore(spark, f"file://{tmp_path}/q")
+    failed = market.add_ticker("A", fetch, quarters={first.year: [1, 2, 3, 4]})
+    assert [f[:2] for f in failed] == [(first.year, 2)]
+    assert market.add_ticker("A", fetch, quarters={first.year: [1]}) == []
+    kept = market.prices()
+    assert kept.count() == rows.filter((F.year("datetime") == first.year) & (F.quarter("datetime") != 2)).count() == kept.select("datetime").distinct().count()
+
+
 def test_transformers_in_a_pipeline(spark):
     df = frame(spark, walk(90))
     stages = [learning.FractionalDiff(threshold=1e-2), learning.TrendScanning(windows=[5, 10]), learning.BackwardSadf(minLength=15), learning.TripleBarrier(stop=90.0, multiple=2.0, horizon=5)]

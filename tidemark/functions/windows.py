@@ -66,28 +66,39 @@ def rogers_satchell(n: int = 30, w=None) -> Column:
     return F.sqrt(full(F.sum(term), term, n, w or by_time()) / n)
 
 
-def trend_t(column: str, n: int, w=None) -> Column:
-    """t-statistic of the slope of the next n values on their index, null where n rows or all variance are missing."""
+def trend_t(n: int, w=None) -> Column:
+    """t-statistic of the slope of the next n values on their index, null where n rows or all variance are missing.
+
+    Differences of the running sums that ``trend_scan`` has prepared; what rounding leaves of a perfect fit is no variance.
+    """
     w = w or by_time()
-    frame = w.rowsBetween(0, n - 1)
-    # the index within the ticker serves every window: slopes do not change by a shift
-    x, y = F.col("_index").cast("double"), F.col(column)
-    slope, sxx, syy, sxy = (f(y, x).over(frame) for f in (F.regr_slope, F.regr_sxx, F.regr_syy, F.regr_sxy))
-    error = F.sqrt(F.greatest(syy - slope * sxy, F.lit(0.0)) / (n - 2) / sxx)
-    return F.when(F.count(y).over(frame) == n, F.try_divide(slope, error))
+    over = lambda c: F.lead(c, n - 1).over(w) - F.lag(c, 1, 0.0).over(w)
+    sy, siy, syy = over("_sy"), over("_siy") - F.col("_index") * over("_sy"), over("_syy")
+    sxx = n * (n * n - 1) / 12
+    sxy = siy - (n - 1) / 2 * sy
+    total = syy - sy * sy / n
+    rest = total - sxy * sxy / sxx
+    error = F.when(rest > 1e-12 * syy, F.sqrt(rest / (n - 2) / sxx))
+    return F.when(over("_sn") == n, sxy / sxx / error)
+
 
+def trend_scan(bars: DataFrame, column: str = "close", windows: list[int] | int = [5, 10, 20, 40, 80, 120], name: str = "trend_t") -> DataFrame:  # noqa: B006
+    """bars with ``trend_t``: of all windows shorter than the series the t of largest size, the first window on ties.
 
-def trend_scan(bars: DataFrame, column: str = "close", windows: list[int] | int = [5, 10, 20, 40, 80, 120]) -> DataFrame:  # noqa: B006
-    """bars with ``trend_t``: of all windows shorter than the series the t of largest size, the first window on ties."""
+    Four running sums a series, of values less their mean, serve windows of any length at the same cost.
+    """
     windows = [windows] if isinstance(windows, int) else windows
-    w = by_time()
-    out = bars.select("*", F.row_number().over(w).alias("_index"), F.count("*").over(Window.partitionBy("ticker")).alias("_n"))
-    out = out.select("*", *(F.when(F.col("_n") > n, trend_t(column, n, w)).alias(f"_t{n}") for n in windows))
+    w, whole = by_time(), Window.partitionBy("ticker")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = bars.select("*", F.row_number().over(w).cast("double").alias("_index"), F.count("*").over(whole).alias("_n"), (F.col(column) - F.avg(column).over(whole)).alias("_y"))
+    y = F.coalesce("_y", F.lit(0.0))
+    out = out.select("*", F.sum(y).over(run).alias("_sy"), F.sum(y * F.col("_index")).over(run).alias("_siy"), F.sum(y * y).over(run).alias("_syy"), F.sum(F.col("_y").isNotNull().cast("double")).over(run).alias("_sn"))
+    out = out.select("*", *(F.when(F.col("_n") > n, trend_t(n, w)).alias(f"_t{n}") for n in windows))
     best = F.col(f"_t{windows[0]}")
     for n in windows[1:]:
         t = F.col(f"_t{n}")
         best = F.when(best.isNull() | (F.abs(t) > F.abs(best)), t).otherwise(best)
-    return out.withColumn("trend_t", best).drop("_index", "_n", *(f"_t{n}" for n in windows))
+    return out.withColumn(name, best).drop("_index", "_n", "_y", "_sy", "_siy", "_syy", "_sn", *(f"_t{n}" for n in windows))
 
 
 def ffd_weights(d: float, threshold: float = 1e-5) -> list[float]:
@@ -113,9 +124,9 @@ def frac_diff(bars: DataFrame, column: str = "close", d: float = 0.4, threshold:
     n, w = len(weights), by_time()
     kernel = weights[::-1] if canonical else weights  # kernel[j] meets the value n - 1 - j rows ago
     if n <= inline:
-        path = F.collect_list(column).over(w.rowsBetween(1 - n, 0))
-        total = F.aggregate(F.zip_with(path, F.array(*map(F.lit, kernel)), lambda x, k: x * k), F.lit(0.0), lambda s, x: s + x)
-        return bars.withColumn(name, F.when(F.count(column).over(w.rowsBetween(1 - n, 0)) == n, total))
+        lags = bars.select("*", *(F.lag(column, k).over(w).alias(f"_lag{k}") for k in range(1, n)))
+        total = sum((F.col(f"_lag{n - 1 - j}") * k for j, k in enumerate(kernel[:-1])), F.lit(0.0)) + F.col(column) * kernel[-1]
+        return lags.withColumn(name, total).drop(*(f"_lag{k}" for k in range(1, n)))
 
     def convolve(frame):
         import numpy as np

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+import time
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,8 +12,8 @@ from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bsadf as _bsadf
@@ -37,54 +37,92 @@ def fill_gaps(rows: DataFrame, column: str, order: list[str], keys: list[str] =
     return rows.withColumn(column, F.coalesce(before, after))
 
 
-class PrimarySecondary:
+class PrimarySecondary(Estimator):
     """A primary classifier, and a secondary one that also sees how unsure the primary is.
 
     The entropy that the secondary learns from is out of fold, by purged folds; rows that no fold predicts take their
-    ticker's neighbours' (``fill_by_ticker=False``: the neighbours in the order of time and ticker, in one task).
+    ticker's neighbours' (``fill_by_ticker=False``: the neighbours in the order of time and ticker, in one task). Rows need
+    datetime, ticker, the features and the columns named by ``label``, ``meta_label`` and, if given, ``weight``.
     """
 
-    def __init__(self, primary, secondary, primary_features: list[str], secondary_features: list[str], n_splits: int = 5, t1: str | None = None, embargo_pct: float = 0.01, fill_by_ticker: bool = True):
+    def __init__(self, primary, secondary, primary_features: list[str], secondary_features: list[str], n_splits: int = 5, t1: str | None = None, embargo_pct: float = 0.01, fill_by_ticker: bool = True, label: str = "label", meta_label: str = "meta_label", weight: str | None = None):
+        super().__init__()
         self.primary, self.secondary = primary, secondary
         self.primary_features, self.secondary_features = primary_features, secondary_features
         self.folds = {"n_splits": n_splits, "t1": t1, "embargo_pct": embargo_pct}
         self.n_splits, self.fill_by_ticker = n_splits, fill_by_ticker
+        self.label, self.meta_label, self.weight = label, meta_label, weight
 
     @staticmethod
-    def _fit(estimator, rows: DataFrame, features: list[str], label: str, weight: str | None):
+    def _train(estimator, rows: DataFrame, features: list[str], label: str, weight: str | None):
         stage = estimator.copy({estimator.labelCol: label, estimator.featuresCol: "_x", **({estimator.weightCol: weight} if weight else {})})
         return stage.fit(VectorAssembler(inputCols=features, outputCol="_x").transform(rows))
 
-    @staticmethod
-    def _apply(model, rows: DataFrame, features: list[str], prefix: str) -> DataFrame:
-        out = model.transform(VectorAssembler(inputCols=features, outputCol="_x").transform(rows))
-        p = vector_to_array("probability")
-        return out.withColumns({f"{prefix}_pred": F.col("prediction"), f"{prefix}_proba": F.element_at(p, 2), f"{prefix}_entropy": entropy(p)}).drop("_x", "rawPrediction", "probability", "prediction")
-
-    def out_of_fold(self, rows: DataFrame, label: str, weight: str | None = None) -> DataFrame:
+    def out_of_fold(self, rows: DataFrame) -> DataFrame:
         """rows with ``oof_entropy``, null where no fold predicts."""
         split = purged_kfold(rows, **self.folds).persist()
-        parts = []
-        for k in range(self.n_splits):
-            fold = split.filter(F.col("fold") == k)
-            model = self._fit(self.primary, fold.filter("role = 'train'"), self.primary_features, label, weight)
-            parts.append(self._apply(model, fold.filter("role = 'test'"), self.primary_features, "oof"))
+        try:
+            parts = []
+            for k in range(self.n_splits):
+                fold = split.filter(F.col("fold") == k)
+                model = self._train(self.primary, fold.filter("role = 'train'"), self.primary_features, self.label, self.weight)
+                parts.append(_scored(model, fold.filter("role = 'test'"), self.primary_features, "oof"))
+        finally:
+            split.unpersist()
         seen = reduce(lambda a, b: a.unionByName(b), parts).select("datetime", "ticker", "oof_entropy")
         return rows.join(seen, ["datetime", "ticker"], "left")
 
-    def fit(self, rows: DataFrame, label: str, meta_label: str, weight: str | None = None) -> PrimarySecondary:
-        oof = fill_gaps(self.out_of_fold(rows, label, weight), "oof_entropy", ["datetime", "ticker"], ["ticker"] if self.fill_by_ticker else [])
-        self.primary_model = self._fit(self.primary, rows, self.primary_features, label, weight)
+    def _fit(self, rows: DataFrame) -> PrimarySecondaryModel:
+        oof = fill_gaps(self.out_of_fold(rows), "oof_entropy", ["datetime", "ticker"], ["ticker"] if self.fill_by_ticker else [])
+        primary = self._train(self.primary, rows, self.primary_features, self.label, self.weight)
         known = oof.withColumnRenamed("oof_entropy", "primary_entropy").filter("primary_entropy is not null")
-        self.secondary_model = self._fit(self.secondary, known, [*self.secondary_features, "primary_entropy"], meta_label, weight)
-        return self
+        secondary = self._train(self.secondary, known, [*self.secondary_features, "primary_entropy"], self.meta_label, self.weight)
+        return PrimarySecondaryModel(primary, secondary, self.primary_features, self.secondary_features)
+
+
+def _scored(model, rows: DataFrame, features: list[str], prefix: str) -> DataFrame:
+    own = model.copy({model.predictionCol: "_prediction", model.probabilityCol: "_probability", model.rawPredictionCol: "_raw"})
+    out = own.transform(VectorAssembler(inputCols=features, outputCol="_x").transform(rows))
+    p = vector_to_array("_probability")
+    return out.withColumns({f"{prefix}_pred": F.col("_prediction"), f"{prefix}_proba": F.element_at(p, 2), f"{prefix}_entropy": entropy(p)}).drop("_x", "_raw", "_probability", "_prediction")
+
+
+class PrimarySecondaryModel(Model):
+    """Both fitted stages; ``save`` and ``load`` keep them with the names of their features."""
+
+    def __init__(self, primary_model, secondary_model, primary_features: list[str], secondary_features: list[str]):
+        super().__init__()
+        self.primary_model, self.secondary_model = primary_model, secondary_model
+        self.primary_features, self.secondary_features = primary_features, secondary_features
 
-    def transform(self, rows: DataFrame) -> DataFrame:
+    def _transform(self, rows: DataFrame) -> DataFrame:
         """rows with primary_pred, primary_proba, primary_entropy, secondary_proba and final_decision."""
-        out = self._apply(self.primary_model, rows, self.primary_features, "primary")
-        out = self._apply(self.secondary_model, out, [*self.secondary_features, "primary_entropy"], "secondary")
+        rows = rows.drop("primary_pred", "primary_proba", "primary_entropy", "secondary_proba", "final_decision")
+        out = _scored(self.primary_model, rows, self.primary_features, "primary")
+        out = _scored(self.secondary_model, out, [*self.secondary_features, "primary_entropy"], "secondary")
         return out.withColumnRenamed("secondary_pred", "final_decision").drop("secondary_entropy")
 
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """rows with ``prediction``, the final decision."""
+        return self.transform(rows).select(*rows.columns, F.col("final_decision").alias("prediction"))
+
+    def predict_proba(self, rows: DataFrame) -> DataFrame:
+        """rows with ``probability``: of the secondary's classes 0 and 1."""
+        return self.transform(rows).select(*rows.columns, F.array(1 - F.col("secondary_proba"), F.col("secondary_proba")).alias("probability"))
+
+    def save(self, path: str) -> None:
+        self.primary_model.write().overwrite().save(f"{path}/primary")
+        self.secondary_model.write().overwrite().save(f"{path}/secondary")
+        rows = [(k, i, c) for k, names in (("primary", self.primary_features), ("secondary", self.secondary_features)) for i, c in enumerate(names)]
+        SparkSession.active().createDataFrame(rows, "stage string, place int, name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
+
+    @classmethod
+    def load(cls, path: str) -> PrimarySecondaryModel:
+        spark = SparkSession.active()
+        rows = spark.read.parquet(f"{path}/features").orderBy("place").collect()
+        stages = [DefaultParamsReader.loadParamsInstance(f"{path}/{k}", spark.sparkContext) for k in ("primary", "secondary")]
+        return cls(*stages, *([r["name"] for r in rows if r.stage == k] for k in ("primary", "secondary")))
+
 
 def f1(rows: DataFrame, label: str, prediction: str, keys: list[str] = ()) -> DataFrame:
     """(keys, f1) of class 1."""
@@ -93,70 +131,178 @@ def f1(rows: DataFrame, label: str, prediction: str, keys: list[str] = ()) -> Da
     return rows.groupBy(*keys).agg(F.coalesce(F.try_divide(2.0 * hit, 2 * hit + miss), F.lit(0.0)).alias("f1"))
 
 
-class Search:
-    """Seeded search over settings: each trial is scored fold by fold and stops early if its running mean falls behind.
+def log_loss(rows: DataFrame, label: str, p: str, keys: list[str] = ()) -> DataFrame:
+    """(keys, log_loss) of probabilities of class 1, cut off 1e-15 from 0 and 1."""
+    safe = F.least(F.greatest(F.col(p), F.lit(1e-15)), F.lit(1 - 1e-15))
+    loss = -F.avg(F.when(F.col(label) == 1, F.ln(safe)).otherwise(F.ln(1 - safe)))
+    return rows.groupBy(*keys).agg(loss.alias("log_loss"))
+
+
+def metric(name: str) -> Callable[[DataFrame, str], float]:
+    """A score of transformed rows: f1 of the predictions, log_loss or auc of the probabilities."""
+    if name == "f1":
+        return lambda rows, label: rows.transform(lambda r: f1(r, label, "prediction")).first().f1
+    kind = {"log_loss": log_loss, "auc": auc}[name]
+    return lambda rows, label: kind(rows.withColumn("_p", F.element_at(vector_to_array("probability"), 2)), label, "_p").first()[0]
 
-    ``build(settings)`` gives an estimator with featuresCol ``features``; trials are rows (trial, params, fold, score).
-    """
 
-    def __init__(self, build: Callable[[dict], Estimator], space: dict[str, list], metric: Callable[[DataFrame, str], float], n_trials: int = 50, seed: int = 42, maximise: bool = True):
-        grid = [dict(zip(space, c)) for c in itertools.product(*space.values())]
-        order = np.random.default_rng(seed).permutation(len(grid))[:n_trials]
-        self.build, self.settings, self.metric, self.sign = build, [grid[i] for i in sorted(order)], metric, 1 if maximise else -1
+class Search:
+    """Seeded search over settings, each scored fold by fold.
+
+    ``build(settings)`` gives an estimator. The first ``startup`` trials are drawn at random, later ones by tree-structured
+    Parzen estimators: of CANDIDATES drawn as the best tenth of trials has chosen, the one that is likeliest among those
+    against the others; a setting is tried once (``sampler="random"``: drawn at random throughout). A trial is pruned when
+    its running mean is worse than the median of the finished ones at the same fold, once WARM have finished. With
+    ``path`` trials are stored after each, and a study of the same name goes on where it ended; a trial depends on the
+    seed, its number and the trials before it only. Trials are rows (study, trial, params, choice, fold, score, state).
+    """
 
-    def run(self, folds: DataFrame, label: str, slack: float = 0.1) -> DataFrame:
+    CANDIDATES = 24
+    WARM = 5
+    ROWS = "study string, trial int, params map<string,string>, choice array<int>, fold int, score double, state string"
+
+    def __init__(self, build: Callable[[dict], Estimator], space: dict[str, list], metric: Callable[[DataFrame, str], float], n_trials: int = 50, seed: int = 42, maximise: bool = True, sampler: str = "tpe", startup: int = 10, study: str = "study", path: str | None = None):
+        self.build, self.space, self.metric, self.n_trials = build, space, metric, n_trials
+        self.seed, self.sign, self.sampler, self.startup, self.study, self.path = seed, 1 if maximise else -1, sampler, startup, study, path
+        self.rows: list[tuple] = []
+
+    def settings(self, choice) -> dict:
+        return {k: values[c] for (k, values), c in zip(self.space.items(), choice)}
+
+    def _finished(self) -> dict[int, tuple[tuple[int, ...], list[float]]]:
+        out: dict[int, tuple[tuple[int, ...], list[float]]] = {}
+        for _, trial, _, choice, _, score, state in self.rows:
+            if state == "complete":
+                out.setdefault(trial, (tuple(choice), []))[1].append(score)
+        return out
+
+    def propose(self, trial: int) -> tuple[int, ...] | None:
+        """The next setting, as places in the lists of the space; None if all have been tried."""
+        tried = {tuple(r[3]) for r in self.rows}
+        sizes = [len(v) for v in self.space.values()]
+        total = int(np.prod(sizes))
+        if len(tried) >= total:
+            return None
+        rng = np.random.default_rng([self.seed, trial])
+
+        def fresh(choice):
+            code = int(np.ravel_multi_index(choice, sizes))
+            while (choice := tuple(int(c) for c in np.unravel_index(code % total, sizes))) in tried:
+                code += 1
+            return choice
+
+        done = sorted(self._finished().values(), key=lambda d: -self.sign * float(np.mean(d[1])))
+        if self.sampler == "random" or trial < self.startup or len(done) < 2:
+            return fresh(tuple(int(rng.integers(n)) for n in sizes))
+        cut = max(1, -(-len(done) // 10))
+        weigh = lambda some: [(np.bincount([c[k] for c, _ in some], minlength=n) + 1) / (len(some) + n) for k, n in enumerate(sizes)]
+        good, bad = weigh(done[:cut]), weigh(done[cut:])
+        drawn = [tuple(int(rng.choice(n, p=good[k])) for k, n in enumerate(sizes)) for _ in range(self.CANDIDATES)]
+        gain = lambda c: sum(float(np.log(good[k][i] / bad[k][i])) for k, i in enumerate(c))
+        new = [c for c in drawn if c not in tried]
+        return max(new, key=gain) if new else fresh(drawn[0])
+
+    def run(self, folds: DataFrame, label: str, timeout: float | None = None) -> DataFrame:
+        spark, begun = folds.sparkSession, time.monotonic()
+        if self.path:
+            spark.createDataFrame([], self.ROWS).write.mode("append").parquet(self.path)
+            old = spark.read.schema(self.ROWS).parquet(self.path).filter(F.col("study") == self.study)
+            self.rows = [tuple(r) for r in old.orderBy("trial", "fold").collect()]  # one row a fold of each trial
         folds = folds.persist()
-        ids = sorted(r[0] for r in folds.select("fold").distinct().collect())
-        rows, best = [], None
-        for trial, setting in enumerate(self.settings):
-            scores = []
-            for k in ids:
-                fold = folds.filter(F.col("fold") == k)
-                model = self.build(setting).fit(fold.filter("role = 'train'"))
-                scores.append(float(self.metric(model.transform(fold.filter("role = 'test'")), label)))
-                rows.append((trial, {a: str(b) for a, b in setting.items()}, int(k), scores[-1]))
-                if best is not None and self.sign * np.mean(scores) < self.sign * best - slack:
+        try:
+            ids = sorted(r[0] for r in folds.select("fold").distinct().collect())
+            for trial in range(1 + max((r[1] for r in self.rows), default=-1), self.n_trials):
+                if timeout is not None and time.monotonic() - begun > timeout or (choice := self.propose(trial)) is None:
                     break
-            else:
-                best = np.mean(scores) if best is None else self.sign * max(self.sign * best, self.sign * np.mean(scores))
-        self.trials = folds.sparkSession.createDataFrame(rows, "trial int, params map<string,string>, fold int, score double")
+                before = [d[1] for d in self._finished().values()]
+                scores, state = [], "complete"
+                for k in ids:
+                    fold = folds.filter(F.col("fold") == k)
+                    model = self.build(self.settings(choice)).fit(fold.filter("role = 'train'"))
+                    scores.append(float(self.metric(model.transform(fold.filter("role = 'test'")), label)))
+                    usual = [self.sign * float(np.mean(d[: len(scores)])) for d in before]
+                    if len(usual) >= self.WARM and len(scores) < len(ids) and self.sign * float(np.mean(scores)) < float(np.median(usual)):
+                        state = "pruned"
+                        break
+                named = {a: str(b) for a, b in self.settings(choice).items()}
+                new = [(self.study, trial, named, list(choice), int(k), s, state) for k, s in zip(ids, scores)]
+                self.rows += new
+                if self.path:
+                    spark.createDataFrame(new, self.ROWS).coalesce(1).write.mode("append").parquet(self.path)
+        finally:
+            folds.unpersist()
+        self.trials = spark.createDataFrame(self.rows, self.ROWS)
         return self.trials
 
     def best(self) -> dict:
-        n = F.count("*")
-        means = self.trials.groupBy("trial").agg(F.avg("score").alias("m"), n.alias("n"))
-        most = means.agg(F.max("n")).first()[0]
-        top = means.filter(F.col("n") == most).orderBy(F.col("m") * -self.sign, "trial").first()
-        return self.settings[top.trial]
+        """The setting of the finished trial with the best mean score, the first on ties."""
+        done = self._finished()
+        top = min(done, key=lambda t: (-self.sign * float(np.mean(done[t][1])), t))
+        return self.settings(done[top][0])
 
 
 class ModelEngine:
-    """Search, refit on all training rows, score once on the hold-out, store."""
+    """Search, refit on all training rows, score once on the hold-out, store with tags."""
+
+    def __init__(self, search: Search, path: str | None = None, tags: dict[str, str] | None = None):
+        self.search, self.path, self.tags, self.model = search, path, tags or {}, None
+
+    def validate(self, model: Model, rows: DataFrame, label: str) -> float:
+        return float(self.search.metric(model.transform(rows), label))
 
-    def __init__(self, search: Search, path: str | None = None):
-        self.search, self.path = search, path
+    def register(self, model: Model, score: float, run: str = "run") -> None:
+        """Keeps the model below ``path``/models/``run`` and a row of its settings, tags and score in ``path``/runs."""
+        model.write().overwrite().save(f"{self.path}/models/{run}")
+        row = (run, {k: str(v) for k, v in self.search.best().items()}, self.tags, score)
+        SparkSession.active().createDataFrame([row], "run string, params map<string,string>, tags map<string,string>, score double").coalesce(1).write.mode("append").parquet(f"{self.path}/runs")
+        self.search.trials.write.mode("append").parquet(f"{self.path}/trials")
 
-    def run(self, folds: DataFrame, train: DataFrame, test: DataFrame, label: str):
+    def load(self, run: str = "run") -> Model:
+        return DefaultParamsReader.loadParamsInstance(f"{self.path}/models/{run}", SparkSession.active().sparkContext)
+
+    def run(self, folds: DataFrame, train: DataFrame, test: DataFrame, label: str, run: str = "run"):
         self.search.run(folds, label)
-        model = self.search.build(self.search.best()).fit(train)
-        score = self.search.metric(model.transform(test), label)
+        self.model = self.search.build(self.search.best()).fit(train)
+        score = self.validate(self.model, test, label)
         if self.path:
-            model.write().overwrite().save(f"{self.path}/model")
-            self.search.trials.write.mode("append").parquet(f"{self.path}/trials")
-        return model, score
+            self.register(self.model, score, run)
+        return self.model, score
+
+
+class _Rule(DefaultParamsReadable, DefaultParamsWritable):
+    inputCol = Param(Params._dummy(), "inputCol", "input column", TypeConverters.toString)
+    factor = Param(Params._dummy(), "factor", "share of the training mean", TypeConverters.toFloat)
+    level = Param(Params._dummy(), "level", "values below it are of class 1", TypeConverters.toFloat)
+
+
+class BelowMean(Estimator, _Rule):
+    """A baseline: class 1 where a column is below ``factor`` times its mean over the training rows."""
+
+    @keyword_only
+    def __init__(self, *, inputCol="close", factor=1.0):
+        super().__init__()
+        self._setDefault(inputCol="close", factor=1.0)
+        self._set(**self._input_kwargs)
+
+    def _fit(self, rows: DataFrame) -> BelowMeanModel:
+        mean = rows.agg(F.avg(self.getOrDefault(self.inputCol))).first()[0]
+        return BelowMeanModel()._set(inputCol=self.getOrDefault(self.inputCol), level=float(mean or 0.0) * self.getOrDefault(self.factor))
+
+
+class BelowMeanModel(Model, _Rule):
+    def _transform(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("prediction", (F.col(self.getOrDefault(self.inputCol)) < self.getOrDefault(self.level)).cast("double"))
 
 
 class AssetOrganiser:
     """Panel, split by a cutoff, fit on what is before it, decide on what is after."""
 
-    def __init__(self, classifier: PrimarySecondary, panel: DataFrame, cutoff, label: str, meta_label: str, weight: str | None = None):
-        self.classifier, self.panel, self.cutoff = classifier, panel, cutoff
-        self.label, self.meta_label, self.weight, self._test = label, meta_label, weight, None
+    def __init__(self, classifier: Estimator, panel: DataFrame, cutoff):
+        self.classifier, self.panel, self.cutoff, self.model, self._test = classifier, panel, cutoff, None, None
 
     def prepare(self) -> AssetOrganiser:
-        train = self.panel.filter(F.col("datetime") < F.lit(self.cutoff))
-        self.classifier.fit(train, self.label, self.meta_label, self.weight)
-        self._test = self.classifier.transform(self.panel.filter(F.col("datetime") >= F.lit(self.cutoff)))
+        self.model = self.classifier.fit(self.panel.filter(F.col("datetime") < F.lit(self.cutoff)))
+        self._test = self.model.transform(self.panel.filter(F.col("datetime") >= F.lit(self.cutoff)))
         return self
 
     def test(self, ticker: str | None = None) -> DataFrame:
@@ -166,40 +312,49 @@ class AssetOrganiser:
 
 
 class _Windowed(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """A transformer over (ticker, datetime, inputCol) that adds outputCol."""
+    """A transformer over (ticker, datetime, inputCol) that adds outputCol; with ``inputCols`` each of them is transformed
+    into a column of its name and the suffix of outputCol."""
 
     inputCol = Param(Params._dummy(), "inputCol", "input column", TypeConverters.toString)
+    inputCols = Param(Params._dummy(), "inputCols", "input columns, instead of inputCol", TypeConverters.toListString)
     outputCol = Param(Params._dummy(), "outputCol", "output column", TypeConverters.toString)
 
     def get(self, name: str):
         return self.getOrDefault(getattr(self, name))
 
+    def pairs(self) -> list[tuple[str, str]]:
+        many = self.get("inputCols") if self.isSet(self.inputCols) else []
+        return [(c, f"{c}_{self.get('outputCol')}") for c in many] or [(self.get("inputCol"), self.get("outputCol"))]
+
+    def _transform(self, rows: DataFrame) -> DataFrame:
+        return reduce(lambda out, pair: self.one(out, *pair), self.pairs(), rows)
+
 
 class FractionalDiff(_Windowed):
     d = Param(Params._dummy(), "d", "order of the difference", TypeConverters.toFloat)
     threshold = Param(Params._dummy(), "threshold", "least weight", TypeConverters.toFloat)
 
     @keyword_only
-    def __init__(self, *, inputCol="close", outputCol="frac_diff", d=0.4, threshold=1e-3):
+    def __init__(self, *, inputCol="close", inputCols=None, outputCol="frac_diff", d=0.4, threshold=1e-3):
         super().__init__()
         self._setDefault(inputCol="close", outputCol="frac_diff", d=0.4, threshold=1e-3)
         self._set(**self._input_kwargs)
 
-    def _transform(self, rows):
-        return _windows.frac_diff(rows, self.get("inputCol"), self.get("d"), self.get("threshold"), name=self.get("outputCol"))
+    def one(self, rows: DataFrame, column: str, name: str) -> DataFrame:
+        return _windows.frac_diff(rows, column, self.get("d"), self.get("threshold"), name=name)
 
 
 class TrendScanning(_Windowed):
     windows = Param(Params._dummy(), "windows", "window lengths", TypeConverters.toListInt)
 
     @keyword_only
-    def __init__(self, *, inputCol="close", outputCol="trend_t", windows=[5, 10, 15, 20, 30, 40, 60, 80, 100, 120, 150, 180]):  # noqa: B006
+    def __init__(self, *, inputCol="close", inputCols=None, outputCol="trend_t", windows=[5, 10, 15, 20, 30, 40, 60, 80, 100, 120, 150, 180]):  # noqa: B006
         super().__init__()
         self._setDefault(inputCol="close", outputCol="trend_t", windows=[5, 10, 15, 20, 30, 40, 60, 80, 100, 120, 150, 180])
         self._set(**self._input_kwargs)
 
-    def _transform(self, rows):
-        return _windows.trend_scan(rows, self.get("inputCol"), self.get("windows")).withColumnRenamed("trend_t", self.get("outputCol"))
+    def one(self, rows: DataFrame, column: str, name: str) -> DataFrame:
+        return _windows.trend_scan(rows, column, self.get("windows"), name)
 
 
 class BackwardSadf(_Windowed):
@@ -207,14 +362,14 @@ class BackwardSadf(_Windowed):
     lags = Param(Params._dummy(), "lags", "lagged differences", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, inputCol="close", outputCol="bsadf", minLength=20, lags=1):
+    def __init__(self, *, inputCol="close", inputCols=None, outputCol="bsadf", minLength=20, lags=1):
         super().__init__()
         self._setDefault(inputCol="close", outputCol="bsadf", minLength=20, lags=1)
         self._set(**self._input_kwargs)
 
-    def _transform(self, rows):
-        got = _bsadf.bsadf(rows, self.get("inputCol"), "linear", self.get("lags"), self.get("minLength"))
-        return rows.join(got.withColumnRenamed("bsadf", self.get("outputCol")), ["ticker", "datetime"], "left")
+    def one(self, rows: DataFrame, column: str, name: str) -> DataFrame:
+        got = _bsadf.bsadf(rows, column, "linear", self.get("lags"), self.get("minLength"))
+        return rows.join(got.withColumnRenamed("bsadf", name), ["ticker", "datetime"], "left")
 
 
 class TripleBarrier(_Windowed):
@@ -253,9 +408,5 @@ def auc(rows: DataFrame, label: str, score: str, keys: list[str] = ()) -> DataFr
 
 def scores(model: Model, rows: DataFrame, label: str) -> DataFrame:
     """(f1, log_loss, n) of a model with probabilities, as one aggregate."""
-    p = F.element_at(vector_to_array("probability"), 2)
-    eps = 1e-15
-    safe = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
-    loss = -F.avg(F.when(F.col(label) == 1, F.ln(safe)).otherwise(F.ln(1 - safe)))
-    out = model.transform(rows)
-    return f1(out, label, "prediction").join(out.agg(loss.alias("log_loss"), F.count("*").alias("n")))
+    out = model.transform(rows).withColumn("_p", F.element_at(vector_to_array("probability"), 2))
+    return f1(out, label, "prediction").join(log_loss(out, label, "_p")).join(out.agg(F.count("*").alias("n")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -71,32 +74,93 @@ def split_returns(returns: DataFrame, train: int = 126, test: int = 63) -> DataF
     return returns.join(walk_forward(time_ranks(returns), train, test), "datetime")
 
 
+def _equal(split: DataFrame, keys: tuple[str, ...], both: bool) -> DataFrame:
+    """(keys, role, datetime, ret): the mean over assets at the times that have all assets of their split."""
+    names = split.groupBy(*keys).agg(F.count_distinct("ticker").alias("_all"))
+    means = split.groupBy(*keys, "role", "datetime").agg(F.avg("ret").alias("ret"), F.count("ret").alias("_n"))
+    full = means.join(names, list(keys)).filter("_n = _all")
+    return (full if both else full.filter("role = 'test'")).select(*keys, "role", "datetime", "ret")
+
+
+def optimal(split: DataFrame, grid: list[dict], keys: tuple[str, ...] = ("split",), slack: float = 1e-4) -> DataFrame:
+    """(keys, param, feasible, optimal): whether the weights are long-only and add up to one, and whether no shift of weight
+    from one asset to another would gain (the conditions of Karush, Kuhn and Tucker), up to ``slack`` of the gradient.
+
+    With ``min_return`` the shifts are judged by the gradient less the multiple of the means that makes the held assets
+    equal, and the least return must be reached, exactly if that multiple is not zero.
+    """
+    dealt = split.filter("role = 'train'").withColumn("param", F.explode(F.array(*map(F.lit, range(len(grid))))))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        past = frame.pivot(index="datetime", columns="ticker", values="ret").dropna().to_numpy()
+        setting = dict(grid[int(frame["param"].iloc[0])])
+        setting.pop("estimator", None)
+        mean, cov = past.mean(0), np.atleast_2d(np.cov(past, rowvar=False))
+        w = mean_variance(mean, cov, **setting)
+        risk = setting.get("risk_aversion")
+        slope = 2 * (1.0 if risk is None else risk) * cov @ w - (0.0 if risk is None else 1.0) * mean
+        held, least, feasible = w > 1e-6, setting.get("min_return"), bool(w.min() >= 0 and abs(w.sum() - 1) < 1e-9)
+        if least is not None and mean.max() <= least:
+            best = bool(w[int(np.argmax(mean))] == 1)
+        else:
+            pull = 0.0
+            if least is not None and held.sum() > 1:
+                pull = max(0.0, float(np.linalg.lstsq(np.column_stack([mean[held], np.ones(held.sum())]), slope[held], rcond=None)[0][0]))
+                feasible = feasible and bool(w @ mean >= least - 1e-9)
+            rest = slope - pull * mean
+            best = bool(rest[held].max() - rest.min() <= slack * np.abs(slope).max()) and (pull * (w @ mean - (least or 0.0)) <= slack * np.abs(slope).max())
+        return pd.DataFrame({**{k: [frame[k].iloc[0]] for k in (*keys, "param")}, "feasible": [feasible], "optimal": [bool(best)]})
+
+    kinds = ", ".join(f"{k} {split.schema[k].dataType.simpleString()}" for k in keys)
+    return dealt.select(*dict.fromkeys([*keys, "datetime", "ticker", "ret", "param"])).groupBy(*keys, "param").applyInPandas(run, f"{kinds}, param int, feasible boolean, optimal boolean")
+
+
+def weights(returns: DataFrame, setting: dict) -> DataFrame:
+    """(ticker, weight) of one setting learned on all returns."""
+    setting = dict(setting)
+    if setting.pop("estimator", "mean_variance") == "equal":
+        names = returns.select("ticker").distinct()
+        return names.join(names.agg((1.0 / F.count("*")).alias("weight")))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        wide = frame.pivot(index="datetime", columns="ticker", values="ret").dropna()
+        past = wide.to_numpy()
+        return pd.DataFrame({"ticker": wide.columns, "weight": mean_variance(past.mean(0), np.atleast_2d(np.cov(past, rowvar=False)), **setting)})
+
+    return returns.select("datetime", "ticker", "ret").groupBy().applyInPandas(run, "ticker string, weight double")
+
+
 def fit_predict(split: DataFrame, grid: list[dict], keys: tuple[str, ...] = ("split",), both: bool = False) -> DataFrame:
     """(keys, param, role, datetime, ret): for each split and each entry of the grid (``estimator`` equal or mean_variance,
     and its settings) the returns of weights learned on the split's training times.
 
-    A group is one split with one setting: as many rows as its window has times and assets.
+    A group is one split with one setting: as many rows as its window has times and assets. Equal weights are a mean and
+    stay in the JVM.
     """
-    dealt = split.withColumn("param", F.explode(F.array(*map(F.lit, range(len(grid))))))
+    equal = [k for k, g in enumerate(grid) if g.get("estimator") == "equal"]
+    rest = [k for k in range(len(grid)) if k not in equal]
+    means = _equal(split, keys, both).withColumn("param", F.explode(F.array(*map(F.lit, equal)))) if equal else None
+    if not rest:
+        return means.select(*keys, "param", "role", "datetime", "ret")
+    dealt = split.withColumn("param", F.explode(F.array(*map(F.lit, rest))))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         wide = frame.pivot(index="datetime", columns="ticker", values="ret").dropna()
         role = frame.groupby("datetime")["role"].first().reindex(wide.index)
         past = wide[role == "train"].to_numpy()
         setting = dict(grid[int(frame["param"].iloc[0])])
-        if setting.pop("estimator", "mean_variance") == "equal":
-            w = np.full(wide.shape[1], 1 / wide.shape[1])
-        elif len(past) < 2:
+        setting.pop("estimator", None)
+        if len(past) < 2:
             return pd.DataFrame({k: [] for k in (*keys, "param", "role", "datetime", "ret")})
-        else:
-            w = mean_variance(past.mean(0), np.atleast_2d(np.cov(past, rowvar=False)), **setting)
+        w = mean_variance(past.mean(0), np.atleast_2d(np.cov(past, rowvar=False)), **setting)
         shown = wide if both else wide[role == "test"]
         return pd.DataFrame({**{k: frame[k].iloc[0] for k in (*keys, "param")}, "role": role.reindex(shown.index).to_numpy(), "datetime": shown.index, "ret": shown.to_numpy() @ w})
 
     at = split.schema["datetime"].dataType.simpleString()
     kinds = ", ".join(f"{k} {split.schema[k].dataType.simpleString()}" for k in keys)
     need = [*dict.fromkeys([*keys, "datetime", "ticker", "ret", "role", "param"])]
-    return dealt.select(*need).groupBy(*keys, "param").applyInPandas(run, f"{kinds}, param int, role string, datetime {at}, ret double")
+    learned = dealt.select(*need).groupBy(*keys, "param").applyInPandas(run, f"{kinds}, param int, role string, datetime {at}, ret double")
+    return learned if means is None else learned.unionByName(means)
 
 
 def measures(returns: DataFrame, keys: list[str], beta: float = 0.95) -> DataFrame:
@@ -115,6 +179,19 @@ def measures(returns: DataFrame, keys: list[str], beta: float = 0.95) -> DataFra
     )
 
 
+def levels(points: int = 8, low: float = 0.025, high: float = 0.20) -> list[float]:
+    """Evenly spaced least returns of a frontier, a year's as a day's."""
+    return [float(r) for r in np.linspace(low, high, points) / YEAR]
+
+
+def curves(returns: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, datetime, cumulative, drawdown): what a plot of summed returns and their falls shows."""
+    run = Window.partitionBy(*keys).orderBy("datetime").rowsBetween(Window.unboundedPreceding, 0)
+    out = returns.withColumn("cumulative", F.sum("ret").over(run))
+    fall = F.greatest(F.max("cumulative").over(run), F.lit(0.0)) - F.col("cumulative")
+    return out.select(*keys, "datetime", "cumulative", fall.alias("drawdown"))
+
+
 class StrategyLab:
     """Searches, replays and stress-tests portfolio strategies: name -> {"estimator": ..., "grid": [settings]}."""
 
@@ -122,18 +199,32 @@ class StrategyLab:
         self.returns, self.strategies, self.train, self.test = complete(returns), strategies, train, test
         self.best: dict[str, dict] = {}
 
-    def search(self, score: str = "annual_sharpe") -> DataFrame:
-        """(strategy, param, score): mean score of each setting over the test windows; keeps the best of each strategy."""
-        split, rows = split_returns(self.returns, self.train, self.test), None
+    def search(self, score: str | Callable[[DataFrame, list[str]], DataFrame] = "annual_sharpe", split: DataFrame | None = None) -> DataFrame:
+        """(strategy, param, score): mean score of each setting over the test windows; keeps the best of each strategy.
+
+        ``score`` is one of the measures, or a function of returns and keys that gives (keys, score); ``split`` any table
+        of returns with ``split`` and ``role``, by default walk-forward. ``refitted`` has the winners' weights.
+        """
+        split, rows = split_returns(self.returns, self.train, self.test) if split is None else split, None
+        rate = score if callable(score) else lambda r, keys: measures(r, keys).withColumnRenamed(score, "score")
         for name, config in self.strategies.items():
             grid = [{"estimator": config["estimator"], **g} for g in (config.get("grid") or [{}])]
-            got = measures(fit_predict(split, grid), ["split", "param"]).groupBy("param").agg(F.avg(score).alias("score"))
+            got = rate(fit_predict(split, grid), ["split", "param"]).groupBy("param").agg(F.avg("score").alias("score"))
             best = got.orderBy(F.desc_nulls_last("score"), "param").first()
             self.best[name] = grid[best["param"] if best else 0]
             named = got.select(F.lit(name).alias("strategy"), "param", "score")
             rows = named if rows is None else rows.union(named)
         return rows
 
+    def refitted(self) -> DataFrame:
+        """(strategy, ticker, weight): each strategy's best setting learned on all returns."""
+        parts = [weights(self.returns, setting).select(F.lit(name).alias("strategy"), "ticker", "weight") for name, setting in self.best.items()]
+        return reduce(lambda a, b: a.union(b), parts)
+
+    def population(self, *portfolios: DataFrame) -> DataFrame:
+        """The journeys of all strategies, extended by further portfolios (strategy, split, datetime, ret)."""
+        return reduce(lambda a, b: a.unionByName(b), portfolios, self.journey())
+
     def journey(self) -> DataFrame:
         """(strategy, split, datetime, ret): out-of-sample returns of each strategy's best setting."""
         names = list(self.best)
@@ -142,8 +233,7 @@ class StrategyLab:
 
     def frontier(self, name: str, points: int = 8, low: float = 0.025, high: float = 0.20) -> DataFrame:
         """Measures of train and test returns for each split and each least return of the frontier; the stored setting stays."""
-        levels = np.linspace(low, high, points) / YEAR
-        grid = [{**self.best[name], "min_return": float(r)} for r in levels]
+        grid = [{**self.best[name], "min_return": r} for r in levels(points, low, high)]
         got = fit_predict(split_returns(self.returns, self.train, self.test), grid, both=True)
         return measures(got, ["split", "param", "role"])
 

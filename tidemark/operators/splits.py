@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from itertools import combinations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def time_ranks(rows: DataFrame, time: str = "datetime") -> DataFrame:
-    """(time, rank from 0) of the distinct times."""
-    return rows.select(time).distinct().withColumn("rank", F.row_number().over(Window.orderBy(time)) - 1)
+def _before(counts: DataFrame, by: str, n: str):
+    """How many there are before each value of ``by``."""
+    return F.coalesce(F.sum(n).over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def time_ranks(rows: DataFrame, time: str = "datetime", bucket: str = "month") -> DataFrame:
+    """(time, rank from 0) of the distinct times: calendar buckets are counted and summed up, times are numbered within
+    their bucket, so that only the buckets are sorted in one place."""
+    times = rows.select(time).distinct().withColumn("_b", F.date_trunc(bucket, time))
+    counts = times.groupBy("_b").agg(F.count("*").alias("_n"))
+    starts = counts.select(F.col("_b").alias("_at"), _before(counts, "_b", "_n").alias("_start"))
+    nth = F.row_number().over(Window.partitionBy("_b").orderBy(time)) - 1
+    out = times.withColumn("_nth", nth).join(starts, F.col("_b").eqNullSafe(F.col("_at")))
+    return out.select(time, (F.col("_start") + F.col("_nth")).cast("int").alias("rank"))
 
 
 def purged_kfold(rows: DataFrame, n_splits: int = 5, t1: str | None = None, embargo_pct: float = 0.01, time: str = "datetime") -> DataFrame:
@@ -36,14 +46,14 @@ def purged_kfold(rows: DataFrame, n_splits: int = 5, t1: str | None = None, emba
     return out.withColumns({"fold": F.col("_f.fold"), "role": role}).drop("_f")
 
 
-def positions(rows: DataFrame, time: str = "datetime", key: str = "ticker") -> DataFrame:
-    """rows with ``position`` in the order (time, key), without sorting the facts in one place: counts of the distinct
-    times are summed up, rows are numbered within their time."""
-    counts = rows.groupBy(F.col(time).alias("_t")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_t", before.alias("_before"))
-    nth = F.row_number().over(Window.partitionBy(time).orderBy(key)) - 1
-    return rows.withColumn("_nth", nth).join(starts, F.col(time) == F.col("_t")).withColumn("position", F.col("_before") + F.col("_nth")).drop("_t", "_before", "_nth")
+def positions(rows: DataFrame, time: str = "datetime", key: str = "ticker", bucket: str = "month") -> DataFrame:
+    """rows with ``position`` in the order (time, key), without sorting the facts in one place: counts of calendar buckets
+    are summed up, rows are numbered within their bucket."""
+    placed = rows.withColumn("_b", F.date_trunc(bucket, time))
+    counts = placed.groupBy("_b").agg(F.count("*").alias("_n"))
+    starts = counts.select(F.col("_b").alias("_at"), _before(counts, "_b", "_n").alias("_start"))
+    nth = F.row_number().over(Window.partitionBy("_b").orderBy(time, key)) - 1
+    return placed.withColumn("_nth", nth).join(starts, F.col("_b").eqNullSafe(F.col("_at"))).withColumn("position", F.col("_start") + F.col("_nth")).drop("_b", "_at", "_start", "_nth")
 
 
 def combinatorial(rows: DataFrame, n_splits: int = 5, n_test: int = 2, purge: int = 0, embargo: int = 0, canonical: bool = False, time: str = "datetime", key: str = "ticker") -> DataFrame:
@@ -83,12 +93,13 @@ def walk_forward(ranks: DataFrame, train: int = 126, test: int = 63) -> DataFram
 
 
 def randomised(spark: SparkSession, tickers: list[str], n_times: int, n_subsamples: int = 100, subset: int = 10, window: int | None = None, seed: int = 0) -> DataFrame:
-    """(subsample, ticker, first_rank, last_rank): seeded sets of assets, each with a window of times."""
-    rng = np.random.default_rng(seed)
+    """(subsample, ticker, first_rank, last_rank): sets of assets, each with a window of times, drawn by hashes of the seed."""
     window = min(window or n_times, n_times)
-    rows = []
-    for s in range(n_subsamples):
-        start = int(rng.integers(0, n_times - window + 1))
-        for t in sorted(rng.choice(sorted(tickers), size=min(subset, len(tickers)), replace=False).tolist()):
-            rows.append((s, t, start, start + window - 1))
-    return spark.createDataFrame(rows, "subsample int, ticker string, first_rank int, last_rank int")
+    drawn = lambda *parts: F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
+    s = F.col("subsample").cast("string")
+    names = spark.createDataFrame([(t,) for t in tickers], "ticker string")
+    all_ = spark.range(n_subsamples).select(F.col("id").cast("int").alias("subsample"), F.explode(F.array(*map(F.lit, tickers))).alias("ticker")) if tickers else names.withColumn("subsample", F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("subsample").orderBy(drawn(s, F.col("ticker")), "ticker"))
+    start = (F.conv(F.substring(drawn(s), 1, 8), 16, 10).cast("long") % (n_times - window + 1)).cast("int")
+    picked = all_.withColumn("_nth", nth).filter(F.col("_nth") <= subset)
+    return picked.select("subsample", "ticker", start.alias("first_rank"), (start + window - 1).alias("last_rank"))

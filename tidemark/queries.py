@@ -50,8 +50,10 @@ def _round(*columns: str, digits: int = 6):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one, or below the temporary one where none is set (local runs)."""
+    """A new folder below the shared one, or below the temporary one where none is set (local mode only)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base or 'file://' + tempfile.gettempdir()}/tidemark-{uuid.uuid4().hex[:12]}"
 
 
@@ -126,6 +128,62 @@ def dim_fact_join(spark, d):
     return rows.groupBy(F.col("r_name").alias("region"), F.col("n_name").alias("nation")).agg(F.sum("n").alias("orders"), F.round(F.sum("t"), 2).alias("total"))
 
 
+def _source(bars):
+    """A vendor whose frames are bars of the tables, with names as vendors have them."""
+
+    def fetch(ticker, start, stop, interval):
+        rows = bars.filter(F.col("ticker") == ticker)
+        rows = rows if start is None else rows.filter(F.col("datetime") > F.lit(start))
+        rows = rows if stop is None else rows.filter(F.col("datetime") < F.lit(stop))
+        return rows.select(F.col("datetime").alias("Datetime"), *(F.col(c).alias(c.capitalize()) for c in ("open", "high", "low", "close", "volume")))
+
+    return fetch
+
+
+@register(_BARS + " SELECT ticker, datetime, open, high, low, close, volume::DOUBLE AS volume FROM bars WHERE ticker IN ('1-URGENT', '5-LOW') AND datetime > TIMESTAMP '1993-01-01'")
+def store_loaded(spark, d):
+    """Two tickers added to a new store from bars before 1996, then updated from all bars, and read back."""
+    bars = B.daily_bars(spark, d)
+    market = store.MarketStore(spark, _scratch(spark))
+    for ticker in ("1-URGENT", "5-LOW"):
+        market.add_ticker(ticker, _source(bars.filter(F.col("datetime") < F.lit(CUT))), datetime(1993, 1, 1))
+        market.add_ticker(ticker, _source(bars))
+    return market.prices().withColumn("datetime", F.col("datetime").cast("timestamp_ntz"))
+
+
+@register(_BARS + " SELECT ticker, '1d' AS interval, true AS is_updated FROM bars WHERE ticker IN ('1-URGENT', '2-HIGH') GROUP BY ticker")
+def store_tickers(spark, d):
+    """The store's list of tickers: one row each, with the first interval and times of the first and the last load."""
+    bars = B.daily_bars(spark, d)
+    market = store.MarketStore(spark, _scratch(spark))
+    for ticker in ("1-URGENT", "2-HIGH", "1-URGENT"):
+        market.add_ticker(ticker, _source(bars), datetime(1997, 1, 1), "1d")
+    return store.MarketStore(spark, market.root).tickers().select("ticker", "interval", (F.col("last_updated") >= F.col("first_added")).alias("is_updated"))
+
+
+@register(_BARS + """ SELECT ticker, datetime, open, high, low, close, volume::DOUBLE AS volume, (SELECT '1995Q2') AS failed FROM bars
+WHERE ticker = '3-MEDIUM' AND (year(datetime) = 1994 AND quarter(datetime) IN (1, 2, 4) OR year(datetime) = 1995 AND quarter(datetime) = 1)""")
+def store_quarters(spark, d):
+    """A ticker loaded by quarters, one of which is asked for twice and one of which fails."""
+    fetch = _source(B.daily_bars(spark, d).withColumn("datetime", F.col("datetime") + F.expr("INTERVAL 1 SECOND")))
+
+    def flaky(ticker, start, stop, interval):
+        if start == date(1995, 4, 1):
+            raise OSError("no answer")
+        return fetch(ticker, start, stop, interval)
+
+    market = store.MarketStore(spark, _scratch(spark))
+    market.add_ticker("3-MEDIUM", flaky, quarters={1994: [1, 2]})
+    failed = market.add_ticker("3-MEDIUM", flaky, quarters={1994: [2, 4], 1995: [1, 2]})
+    names = ",".join(f"{y}Q{q}" for y, q, _ in failed)
+    return market.prices().withColumns({"datetime": (F.col("datetime") - F.expr("INTERVAL 1 SECOND")).cast("timestamp_ntz"), "failed": F.lit(names)})
+
+
+@register("SELECT * FROM (VALUES ('asx20', 20, 'ALL.AX', 'WOW.AX'), ('asx50', 50, 'A' || 'IA.AX', 'YAL.AX'), ('asx100', 100, 'A2M.AX', 'YAL.AX'), ('asx200', 207, '360.AX', 'ZIP.AX')) t(index_name, members, first, last)")
+def index_members(spark, d):
+    return universe.members(spark).groupBy("index_name").agg(F.count_distinct("ticker").cast("int").alias("members"), F.min("ticker").alias("first"), F.max("ticker").alias("last"))
+
+
 # bars and projections
 
 _MERGED = _HOURS + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY ticker, datetime::DATE ORDER BY datetime DESC) AS r, count(*) OVER (PARTITION BY ticker, datetime::DATE) AS n,
@@ -347,12 +405,25 @@ def walk_forward(spark, d):
     return splits.walk_forward(splits.time_ranks(B.daily_bars(spark, d))).select("datetime", "split", "role")
 
 
-@register()
+@register(_BARS + """, n AS (SELECT count(DISTINCT datetime) AS n, least(500, count(DISTINCT datetime)) AS w FROM bars), t AS (SELECT DISTINCT ticker FROM bars),
+p AS (SELECT s::INT AS subsample, ticker, row_number() OVER (PARTITION BY s ORDER BY md5('0:' || s || ':' || ticker), ticker) AS r, ('0x' || substr(md5('0:' || s), 1, 8))::BIGINT % (n - w + 1) AS start, w FROM range(100) u(s), t, n)
+SELECT subsample, ticker, start::INT AS first_rank, (start + w - 1)::INT AS last_rank FROM p WHERE r <= 3""")
 def randomised_cv(spark, d):
     rows = B.daily_bars(spark, d)
     return splits.randomised(spark, [r[0] for r in rows.select("ticker").distinct().collect()], rows.select("datetime").distinct().count(), 100, 3, 500)
 
 
+@register(_BARS + """, r AS (SELECT datetime, row_number() OVER (ORDER BY datetime) - 1 AS p, count(*) OVER () AS n FROM (SELECT DISTINCT datetime FROM bars)),
+c AS (SELECT x AS p1, y AS p2, (row_number() OVER (ORDER BY x, y) - 1)::INT AS split FROM range(6) s(x), range(6) t(y) WHERE x < y),
+e AS (SELECT r.*, c.split, least(p // (n // 6), 5) AS block, p1, p2 FROM r, c),
+z AS (SELECT datetime, split, CASE WHEN block IN (p1, p2) THEN 'test' WHEN list_contains(list_transform([p1, p2], lambda b: (p < b * (n // 6) AND p >= b * (n // 6) - 10) OR (b < 5 AND p >= (b + 1) * (n // 6) AND p < (b + 1) * (n // 6) + 5)), true) THEN 'purged' ELSE 'train' END AS role FROM e)
+SELECT * FROM z""")
+def cpcv_purged(spark, d):
+    """Combinatorial splits of the times with their limits applied: ten times before and five after each test block leave."""
+    times = B.daily_bars(spark, d).select("datetime").distinct().withColumn("ticker", F.lit(""))
+    return splits.combinatorial(times, 6, 2, 10, 5, canonical=True).select("datetime", "split", "role")
+
+
 # learning
 
 _PREDICTED = _FOLDS + f""", guess AS (SELECT r.*, (label = 2)::INT AS y, b.move FROM roles r JOIN (SELECT ticker, datetime, close / lag(close) {_W}) - 1 AS move FROM bars) b USING (ticker, datetime) WHERE role = 'test' AND label IS NOT NULL AND move IS NOT NULL),
@@ -377,9 +448,51 @@ def cv_score(spark, d):
     return _trials(spark, d).groupBy("trial").agg(F.round(F.avg("f1"), 5).alias("score"))
 
 
-@register(_PREDICTED + ", s AS (SELECT trial, round(avg(f1), 5) AS score FROM f1s GROUP BY trial) SELECT trial, score FROM s ORDER BY score DESC, trial LIMIT 1")
+_FACTORS = [0.6, 0.9, 1.2]
+_SEARCH = _FOLDS + """, known AS (SELECT fold, role, close, (label = 2)::INT AS y FROM roles WHERE label IS NOT NULL), means AS (SELECT fold, avg(close) AS m FROM known WHERE role = 'train' GROUP BY fold),
+tries AS (SELECT fold, trial::INT AS trial, y, (close < m * [0.6, 0.9, 1.2][trial + 1])::INT AS p FROM known JOIN means USING (fold), range(3) t(trial) WHERE role = 'test'),
+trials AS (SELECT trial, fold, coalesce(2.0 * sum((y = 1 AND p = 1)::INT) / nullif(2 * sum((y = 1 AND p = 1)::INT) + sum((y <> p)::INT), 0), 0) AS score FROM tries GROUP BY trial, fold)"""
+
+
+def _search(spark, d, **settings):
+    rows = _barrier(spark, d).filter("label is not null").withColumn("y", (F.col("label") == 2).cast("int"))
+    folds = splits.purged_kfold(_barrier(spark, d), 5, "t1", 0.01).filter("label is not null").withColumn("y", (F.col("label") == 2).cast("int"))
+    return learning.Search(lambda s: learning.BelowMean(**s), {"factor": _FACTORS}, learning.metric("f1"), **settings), folds, rows
+
+
+@register(_SEARCH + " SELECT [0.6, 0.9, 1.2][trial + 1]::VARCHAR AS factor, fold, round(score, 6) AS score, 'complete' AS state FROM trials")
+def search_trials(spark, d):
+    """Every trial of a search over a rule's settings, with purged folds; stopped after one trial and taken up again."""
+    path = f"{_scratch(spark)}/study"
+    first, folds, _ = _search(spark, d, n_trials=1, path=path)
+    first.run(folds, "y")
+    search, folds, _ = _search(spark, d, n_trials=50, path=path)
+    return search.run(folds, "y").select(F.element_at("params", "factor").alias("factor"), "fold", F.round("score", 6).alias("score"), "state")
+
+
+@register(_SEARCH + """, best AS (SELECT trial, avg(score) AS s FROM trials GROUP BY trial ORDER BY s DESC LIMIT 1), whole AS (SELECT close, (label = 2)::INT AS y, datetime FROM barrier WHERE label IS NOT NULL),
+held AS (SELECT y, (close < (SELECT avg(close) FROM whole WHERE datetime < TIMESTAMP '1996-01-01') * [0.6, 0.9, 1.2][(SELECT trial FROM best) + 1])::INT AS p FROM whole WHERE datetime >= TIMESTAMP '1996-01-01')
+SELECT [0.6, 0.9, 1.2][(SELECT trial FROM best) + 1]::VARCHAR AS factor, 'rule' AS kind, round(2.0 * sum((y = 1 AND p = 1)::INT) / (2 * sum((y = 1 AND p = 1)::INT) + sum((y <> p)::INT)), 6) AS score FROM held""")
 def best_trial(spark, d):
-    return cv_score(spark, d).orderBy(F.desc("score"), "trial").limit(1)
+    """The engine's run: search, the best setting learned again on all rows before 1996, scored after it, stored with a tag."""
+    search, folds, rows = _search(spark, d)
+    path = _scratch(spark)
+    engine = learning.ModelEngine(search, path, {"kind": "rule"})
+    engine.run(folds, rows.filter(F.col("datetime") < F.lit(CUT)), rows.filter(F.col("datetime") >= F.lit(CUT)), "y")
+    assert engine.load().getOrDefault("level") == engine.model.getOrDefault("level")
+    return spark.read.parquet(f"{path}/runs").select(F.element_at("params", "factor").alias("factor"), F.element_at("tags", "kind").alias("kind"), F.round("score", 6).alias("score"))
+
+
+@register(_BARS + f""", s AS (SELECT ticker, close / (close + open) AS p, (lead(close) {_W}) > close)::INT AS y FROM bars), k AS (SELECT * FROM s WHERE y IS NOT NULL),
+u AS (SELECT ticker, p, y, rank() OVER (PARTITION BY ticker ORDER BY p) + (count(*) OVER (PARTITION BY ticker, p) - 1) / 2.0 AS r FROM k)
+SELECT ticker, round(2.0 * sum((y = 1 AND p >= 0.5)::INT) / (2 * sum((y = 1 AND p >= 0.5)::INT) + sum((y <> (p >= 0.5)::INT)::INT)), 6) AS f1, round(-avg(CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END), 6) AS log_loss,
+  round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 6) AS auc FROM u GROUP BY ticker""")
+def probability_scores(spark, d):
+    rows = B.daily_bars(spark, d).select("ticker", (F.col("close") / (F.col("close") + F.col("open"))).alias("p"), windows.next_up("close").alias("y")).filter("y is not null")
+    rows = rows.withColumn("guess", (F.col("p") >= 0.5).cast("int"))
+    keys = ["ticker"]
+    out = learning.f1(rows, "y", "guess", keys).join(learning.log_loss(rows, "y", "p", keys), keys).join(learning.auc(rows, "y", "p", keys), keys)
+    return out.select("ticker", *_round("f1", "log_loss", "auc"))
 
 
 @register(_BARS + f""", p AS (SELECT ticker, datetime, open / (open + close) AS a, close / (open + close) AS b, volume FROM bars), h AS (SELECT *, CASE WHEN volume > 1 THEN -(a * ln(a) + b * ln(b)) END AS h FROM p)
@@ -397,19 +510,50 @@ def _samples(spark, d):
 
 
 def _classifier():
-    return learning.PrimarySecondary(LogisticRegression(maxIter=10), LogisticRegression(maxIter=10), ["move", "gap"], ["gap"], n_splits=3, t1="t1")
+    return learning.PrimarySecondary(LogisticRegression(maxIter=10), LogisticRegression(maxIter=10), ["move", "gap"], ["gap"], n_splits=3, t1="t1", label="y", meta_label="meta")
 
 
 @register()
 def meta_label_fit(spark, d):
-    model = _classifier().fit(_samples(spark, d), "y", "meta")
+    model = _classifier().fit(_samples(spark, d))
     rows = [(stage, i, float(v)) for stage, m in (("primary", model.primary_model), ("secondary", model.secondary_model)) for i, v in enumerate([m.intercept, *m.coefficients.toArray()])]
     return spark.createDataFrame(rows, "stage string, place int, weight double")
 
 
+@register(_BARRIER + f""", s AS (SELECT ticker, datetime, label, row_number() {_W}) AS i, lead(close) {_W}) AS nxt FROM barrier)
+SELECT ticker, datetime, true AS entropy_fits, true AS decision_fits, true AS proba_fits FROM s WHERE label IS NOT NULL AND i >= 10 AND nxt IS NOT NULL AND datetime >= TIMESTAMP '1996-01-01'""")
+def meta_label_checked(spark, d):
+    """The two-stage model, saved and loaded: whether its columns follow from one another and from predict and predict_proba."""
+    organiser, path = learning.AssetOrganiser(_classifier(), _samples(spark, d), CUT).prepare(), f"{_scratch(spark)}/model"
+    organiser.model.save(path)
+    rows = learning.PrimarySecondaryModel.load(path)
+    got = rows.predict_proba(rows.predict(organiser.test()))
+    p = F.col("primary_proba")
+    entropy = -(F.when(p > 0, p * F.ln(p)).otherwise(0.0) + F.when(p < 1, (1 - p) * F.ln(1 - p)).otherwise(0.0))
+    return got.select(
+        "ticker", "datetime", (F.abs(entropy - F.col("primary_entropy")) < 1e-9).alias("entropy_fits"),
+        ((F.col("prediction") == F.col("final_decision")) & (F.col("final_decision") == (F.col("secondary_proba") > 0.5).cast("double"))).alias("decision_fits"),
+        (F.abs(F.element_at("probability", 2) - F.col("secondary_proba")) < 1e-9).alias("proba_fits"),
+    )
+
+
+@register("SELECT place::INT AS place, true AS is_small FROM range(3) t(place)")
+def logistic_optimal(spark, d):
+    """Whether the gradient of the primary model's likelihood vanishes: by intercept and features, as a share of their size."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = _samples(spark, d)
+    model = LogisticRegression(maxIter=200, tol=1e-12, labelCol="y").fit(VectorAssembler(inputCols=["move", "gap"], outputCol="features").transform(rows))
+    scored = model.transform(VectorAssembler(inputCols=["move", "gap"], outputCol="features").transform(rows))
+    off = F.element_at(vector_to_array("probability"), 2) - F.col("y")
+    sums = [F.abs(F.sum(off * x)) / F.sum(F.abs(x)) for x in (F.lit(1.0), F.col("move"), F.col("gap"))]
+    return scored.agg(F.array(*sums).alias("g")).select(F.posexplode("g").alias("place", "g")).select("place", (F.col("g") < 1e-4).alias("is_small"))
+
+
 @register()
 def meta_label_transform(spark, d):
-    organiser = learning.AssetOrganiser(_classifier(), _samples(spark, d), CUT, "y", "meta").prepare()
+    organiser = learning.AssetOrganiser(_classifier(), _samples(spark, d), CUT).prepare()
     return organiser.test().select("ticker", "datetime", "primary_pred", "primary_proba", "primary_entropy", "secondary_proba", "final_decision")
 
 
@@ -584,7 +728,7 @@ def portfolio_measures(spark, d):
 
 
 def _lab(spark, d):
-    return portfolio.StrategyLab(_returns(spark, d), {"EqualWeighted": {"estimator": "equal"}, "MeanRisk": {"estimator": "mean_variance", "grid": [{"risk_aversion": 1.0}, {"risk_aversion": 2.0}]}})
+    return portfolio.StrategyLab(panel.returns_long(B.daily_bars(spark, d)), {"EqualWeighted": {"estimator": "equal"}, "MeanRisk": {"estimator": "mean_variance", "grid": [{"risk_aversion": 1.0}, {"risk_aversion": 2.0}]}})
 
 
 @register()
@@ -600,6 +744,55 @@ def walk_forward_returns(spark, d):
     return lab.journey().select("strategy", "split", "datetime", *_round("ret"))
 
 
+_SPLITS = _RET + """, r AS (SELECT datetime, row_number() OVER (ORDER BY datetime) - 1 AS r FROM (SELECT DISTINCT datetime FROM complete)), s AS (SELECT k::INT AS split FROM range(0, greatest(0, ((SELECT count(*) FROM r) - 126) // 63)) t(k))"""
+
+
+@register(_SPLITS + """, e AS (SELECT split, datetime, avg(ret) AS ret FROM complete JOIN r USING (datetime), s WHERE r >= split * 63 + 126 AND r < split * 63 + 189 GROUP BY split, datetime)
+SELECT 'EqualWeighted' AS strategy, round(avg(m), 4) AS score, 1 / (SELECT count(DISTINCT ticker) FROM complete) AS weight FROM (SELECT split, avg(ret) / stddev_samp(ret) * sqrt(252) AS m FROM e GROUP BY split) HAVING count(*) > 0""")
+def portfolio_search(spark, d):
+    """The search over equal weights, and the weights learned again on all returns."""
+    lab = portfolio.StrategyLab(panel.returns_long(B.daily_bars(spark, d)), {"EqualWeighted": {"estimator": "equal"}})
+    found = lab.search().select("strategy", F.round("score", 4).alias("score"))
+    return found.join(lab.refitted().groupBy("strategy").agg(F.avg("weight").alias("weight")), "strategy")
+
+
+@register(_SPLITS + " SELECT split, p::INT AS param, true AS feasible, true AS optimal FROM s, range(3) t(p)")
+def mean_variance_optimal(spark, d):
+    """Whether every window's weights of three mean-variance settings meet the conditions of an optimum."""
+    returns = _returns(spark, d)
+    return portfolio.optimal(portfolio.split_returns(returns), [{}, {"risk_aversion": 1.0}, {"risk_aversion": 2.0}])
+
+
+@register(_SPLITS + " SELECT split, p::INT AS param, true AS feasible, true AS optimal FROM s, range(8) t(p)")
+def frontier_optimal(spark, d):
+    """The same for the least variance at each return of the frontier."""
+    return portfolio.optimal(portfolio.split_returns(_returns(spark, d)), [{"min_return": r} for r in portfolio.levels()], slack=1e-3)
+
+
+@register(_RET + """, e AS (SELECT datetime, avg(ret) AS ret FROM complete GROUP BY datetime), c AS (SELECT datetime, sum(ret) OVER (ORDER BY datetime) AS c FROM e)
+SELECT 'EqualWeighted' AS strategy, datetime, round(c, 6) AS cumulative, round(greatest(max(c) OVER (ORDER BY datetime), 0) - c, 6) + 0.0 AS drawdown FROM c""")
+def portfolio_curves(spark, d):
+    got = portfolio.curves(portfolio.equal_weight(_returns(spark, d)).withColumn("strategy", F.lit("EqualWeighted")), ["strategy"])
+    return got.select("strategy", "datetime", *_round("cumulative"), (F.round("drawdown", 6) + 0.0).alias("drawdown"))
+
+
+@register("SELECT i::INT AS point, round((0.025 + i * (0.2 - 0.025) / 7) / 252, 12) AS level FROM range(8) t(i)")
+def frontier_levels(spark, d):
+    return spark.createDataFrame(list(enumerate(portfolio.levels())), "point int, level double").withColumn("level", F.round("level", 12))
+
+
+@register(_SPLITS + """, e AS (SELECT split, datetime, avg(ret) AS ret FROM complete JOIN r USING (datetime), s WHERE r >= split * 63 + 126 AND r < split * 63 + 189 GROUP BY split, datetime),
+q AS (SELECT split, datetime, ret FROM complete JOIN r USING (datetime), s WHERE ticker = '1-URGENT' AND r >= split * 63 + 126 AND r < split * 63 + 189)
+SELECT strategy, split, round(avg(ret) * 252, 4) AS annual_mean, round(stddev_samp(ret) * sqrt(252), 4) AS annual_std FROM (SELECT 'EqualWeighted' AS strategy, * FROM e UNION ALL SELECT 'Single', * FROM q) GROUP BY strategy, split""")
+def portfolio_population(spark, d):
+    """The journey of equal weights and one further portfolio, measured together."""
+    lab = _lab(spark, d)
+    lab.best = {"EqualWeighted": {"estimator": "equal"}}
+    single = portfolio.split_returns(lab.returns).filter("role = 'test' and ticker = '1-URGENT'").select(F.lit("Single").alias("strategy"), "split", "datetime", "ret")
+    got = portfolio.measures(lab.population(single), ["strategy", "split"])
+    return got.select("strategy", "split", *_round("annual_mean", "annual_std", digits=4))
+
+
 @register()
 def frontier(spark, d):
     lab = _lab(spark, d)
@@ -607,7 +800,31 @@ def frontier(spark, d):
     return lab.frontier("MeanRisk")
 
 
-# streams and plans
+# transformers, streams and plans
+
+
+@register("WITH RECURSIVE " + _BARS.removeprefix("WITH ") + """, w(k, x) AS (SELECT 0, 1.0::DOUBLE UNION ALL SELECT k + 1, -x * (0.4::DOUBLE - k) / (k + 1) FROM w WHERE abs(-x * (0.4::DOUBLE - k) / (k + 1)) >= 0.01),
+n AS (SELECT count(*) AS n FROM w), b AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY datetime) AS i FROM bars),
+f AS (SELECT b.ticker, b.datetime, sum(w.x * c.open) AS o, sum(w.x * c.close) AS c FROM b, n, w JOIN b c ON true WHERE b.i >= n.n AND c.ticker = b.ticker AND c.i = b.i - n.n + 1 + w.k GROUP BY ALL)
+SELECT b.ticker, b.datetime, round(f.o, 3) AS open_frac_diff, round(f.c, 3) AS close_frac_diff FROM b LEFT JOIN f USING (ticker, datetime)""")
+def transform_columns(spark, d):
+    """A transformer over several columns, saved and read again, in a pipeline."""
+    from pyspark.ml import Pipeline, PipelineModel
+
+    rows, path = B.daily_bars(spark, d), f"{_scratch(spark)}/pipeline"
+    Pipeline(stages=[learning.FractionalDiff(inputCols=["open", "close"], threshold=1e-2)]).fit(rows).write().save(path)
+    return PipelineModel.load(path).transform(rows).select("ticker", "datetime", *_round("open_frac_diff", "close_frac_diff", digits=3))
+
+
+@register(_accounts(on_close=True, finalize=False) + " SELECT ticker, tm AS datetime, units::BIGINT AS units, printf('%.5e', cash) AS cash FROM runs")
+def stream_accounts(spark, d):
+    """An account a ticker, kept as the state of a stream of signals."""
+    at = _scratch(spark)
+    rows = backtest.sma_cross().signals(B.daily_bars(spark, d)).withColumn("datetime", F.col("datetime").cast("timestamp"))
+    rows.select("ticker", "datetime", "close", "signal").coalesce(1).sortWithinPartitions("datetime").write.parquet(f"{at}/in")
+    ingest.run_once(ingest.position_state(ingest.read(spark, f"{at}/in"), 1e7, (3.0, 0.001)), f"{at}/out", f"{at}/state")
+    return spark.read.parquet(f"{at}/out").select("ticker", F.col("datetime").cast("timestamp_ntz").alias("datetime"), "units", F.format_string("%.5e", "cash").alias("cash"))
+
 
 
 @register(_BARS + " SELECT ticker, datetime, close, volume FROM bars")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from . import vendor
 
 #: (ticker, start, end, interval) -> vendor frame; the network lives behind it
 Fetch = Callable[[str, datetime | None, datetime | None, str], DataFrame]
@@ -43,7 +44,7 @@ class MarketStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         for name, kind in (("tickers", schema.TICKERS), ("prices", schema.BARS)):
-            spark.createDataFrame([], kind).write.mode("append").parquet(f"{self.root}/{name}")
+            spark.createDataFrame([], kind).write.mode("ignore").parquet(f"{self.root}/{name}")
 
     def _read(self, name: str, kind) -> DataFrame:
         return self.spark.read.schema(kind).parquet(f"{self.root}/{name}")
@@ -73,14 +74,26 @@ class MarketStore:
         now = datetime.now(timezone.utc)
         self.spark.createDataFrame([(ticker, interval, now, now)], schema.TICKERS).write.mode("append").parquet(f"{self.root}/tickers")
 
-    def add_ticker(self, ticker: str, fetch: Fetch, start: datetime | None = None, interval: str = "1h") -> None:
-        """First load of a ticker, from ``start`` or 2020; a known one is updated instead."""
+    def add_ticker(self, ticker: str, fetch: Fetch, start: datetime | None = None, interval: str = "1h", quarters: dict[int, list[int]] | None = None) -> list | None:
+        """First load of a ticker, from ``start`` or 2020, or by ``quarters``; a known one is updated instead."""
+        if quarters is not None:
+            return self.add_quarters(ticker, fetch, quarters, interval)
         if not self.tickers().filter(F.col("ticker") == ticker).isEmpty():
             return self.update_ticker(ticker, fetch)
         got = fetch(ticker, start or datetime(2020, 1, 1, tzinfo=timezone.utc), None, interval)
         self.append(appended(self.prices([]), schema.normalise(got, ticker)))
         return self._log(ticker, interval)
 
+    def add_quarters(self, ticker: str, fetch: Fetch, quarters: dict[int, list[int]], interval: str = "1h") -> list[tuple[int, int, str]]:
+        """Loads the quarters asked for (year -> 1 to 4), request by request; gives those that failed. Bars that the store
+        has already stay as they are."""
+        got, failed = vendor.fetch_quarters(ticker, quarters, fetch)
+        if got is not None:
+            stored = self.prices([ticker])
+            self.append(got.dropDuplicates(schema.KEY).join(stored.select(*schema.KEY), schema.KEY, "left_anti"))
+            self._log(ticker, interval)
+        return failed
+
     def update_ticker(self, ticker: str, fetch: Fetch) -> None:
         """Appends what is newer than the ticker's last bar; a ticker without bars is loaded from the start."""
         known = self.tickers().filter(F.col("ticker") == ticker).first()

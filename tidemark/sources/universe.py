@@ -1,11 +1,11 @@
-"""Index members. Lists of over two hundred symbols come from a file, one symbol a line."""
+"""Index members; further lists come from files, one symbol a line."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# fixed values: members of the Australian indices of 20, 50 and 100 companies in January 2026
+# fixed values: members of the Australian indices of 20, 50, 100 and 200 companies in January 2026
 ASX20 = [
     "ALL.AX", "ANZ.AX", "BHP.AX", "BXB.AX", "CBA.AX", "CSL.AX", "FMG.AX", "GMG.AX", "MQG.AX", "NAB.AX",
     "NST.AX", "QBE.AX", "RIO.AX", "SIG.AX", "TCL.AX", "TLS.AX", "WBC.AX", "WDS.AX", "WES.AX", "WOW.AX",
@@ -29,7 +29,30 @@ ASX100 = [
     "SGP.AX", "SUN.AX", "TNE.AX", "TLS.AX", "TLC.AX", "TPG.AX", "TCL.AX", "VAU.AX", "VCX.AX", "SOL.AX",
     "WES.AX", "WGX.AX", "WBC.AX", "WHC.AX", "WTC.AX", "WDS.AX", "WOW.AX", "WOR.AX", "XRO.AX", "YAL.AX",
 ]
-INDICES = {"asx20": ASX20, "asx50": ASX50, "asx100": ASX100}
+ASX200 = [
+    "360.AX", "4DX.AX", "AAI.AX", "A2M.AX", "AFI.AX", "AGL.AX", "AIA.AX", "ALK.AX", "ALD.AX", "ALQ.AX",
+    "ALX.AX", "AMCDD.AX", "AMP.AX", "ANN.AX", "ANZ.AX", "APA.AX", "APE.AX", "ARB.AX", "ARG.AX", "ASB.AX",
+    "ASX.AX", "AUB.AX", "AZJ.AX", "BAP.AX", "BEN.AX", "BFL.AX", "BGL.AX", "BHP.AX", "BOQ.AX", "BPT.AX",
+    "BRG.AX", "BSL.AX", "BXB.AX", "BWP.AX", "CAR.AX", "CBA.AX", "CDA.AX", "CEN.AX", "CGF.AX", "CHC.AX",
+    "CIA.AX", "CIP.AX", "CLW.AX", "CMM.AX", "CNU.AX", "COL.AX", "CPU.AX", "CQR.AX", "CSC.AX", "CSL.AX",
+    "CTD.AX", "CWY.AX", "CYL.AX", "DBI.AX", "DMP.AX", "DNL.AX", "DOW.AX", "DRO.AX", "DRR.AX", "DXS.AX",
+    "DYL.AX", "EBO.AX", "EDV.AX", "EMR.AX", "EVN.AX", "EVT.AX", "FBU.AX", "FLT.AX", "FMG.AX", "FPH.AX",
+    "FRW.AX", "GDG.AX", "GGP.AX", "GMD.AX", "GMG.AX", "GNE.AX", "GPT.AX", "GQG.AX", "GYG.AX", "HDN.AX",
+    "HMC.AX", "HUB.AX", "HVN.AX", "IAG.AX", "IFT.AX", "IGO.AX", "IFL.AX", "ILU.AX", "INA.AX", "IPX.AX",
+    "IRE.AX", "JDO.AX", "JBH.AX", "JHX.AX", "L1G.AX", "LLC.AX", "LNW.AX", "LOV.AX", "LSF.AX", "LTR.AX",
+    "LYC.AX", "MAF.AX", "MAQ.AX", "MCY.AX", "MEZ.AX", "MFF.AX", "MIN.AX", "MGR.AX", "MND.AX", "MQG.AX",
+    "MP1.AX", "MPL.AX", "MSB.AX", "MTS.AX", "MXT.AX", "NAB.AX", "NCK.AX", "NEC.AX", "NEU.AX", "NIC.AX",
+    "NHC.AX", "NEM.AX", "NHF.AX", "NMT.AX", "NSR.AX", "NST.AX", "NWL.AX", "NWH.AX", "NXT.AX", "OBM.AX",
+    "ORA.AX", "ORG.AX", "ORI.AX", "PDN.AX", "PDI.AX", "PGR.AX", "PLS.AX", "PME.AX", "PMV.AX", "PNI.AX",
+    "PPT.AX", "PRN.AX", "PRU.AX", "PXA.AX", "QAN.AX", "QBE.AX", "QUB.AX", "REA.AX", "REG.AX", "REH.AX",
+    "RGN.AX", "RHC.AX", "RIO.AX", "RMD.AX", "RMS.AX", "RRL.AX", "RSG.AX", "RWC.AX", "RYM.AX", "SCG.AX",
+    "SDF.AX", "SEK.AX", "SFR.AX", "SGH.AX", "SGM.AX", "SGP.AX", "SHL.AX", "SIG.AX", "SMR.AX", "SNZ.AX",
+    "SOL.AX", "SPK.AX", "S32.AX", "STO.AX", "SUN.AX", "SUL.AX", "TAH.AX", "TCL.AX", "TLC.AX", "TLS.AX",
+    "TLX.AX", "TNE.AX", "TPG.AX", "TUA.AX", "TWE.AX", "VAU.AX", "VCX.AX", "VEA.AX", "VGN.AX", "VNT.AX",
+    "VUL.AX", "WAF.AX", "WAM.AX", "WBC.AX", "WDS.AX", "WEB.AX", "WES.AX", "WGX.AX", "WHC.AX", "WOW.AX",
+    "WOR.AX", "WPR.AX", "WTC.AX", "XRO.AX", "YAL.AX", "ZIM.AX", "ZIP.AX",
+]
+INDICES = {"asx20": ASX20, "asx50": ASX50, "asx100": ASX100, "asx200": ASX200}
 
 
 def members(spark: SparkSession, files: dict[str, str] | None = None) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import warnings
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..schema import normalise
+
 
 def quarter_windows(spark: SparkSession, tickers: DataFrame, years: list[int], quarters: list[int] = [1, 2, 3, 4]) -> DataFrame:  # noqa: B006
     """(ticker, year, quarter, start, stop): half-open request windows, one row a request."""
@@ -17,13 +21,33 @@ def quarter_windows(spark: SparkSession, tickers: DataFrame, years: list[int], q
     return asked.join(grid, ["year", "quarter"]).select("ticker", "year", "quarter", "start", F.add_months("start", 3).alias("stop"))
 
 
+def fetch_quarters(ticker: str, quarters: dict[int, list[int]], fetch) -> tuple[DataFrame | None, list[tuple[int, int, str]]]:
+    """(all quarters' rows under each other, requests that failed as (year, quarter, error)).
+
+    ``fetch`` (ticker, start, stop, interval) gives a table a request; one that fails loses only its own quarter.
+    """
+    parts, failed = [], []
+    for year, asked in quarters.items():
+        for q in asked:
+            start = date(year, 3 * q - 2, 1)
+            stop = date(year + (q == 4), (3 * q) % 12 + 1, 1)
+            try:
+                parts.append(normalise(fetch(ticker, start, stop, "1h"), ticker))
+            except Exception as e:  # a request that fails must not lose the others
+                failed.append((year, q, f"{type(e).__name__}: {e}"))
+    return (reduce(lambda a, b: a.unionByName(b), parts) if parts else None), failed
+
+
 class _Window(InputPartition):
     def __init__(self, ticker: str, start: str, stop: str):
         self.ticker, self.start, self.stop = ticker, start, stop
 
 
 class VendorReader(DataSourceReader):
-    """One partition a request window. ``fetch`` (ticker, start, stop) -> rows is an importable name, ``module:function``."""
+    """One partition a request window. ``fetch`` (ticker, start, stop) -> rows is an importable name, ``module:function``.
+
+    A request that fails gives no rows, and a warning in the worker's log; option ``strict`` makes it fail the read.
+    """
 
     def __init__(self, options: dict):
         self.options = options
@@ -38,7 +62,14 @@ class VendorReader(DataSourceReader):
         import importlib
 
         module, _, name = self.options["fetch"].partition(":")
-        for row in getattr(importlib.import_module(module), name)(partition.ticker, partition.start, partition.stop):
+        try:
+            rows = list(getattr(importlib.import_module(module), name)(partition.ticker, partition.start, partition.stop))
+        except Exception as e:
+            if self.options.get("strict", "").lower() == "true":
+                raise
+            warnings.warn(f"{partition.ticker} {partition.start}: {e}", stacklevel=1)
+            rows = []
+        for row in rows:
             yield (partition.ticker, *row)
 
 

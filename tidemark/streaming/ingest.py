@@ -35,10 +35,15 @@ def run_once(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return query
 
 
-def position_state(signals: DataFrame, cash: float = 10_000.0) -> DataFrame:
-    """(ticker, datetime, units, cash) after each signal of a stream, one account a ticker, kept in the state store."""
+def position_state(signals: DataFrame, cash: float = 10_000.0, commission: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """(ticker, datetime, units, cash) after each signal of a stream, one account a ticker, kept in the state store.
+
+    Fills are the broker's with ``trade_on_close`` and without an end; each file's rows of a ticker are taken in order.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    fee, rate = commission
+
     def step(key, frames, state):
         import pandas as pd
 
@@ -46,11 +51,12 @@ def position_state(signals: DataFrame, cash: float = 10_000.0) -> DataFrame:
         for frame in frames:
             out = []
             for row in frame.sort_values("datetime").itertuples():
-                if row.signal > 0 and not units:
-                    units = int(money // row.close)
-                    money -= units * row.close
+                able = int(max(0.0, money - fee) // (row.close * (1 + rate))) if row.close > 0 else 0
+                if row.signal > 0 and not units and able:
+                    units = able
+                    money -= units * row.close + (fee + rate * units * row.close)
                 elif row.signal < 0 and units:
-                    money, units = money + units * row.close, 0
+                    money, units = money + (units * row.close - (fee + rate * units * row.close)), 0
                 out.append((key[0], row.datetime, units, money))
             state.update((units, money))
             yield pd.DataFrame(out, columns=["ticker", "datetime", "units", "cash"])
