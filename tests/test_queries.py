@@ -51,6 +51,29 @@ def test_entry_without_the_other_subpackage(monkeypatch):
     monkeypatch.delitem(sys.modules, "__spark_entry__")
 
 
+def test_entry_does_not_hide_a_broken_subpackage(monkeypatch, tmp_path):
+    import sys
+
+    (tmp_path / "corpus_pipeline.py").write_text("import a_module_that_is_not_there\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    for name in [n for n in sys.modules if n in ("corpus_pipeline", "__spark_entry__")]:
+        monkeypatch.delitem(sys.modules, name)
+    with pytest.raises(ModuleNotFoundError, match="a_module_that_is_not_there"):
+        import __spark_entry__  # noqa: F401
+    sys.modules.pop("__spark_entry__", None)
+
+
+def test_code_is_shipped_once(spark):
+    import zipfile
+
+    import __spark_entry__ as entry
+
+    for _ in range(2):
+        entry.queries()["list_tickers"](spark, "/root/testdata/sf0.001").collect()
+    names = zipfile.ZipFile(spark.sparkContext._tidemark_code).namelist()
+    assert "tidemark/__init__.py" in names and "tidemark/functions/windows.py" in names
+
+
 def test_plans_push_filters_and_columns(spark, sf):
     plan = queries.scan_ticker(spark, sf)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(o_orderpriority), EqualTo(o_orderpriority,1-URGENT)]" in plan

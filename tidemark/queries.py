@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from datetime import date, datetime
+from datetime import date, datetime, timezone
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -184,6 +184,38 @@ def index_members(spark, d):
     return universe.members(spark).groupBy("index_name").agg(F.count_distinct("ticker").cast("int").alias("members"), F.min("ticker").alias("first"), F.max("ticker").alias("last"))
 
 
+def month_starts(ticker: str, start: str, stop: str):
+    """A vendor that knows a bar for the first of each month; one of its symbols is always down."""
+    if ticker == "DOWN":
+        raise OSError("no answer")
+    first = date.fromisoformat(start)
+    for month in range(first.month, first.month + 3):
+        value = float(first.year * 100 + month)
+        yield (datetime(first.year, month, 1, tzinfo=timezone.utc), value, value + 1, value - 1, value, 100.0)
+
+
+@register("""SELECT ticker, make_timestamp(y, m, 1, 0, 0, 0) AS datetime, (y * 100 + m)::DOUBLE AS open, (y * 100 + m + 1)::DOUBLE AS high, (y * 100 + m - 1)::DOUBLE AS low, (y * 100 + m)::DOUBLE AS close, 100.0::DOUBLE AS volume
+FROM (VALUES ('A.AX'), ('B.AX')) t(ticker), range(2022, 2024) u(y), range(1, 13) v(m)""")
+def vendor_read(spark, d):
+    """Two years of three symbols through the data source, one request a quarter; the symbol that is down has no rows."""
+    spark.dataSource.register(vendor.VendorSource)
+    got = spark.read.format("tidemark_vendor").options(tickers="A.AX,DOWN,B.AX", years="2022,2023", fetch="tidemark.queries:month_starts").load()
+    return got.withColumn("datetime", F.col("datetime").cast("timestamp_ntz"))
+
+
+@register("SELECT c AS name, true AS is_refused FROM (VALUES ('open'), ('high'), ('low'), ('close'), ('volume'), ('signal')) t(c)")
+def required_columns(spark, d):
+    """Whether a backtest without each of its columns is refused before it runs."""
+    signals, rows = backtest.sma_cross().signals(B.daily_bars(spark, d)), []
+    for name in ("open", "high", "low", "close", "volume", "signal"):
+        try:
+            backtest.backtest(signals.drop(name))
+            rows.append((name, False))
+        except ValueError:
+            rows.append((name, True))
+    return spark.createDataFrame(rows, "name string, is_refused boolean")
+
+
 # bars and projections
 
 _MERGED = _HOURS + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY ticker, datetime::DATE ORDER BY datetime DESC) AS r, count(*) OVER (PARTITION BY ticker, datetime::DATE) AS n,
@@ -244,6 +276,18 @@ def sma_cross_signal(spark, d):
     return backtest.sma_cross().signals(B.daily_bars(spark, d)).select("ticker", "datetime", "signal")
 
 
+@register(_BARS + f""", m AS (SELECT ticker, datetime, close, volume, CASE WHEN count(close) {_W} ROWS 9 PRECEDING) = 10 THEN avg(close) {_W} ROWS 9 PRECEDING) END AS mean10 FROM bars)
+SELECT ticker, datetime, round(mean10, 4) AS mean10, CASE WHEN volume > 3 THEN -1 WHEN close > mean10 THEN 1 WHEN close < mean10 THEN -1 ELSE 0 END AS signal FROM m""")
+def factory_signals(spark, d):
+    """A strategy made from an indicator and two rules, the first of which goes before the second."""
+
+    def mean10(close):
+        return windows.sma(close, 10)
+
+    rules = [(F.lit(False), F.col("volume") > 3), (F.col("close") > F.col("mean10"), F.col("close") < F.col("mean10"))]
+    return backtest.StrategyFactory([mean10], rules=rules).signals(B.daily_bars(spark, d)).select("ticker", "datetime", *_round("mean10", digits=4), "signal")
+
+
 @register(_BARS + f" SELECT ticker, datetime, CASE WHEN count(close) {_W} ROWS 19 PRECEDING) = 20 THEN round(stddev_samp(close) {_W} ROWS 19 PRECEDING), 4) END AS std FROM bars")
 def rolling_std(spark, d):
     return B.daily_bars(spark, d).select("ticker", "datetime", F.round(windows.rolling_std("close", 20), 4).alias("std"))
@@ -378,6 +422,25 @@ def bsadf(spark, d):
     return adf.bsadf(_months(spark, d), "close", "linear", 1, 20, chunks=2).select("ticker", "datetime", *_round("bsadf", digits=3))
 
 
+_PRE = ["y_lagged * y_lagged", "y_lagged * dy_lag_1", "y_lagged * trend", "dy_lag_1 * dy_lag_1", "dy_lag_1 * trend", "trend * trend", "y_lagged * dy", "dy_lag_1 * dy", "trend * dy", "dy * dy"]
+_DAILY = _BARS + f""", prices AS (SELECT ticker, datetime, ln(close) AS close FROM bars), dy AS (SELECT ticker, datetime, lag(close) {_W}) AS y_lagged, close - lag(close) {_W}) AS dy FROM prices),
+lags AS (SELECT *, lag(dy) {_W}) AS dy_lag_1 FROM dy), design AS (SELECT *, row_number() {_W}) - 1 AS trend FROM lags WHERE dy_lag_1 IS NOT NULL),
+cum AS (SELECT ticker, datetime, trend, {", ".join(f"sum({x}) {_W}) AS c{k}" for k, x in enumerate(_PRE))}, {", ".join(f"coalesce(sum({x}) {_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p{k}" for k, x in enumerate(_PRE))} FROM design),
+m AS (SELECT e.ticker, e.datetime, e.trend - s.trend + 1 AS n, {", ".join(f"e.c{k} - s.p{k} AS {x}" for k, x in enumerate(["a", "b", "c", "e", "f", "i", "u", "v", "w", "yy"]))} FROM cum e JOIN cum s ON e.ticker = s.ticker AND s.trend <= e.trend - 119 WHERE e.trend >= 120),
+k AS (SELECT *, a * (e * i - f * f) - b * (b * i - f * c) + c * (b * f - e * c) AS det FROM m),
+g AS (SELECT *, ((e * i - f * f) * u + (c * f - b * i) * v + (b * f - c * e) * w) / det AS b0, ((c * f - b * i) * u + (a * i - c * c) * v + (b * c - a * f) * w) / det AS b1,
+  ((b * f - c * e) * u + (b * c - a * f) * v + (a * e - b * b) * w) / det AS b2, (e * i - f * f) / det AS v0 FROM k),
+z AS (SELECT *, sqrt((yy - b0 * u - b1 * v - b2 * w) / (n - 3) * v0) AS sd FROM g)
+SELECT ticker, datetime, round(max(b0 / sd), 3) AS bsadf FROM z GROUP BY ticker, datetime"""
+
+
+@register(_DAILY)
+def bsadf_daily(spark, d):
+    """Windows of 120 daily bars or more, every start and every end."""
+    rows = B.daily_bars(spark, d).select("ticker", "datetime", F.ln("close").alias("close"))
+    return adf.bsadf(rows, "close", "linear", 1, 120, chunks=8).select("ticker", "datetime", *_round("bsadf", digits=3))
+
+
 # splits
 
 
@@ -739,8 +802,9 @@ def portfolio_grid(spark, d):
 @register(_RET + """, r AS (SELECT datetime, row_number() OVER (ORDER BY datetime) - 1 AS r FROM (SELECT DISTINCT datetime FROM complete)), s AS (SELECT k FROM range(0, ((SELECT count(*) FROM r) - 126) // 63) t(k))
 SELECT 'EqualWeighted' AS strategy, k::INT AS split, datetime, round(avg(ret), 6) AS ret FROM complete JOIN r USING (datetime), s WHERE r >= k * 63 + 126 AND r < k * 63 + 189 GROUP BY k, datetime""")
 def walk_forward_returns(spark, d):
-    lab = _lab(spark, d)
-    lab.best = {"EqualWeighted": {"estimator": "equal"}}
+    """The search's winner over its walk-forward windows."""
+    lab = portfolio.StrategyLab(panel.returns_long(B.daily_bars(spark, d)), {"EqualWeighted": {"estimator": "equal"}})
+    lab.search()
     return lab.journey().select("strategy", "split", "datetime", *_round("ret"))
 
 
@@ -756,6 +820,31 @@ def portfolio_search(spark, d):
     return found.join(lab.refitted().groupBy("strategy").agg(F.avg("weight").alias("weight")), "strategy")
 
 
+_ROBUST = _RET + """, r AS (SELECT datetime, row_number() OVER (ORDER BY datetime) - 1 AS p, count(*) OVER () AS n FROM (SELECT DISTINCT datetime FROM complete))"""
+
+
+def _robust(spark, d):
+    lab = portfolio.StrategyLab(panel.returns_long(B.daily_bars(spark, d)), {})
+    lab.best = {"EqualWeighted": {"estimator": "equal"}}
+    return lab
+
+
+@register(_ROBUST + """, c AS (SELECT x AS p1, y AS p2, (row_number() OVER (ORDER BY x, y) - 1)::INT AS split FROM range(5) s(x), range(5) t(y) WHERE x < y)
+SELECT split, datetime, round(avg(ret), 6) AS ret FROM complete JOIN r USING (datetime), c WHERE least(p // (n // 5), 4) IN (p1, p2) GROUP BY split, datetime""")
+def combinatorial_returns(spark, d):
+    """Equal weights over all choices of two of five blocks of times, ten times next to each left out of training."""
+    return _robust(spark, d).combinatorial(5, 2).select("split", "datetime", *_round("ret"))
+
+
+@register(_ROBUST + """, t AS (SELECT DISTINCT ticker FROM complete), w AS (SELECT any_value(n) AS n, least(260, any_value(n)) AS w FROM r),
+p AS (SELECT s::INT AS subsample, ticker, row_number() OVER (PARTITION BY s ORDER BY md5('3:' || s || ':' || ticker), ticker) AS k, ('0x' || substr(md5('3:' || s), 1, 8))::BIGINT % (n - w + 1) AS start, w FROM range(8) u(s), t, w),
+z AS (SELECT subsample, r.p - start AS local, w, c.datetime, ret FROM p JOIN complete c USING (ticker) JOIN r USING (datetime) WHERE k <= 3 AND r.p BETWEEN start AND start + w - 1)
+SELECT subsample, split::INT AS split, datetime, round(avg(ret), 6) AS ret FROM z, range(10) v(split) WHERE split < (w - 126) // 63 AND local >= 126 + 63 * split AND local < 189 + 63 * split GROUP BY ALL""")
+def randomised_returns(spark, d):
+    """Equal weights walked forward on eight drawn sets of three assets and windows of 260 times."""
+    return _robust(spark, d).randomised(8, 3, 260, 3).select("subsample", "split", "datetime", *_round("ret"))
+
+
 @register(_SPLITS + " SELECT split, p::INT AS param, true AS feasible, true AS optimal FROM s, range(3) t(p)")
 def mean_variance_optimal(spark, d):
     """Whether every window's weights of three mean-variance settings meet the conditions of an optimum."""
@@ -816,6 +905,16 @@ def transform_columns(spark, d):
     return PipelineModel.load(path).transform(rows).select("ticker", "datetime", *_round("open_frac_diff", "close_frac_diff", digits=3))
 
 
+@register(f"WITH x AS ({_trend_sql()}), y AS ({_BARRIER} SELECT ticker, datetime, label, t1 FROM barrier) SELECT * FROM x JOIN y USING (ticker, datetime)")
+def transform_stages(spark, d):
+    """Trend scanning and barrier labels as stages of one pipeline."""
+    from pyspark.ml import Pipeline
+
+    rows = B.daily_bars(spark, d).withColumn("sl", 0.6 * F.col("close"))
+    out = Pipeline(stages=[learning.TrendScanning(windows=_TREND_W), learning.TripleBarrier(stopCol="sl", multiple=0.5, horizon=10)]).fit(rows).transform(rows)
+    return out.select("ticker", "datetime", *_round("trend_t", digits=4), "label", "t1")
+
+
 @register(_accounts(on_close=True, finalize=False) + " SELECT ticker, tm AS datetime, units::BIGINT AS units, printf('%.5e', cash) AS cash FROM runs")
 def stream_accounts(spark, d):
     """An account a ticker, kept as the state of a stream of signals."""
