@@ -59,6 +59,68 @@ def test_many_leftovers_meet_in_a_tree(spark, monkeypatch):
         assert abs(sum(r.copies for r in own) - own[0].target / own[0].source_size * len(own)) < 1 + 1e-6
 
 
+def brute_copies(rows, cell, fan_in):
+    """The whole tree in one process: rows (source, size, key, doc_id) to their copies."""
+    sources = sorted({r[0] for r in rows}, key=lambda s: (s is None, s or ""))
+    want = mix.targets([(s, sum(r[1] for r in rows if r[0] == s)) for s in sources])
+    widest = max(-(-sum(r[0] == s for r in rows) // cell) for s in sources)
+    out = {}
+    for s in sources:
+        own = [r for r in rows if r[0] == s]
+        total, cells = sum(r[1] for r in own), max(1, -(-len(own) // cell))
+        rate = want[s] / total if total else 0.0
+        nodes = defaultdict(list)
+        for r in own:
+            out[r] = int(rate) if r[1] else 0
+            if r[1] and rate > int(rate):
+                band = min(511, max(0, 511 - int(np.floor(np.log2(r[1]) * 8))))
+                nodes[0 if cells == 1 else band * cells + r[2] % cells].append(r)
+        part = {r: rate - int(rate) for n in nodes.values() for r in n}
+        order = {n: sorted(rs, key=lambda r: (-r[1], r[2], r[3])) for n, rs in nodes.items()}
+        level, last = 0, widest * 512 - 1 if widest > 1 else 0
+        while True:
+            left = {}
+            for n, rs in order.items():
+                held = None
+                for r in rs:
+                    if held is not None:
+                        part[held], part[r] = mix.pivot(part[held], part[r], mix._draw(r[2], level))
+                        held = next((x for x in (held, r) if 1e-9 <= part[x] <= 1 - 1e-9), None)
+                    elif 1e-9 <= part[r] <= 1 - 1e-9:
+                        held = r
+                if held is not None:
+                    left[n] = held
+            if last == 0:
+                break
+            order = defaultdict(list)
+            for n in sorted(left):
+                order[n // fan_in].append(left[n])
+            level, last = level + 1, last // fan_in
+        for r in left.values():
+            part[r] = float(mix._draw(r[2], -1) < part[r])
+        for r, p in part.items():
+            out[r] += int(p > 0.5)
+    return out
+
+
+@pytest.mark.parametrize("cell,fan_in", [(5, 3), (40, 64), (10_000, 256)])
+def test_copies_match_brute_force(spark, monkeypatch, cell, fan_in):
+    monkeypatch.setattr(mix, "CELL", cell)
+    monkeypatch.setattr(mix, "FAN_IN", fan_in)
+    rows = [(i, "w " * (1 + (i * 7919) % 97 + (i % 50 == 0) * 900), "a" if i % 3 else ["b", None][i % 2]) for i in range(600)] + [(900, "", "a"), (901, None, "c"), (902, "one", "d")]
+    got = mix.copies(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    want = brute_copies([(r.source, r["size"], r.key, r.doc_id) for r in got], cell, fan_in)
+    assert {(r.source, r["size"], r.key, r.doc_id): r.copies for r in got} == want
+
+
+def test_one_text_that_is_most_of_its_source(spark):
+    rows = [(i, "w " * 3, "small") for i in range(30)] + [(50, "w " * 50_000, "small"), (60, "w " * 200_000, "large")]
+    got = {r.doc_id: r for r in mix.copies(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(0 <= r.copies <= 2 for r in got.values())
+    small = [r for r in got.values() if r.source == "small"]
+    assert abs(sum(r.copies for r in small) - small[0].target / small[0].source_size * len(small)) < 1 + 1e-6
+
+
 def test_mixture_keeps_columns(clash):
     out = mix.mixture(clash)
     assert out.columns == clash.columns

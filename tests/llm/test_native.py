@@ -44,6 +44,30 @@ def test_shards_of_different_texts_are_within_one_percent(spark):
     assert len(sizes) == 24 and max(abs(s - mean) for s in sizes) <= 0.01 * mean
 
 
+def test_shards_are_ranges_of_the_sort(spark):
+    """Against the sort itself: shards follow one another, and every boundary lies as near to its target as promised."""
+    rng = random.Random(4)
+    texts = {i: "y" * rng.randrange(300) + str(i // (1 if i % 5 else 40)) for i in range(6000)} | {9000 + i: "crowd" for i in range(900)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    h = {r.doc_id: (r.h, r.g) for r in df.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64("doc_id").alias("g")).collect()}
+    by = check_shards(shard.digest(df).collect(), texts)
+    rows = sorted((r for rs in by.values() for r in rs), key=lambda r: h[r.doc_id])
+    assert [r.shard for r in rows] == sorted(r.shard for r in rows)
+    groups = {}
+    for r in rows:
+        groups[h[r.doc_id][0]] = groups.get(h[r.doc_id][0], 0) + r["size"]
+    total, below, ends = sum(groups.values()), 0, {}
+    for r in rows:
+        below += r["size"]
+        ends[r.shard] = below, groups[h[r.doc_id][0]], r["size"]
+    for k in range(23):
+        end, group, size = ends[k]
+        assert abs(end - total * (k + 1) / 24) <= max(0.005 * total / 24, min(group, 0.02 * total / 24), size)
+    for s, rs in by.items():
+        in_order = sorted(rs, key=lambda r: r.slot)
+        assert [h[r.doc_id][0] for r in in_order if texts[r.doc_id] != "crowd"] == sorted(h[r.doc_id][0] for r in in_order if texts[r.doc_id] != "crowd")
+
+
 def test_equal_texts_stay_together(spark):
     texts = {i: f"text {i // 3} " * (1 + i // 3 % 7) for i in range(9000)}
     rows = shard.digest(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .store import tidy
 
 PER_CLASS = 3000
-MOST_LINES = 2000
+MOST_LINES = 300
 SLICE = 2 << 20
 
 _KIND = np.zeros(256, dtype=np.uint8)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf, hosts, mih, mix, pq, shard, toxic
+from . import bpe, crf, hosts, mih, mix, oracles, pq, shard, toxic
 from .simhash import simhash_groups
 from .suffix import repeats_removed
 
@@ -62,6 +62,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_pq": op1_pq, "op2_hosts": op2_hosts, "op3_chain": op3_chain, "op4_histogram": op4_histogram, "op5_mih": op5_mih, "op6_suffix": op6_suffix, "op7_pivotal": op7_pivotal, "op8_crf": op8_crf, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe}
 ORACLE = {
     "op2_hosts": hosts.ORACLE,
+    "op6_suffix": oracles.REPEATS,
+    "op9_simhash": oracles.SIMHASH,
     "op1_pq": """
         WITH RECURSIVE usable AS (
           SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings

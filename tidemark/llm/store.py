@@ -40,7 +40,7 @@ class Scratch:
     """Tables of one operator call, written as Parquet to the shared folder.
 
     ``keep`` writes and rereads a table (its lineage is then a scan of shared files), ``drop`` deletes one that no
-    later plan reads.
+    later plan reads. What is left goes by ``clean``, or when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -48,6 +48,10 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
         _roots.append(self.root)
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self._n}"

@@ -36,7 +36,7 @@ from .vectors import kmeans, nearest
 PER_CLASS = 4000
 SPACE = 1 << 20  # hashed features
 KEEP = 1024  # features that the models use, at most
-MOST = 50_000  # features of one training document
+MOST = 8_000  # features of one training document
 KINDS = 3  # categories before the last
 LEAST = 2.0  # standard errors from no difference that a feature needs
 _WORD = re.compile(r"[^\W\d_]+")
