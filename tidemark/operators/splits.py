@@ -61,14 +61,14 @@ def combinatorial(rows: DataFrame, n_splits: int = 5, n_test: int = 2, purge: in
 
     Blocks are equal ranges of positions, the last takes the rest. Between disjoint blocks the limits have no effect;
     ``canonical`` applies them: ``purge`` positions before and ``embargo`` positions after each test block leave the
-    training rows.
+    training rows. No rows give no rows.
     """
     placed = positions(rows, time, key)
     n = rows.count()
     size = n // n_splits
-    if not size:
+    if n and not size:
         raise ValueError(f"{n} rows are too few for {n_splits} blocks")
-    block = F.least(F.floor(F.col("position") / size), F.lit(n_splits - 1)).cast("int")
+    block = F.least(F.floor(F.col("position") / max(size, 1)), F.lit(n_splits - 1)).cast("int")
     chosen = list(combinations(range(n_splits), n_test))
     splits = F.array(*(F.struct(F.lit(i).alias("split"), F.array(*map(F.lit, c)).alias("test")) for i, c in enumerate(chosen)))
     out = placed.withColumn("block", block).select("*", F.explode(splits).alias("_s"))
