@@ -32,21 +32,19 @@ MEMO = 600_000
 STEP = 40_000  # words that one recursive query contracts
 
 _ENCODE = """
-WITH RECURSIVE state(word, place, token, done) USING KEY (word, place) AS (
-  SELECT word, place, token, false FROM fresh
+WITH RECURSIVE state(place, word, token, done) USING KEY (place) AS (
+  SELECT place, word, token, false FROM fresh
   UNION ALL
   SELECT * FROM (
     WITH pairs AS (
-      SELECT s.*, m.merged, (m.merged::BIGINT << 32) | s.nth AS pick FROM (
-        SELECT word, place, token, lead(token) OVER o AS follows, row_number() OVER o AS nth FROM state WHERE NOT done AND token >= 0
-        WINDOW o AS (PARTITION BY word ORDER BY place)) s
+      SELECT s.*, (m.merged::BIGINT << 32) | s.nth AS pick FROM (
+        SELECT place, word, token, CASE WHEN lead(word) OVER o = word THEN lead(token) OVER o END AS follows, row_number() OVER o AS nth FROM state WHERE NOT done AND token >= 0
+        WINDOW o AS (ORDER BY place)) s
       LEFT JOIN merges m ON m.pair = s.token::BIGINT * 1048576 + s.follows),
-    best AS (SELECT word, min(pick) >> 32 AS best, min(pick) & 4294967295 AS first FROM pairs GROUP BY word),
-    hits AS (
-      SELECT p.word, p.place, p.token, p.nth, b.best, b.first, coalesce(p.merged = b.best AND (p.nth = b.first OR NOT r.alone), false) AS hit
-      FROM pairs p JOIN best b ON p.word = b.word LEFT JOIN alone r ON r.id = b.best),
-    gaps AS (SELECT *, nth - coalesce(max(CASE WHEN NOT hit THEN nth END) OVER (PARTITION BY word ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS far FROM hits)
-    SELECT word, place, CASE WHEN far % 2 = 0 THEN -1 WHEN hit THEN best::INTEGER ELSE token END, best IS NULL FROM gaps)
+    best AS (SELECT b.*, coalesce(r.alone, false) AS alone FROM (SELECT word, min(pick) >> 32 AS best, min(pick) & 4294967295 AS first FROM pairs GROUP BY word) b LEFT JOIN alone r ON r.id = b.best),
+    hits AS (SELECT p.place, p.word, p.token, p.nth, b.best, coalesce(p.pick >> 32 = b.best AND (p.nth = b.first OR NOT b.alone), false) AS hit FROM pairs p JOIN best b ON p.word = b.word),
+    gaps AS (SELECT *, nth - coalesce(max(CASE WHEN NOT hit THEN nth END) OVER (ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS far FROM hits)
+    SELECT place, word, CASE WHEN far % 2 = 0 THEN -1 WHEN hit THEN best::INTEGER ELSE token END, best IS NULL FROM gaps)
 )
 SELECT list(token ORDER BY place) AS ids FROM state WHERE token >= 0 GROUP BY word ORDER BY word
 """
@@ -99,9 +97,8 @@ class Codec:
             some = rest[s : s + STEP]
             raw = [w.encode() for w in some]
             sizes = np.array([len(b) for b in raw])
-            at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             token = self.bytes_id[np.frombuffer(b"".join(raw), np.uint8)]
-            self.db.register("fresh", pa.table({"word": np.repeat(np.arange(len(raw), dtype=np.int32), sizes), "place": at.astype(np.int32), "token": token}))
+            self.db.register("fresh", pa.table({"word": np.repeat(np.arange(len(raw), dtype=np.int32), sizes), "place": np.arange(len(token), dtype=np.int64), "token": token}))
             ids = self.db.sql(_ENCODE).to_arrow_table().column("ids").combine_chunks()
             self.db.unregister("fresh")
             packed, cut = ids.values.to_numpy().astype("<u4").tobytes(), (4 * ids.offsets.to_numpy()).tolist()
