@@ -425,7 +425,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, width: int, similarity: float,
     return dealt.join(bags, "doc_id").join(other, ["partner", "place"]).select("doc_id", "bag", "other").mapInArrow(_alike(similarity), "doc_id long")
 
 
-def drop_near_copies(docs: DataFrame, radius: int = 12, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_copies(docs: DataFrame, radius: int = 14, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near copies of earlier ones; all columns stay.
 
     A document goes if one of smaller id has an equal text, or a fingerprint within the radius and distinct shingles of a
