@@ -51,27 +51,6 @@ def shingles(text, width=5):
     return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
-def brute_drops(rows, radius=10, width=5, similarity=0.8):
-    """Documents with a partner (equal fingerprint, else nearest earlier one) of enough similarity."""
-    text = {r[0]: r[1] for r in rows if r[0] is not None}
-    fp = {i: slow(t, width) for i, t in text.items()}
-    rep = {}
-    for i in sorted(fp):
-        rep.setdefault(fp[i], i)
-    gone = set()
-    for i in text:
-        partner = rep[fp[i]]
-        if partner == i:
-            near = [((fp[i] ^ f).bit_count(), j) for f, j in rep.items() if j < i and (fp[i] ^ f).bit_count() <= radius]
-            if not near:
-                continue
-            partner = min(near)[1]
-        a, b = shingles(text[i], width), shingles(text[partner], width)
-        if text[i] == text[partner] or len(a & b) >= similarity * len(a | b) - 1e-9:
-            gone.add(i)
-    return gone
-
-
 def true_drops(rows, radius=64, width=5, similarity=0.8):
     """Documents with an equal text or enough similarity to any earlier one, all pairs compared; within the radius, if given."""
     rows = sorted((r[0], r[1]) for r in rows if r[0] is not None)
@@ -110,7 +89,7 @@ def test_recall_against_all_pairs(spark, corpus):
 def test_dropped_copies(clash, corpus):
     kept = simhash.drop_near_copies(clash)
     assert kept.columns == clash.columns
-    want = brute_drops(corpus)
+    want = true_drops(corpus, radius=14)
     assert len(want) > 10
     rows = [r.doc_id for r in kept.collect()]
     assert set(rows) == {r[0] for r in corpus} - want and len(rows) == len(corpus) + 1 - len(want) - (3 in want)
