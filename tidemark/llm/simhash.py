@@ -13,6 +13,7 @@ table gives no rows; other columns of the input are ignored whatever their names
 
 from __future__ import annotations
 
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -216,17 +217,19 @@ def _crowded(fps: DataFrame, chosen: list[tuple[list[int], int]]) -> dict[int, i
     return {r.key: -(-r.n // BLOCK) for r in counts.filter(F.col("n") > max(BLOCK, fps.count() // CROWDED)).collect()}
 
 
-def _keys(fp: np.ndarray, chosen: list[tuple[list[int], int]], crowds: dict[int, int], asking: np.ndarray | None = None):
+def _keys(fp: np.ndarray, chosen: list[tuple[list[int], int]], crowds: dict[int, int], asking: np.ndarray | None = None, only: int | None = None):
     """(row, key, whether it owns the key) of everything that rows probe; rows that do not ask only own.
 
     A key is a partition's number, a block and a value. A row owns its own value in the block that its hash picks, and
-    probes all other blocks of it, and all blocks of the values near to it.
+    probes all other blocks of it, and all blocks of the values near to it. ``only`` leaves all but one partition out.
     """
     many = np.array(sorted(crowds), dtype=np.int64)
     blocks = np.array([crowds[k] for k in sorted(crowds)], dtype=np.int64)
     every = np.arange(len(fp))
     mix = (fp * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
     for k, (bits, t) in enumerate(chosen):
+        if only not in (None, k):
+            continue
         part = _part(fp, bits)
         for mask in _flips(len(bits), t):
             row = every if asking is None or not mask else every[asking]
@@ -270,14 +273,23 @@ def _runs(batches, columns, own: int):
         yield put(held)
 
 
-def _met(fps: DataFrame, chosen: list[tuple[list[int], int]], width: int, find, names: list[str]) -> DataFrame:
+def _passes(chosen: list[tuple[list[int], int]], scratch: Scratch, one) -> DataFrame:
+    """``one(k)`` for each probed partition, one after another, so that the probe rows of one at a time are on disk."""
+    parts = []
+    for k in range(len(chosen)):
+        parts.append(scratch.keep(one(k)))
+        scratch.release()
+    return reduce(lambda a, b: a.union(b), parts)
+
+
+def _met(fps: DataFrame, chosen: list[tuple[list[int], int]], width: int, find, names: list[str], crowds: dict[int, int] | None = None, only: int | None = None) -> DataFrame:
     """Every fingerprint (fp, rep) under each key it probes; ``find`` sees whole runs of equal keys and gives long columns."""
-    crowds = _crowded(fps, chosen)
+    crowds = _crowded(fps, chosen) if crowds is None else crowds
 
     def probes(batches):
         for batch in batches:
             fp, rep = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            for row, key, own in _keys(fp, chosen, crowds):
+            for row, key, own in _keys(fp, chosen, crowds, only=only):
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row].view(np.int64)), pa.array(rep[row]), pa.array(own)], names=["key", "fp", "rep", "own"])
 
     def verify(batches):
@@ -376,15 +388,14 @@ def _possible(key: np.ndarray, cols: list[np.ndarray], chosen: list[tuple[list[i
     return [np.concatenate(c) for c in zip(*found)]
 
 
-def _others(texts: DataFrame, chosen: list[tuple[list[int], int]], radius: int, similarity: float, width: int) -> DataFrame:
+def _others(texts: DataFrame, chosen: list[tuple[list[int], int]], radius: int, similarity: float, width: int, crowds: dict[int, int], only: int | None = None) -> DataFrame:
     """(doc_id, partner) of every row that asks and every earlier text that may be alike; texts: (fp, rep, ask, size, sketch)."""
     names = ["key", "fp", "rep", "own", "ask", "size", "sketch"]
-    crowds = _crowded(texts, chosen)
 
     def probes(batches):
         for batch in batches:
             fp, asking = batch.column(0).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)
-            for row, key, own in _keys(fp, chosen, crowds, asking):
+            for row, key, own in _keys(fp, chosen, crowds, asking, only):
                 fp_, rep, ask, size, sketch = batch.take(pa.array(row)).columns
                 yield pa.RecordBatch.from_arrays([pa.array(key), fp_, rep, pa.array(own), ask, size, sketch], names=names)
 
@@ -442,7 +453,8 @@ def drop_near_copies(docs: DataFrame, radius: int = 14, width: int = 5, similari
     equal = marked.join(unlike, ["fp", "hash"]).filter("doc_id <> first").select("doc_id")
     fps = scratch.keep(unlike.groupBy("fp").agg(F.min("first").alias("rep")))
     chosen = plan(spark, fps, radius)
-    found = _met(fps, chosen, wide, lambda *run: _earlier(*run, radius), ["rep", "apart", "partner"])
+    crowds = _crowded(fps, chosen)
+    found = _passes(chosen, scratch, lambda k: _met(fps, chosen, wide, lambda *run: _earlier(*run, radius), ["rep", "apart", "partner"], crowds, k))
     nearest = found.groupBy("rep").agg(F.min(F.struct("apart", "partner")).alias("best"))
     shared = unlike.join(fps, "fp").filter("first <> rep").select(F.col("first").alias("doc_id"), F.col("rep").alias("partner"))
     pairs = scratch.keep(shared.union(nearest.select(F.col("rep").alias("doc_id"), "best.partner")))
@@ -453,8 +465,9 @@ def drop_near_copies(docs: DataFrame, radius: int = 14, width: int = 5, similari
     compared = unlike.select("fp", F.col("first").alias("rep"))
     sketches = texts.join(compared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(tidy(_sketches(width)), "rep long, size long, sketch binary")
     compared = compared.join(asking, "rep", "left").join(sketches, "rep").withColumn("ask", F.coalesce("ask", F.lit(False)))
-    rest = scratch.keep(_others(scratch.keep(compared), chosen, radius, similarity, wide))
-    scratch.release()
+    compared = scratch.keep(compared)
+    crowds = _crowded(compared, chosen)
+    rest = _passes(chosen, scratch, lambda k: _others(compared, chosen, radius, similarity, wide, crowds, k))
     more = _verified(texts, rest, width, similarity, scratch)
     gone = scratch.keep(gone.union(more).select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
