@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf, hosts, mih, mix, oracles, pq, shard, toxic
+from . import bpe, collocations, crf, hosts, mih, mix, oracles, packing, pq, segments, shard, toxic
 from .simhash import simhash_groups
 from .suffix import repeats_removed
 
@@ -59,11 +59,25 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {"op1_pq": op1_pq, "op2_hosts": op2_hosts, "op3_chain": op3_chain, "op4_histogram": op4_histogram, "op5_mih": op5_mih, "op6_suffix": op6_suffix, "op7_pivotal": op7_pivotal, "op8_crf": op8_crf, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.coded(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_pq": op1_pq, "op2_hosts": op2_hosts, "op3_chain": op3_chain, "op4_histogram": op4_histogram, "op5_mih": op5_mih, "op6_suffix": op6_suffix, "op7_pivotal": op7_pivotal, "op8_crf": op8_crf, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe, "op11_phrases": op11_phrases, "op12_segments": op12_segments, "op13_packing": op13_packing}
 ORACLE = {
     "op2_hosts": hosts.ORACLE,
     "op6_suffix": oracles.REPEATS,
     "op9_simhash": oracles.SIMHASH,
+    "op11_phrases": collocations.ORACLE,
+    "op12_segments": segments.ORACLE,
     "op1_pq": """
         WITH RECURSIVE usable AS (
           SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
