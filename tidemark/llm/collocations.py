@@ -37,6 +37,7 @@ LONGEST = 4  # words of a phrase
 PATTERNS = 5_000_000  # bytes of patterns that one automaton holds
 SLICE = 14  # bits: counters that one row of the sketch's exchange holds
 SALTS = 64
+SPREAD = 2  # tasks of a pass over the texts, for each core
 MARK = b"\xff"
 # upper case to lower case, what ends a piece to the mark, and a tab to a space
 _TABLE = bytes(32 + b if 65 <= b <= 90 else 255 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
@@ -135,7 +136,7 @@ def _sketch(bits: int):
         used = np.flatnonzero(flat.any(axis=1))
         for s in range(0, len(used), 256):
             some = used[s : s + 256]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([flat[k].tobytes() for k in some], pa.binary())], names=["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([pa.compress(flat[k].tobytes(), codec="zstd", asbytes=True) for k in some], pa.binary())], names=["slice", "counts"])
 
     return run
 
@@ -155,7 +156,7 @@ def _heavy(least: int):
                     if own is not None:
                         yield bits()
                     own, total = k, np.zeros(1 << SLICE, np.int64)
-                total += np.frombuffer(raw.as_buffer(), np.uint8)
+                total += np.frombuffer(pa.decompress(raw.as_buffer(), 1 << SLICE, codec="zstd"), np.uint8)
         if own is not None:
             yield bits()
 
@@ -248,8 +249,7 @@ def candidates(texts: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     spark = texts.sparkSession
     context = spark.sparkContext
     bits = _bits(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    # a task sends a whole sketch, so there are a few tasks a core, not one a file
-    parts = texts.coalesce(4 * context.defaultParallelism).mapInArrow(tidy(_sketch(bits)), "slice int, counts binary")
+    parts = texts.mapInArrow(tidy(_sketch(bits)), "slice int, counts binary")
     dealt = parts.repartition(partitions(spark), "slice").sortWithinPartitions("slice")
     # at most 2 ** 26 bits for each of two rows
     found = dealt.mapInArrow(_heavy(least), "slice int, heavy binary").collect()
@@ -263,7 +263,9 @@ def candidates(texts: DataFrame, least: int, scratch: Scratch) -> DataFrame:
 def counts(docs: DataFrame, least: int = 30, automaton_bytes: int = PATTERNS) -> DataFrame:
     """(lang, phrase, n): exact counts of all phrases that occur ``least`` times, their words, other candidates; and of all words, as the empty phrase."""
     spark = docs.sparkSession
-    scratch, texts = Scratch(spark, "phrases"), _texts(docs)
+    scratch = Scratch(spark, "phrases")
+    # a task sends a whole sketch, and each phrase that it finds once, so there are SPREAD tasks a core, not one a file
+    texts = _texts(docs).coalesce(SPREAD * spark.sparkContext.defaultParallelism)
     found = candidates(texts, least, scratch)
     words = found.select("lang", F.explode(F.transform(F.split(F.col("phrase").cast("string"), " "), lambda w: w.cast("binary"))).alias("phrase"))
     patterns = scratch.keep(found.union(words).distinct())
