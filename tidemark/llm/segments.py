@@ -6,8 +6,8 @@ of every entry the sums over 1, 2, 4, ... blocks and the norm of what the block
 
     |x - c|^2  >=  sum over blocks of (Sx - Sc)^2 / length  +  (rx - rc)^2.
 
-One exact distance (to the entry of least coarse bound) bounds the minimum from above; entries whose lower bound lies above
-it are left out, level by level, with a margin for rounding. Survivors get exact distances in 64-bit integers, ties go to the
+The exact distance to the entry of least bound, at each level, bounds the minimum from above; entries whose lower bound lies
+above it are left out, level by level, with a margin for rounding. Survivors get exact distances in 64-bit integers, ties go to the
 lower index, so that the bounds change the work and never the result.
 
 Sums of parts are kept in each task and added exactly (38 digits) over tasks: one row for each entry and component
@@ -58,20 +58,31 @@ class Codebook:
         at, sums, rest = self.levels[0]
         mine, own_rest = _means(x, at)
         bound = (mine - sums.T) ** 2 / np.diff(at)[0] + (own_rest[:, None] - rest) ** 2
-        guess = bound.argmin(1)
-        most = _distance(x, self.entries[guess]) + 1e-9 * ((x.astype(np.float64) ** 2).sum(1) + self.square.max()) + 0.5
+        slack = 1e-9 * ((x.astype(np.float64) ** 2).sum(1) + self.square.max()) + 0.5
+        most = _distance(x, self.entries[bound.argmin(1)]) + slack
         row, entry = np.nonzero(bound <= most[:, None])
         for at, sums, rest in self.levels[1:]:
             mine, own_rest = _means(x, at)
-            near = ((mine[row] - sums[entry]) ** 2 / np.diff(at)).sum(1) + (own_rest[row] - rest[entry]) ** 2 <= most[row]
+            bound = ((mine[row] - sums[entry]) ** 2 / np.diff(at)).sum(1) + (own_rest[row] - rest[entry]) ** 2
+            # the entry of least bound at this level may be nearer than the one before
+            first = _first(row)
+            best = np.flatnonzero(bound == np.minimum.reduceat(bound, first)[row])
+            best = best[_first(row[best])]
+            most = np.minimum(most, _distance(x, self.entries[entry[best]]) + slack)
+            near = bound <= most[row]
             row, entry = row[near], entry[near]
         exact = _distance(x[row], self.entries[entry])
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))  # every row keeps its nearest entry
+        first = _first(row)  # every row keeps its nearest entry
         least = np.minimum.reduceat(exact, first)
         index = np.minimum.reduceat(np.where(exact == least[row], entry, len(self.entries)), first)
         return index, least, len(row)
 
 
+def _first(row: np.ndarray) -> np.ndarray:
+    """Where each value begins in a sorted array."""
+    return np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+
+
 def _means(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the blocks, and the norm of what is left without the blocks' means."""
     if not x.shape[1]:
@@ -114,7 +125,7 @@ def _sums(shipped, width: int, at: np.ndarray):
                 for p in range(len(books)):
                     counts[p] += np.bincount(index[:, p], minlength=k)
                     by = np.argsort(index[:, p], kind="stable")
-                    first = np.flatnonzero(np.concatenate([[True], np.diff(index[by, p]) > 0]))
+                    first = _first(index[by, p])
                     part = x[by, at[p] : at[p + 1]]
                     if part.shape[1]:
                         totals[p, index[by[first], p], : part.shape[1]] += np.add.reduceat(part, first, axis=0)
