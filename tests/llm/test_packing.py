@@ -20,13 +20,21 @@ IDS = packing.Ids(REAL.to_str(), memo=40)
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(max_size=60) | st.text(alphabet=" \t\n  \x1c'sa1.é", max_size=60), max_size=5))
 def test_ids_are_the_library_s(texts):
-    got = IDS.encode(texts)
+    got = IDS.encode([t.encode() for t in texts])
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [REAL.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_odd_texts():
     odd = ["", " ", "a", "  x  y ", "don't we'll", "<|endoftext|> a <|endoftext|>", "a" * 5000, "é中文 \U0001f600", "\0 \0", "x  y", " \x1c a"]
-    assert [np.frombuffer(g, "<u4").tolist() for g in IDS.encode(odd)] == [REAL.encode(t, add_special_tokens=False).ids for t in odd]
+    assert [np.frombuffer(g, "<u4").tolist() for g in IDS.encode([t.encode() for t in odd])] == [REAL.encode(t, add_special_tokens=False).ids for t in odd]
+
+
+def test_long_texts_come_in_blocks(monkeypatch):
+    monkeypatch.setattr(packing, "SLICE", 64)
+    monkeypatch.setattr(packing, "_NEXT", 32)
+    texts = ["word " * 500, "x" * 300 + " y" * 50, "é ü " * 90, "\n\n a\n" * 60, "short", "", "end. Of, line\nnext " * 40]
+    assert len(list(packing._blocks(texts[0].encode()))) > 20
+    assert [np.frombuffer(g, "<u4").tolist() for g in IDS.encode([t.encode() for t in texts])] == [REAL.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def check(rows, want, length):

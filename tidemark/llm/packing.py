@@ -10,9 +10,9 @@ fullest exactly, until half are left. A task ends in the same way, down to one w
 powers of two, which need no padding. Every task packs the rows that it reads, so nothing is exchanged, memory is
 bounded by the open windows, and a lost task is made again from its rows alone.
 
-Ids are the tokenizers library's. Texts are cut before a space between two other characters, where no token of a
-byte-level vocabulary with this pattern can cross, and the ids of distinct cuts are remembered (at most 2 x MEMO of them).
-Strings of special tokens in a text are ordinary text.
+Ids are the tokenizers library's. Texts are cut into words where the pattern's matches end for certain (``_starts``), the
+distinct cuts of a few megabytes are encoded by the library, and their ids are remembered (at most 2 x MEMO of them). The
+vocabulary must be byte-level with this pattern. Strings of special tokens in a text are ordinary text.
 
 Defined cases: a null text is empty; an empty text has the closing id alone; null and repeated ids and repeated rows are
 documents of their own; texts of any length give windows as they come; an empty table gives no rows; other columns are
@@ -27,7 +27,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,13 +35,47 @@ from pyspark.sql import functions as F
 from .store import tidy
 
 MEMO = 400_000
-SLICE = 1 << 20
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-_PLAIN = re.compile(r" ?\S+").fullmatch
+SLICE = 2 << 20  # bytes of text worked on at a time
+_PLAIN = re.compile(rb" ?[^\s\x1c-\x1f\x80-\xff]+|[\xc3][\x80-\xbf]").fullmatch
+_LAST, _NEXT = re.compile(rb"[!-~](?= [!-~])"), 4096
+
+
+def _starts(raw: np.ndarray) -> np.ndarray:
+    """Which bytes begin a cut: whatever stands before and after, the pattern's matches end there, and each side's are its own.
+
+    That holds before a space between two characters; between a letter or digit and one of .,;:!? on either side; and
+    around a single end of line between two characters. Characters are printable ASCII, or Latin letters of two bytes
+    beginning with C3; next to others nothing is cut.
+    """
+    at = lambda k: np.concatenate([np.zeros(max(0, -k), np.uint8), raw[max(0, k) : len(raw) + min(0, k)], np.zeros(max(0, k), np.uint8)])[: len(raw)]
+    two, one, after = at(-2), at(-1), at(1)
+    latin = (one >= 0x80) & (two == 0xC3)
+    behind, here, ahead = _KIND[one], _KIND[raw], _KIND[after]
+    is_character = (behind > 0) | latin
+    stop = (here == 2) & ((behind == 3) | latin & (one != 0x97) & (one != 0xB7)) | (here == 3) & (behind == 2)
+    break_ = is_character & ((ahead > 0) | (after == 0xC3)) & ((raw == 0x20) | (raw == 0x0A))
+    return stop | break_ | np.concatenate([[False], (break_ & (raw == 0x0A))[:-1]])
+
+
+# printable ASCII: 3 letters and digits, 2 stops, 1 others
+_KIND = np.array([0 if not 0x21 <= b <= 0x7E else 3 if chr(b).isalnum() else 2 if chr(b) in ".,;:!?" else 1 for b in range(256)], np.uint8)
+
+
+def _blocks(text: bytes):
+    """A text in pieces of about SLICE bytes, cut where ``_starts`` cuts."""
+    begin = 0
+    while len(text) - begin > SLICE:
+        end = begin + SLICE
+        found = [m.end() for m in _LAST.finditer(text, end - _NEXT, end)] or [m.end() for m in [_LAST.search(text, end)] if m]
+        if not found:
+            break
+        yield text[begin : found[-1]]
+        begin = found[-1]
+    yield text[begin:]
 
 
 class Ids:
-    """Packed ids (little-endian, 32 bits) of texts, by a tokenizer of the tokenizers library."""
+    """Packed ids (little-endian, 32 bits) of texts, by a byte-level tokenizer of the tokenizers library."""
 
     def __init__(self, definition: str, memo: int = MEMO):
         import tokenizers
@@ -54,28 +87,27 @@ class Ids:
         line = self.real.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
 
-    def _learn(self, cuts: list[str]) -> None:
+    def _learn(self, cuts: list[bytes]) -> None:
         """Remembers the ids of new cuts: those without inner space in one text of many lines, as a line's end is a token of
         its own between two of them; others one by one."""
         plain = [c for c in cuts if _PLAIN(c)] if self.line is not None else []
         for s in range(0, len(plain), 2000):
             some = plain[s : s + 2000]
-            (found,) = self.real.encode_batch_fast(["\n".join(some)], add_special_tokens=False)
+            (found,) = self.real.encode_batch_fast([b"\n".join(some).decode()], add_special_tokens=False)
             ids = np.array(found.ids, "<u4")
             at = [-1, *np.flatnonzero(ids == self.line).tolist(), len(ids)]
-            raw = ids.tobytes()
-            self.young.update((c, raw[4 * a + 4 : 4 * b]) for c, a, b in zip(some, at, at[1:], strict=False) if len(at) == len(some) + 1)
+            if len(at) == len(some) + 1:
+                raw = ids.tobytes()
+                self.young.update((c, raw[4 * a + 4 : 4 * b]) for c, a, b in zip(some, at, at[1:]))
         rest = [c for c in cuts if c not in self.young]
         for s in range(0, len(rest), 4096):
-            for c, found in zip(rest[s : s + 4096], self.real.encode_batch_fast(rest[s : s + 4096], add_special_tokens=False)):
+            for c, found in zip(rest[s : s + 4096], self.real.encode_batch_fast([c.decode() for c in rest[s : s + 4096]], add_special_tokens=False)):
                 self.young[c] = np.array(found.ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_CUT.split(t) for t in texts]
-        every = set().union(*cut)
+    def _known(self, every: list[bytes]) -> list[bytes]:
         fresh = [c for c in every if c not in self.young]
         if len(self.young) + len(fresh) > self.memo:
-            self.young, self.old, fresh = {}, self.young, list(every)
+            self.young, self.old, fresh = {}, self.young, every
         unknown = []
         for c in fresh:
             if c in self.old:
@@ -83,8 +115,45 @@ class Ids:
             else:
                 unknown.append(c)
         self._learn(unknown)
-        get = self.young.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        return [self.young[c] for c in every]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of texts, given as UTF-8; long ones in blocks."""
+        out, held, size = [], [], 0
+        for text in texts:
+            if len(text) > SLICE:
+                out += self._encode(held)
+                out.append(b"".join(self._encode([block])[0] for block in _blocks(text)))
+                held, size = [], 0
+                continue
+            held.append(text)
+            size += len(text)
+            if size > SLICE:
+                out += self._encode(held)
+                held, size = [], 0
+        return out + self._encode(held)
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        sizes = np.array([len(t) for t in texts], np.int64)
+        data = b"".join(texts)
+        if not data:
+            return [b""] * len(texts)
+        raw, ends = np.frombuffer(data, np.uint8), np.cumsum(sizes)
+        begins = _starts(raw)
+        begins[(ends - sizes)[sizes > 0]] = True
+        cut = np.flatnonzero(begins)
+        offsets = np.append(cut, len(raw)).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        known = self._known(found.dictionary.to_pylist())
+        flat, n = np.frombuffer(b"".join(known), "<u4"), np.array([len(k) // 4 for k in known], np.int64)
+        own = found.indices.to_numpy()
+        lengths = n[own]
+        upto = np.cumsum(lengths)
+        ids = flat[np.repeat((np.cumsum(n) - n)[own] - (upto - lengths), lengths) + np.arange(upto[-1])].tobytes()
+        # ids before each text: those of the cuts that begin before it
+        marks = np.concatenate([[0], upto])[np.searchsorted(cut, np.append(ends - sizes, len(raw)))] * 4
+        marks = marks.tolist()
+        return [ids[a:b] for a, b in zip(marks, marks[1:])]
 
 
 class Levels:
@@ -211,19 +280,6 @@ def _reader(shipped, memo: int) -> Ids:
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _slices(column):
-    """Ranges of rows with about SLICE bytes of text."""
-    size = pc.binary_length(column).fill_null(0).to_pylist()
-    begin, total = 0, 0
-    for i, n in enumerate(size):
-        if i > begin and total + n > SLICE:
-            yield begin, i
-            begin, total = i, 0
-        total += n
-    if begin < len(size):
-        yield begin, len(size)
-
-
 def pack(docs: DataFrame, length: int = 1024, end: int = 0, path: str | None = None, most_open: int = 2048, ids: bool = False, memo: int = MEMO) -> DataFrame:
     """One row for each piece of a document: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]).
 
@@ -253,9 +309,10 @@ def pack(docs: DataFrame, length: int = 1024, end: int = 0, path: str | None = N
 
         packer = Packer(length, most_open, done)
         for batch in batches:
-            for a, b in _slices(batch.column(1)):
-                names = batch.column(0)[a:b].to_pylist()
-                for doc, raw in zip(names, reader.encode([t or "" for t in batch.column(1)[a:b].to_pylist()])):
+            for s in range(0, len(batch), 500):
+                some = batch.slice(s, 500)
+                texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in some.column(1)]
+                for doc, raw in zip(some.column(0).to_pylist(), reader.encode(texts)):
                     packer.add((doc, len(raw) // 4 + 1), raw + closing)
                 yield rows()
         packer.finish()
