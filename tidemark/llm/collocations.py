@@ -91,23 +91,31 @@ class _Numbers(dict):
 
     def __init__(self):
         super().__init__({MARK: 0})
-        self.hash = [0]
+        self.fresh, self.array, self.filled = [0], np.empty(1 << 14, np.uint64), 0
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.hash)
-        self.hash.append(xxhash.xxh3_64_intdigest(word))
+        self[word] = n = len(self)
+        self.fresh.append(xxhash.xxh3_64_intdigest(word))
         return n
 
+    def hashes(self) -> np.ndarray:
+        """The hash of each number."""
+        if len(self) > len(self.array):
+            self.array = np.concatenate([self.array, np.empty(len(self), np.uint64)])
+        self.array[self.filled : len(self)] = self.fresh
+        self.filled, self.fresh = len(self), []
+        return self.array
+
 
 def _phrases(batches, shift: int):
     """(language, words, numbers, {length: (first words' places, counters of both rows)}) of each block, carried ones not again."""
     numbers = _Numbers()
     for lang, carried, words in _streams(batches):
-        if len(numbers) > 500_000:
+        if len(numbers) > 200_000:
             numbers = _Numbers()
         words = carried + words
         number = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-        hashes = np.array(numbers.hash, np.uint64)[number]
+        hashes = numbers.hashes()[number]
         seed = np.uint64(xxhash.xxh3_64_intdigest(lang))
         h, inside, out = hashes ^ seed, number > 0, {}
         for n in range(2, LONGEST + 1):
