@@ -96,17 +96,7 @@ def test_ichimoku_shift(spark):
     assert s[26:] == a[:-26] and s[:26] == [None] * 26 and values(df, "chikou") == [None] * 100
 
 
-@pytest.mark.parametrize("canonical", [False, True])
-def test_frac_diff(spark, canonical):
-    x, w = walk(90), windows.ffd_weights(0.4, 1e-2)
-    df = frame(spark, x)
-    n = len(w)
-    kernel = w[::-1] if canonical else w
-    want = [None] * (n - 1) + [sum(k * v for k, v in zip(kernel, x[t - n + 1 : t + 1])) for t in range(n - 1, 90)]
-    for inline in (1, 128):
-        got = values(windows.frac_diff(df, "close", 0.4, 1e-2, canonical, inline=inline), "frac_diff")
-        assert [v is None for v in got] == [v is None for v in want]
-        assert np.allclose(got[n - 1 :], want[n - 1 :])
+def test_weights(spark):
     assert len(windows.ffd_weights(0.4, 1e-3)) == 55
     with pytest.raises(ValueError):
         windows.ffd_weights(0.4, 0)
@@ -174,8 +164,20 @@ def test_sample_weights(spark, events):
     assert [r.weight for r in labels.sample_weights(df, "r").orderBy("t0").collect()] == pytest.approx([2 * g for g in got])
 
 
-def bsadf_brute(y, model, min_length, phi=0.0):
-    x, target, rows = bsadf.design(np.array(y), model, [1], False)
+def bsadf_design(y, model, lags, add_const):
+    """The regression written out: regressors with the tested one first, and the target."""
+    y, d, most = np.array(y), np.diff(y), max(lags)
+    at = np.arange(most + 1, len(y))
+    t, one = np.arange(len(at), dtype=float), np.ones(len(at))
+    if model in ("linear", "quadratic"):
+        cols = [y[at - 1], *(d[at - 1 - k] for k in lags), *([one] if add_const else []), t, *([t**2] if model == "quadratic" else [])]
+        return np.column_stack(cols), d[at - 1]
+    cols = {"sm_exp": [t, one], "sm_power": [np.log(np.maximum(t, 1)), one]}.get(model, [t**2, one, t])
+    return np.column_stack(cols), y[at] if model == "sm_poly_1" else np.log(y[at])
+
+
+def bsadf_brute(y, model, min_length, phi=0.0, lags=(1,), add_const=False):
+    x, target = bsadf_design(y, model, lags, add_const)
     out = []
     for t in range(min_length, len(target)):
         best = []
@@ -193,13 +195,27 @@ def bsadf_brute(y, model, min_length, phi=0.0):
 @pytest.mark.parametrize("model", bsadf.MODELS)
 def test_bsadf(spark, model):
     y = np.log(walk(45)).tolist() if model in ("linear", "quadratic", "sm_poly_1") else walk(45)
-    for chunks in (1, 3):
-        got = values(bsadf.bsadf(frame(spark, y), "close", model, 1, 12, chunks=chunks), "bsadf")
-        assert got == pytest.approx(bsadf_brute(y, model, 12), rel=1e-4)
+    for block, phi in ((512, 0.0), (7, 0.5), (16, 0.0)):  # one tile, and many that cross
+        got = values(bsadf.bsadf(frame(spark, y), "close", model, 1, 12, phi=phi, block=block), "bsadf")
+        assert got == pytest.approx(bsadf_brute(y, model, 12, phi), rel=1e-4)
     with pytest.raises(ValueError):
         bsadf.bsadf(frame(spark, y), min_length=0)
 
 
+def test_bsadf_settings_and_gaps(spark):
+    y = np.log(walk(60)).tolist()
+    both = frame(spark, y).union(frame(spark, walk(8), "B"))  # B is too short to have a value
+    got = bsadf.bsadf(both, "close", "linear", [1, 3], 15, add_const=True, block=10).orderBy("datetime").collect()
+    assert [r.ticker for r in got] == ["A"] * len(got)
+    assert [r.bsadf for r in got] == pytest.approx(bsadf_brute(y, "linear", 15, lags=[1, 3], add_const=True), rel=1e-4)
+    gaps = [None, *y[:30], None, float("nan"), *y[30:]]
+    assert values(bsadf.bsadf(frame(spark, gaps), "close", "linear", 1, 12, block=9), "bsadf") == pytest.approx(bsadf_brute(y, "linear", 12), rel=1e-4)
+    flat = values(bsadf.bsadf(frame(spark, [1.0] * 40), "close", "linear", 1, 12, block=9), "bsadf")
+    assert set(flat) == {None} and bsadf.bsadf(frame(spark, []), "close").count() == 0
+    with pytest.raises(ValueError):
+        bsadf.bsadf(frame(spark, y), model="cubic")
+
+
 def test_singular_windows_spoil_only_their_end():
     x = np.column_stack([np.ones(30), np.arange(30.0), np.r_[np.ones(15), np.random.default_rng(0).normal(size=15)]])
     y = np.random.default_rng(1).normal(size=30)
@@ -320,10 +336,64 @@ def test_factory(spark):
 def test_mean_variance():
     mean, cov = np.array([0.01, 0.02, 0.03]), np.diag([0.01, 0.02, 0.04])
     w = portfolio.mean_variance(mean, cov)
-    assert w == pytest.approx(np.array([4, 2, 1]) / 7, abs=1e-6)
-    assert portfolio.mean_variance(mean, cov, min_return=0.025) @ mean == pytest.approx(0.025, abs=1e-5)
+    assert w == pytest.approx(np.array([4, 2, 1]) / 7, abs=1e-9)
+    assert portfolio.mean_variance(mean, cov, min_return=0.025) @ mean == pytest.approx(0.025, abs=1e-12)
     assert portfolio.mean_variance(mean, cov, min_return=1.0).tolist() == [0, 0, 1]
-    assert portfolio.mean_variance(mean, cov, risk_aversion=1e-6).argmax() == 2
+    assert portfolio.mean_variance(mean, cov, risk_aversion=1e-6).argmax() == 2 and portfolio.mean_variance(mean, cov, risk_aversion=0).argmax() == 2
+    assert portfolio.mean_variance(np.array([0.1]), np.array([[0.0]]), risk_aversion=1.0).tolist() == [1.0]
+
+
+def shifts_gain(mean, cov, w, pull, tolerance):
+    """Whether moving weight from one asset to another lowers  w' cov w - pull x mean' w."""
+    g = 2 * cov @ w - pull * mean
+    return g[w > 1e-9].max() - g.min() > tolerance * (2 * np.abs(cov).max() + pull * np.abs(mean).max())
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.integers(1, 12), st.integers(0, 1 << 30), st.sampled_from(["plain", "few times", "equal means", "copies", "wild"]))
+def test_critical_line_meets_the_conditions_of_an_optimum(n, seed, kind):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(rng.normal(0, 0.3, n), rng.uniform(0.5, 2, n), size=(4 if kind == "few times" else 60, n)) @ (np.eye(n) + rng.normal(0, 0.3, (n, n)))
+    if kind == "copies":
+        x[:, : n // 2] = x[:, n - n // 2 :]
+    mean, cov = x.mean(0), np.atleast_2d(np.cov(x, rowvar=False))
+    if kind == "equal means":
+        mean = np.full(n, 0.1)
+    if kind == "wild":
+        mean, cov = mean * 1e6, cov * 1e-6
+    corners = portfolio.critical_line(mean, cov)
+    assert all(w.min() >= 0 and abs(w.sum() - 1) < 1e-9 for _, w in corners) and corners[-1][0] == 0
+    for risk in (0.3, 1.0, 20.0):
+        w = portfolio.on_line(corners, mean, risk_aversion=risk)
+        assert not shifts_gain(mean, cov, w, 1 / risk, 1e-5)
+    assert not shifts_gain(mean, cov, portfolio.on_line(corners, mean), 0.0, 1e-5)
+    low, high = portfolio.on_line(corners, mean) @ mean, mean.max()
+    for share in (0.25, 0.9):
+        least = low + share * (high - low)
+        w = portfolio.on_line(corners, mean, min_return=least)
+        assert w @ mean >= least - 1e-9 * max(1.0, abs(least)) and w.min() >= -1e-12
+        # any mixture with another corner that reaches the return has no less variance
+        for _, v in corners:
+            if v @ mean >= least:
+                assert (w @ cov @ w) <= (v @ cov @ v) * (1 + 1e-7) + 1e-12
+
+
+def test_moments_and_weights_from_pairs(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(0.01, 0.1, size=(60, 4)) @ (np.eye(4) + 0.2)
+    rows = [(i // 60, DAY + timedelta(i % 60), f"T{k}", float(x[i % 60, k] * (1 + i // 60)), "train" if i % 60 < 40 else "test") for i in range(120) for k in range(4) if (i, k) != (5, 2)]
+    split = spark.createDataFrame(rows, "split int, datetime timestamp, ticker string, ret double, role string")
+    grid = [{}, {"risk_aversion": 2.0}, {"min_return": 0.02}]
+    got = {(r.split, r.param, r.ticker): r.weight for r in portfolio.learned(split, grid).collect()}
+    for s in (0, 1):
+        past = np.delete(x[:40], 5, axis=0) if s == 0 else 2 * x[:40]  # a time without all assets is left out
+        for p, g in enumerate(grid):
+            want = portfolio.mean_variance(past.mean(0), np.cov(past, rowvar=False), **g)
+            assert [got[s, p, f"T{k}"] for k in range(4)] == pytest.approx(want.tolist(), abs=1e-7)
+    out = portfolio.fit_predict(split, [{"estimator": "mean_variance", **grid[1]}, {"estimator": "equal"}]).filter("split = 1").orderBy("param", "datetime").collect()
+    assert len(out) == 40 and out[0].ret == pytest.approx(sum(2 * x[40, k] * got[1, 1, f"T{k}"] for k in range(4))) and out[20].ret == pytest.approx(2 * x[40].mean())
+    checked = portfolio.optimal(split, grid).collect()
+    assert len(checked) == 6 and all(r.feasible and r.optimal for r in checked)
 
 
 def test_lab(spark):

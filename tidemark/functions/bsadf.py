@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .windows import by_time
 
@@ -23,88 +24,122 @@ def adf_design(bars: DataFrame, column: str = "close", lags: int | list[int] = 1
     return out.withColumn("trend", F.row_number().over(Window.partitionBy("ticker").orderBy("datetime")) - 1)
 
 
-def design(y: np.ndarray, model: str, lags: list[int], add_const: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(regressors with the tested one first, target, places of the rows) of one series."""
+def regressors(bars: DataFrame, column: str, model: str, lags: list[int], add_const: bool) -> DataFrame:
+    """(ticker, datetime, t, z): the rows of the regression, numbered from 0, with the tested regressor first and the target last."""
     if model not in MODELS:
         raise ValueError(f"unknown model {model}")
-    diff = np.diff(y)
-    most = max(lags)
-    rows = np.arange(most + 1, len(y))
-    trend = np.arange(len(rows), dtype=float)
-    one = np.ones(len(rows))
+    w, most = by_time(), max(lags)
+    y = F.col("y")
+    rows = bars.select("ticker", "datetime", F.col(column).cast("double").alias("y")).filter(y.isNotNull() & ~F.isnan("y"))
+    rows = rows.select("*", (F.row_number().over(w) - 1 - (most + 1)).cast("double").alias("t"), F.lag("y").over(w).alias("before"), (y - F.lag("y").over(w)).alias("dy"))
+    rows = rows.select("*", *(F.lag("dy", k).over(w).alias(f"dy_{k}") for k in lags)).filter("t >= 0")
+    one, t, log = F.lit(1.0), F.col("t"), lambda c: F.coalesce(F.ln(c), F.lit(float("nan")))
     if model in ("linear", "quadratic"):
-        cols = [y[rows - 1], *(diff[rows - 1 - k] for k in lags), *([one] if add_const else []), trend, *([trend**2] if model == "quadratic" else [])]
-        return np.column_stack(cols), diff[rows - 1], rows
-    level = y[rows] if model == "sm_poly_1" else np.log(y[rows])
-    if model in ("sm_poly_1", "sm_poly_2"):
-        cols = [trend**2, one, trend]
-    elif model == "sm_exp":
-        cols = [trend, one]
+        z = [F.col("before"), *(F.col(f"dy_{k}") for k in lags), *([one] if add_const else []), t, *([t * t] if model == "quadratic" else []), F.col("dy")]
     else:
-        cols = [np.log(np.maximum(trend, 1)), one]
-    return np.column_stack(cols), level, rows
+        level = y if model == "sm_poly_1" else log(y)
+        z = {"sm_exp": [t, one], "sm_power": [log(F.greatest(t, one)), one]}.get(model, [t * t, one, t]) + [level]
+    return rows.select("ticker", "datetime", F.col("t").cast("long").alias("t"), F.array(*z).alias("z"))
 
 
-def _solve(xx: np.ndarray, xy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients and inverses of stacked systems; a singular one is NaN and spoils no other."""
-    try:
-        inverse = np.linalg.inv(xx)
-    except np.linalg.LinAlgError:
-        inverse = np.full_like(xx, np.nan)
-        for i, m in enumerate(xx):
-            try:
-                inverse[i] = np.linalg.inv(m)
-            except np.linalg.LinAlgError:
-                pass
-    return (inverse @ xy[..., None])[..., 0], inverse
+def _sweep(m: np.ndarray, n: np.ndarray, phi: float, absolute: bool) -> np.ndarray:
+    """t-statistics of the first coefficient from stacked moments (regressors and target in one matrix), over n rows each.
 
-
-def statistics(x: np.ndarray, y: np.ndarray, min_length: int, phi: float, absolute: bool, ends: range) -> np.ndarray:
-    """For each end the largest t-statistic of the first coefficient over all windows of at least ``min_length`` rows.
-
-    A window's moments are differences of prefix sums; a window that cannot be solved makes its end NaN.
+    All other regressors are eliminated one by one, in all windows at once; what is left are the moments of the first and the
+    target without them. A window whose regressors depend on one another gives NaN.
     """
-    k = x.shape[1]
-    pad = lambda a: np.concatenate([np.zeros((1, *a.shape[1:])), np.cumsum(a, axis=0)])
-    xx, xy, yy = pad(x[:, :, None] * x[:, None, :]), pad(x * y[:, None]), pad(y * y)
-    out = np.full(len(ends), np.nan)
+    k, first = m.shape[1] - 1, np.einsum("sii->si", m).copy()
+    bad = np.zeros(len(m), bool)
+    for p in range(1, k):
+        pivot = m[:, p, p]
+        bad |= ~(pivot > 1e-13 * first[:, p])
+        m = m - m[:, :, p, None] * (m[:, None, p, :] / pivot[:, None, None])
+    s, r, q = m[:, 0, 0], m[:, 0, k], m[:, k, k]
+    bad |= ~(s > 1e-14 * first[:, 0])
+    sd = np.sqrt((q - r * r / s) / np.maximum(n - k, 1) / s)
+    stat = np.where((sd > 1e-8) & ~bad, r / s / sd, np.nan)
+    stat = np.abs(stat) if absolute else stat
+    return stat / n**phi if phi > 0 else stat
+
+
+def tile(starts: tuple[np.ndarray, np.ndarray], ends: tuple[np.ndarray, np.ndarray] | None, middle: np.ndarray | None, min_length: int, phi: float, absolute: bool) -> np.ndarray:
+    """For each end the largest statistic over windows of at least ``min_length`` rows that begin at one of the starts; NaN if
+    one of them cannot be solved, -inf if there is none.
+
+    Both are (numbers, rows of regressors and target) of a block; ``middle`` has the moments of the blocks between. Without
+    ``ends`` the block's own rows are the ends.
+    """
+    t, z = starts
+    products = z[:, :, None] * z[:, None, :]
+    if ends is None:
+        upto = np.concatenate([np.zeros((1, *products.shape[1:])), np.cumsum(products, axis=0)])
+    else:
+        rest = np.cumsum(products[::-1], axis=0)[::-1] + middle
+        upto = np.cumsum(ends[1][:, :, None] * ends[1][:, None, :], axis=0)
+    out = np.full(len(t if ends is None else ends[0]), -np.inf)
     with np.errstate(all="ignore"):
-        for i, t in enumerate(ends):
-            starts = np.arange(0, t - min_length + 2)
-            if not len(starts):
-                continue
-            a, b, c, n = xx[t + 1] - xx[starts], xy[t + 1] - xy[starts], yy[t + 1] - yy[starts], t + 1 - starts
-            beta, inverse = _solve(a, b)
-            sse = c - 2 * (beta * b).sum(1) + np.einsum("si,sij,sj->s", beta, a, beta)
-            sd = np.sqrt(sse / np.maximum(n - k, 1) * inverse[:, 0, 0])
-            stat = np.where(sd > 1e-8, beta[:, 0] / sd, np.nan)
-            stat = np.abs(stat) if absolute else stat
-            out[i] = (stat / n**phi if phi > 0 else stat).max()
+        for i, end in enumerate(t if ends is None else ends[0]):
+            n = end - t + 1
+            some = np.flatnonzero(n >= min_length)
+            if len(some):
+                m = upto[i + 1] - upto[some] if ends is None else rest[some] + upto[i]
+                out[i] = _sweep(m, n[some], phi, absolute).max()
     return out
 
 
-def bsadf(bars: DataFrame, column: str = "close", model: str = "linear", lags: int | list[int] = 1, min_length: int = 20, add_const: bool = False, phi: float = 0.0, chunks: int = 1) -> DataFrame:
+def statistics(x: np.ndarray, y: np.ndarray, min_length: int, phi: float, absolute: bool, ends: range) -> np.ndarray:
+    """``tile`` over all starts and the ends asked for, of one short series."""
+    got = tile((np.arange(len(y)), np.column_stack([x, y])), None, None, min_length, phi, absolute)[list(ends)]
+    return np.where(np.isneginf(got), np.nan, got)
+
+
+def bsadf(bars: DataFrame, column: str = "close", model: str = "linear", lags: int | list[int] = 1, min_length: int | None = 20, add_const: bool = False, phi: float = 0.0, block: int = 512) -> DataFrame:
     """(ticker, datetime, bsadf) without the first ``min_length`` regression rows.
 
-    The work is quadratic in a series' length, so ``chunks`` deals the ends of each series to that many groups, of equal
-    work; each has the whole series, which is small beside its windows.
+    The triangle of all (start, end) pairs of a series is cut into tiles of ``block`` starts and ``block`` ends. A tile's task
+    gets the rows of its two blocks, and one row of moments: those of all blocks between, added up beforehand, from one
+    row a block. No task holds a series, and no moment is the difference of two sums over a series.
     """
     if not min_length:
         raise ValueError("min_length is needed")
     lags = list(range(1, lags + 1)) if isinstance(lags, int) else list(lags)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.dropna(subset=["y"]).sort_values("datetime")
-        part = int(frame["chunk"].iloc[0]) if len(frame) else 0
-        if len(frame) <= max(lags) + 1 + min_length:
-            return pd.DataFrame({"ticker": [], "datetime": [], "bsadf": []})
-        x, y, rows = design(frame["y"].to_numpy(float), model, lags, add_const)
-        cut = [min_length + round((len(rows) - min_length) * (k / chunks) ** 0.5) for k in range(chunks + 1)]
-        ends = range(cut[part], cut[part + 1])
-        got = statistics(x, y, min_length, phi, model.startswith("sm"), ends)
-        at = frame.iloc[rows[cut[part] : cut[part + 1]]]
-        return pd.DataFrame({"ticker": at["ticker"], "datetime": at["datetime"], "bsadf": pd.array(np.where(np.isnan(got), None, got), dtype="Float64")})
-
-    kind = bars.schema["datetime"].dataType.simpleString()
-    dealt = bars.select("ticker", "datetime", F.col(column).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    return dealt.groupBy("ticker", "chunk").applyInPandas(run, f"ticker string, datetime {kind}, bsadf double")
+    rows = regressors(bars, column, model, lags, add_const).withColumn("b", F.expr(f"t div {block}"))
+    width = {"linear": 2 + len(lags) + add_const, "quadratic": 3 + len(lags) + add_const, "sm_exp": 2, "sm_power": 2}.get(model, 3) + 1
+    pairs = [(i, j) for i in range(width) for j in range(i, width)]
+    sums = rows.groupBy("ticker", "b").agg(*(F.sum(F.col("z")[i] * F.col("z")[j]).alias(f"m{k}") for k, (i, j) in enumerate(pairs)))
+    last = sums.groupBy("ticker").agg(F.max("b").alias("last"))
+    near = (F.col("e") - F.col("s") + 1) * block >= min_length
+    # moments strictly between two blocks, from a running sum for each first block
+    later = sums.join(sums.select("ticker", F.col("b").alias("s")), "ticker").filter("b > s").withColumnRenamed("b", "e")
+    run = Window.partitionBy("ticker", "s").orderBy("e").rowsBetween(Window.unboundedPreceding, -1)
+    between = F.array(*(F.coalesce(F.sum(f"m{k}").over(run), F.lit(0.0)) for k in range(len(pairs))))
+    kind = bars.schema["datetime"].dataType
+    middle = later.select("ticker", "s", "e", F.lit(1).alias("side"), F.lit(None).cast(kind).alias("datetime"), F.lit(0).cast("long").alias("t"), between.alias("z"))
+    whole = rows.join(last, "ticker")
+    first = whole.select("ticker", F.col("b").alias("s"), F.explode(F.sequence("b", "last")).alias("e"), F.lit(0).alias("side"), "datetime", "t", "z")
+    second = whole.filter("b > 0").select("ticker", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)).alias("s"), F.col("b").alias("e"), F.lit(2).alias("side"), "datetime", "t", "z")
+    dealt = first.union(middle).union(second).filter(near)
+    absolute, upper = model.startswith("sm"), tuple(np.array(pairs).T)
+
+    def run_tile(key, table):
+        table = table.sort_by([("side", "ascending"), ("t", "ascending")])
+        side, t = table.column("side").to_numpy(), table.column("t").to_numpy()
+        z = table.column("z").combine_chunks()
+        flat, offsets = z.values.to_numpy(zero_copy_only=False), z.offsets.to_numpy()
+        part = lambda k: (t[side == k], flat[offsets[:-1][side == k][0] : offsets[1:][side == k][-1]].reshape(-1, width))
+        if key[1].as_py() == key[2].as_py():
+            got, own = tile(part(0), None, None, min_length, phi, absolute), side == 0
+        else:
+            m = np.zeros((width, width))
+            (at,) = np.flatnonzero(side == 1)
+            m[upper] = m[upper[::-1]] = flat[offsets[at] : offsets[at + 1]]
+            got, own = tile(part(0), part(2), m, min_length, phi, absolute), side == 2
+        keep = ~np.isneginf(got)
+        rest = table.select(["ticker", "datetime", "t"]).filter(pa.array(own)).filter(pa.array(keep))
+        return rest.append_column("stat", pa.array(got[keep], pa.float64()))
+
+    kinds = T.StructType([bars.schema["ticker"], T.StructField("datetime", kind), T.StructField("t", T.LongType()), T.StructField("stat", T.DoubleType())])
+    found = dealt.groupBy("ticker", "s", "e").applyInArrow(run_tile, kinds)
+    best = F.max("stat")  # NaN is above all numbers
+    out = found.groupBy("ticker", "datetime").agg(F.when(~F.isnan(best), best).alias("bsadf"), F.max("t").alias("t"))
+    return out.filter(F.col("t") >= min_length).select("ticker", "datetime", "bsadf")

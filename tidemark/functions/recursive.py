@@ -1,4 +1,4 @@
-"""Indicators that look back on their own last value, and callables: one pass over a ticker's bars."""
+"""Indicators that look back on their own last value, as scans; and callables: one pass over a ticker's bars."""
 
 from __future__ import annotations
 
@@ -7,33 +7,11 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-
-def ema_values(x: np.ndarray, n: int) -> np.ndarray:
-    """Exponential mean with weight 2 / (n + 1), begun by the mean of the first n values."""
-    out = np.full(len(x), np.nan)
-    if len(x) >= n:
-        now = out[n - 1] = x[:n].mean()
-        k = 2 / (n + 1)
-        for i in range(n, len(x)):
-            now = out[i] = now + (x[i] - now) * k
-    return out
-
-
-def rsi_values(x: np.ndarray, n: int) -> np.ndarray:
-    """100 times the share of gains in all moves, both smoothed by 1 / n and begun by the mean of the first n moves."""
-    out = np.full(len(x), np.nan)
-    if len(x) <= n:
-        return out
-    move = np.diff(x)
-    up, down = np.maximum(move, 0), np.maximum(-move, 0)
-    a, b = up[:n].mean(), down[:n].mean()
-    for i in range(n, len(x)):
-        if i > n:
-            a, b = a + (up[i - 1] - a) / n, b + (down[i - 1] - b) / n
-        out[i] = 100 * a / (a + b) if a + b > 0 else 0.0
-    return out
+from ..plans.ranges import positions
+from .scan import scanned
 
 
 def by_ticker(bars: DataFrame, outputs: list[str], fn: Callable[[pd.DataFrame], tuple]) -> DataFrame:
@@ -54,12 +32,35 @@ def by_ticker(bars: DataFrame, outputs: list[str], fn: Callable[[pd.DataFrame],
     return bars.groupBy("ticker").applyInPandas(run, kind)
 
 
+def _finite(column: str) -> Column:
+    return F.col(column).isNotNull() & ~F.isnan(column) & (F.abs(column) < F.lit(float("inf")))
+
+
 def ema(bars: DataFrame, column: str = "close", n: int = 120, name: str = "ema") -> DataFrame:
-    return by_ticker(bars, [name], lambda f: (ema_values(f[column].to_numpy(float), n),))
+    """Exponential mean with weight 2 / (n + 1), begun by the mean of the first n values; null before, and from the first
+    value on that is missing. The first n terms are weighted so that they add up to that mean."""
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    k = 2 / (n + 1)
+    placed = positions(bars.withColumn("_x", F.col(column).cast("double")))
+    seed = F.col("_x") / n / F.pow(F.lit(1 - k), (n - 1) - F.col("_pos")) if n > 1 else F.col("_x")
+    out = scanned(placed, {"_mean": F.when(F.col("_pos") < n, seed).otherwise(F.col("_x") * k)}, 1 - k, _finite("_x"))
+    return out.withColumn(name, F.when(F.col("_pos") >= n - 1, F.col("_mean"))).select(*(c for c in bars.columns if c != name), name)
 
 
 def rsi(bars: DataFrame, column: str = "close", n: int = 14, name: str = "rsi") -> DataFrame:
-    return by_ticker(bars, [name], lambda f: (rsi_values(f[column].to_numpy(float), n),))
+    """100 times the share of gains in all moves (0 without moves), both smoothed by 1 / n and begun by the mean of the first n
+    moves; null before, and from the first value on that is missing."""
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    ratio, place = 1 - 1 / n, F.col("_pos")
+    placed = positions(bars.withColumn("_x", F.col(column).cast("double")), ["_x"])
+    move = F.col("_x") - F.col("_previous__x")
+    weight = F.when(place <= n, 1 / F.pow(F.lit(ratio), n - place)).otherwise(1.0) / n if n > 1 else F.lit(1.0)
+    side = lambda m: F.when(place > 0, F.greatest(m, F.lit(0.0)) * weight).otherwise(0.0)
+    out = scanned(placed, {"_up": side(move), "_down": side(-move)}, ratio, _finite("_x"))
+    share = F.when(F.col("_up") + F.col("_down") > 0, 100 * F.col("_up") / (F.col("_up") + F.col("_down"))).when(F.col("_up").isNotNull(), 0.0)
+    return out.withColumn(name, F.when(place >= n, share)).select(*(c for c in bars.columns if c != name), name)
 
 
 def pipe_indicator(bars: DataFrame, indicator: Callable, inputs, outputs, **settings) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from ..plans.ranges import Step, in_pieces
 
 
 def by_time(*keys: str):
@@ -66,39 +71,74 @@ def rogers_satchell(n: int = 30, w=None) -> Column:
     return F.sqrt(full(F.sum(term), term, n, w or by_time()) / n)
 
 
-def trend_t(n: int, w=None) -> Column:
-    """t-statistic of the slope of the next n values on their index, null where n rows or all variance are missing.
+def _block(n: int) -> int:
+    """Rows of the blocks that windows of n rows are read from: the first of 16, 128, 1024, ... that holds one."""
+    size = 16
+    while size < n:
+        size *= 8
+    return size
+
+
+def _with_moments(rows: DataFrame, column: str, size: int) -> DataFrame:
+    """rows (with ``_index`` from 0) with the moments of their block of ``size`` rows as ``_m``.
 
-    Differences of the running sums that ``trend_scan`` has prepared; what rounding leaves of a perfect fit is no variance.
+    ``b`` numbers the block, ``j`` the row in it; ``o`` is the block's first value, from which all values of the block are
+    measured; n, y, jy and yy are sums up to the row, tn, ty, tjy and tyy the block's, and u the row's own value.
     """
-    w = w or by_time()
-    over = lambda c: F.lead(c, n - 1).over(w) - F.lag(c, 1, 0.0).over(w)
-    sy, siy, syy = over("_sy"), over("_siy") - F.col("_index") * over("_sy"), over("_syy")
+    rows = rows.withColumn("_b", F.expr(f"_index div {size}"))
+    w = Window.partitionBy("ticker", "_b").orderBy("_index")
+    whole, run = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_o": F.first(column, ignorenulls=True).over(whole), "_j": (F.col("_index") - F.col("_b") * size).cast("double")})
+    rows = rows.withColumns({"_u": F.coalesce(F.col(column) - F.col("_o"), F.lit(0.0)), "_k": F.col(column).isNotNull().cast("int")})
+    u, j = F.col("_u"), F.col("_j")
+    parts = {"n": F.sum("_k"), "y": F.sum(u), "jy": F.sum(u * j), "yy": F.sum(u * u)}
+    sums = [v.over(run).alias(k) for k, v in parts.items()] + [v.over(whole).alias(f"t{k}") for k, v in parts.items()]
+    return rows.withColumn("_m", F.struct(F.col("_b").alias("b"), j.alias("j"), F.col("_o").alias("o"), u.alias("u"), F.col("_k").alias("k"), *sums)).drop("_o", "_j", "_u", "_k")
+
+
+def _trend_t(s: Column, e: Column, n: int, size: int) -> Column:
+    """t-statistic of the slope over n rows, from the moments of its first row and of its last, in the same block or the next.
+
+    What lies in the next block is moved to the first block's origin by exact shifts of its moments; places count from the
+    window's first row. So no sum is larger than what two blocks hold, however long the series is.
+    """
+    same = e["b"] == s["b"]
+    own = {"n": s["k"], "y": s["u"], "jy": s["u"] * s["j"], "yy": s["u"] * s["u"]}
+    # the first block's rows from s on, and the next block's up to e
+    a = {c: F.when(same, e[c]).otherwise(s[f"t{c}"]) - s[c] + v for c, v in own.items()}
+    c = {k: F.when(same, 0.0).otherwise(e[k]) for k in own}
+    shift, m = F.when(same, 0.0).otherwise(e["o"] - s["o"]), F.when(same, 0.0).otherwise(e["j"] + 1)
+    sy = a["y"] + c["y"] + shift * m
+    siy = a["jy"] - s["j"] * a["y"] + c["jy"] + (size - s["j"]) * c["y"] + shift * m * (2 * n - 1 - m) / 2
+    syy = a["yy"] + c["yy"] + 2 * shift * c["y"] + m * shift * shift
     sxx = n * (n * n - 1) / 12
     sxy = siy - (n - 1) / 2 * sy
-    total = syy - sy * sy / n
-    rest = total - sxy * sxy / sxx
-    error = F.when(rest > 1e-12 * syy, F.sqrt(rest / (n - 2) / sxx))
-    return F.when(over("_sn") == n, sxy / sxx / error)
+    rest = syy - sy * sy / n - sxy * sxy / sxx
+    error = F.when(rest > 1e-13 * syy, F.sqrt(rest / (n - 2) / sxx))  # what rounding leaves of a perfect fit is no variance
+    return F.when(a["n"] + c["n"] == n, sxy / sxx / error)
 
 
 def trend_scan(bars: DataFrame, column: str = "close", windows: list[int] | int = [5, 10, 20, 40, 80, 120], name: str = "trend_t") -> DataFrame:  # noqa: B006
-    """bars with ``trend_t``: of all windows shorter than the series the t of largest size, the first window on ties.
+    """bars with ``trend_t``: of all windows shorter than the series the t-statistic of largest size of the slope of the next
+    n values on their index, the first window on ties; null where n rows or all variance are missing.
 
-    Four running sums a series, of values less their mean, serve windows of any length at the same cost.
+    Moments are running sums within blocks of rows, each with an origin of its own, two blocks to a window at most; one
+    exchange and, for each size of blocks, one sort within partitions, whatever the windows are.
     """
-    windows = [windows] if isinstance(windows, int) else windows
-    w, whole = by_time(), Window.partitionBy("ticker")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = bars.select("*", F.row_number().over(w).cast("double").alias("_index"), F.count("*").over(whole).alias("_n"), (F.col(column) - F.avg(column).over(whole)).alias("_y"))
-    y = F.coalesce("_y", F.lit(0.0))
-    out = out.select("*", F.sum(y).over(run).alias("_sy"), F.sum(y * F.col("_index")).over(run).alias("_siy"), F.sum(y * y).over(run).alias("_syy"), F.sum(F.col("_y").isNotNull().cast("double")).over(run).alias("_sn"))
-    out = out.select("*", *(F.when(F.col("_n") > n, trend_t(n, w)).alias(f"_t{n}") for n in windows))
+    windows = [windows] if isinstance(windows, int) else list(windows)
+    whole = Window.partitionBy("ticker")
+    out = bars.select("*", (F.row_number().over(by_time()) - 1).cast("long").alias("_index"), F.count("*").over(whole).alias("_n"))
+    for size in sorted({_block(n) for n in windows}):
+        out, mine = _with_moments(out, column, size), sorted({n for n in windows if _block(n) == size})
+        ahead = Window.partitionBy("ticker").orderBy("_b", "_index")
+        out = out.select("*", *(F.lead("_m", n - 1).over(ahead).alias(f"_e{n}") for n in mine))
+        t = {f"_t{n}": F.when(F.col("_n") > n, _trend_t(F.col("_m"), F.col(f"_e{n}"), n, size)) for n in mine}
+        out = out.withColumns(t).drop("_m", "_b", *(f"_e{n}" for n in mine))
     best = F.col(f"_t{windows[0]}")
     for n in windows[1:]:
         t = F.col(f"_t{n}")
         best = F.when(best.isNull() | (F.abs(t) > F.abs(best)), t).otherwise(best)
-    return out.withColumn(name, best).drop("_index", "_n", "_y", "_sy", "_siy", "_syy", "_sn", *(f"_t{n}" for n in windows))
+    return out.withColumn(name, best).drop("_index", "_n", *(f"_t{n}" for n in windows))
 
 
 def ffd_weights(d: float, threshold: float = 1e-5) -> list[float]:
@@ -114,31 +154,42 @@ def ffd_weights(d: float, threshold: float = 1e-5) -> list[float]:
         k += 1
 
 
-def frac_diff(bars: DataFrame, column: str = "close", d: float = 0.4, threshold: float = 1e-3, canonical: bool = False, name: str = "frac_diff", inline: int = 128) -> DataFrame:
-    """Fractional difference of fixed width: sum of weights times the last L values, null on the first L - 1 rows.
+def convolved(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """Sums of kernel[j] * x[i - len(kernel) + 1 + j] for each i with that many values, NaN where fewer or one is not finite.
 
-    By default the first weight meets the oldest value; ``canonical`` has it meet the newest. Up to ``inline`` weights
-    are an expression over lags in generated code, more of them a convolution per ticker.
+    Overlap-save: blocks of four times the kernel's length, each by one Fourier transform of its own.
+    """
+    n, out, fine = len(kernel), np.full(len(x), np.nan), np.isfinite(x)
+    if len(x) < n:
+        return out
+    size = 1 << max(10, (4 * n - 1).bit_length())
+    own = np.fft.rfft(kernel[::-1], size)
+    values = np.where(fine, x, 0.0)
+    for s in range(0, len(x) - n + 1, size - n + 1):
+        part = values[s : s + size]
+        out[s + n - 1 : s + len(part)] = np.fft.irfft(np.fft.rfft(part, size) * own, size)[n - 1 : len(part)]
+    bad = np.concatenate([[0], np.cumsum(~fine)])
+    out[n - 1 :][bad[n:] > bad[:-n]] = np.nan
+    return out
+
+
+def frac_diff(bars: DataFrame, column: str = "close", d: float = 0.4, threshold: float = 1e-5, canonical: bool = False, name: str = "frac_diff", size: int = 65_536) -> DataFrame:
+    """Fractional difference of fixed width: sum of weights times the last L values, null on the first L - 1 rows and where
+    one of the values is missing.
+
+    By default the first weight meets the oldest value; ``canonical`` has it meet the newest. Series are cut into pieces
+    of ``size`` rows (eight times L, if that is more) that overlap by L - 1; each is convolved by itself, so that one path
+    serves any threshold and any length.
     """
     weights = ffd_weights(d, threshold)
-    n, w = len(weights), by_time()
-    kernel = weights[::-1] if canonical else weights  # kernel[j] meets the value n - 1 - j rows ago
-    if n <= inline:
-        lags = bars.select("*", *(F.lag(column, k).over(w).alias(f"_lag{k}") for k in range(1, n)))
-        total = sum((F.col(f"_lag{n - 1 - j}") * k for j, k in enumerate(kernel[:-1])), F.lit(0.0)) + F.col(column) * kernel[-1]
-        return lags.withColumn(name, total).drop(*(f"_lag{k}" for k in range(1, n)))
-
-    def convolve(frame):
-        import numpy as np
-
-        frame = frame.sort_values("datetime")
-        x = frame[column].to_numpy(dtype=float)
-        out = np.full(len(x), np.nan)
-        if len(x) >= n:
-            out[n - 1 :] = np.convolve(x, kernel[::-1], mode="valid")
-        return frame.assign(**{name: [None if v != v else v for v in out]})
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    kind = StructType([*bars.schema.fields, StructField(name, DoubleType())])
-    return bars.groupBy("ticker").applyInPandas(convolve, kind)
+    kernel = np.array(weights[::-1] if canonical else weights)  # kernel[j] meets the value L - 1 - j rows ago
+
+    def convolve(piece: pa.Table) -> pa.Table:
+        piece = piece.sort_by("datetime")
+        got = convolved(piece.column(column).cast(pa.float64()).to_numpy(), kernel)
+        return piece.append_column(name, pa.array(got, mask=np.isnan(got)))
+
+    def run(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("ticker").applyInArrow(convolve, StructType([*rows.schema.fields, StructField(name, DoubleType())]))
+
+    return in_pieces(bars, Step(run, lookback=len(kernel) - 1), max(size, 8 * len(kernel))).select(*bars.columns, name)

@@ -240,11 +240,14 @@ class Search:
         top = min(done, key=lambda t: (-self.sign * float(np.mean(done[t][1])), t))
         return self.settings(done[top][0])
 
+    def rebuilt(self) -> Estimator:
+        return self.build(self.best())
+
 
 class ModelEngine:
-    """Search, refit on all training rows, score once on the hold-out, store with tags."""
+    """Search (a ``Search`` or a ``search.Study``), refit on all training rows, score once on the hold-out, store with tags."""
 
-    def __init__(self, search: Search, path: str | None = None, tags: dict[str, str] | None = None):
+    def __init__(self, search, path: str | None = None, tags: dict[str, str] | None = None):
         self.search, self.path, self.tags, self.model = search, path, tags or {}, None
 
     def validate(self, model: Model, rows: DataFrame, label: str) -> float:
@@ -262,7 +265,7 @@ class ModelEngine:
 
     def run(self, folds: DataFrame, train: DataFrame, test: DataFrame, label: str, run: str = "run"):
         self.search.run(folds, label)
-        self.model = self.search.build(self.search.best()).fit(train)
+        self.model = self.search.rebuilt().fit(train)
         score = self.validate(self.model, test, label)
         if self.path:
             self.register(self.model, score, run)

@@ -27,46 +27,116 @@ def equal_weight(returns: DataFrame) -> DataFrame:
     return returns.groupBy("datetime").agg(F.avg("ret").alias("ret"))
 
 
-def simplex(v: np.ndarray) -> np.ndarray:
-    """The nearest weights that are not negative and add up to one."""
-    u = np.sort(v)[::-1]
-    c = (np.cumsum(u) - 1) / np.arange(1, len(v) + 1)
-    return np.maximum(v - c[np.flatnonzero(u > c)[-1]], 0)
+def critical_line(mean: np.ndarray, cov: np.ndarray) -> list[tuple[float, np.ndarray]]:
+    """Corner portfolios (pull, weights) of  least  w' cov w - pull x mean' w  over long-only weights that add up to one.
 
+    From the best mean alone (an endless pull) down to the least variance (pull 0). Between two corners the held assets stay
+    the same and weights are linear in the pull; at a corner an asset's weight, or the gradient of one that is not held,
+    reaches zero. A finite number of linear systems, no iteration to a limit. Means that are equal (to 1e-9) are told
+    apart by the order of assets, and 1e-10 of a matrix's trace is added to its diagonal, so that it is not singular.
+    """
+    n = len(mean)
+    size = max(float(np.abs(mean).max()), 1e-300)
+    if n > 1 and np.diff(np.sort(mean)).min() < 1e-9 * size:
+        mean = mean - size * 1e-9 * np.arange(n)
+    cov = cov + np.eye(n) * max(float(np.trace(cov)) / n * 1e-10, 1e-300)
+    held = np.zeros(n, bool)
+    held[int(np.argmax(mean))] = True
+    corners, pull, last = [(np.inf, held.astype(float))], np.inf, -1
+    for _ in range(50 * n + 50):
+        at = np.flatnonzero(held)
+        solved = np.linalg.solve(2 * cov[np.ix_(at, at)], np.column_stack([mean[at], np.ones(len(at))]))
+        up, one = solved[:, 0].sum(), solved[:, 1].sum()
+        fixed, slope = np.zeros(n), np.zeros(n)
+        fixed[at], slope[at] = solved[:, 1] / one, solved[:, 0] - up / one * solved[:, 1]
+        # gradient of an asset less that of the held ones, as a line over the pull
+        rest, rise = 2 * cov @ fixed - 1 / one, 2 * cov @ slope - mean + up / one
+        with np.errstate(divide="ignore", invalid="ignore"):
+            zero = np.where(held, np.where(slope > 0, -fixed / slope, -np.inf), np.where(rise > 0, -rest / rise, -np.inf))
+        zero[zero > pull * (1 + 1e-9)] = -np.inf
+        if last >= 0 and zero[last] >= pull * (1 - 1e-9):  # what changed last is at zero now, and leaves it
+            zero[last] = -np.inf
+        nxt = int(np.argmax(zero))
+        pull = min(pull, float(zero[nxt]))
+        low = max(pull, 0.0)
+        w = np.maximum(fixed + low * slope, 0.0)
+        corners.append((low, w / w.sum()))
+        if pull <= 0:
+            break
+        held[nxt], last = not held[nxt], nxt
+    return corners
+
+
+def _between(corners: list[tuple[float, np.ndarray]], pull: float) -> np.ndarray:
+    """Weights at a pull."""
+    for (high, a), (low, b) in zip(corners, corners[1:]):
+        if pull >= low:
+            share = 0.0 if high == low else 1.0 if pull >= high else (pull - low) / (high - low) if np.isfinite(high) else 0.0
+            return b + share * (a - b)  # above the first finite corner only the best mean is held
+    return corners[-1][1]
+
+
+def on_line(corners: list[tuple[float, np.ndarray]], mean: np.ndarray, risk_aversion: float | None = None, min_return: float | None = None) -> np.ndarray:
+    """The portfolio of one setting: without any the least variance; with ``risk_aversion`` the most of mean - risk_aversion x
+    variance; with ``min_return`` the least variance among weights that reach it (the best mean, if none does)."""
+    if min_return is None:
+        return corners[-1][1] if risk_aversion is None else corners[0][1] if risk_aversion <= 0 else _between(corners, 1 / risk_aversion)
+    reached = [float(w @ mean) for _, w in corners]
+    if reached[-1] >= min_return - 1e-12 * float(np.abs(mean).max()):
+        return corners[-1][1]
+    if mean.max() <= min_return:
+        return corners[0][1]
+    k = next(k for k in range(len(corners) - 1) if reached[k] >= min_return > reached[k + 1])
+    share = (min_return - reached[k + 1]) / (reached[k] - reached[k + 1])
+    return corners[k + 1][1] + share * (corners[k][1] - corners[k + 1][1])
+
+
+def mean_variance(mean: np.ndarray, cov: np.ndarray, risk_aversion: float | None = None, min_return: float | None = None) -> np.ndarray:
+    """Long-only weights that add up to one, of one setting (``on_line``)."""
+    return on_line(critical_line(mean, cov), mean, risk_aversion, min_return)
+
+
+def complete_by(split: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The rows at the times that have all assets of their split."""
+    names = split.groupBy(*keys).agg(F.count_distinct("ticker").alias("_all"))
+    full = split.groupBy(*keys, "datetime").agg(F.count("ret").alias("_n")).join(names, list(keys)).filter("_n = _all")
+    return split.join(full.select(*keys, "datetime"), [*keys, "datetime"], "left_semi")
 
-def mean_variance(mean: np.ndarray, cov: np.ndarray, risk_aversion: float | None = None, min_return: float | None = None, rounds: int = 2000) -> np.ndarray:
-    """Long-only weights that add up to one.
 
-    Without parameters the least variance; with ``risk_aversion`` the most of mean - risk_aversion x variance; with
-    ``min_return`` the least variance among weights that reach it (the best mean, if none does).
+def moments(split: DataFrame, keys: tuple[str, ...] = ("split",)) -> DataFrame:
+    """(keys, a, b, n, mean_a, cov): one row for each split and pair of assets a <= b, over its training times.
+
+    Returns meet by time, so the work is times x pairs, added up before it is exchanged; splits with fewer than two times
+    have no covariances.
     """
+    train = complete_by(split, keys).filter("role = 'train'")
+    at = [*keys, "datetime"]
+    a = train.select(*at, F.col("ticker").alias("a"), F.col("ret").alias("x"))
+    b = train.select(*at, F.col("ticker").alias("b"), F.col("ret").alias("y"))
+    pairs = a.join(b, at).filter("a <= b")
+    return pairs.groupBy(*keys, "a", "b").agg(F.count("*").alias("n"), F.avg("x").alias("mean_a"), F.covar_samp("x", "y").alias("cov")).filter("n > 1")
 
-    def solve(pull: float, risk: float) -> np.ndarray:
-        w, step = np.full(len(mean), 1 / len(mean)), 1 / max(2 * risk * np.linalg.norm(cov, 2), 1e-12)
-        seen, t = w, 1.0
-        for _ in range(rounds):
-            new = simplex(seen + step * (pull * mean - 2 * risk * cov @ seen))
-            nxt = (1 + (1 + 4 * t * t) ** 0.5) / 2
-            seen, moved = new + (t - 1) / nxt * (new - w), np.abs(new - w).max()
-            w, t = new, nxt
-            if moved < 1e-12:
-                break
-        return w
 
-    if min_return is None:
-        return solve(0.0, 1.0) if risk_aversion is None else solve(1.0, risk_aversion)
-    if mean.max() <= min_return:
-        return np.eye(len(mean))[int(np.argmax(mean))]
-    w = solve(0.0, 1.0)
-    if w @ mean >= min_return:
-        return w
-    lo, hi = 0.0, 1.0
-    while solve(hi, 1.0) @ mean < min_return and hi < 1e9:
-        hi *= 4
-    for _ in range(40):
-        mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if solve(mid, 1.0) @ mean >= min_return else (mid, hi)
-    return solve(hi, 1.0)
+def learned(split: DataFrame, grid: list[dict], keys: tuple[str, ...] = ("split",)) -> DataFrame:
+    """(keys, param, ticker, weight): the mean-variance weights of each entry of the grid, all from one critical line a split.
+
+    A group is the pairs of one split's assets, whatever the number of its times and of settings.
+    """
+    grid = [{k: v for k, v in g.items() if k != "estimator"} for g in grid]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["a", "b"])
+        same = frame[frame["a"] == frame["b"]]
+        names, mean = same["a"].to_numpy(), same["mean_a"].to_numpy(float)
+        place = {t: i for i, t in enumerate(names)}
+        cov, i, j = np.zeros((len(names), len(names))), frame["a"].map(place).to_numpy(), frame["b"].map(place).to_numpy()
+        cov[i, j] = cov[j, i] = frame["cov"].to_numpy(float)
+        corners = critical_line(mean, cov)
+        w = np.concatenate([on_line(corners, mean, **g) for g in grid])
+        return pd.DataFrame({**{k: frame[k].iloc[0] for k in keys}, "param": np.repeat(np.arange(len(grid), dtype=np.int32), len(names)), "ticker": np.tile(names, len(grid)), "weight": w})
+
+    kinds = ", ".join(f"{k} {split.schema[k].dataType.simpleString()}" for k in keys)
+    return moments(split, keys).groupBy(*keys).applyInPandas(run, f"{kinds}, param int, ticker {split.schema['ticker'].dataType.simpleString()}, weight double")
 
 
 def split_returns(returns: DataFrame, train: int = 126, test: int = 63) -> DataFrame:
@@ -82,6 +152,22 @@ def _equal(split: DataFrame, keys: tuple[str, ...], both: bool) -> DataFrame:
     return (full if both else full.filter("role = 'test'")).select(*keys, "role", "datetime", "ret")
 
 
+def gradients(split: DataFrame, grid: list[dict], keys: tuple[str, ...] = ("split",)) -> DataFrame:
+    """(keys, param, ticker, weight, gradient): for each asset how fast  risk x variance - mean  grows with its weight.
+
+    At an optimum held assets have the same gradient and no other a smaller one (``min_return``: but for a multiple of
+    the means). Variances come from the moments, weights from ``learned``.
+    """
+    pairs = moments(split, keys)
+    both = pairs.select(*keys, "a", "b", "cov").union(pairs.filter("a <> b").select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "cov"))
+    means = pairs.filter("a = b").select(*keys, F.col("a").alias("ticker"), F.col("mean_a").alias("mean"))
+    w = learned(split, grid, keys)
+    pull = both.join(w.select(*keys, "param", F.col("ticker").alias("b"), "weight"), [*keys, "b"]).groupBy(*keys, "param", F.col("a").alias("ticker")).agg(F.sum(F.col("cov") * F.col("weight")).alias("pull"))
+    risk = F.element_at(F.array(*(F.lit(float(g.get("risk_aversion") or 1.0)) for g in grid)), F.col("param") + 1)
+    chase = F.element_at(F.array(*(F.lit(0.0 if g.get("risk_aversion") is None else 1.0) for g in grid)), F.col("param") + 1)
+    return w.join(pull, [*keys, "param", "ticker"]).join(means, [*keys, "ticker"]).select(*keys, "param", "ticker", "weight", (2 * risk * F.col("pull") - chase * F.col("mean")).alias("gradient"), "mean")
+
+
 def optimal(split: DataFrame, grid: list[dict], keys: tuple[str, ...] = ("split",), slack: float = 1e-4) -> DataFrame:
     """(keys, param, feasible, optimal): whether the weights are long-only and add up to one, and whether no shift of weight
     from one asset to another would gain (the conditions of Karush, Kuhn and Tucker), up to ``slack`` of the gradient.
@@ -89,78 +175,51 @@ def optimal(split: DataFrame, grid: list[dict], keys: tuple[str, ...] = ("split"
     With ``min_return`` the shifts are judged by the gradient less the multiple of the means that makes the held assets
     equal, and the least return must be reached, exactly if that multiple is not zero.
     """
-    dealt = split.filter("role = 'train'").withColumn("param", F.explode(F.array(*map(F.lit, range(len(grid))))))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        past = frame.pivot(index="datetime", columns="ticker", values="ret").dropna().to_numpy()
-        setting = dict(grid[int(frame["param"].iloc[0])])
-        setting.pop("estimator", None)
-        mean, cov = past.mean(0), np.atleast_2d(np.cov(past, rowvar=False))
-        w = mean_variance(mean, cov, **setting)
-        risk = setting.get("risk_aversion")
-        slope = 2 * (1.0 if risk is None else risk) * cov @ w - (0.0 if risk is None else 1.0) * mean
-        held, least, feasible = w > 1e-6, setting.get("min_return"), bool(w.min() >= 0 and abs(w.sum() - 1) < 1e-9)
-        if least is not None and mean.max() <= least:
-            best = bool(w[int(np.argmax(mean))] == 1)
-        else:
-            pull = 0.0
-            if least is not None and held.sum() > 1:
-                pull = max(0.0, float(np.linalg.lstsq(np.column_stack([mean[held], np.ones(held.sum())]), slope[held], rcond=None)[0][0]))
-                feasible = feasible and bool(w @ mean >= least - 1e-9)
-            rest = slope - pull * mean
-            best = bool(rest[held].max() - rest.min() <= slack * np.abs(slope).max()) and (pull * (w @ mean - (least or 0.0)) <= slack * np.abs(slope).max())
-        return pd.DataFrame({**{k: [frame[k].iloc[0]] for k in (*keys, "param")}, "feasible": [feasible], "optimal": [bool(best)]})
-
-    kinds = ", ".join(f"{k} {split.schema[k].dataType.simpleString()}" for k in keys)
-    return dealt.select(*dict.fromkeys([*keys, "datetime", "ticker", "ret", "param"])).groupBy(*keys, "param").applyInPandas(run, f"{kinds}, param int, feasible boolean, optimal boolean")
+    each, w = Window.partitionBy(*keys, "param"), F.col("weight")
+    held = w > 1e-6
+    least = F.element_at(F.array(*(F.lit(None if g.get("min_return") is None else float(g["min_return"])).cast("double") for g in grid)), F.col("param") + 1)
+    own = lambda c: F.when(held, F.col(c))
+    out = gradients(split, grid, keys).withColumn("_least", least)
+    multiple = F.try_divide(F.covar_pop(own("mean"), own("gradient")).over(each), F.var_pop(own("mean")).over(each))
+    out = out.withColumn("_pull", F.when(F.col("_least").isNotNull(), F.greatest(F.lit(0.0), multiple)).otherwise(0.0))
+    out = out.withColumn("_rest", F.col("gradient") - F.coalesce("_pull", F.lit(0.0)) * F.col("mean"))
+    size = F.max(F.abs("gradient"))
+    reach, least, pull = F.sum(w * F.col("mean")), F.first("_least"), F.coalesce(F.first("_pull"), F.lit(0.0))
+    alone = (F.max("mean") <= least) & (F.max_by(w, "mean") > 1 - 1e-9)
+    even = F.max(own("_rest")) - F.min("_rest") <= slack * size
+    fits = least.isNull() | alone | (reach >= least - 1e-9)
+    met = out.groupBy(*keys, "param").agg(
+        ((F.min("weight") >= 0) & (F.abs(F.sum("weight") - 1) < 1e-9) & fits).alias("feasible"),
+        F.coalesce(alone | (even & F.coalesce(pull * (reach - least) <= slack * size, F.lit(True))), even).alias("optimal"),
+    )
+    return met.select(*keys, "param", "feasible", "optimal")
 
 
 def weights(returns: DataFrame, setting: dict) -> DataFrame:
     """(ticker, weight) of one setting learned on all returns."""
-    setting = dict(setting)
-    if setting.pop("estimator", "mean_variance") == "equal":
+    if setting.get("estimator", "mean_variance") == "equal":
         names = returns.select("ticker").distinct()
         return names.join(names.agg((1.0 / F.count("*")).alias("weight")))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        wide = frame.pivot(index="datetime", columns="ticker", values="ret").dropna()
-        past = wide.to_numpy()
-        return pd.DataFrame({"ticker": wide.columns, "weight": mean_variance(past.mean(0), np.atleast_2d(np.cov(past, rowvar=False)), **setting)})
-
-    return returns.select("datetime", "ticker", "ret").groupBy().applyInPandas(run, "ticker string, weight double")
+    whole = returns.select("datetime", "ticker", "ret", F.lit(0).alias("split"), F.lit("train").alias("role"))
+    return learned(whole, [setting]).select("ticker", "weight")
 
 
 def fit_predict(split: DataFrame, grid: list[dict], keys: tuple[str, ...] = ("split",), both: bool = False) -> DataFrame:
     """(keys, param, role, datetime, ret): for each split and each entry of the grid (``estimator`` equal or mean_variance,
     and its settings) the returns of weights learned on the split's training times.
 
-    A group is one split with one setting: as many rows as its window has times and assets. Equal weights are a mean and
-    stay in the JVM.
+    Equal weights are a mean; other weights come from the moments of pairs and are joined to the returns.
     """
     equal = [k for k, g in enumerate(grid) if g.get("estimator") == "equal"]
     rest = [k for k in range(len(grid)) if k not in equal]
     means = _equal(split, keys, both).withColumn("param", F.explode(F.array(*map(F.lit, equal)))) if equal else None
     if not rest:
         return means.select(*keys, "param", "role", "datetime", "ret")
-    dealt = split.withColumn("param", F.explode(F.array(*map(F.lit, rest))))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        wide = frame.pivot(index="datetime", columns="ticker", values="ret").dropna()
-        role = frame.groupby("datetime")["role"].first().reindex(wide.index)
-        past = wide[role == "train"].to_numpy()
-        setting = dict(grid[int(frame["param"].iloc[0])])
-        setting.pop("estimator", None)
-        if len(past) < 2:
-            return pd.DataFrame({k: [] for k in (*keys, "param", "role", "datetime", "ret")})
-        w = mean_variance(past.mean(0), np.atleast_2d(np.cov(past, rowvar=False)), **setting)
-        shown = wide if both else wide[role == "test"]
-        return pd.DataFrame({**{k: frame[k].iloc[0] for k in (*keys, "param")}, "role": role.reindex(shown.index).to_numpy(), "datetime": shown.index, "ret": shown.to_numpy() @ w})
-
-    at = split.schema["datetime"].dataType.simpleString()
-    kinds = ", ".join(f"{k} {split.schema[k].dataType.simpleString()}" for k in keys)
-    need = [*dict.fromkeys([*keys, "datetime", "ticker", "ret", "role", "param"])]
-    learned = dealt.select(*need).groupBy(*keys, "param").applyInPandas(run, f"{kinds}, param int, role string, datetime {at}, ret double")
-    return learned if means is None else learned.unionByName(means)
+    w = learned(split, [grid[k] for k in rest], keys).withColumn("param", F.element_at(F.array(*map(F.lit, rest)), F.col("param") + 1))
+    shown = complete_by(split, keys).select(*keys, "role", "datetime", "ticker", "ret")
+    met = (shown if both else shown.filter("role = 'test'")).join(w, [*keys, "ticker"])
+    out = met.groupBy(*keys, "param", "role", "datetime").agg(F.sum(F.col("ret") * F.col("weight")).alias("ret"))
+    return out if means is None else out.unionByName(means)
 
 
 def measures(returns: DataFrame, keys: list[str], beta: float = 0.95) -> DataFrame:

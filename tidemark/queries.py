@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import bsadf as adf
 from .functions import labels, recursive, windows
 from .functions.windows import by_time
-from .operators import backtest, learning, panel, portfolio, splits
+from .operators import backtest, learning, panel, portfolio, search, splits
 from .plans.ranges import Step, in_pieces, query
 from .sources import bars as B
 from .sources import store, universe, vendor
@@ -179,9 +179,21 @@ def store_quarters(spark, d):
     return market.prices().withColumns({"datetime": (F.col("datetime") - F.expr("INTERVAL 1 SECOND")).cast("timestamp_ntz"), "failed": F.lit(names)})
 
 
-@register("SELECT * FROM (VALUES ('asx20', 20, 'ALL.AX', 'WOW.AX'), ('asx50', 50, 'A' || 'IA.AX', 'YAL.AX'), ('asx100', 100, 'A2M.AX', 'YAL.AX'), ('asx200', 207, '360.AX', 'ZIP.AX')) t(index_name, members, first, last)")
+_MEMBERS = "WITH members(index_name, ticker) AS (VALUES " + ", ".join(f"('{name}', '{t}')" for name, symbols in universe.INDICES.items() for t in symbols) + ")"
+
+
+@register(_MEMBERS + """, listed AS (SELECT ticker, row_number() OVER (ORDER BY ticker) - 1 AS k, count(*) OVER () AS n FROM members WHERE index_name = 'asx200'),
+traded AS (SELECT ticker, o_totalprice FROM orders JOIN listed ON k = o_custkey % n)
+SELECT index_name, count(DISTINCT ticker)::INT AS members, min(ticker) AS first, max(ticker) AS last, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM traded JOIN members USING (ticker) GROUP BY index_name""")
 def index_members(spark, d):
-    return universe.members(spark).groupBy("index_name").agg(F.count_distinct("ticker").cast("int").alias("members"), F.min("ticker").alias("first"), F.max("ticker").alias("last"))
+    """Orders of the members of each index; a customer trades the member of its number in the largest index."""
+    members = universe.members(spark)
+    listed = members.filter("index_name = 'asx200'").select("ticker", (F.row_number().over(Window.orderBy("ticker")) - 1).alias("k"))  # as many rows as the index has
+    sums = spark.read.parquet(f"{d}/orders.parquet").groupBy((F.col("o_custkey") % len(universe.ASX200)).alias("k")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("t"))
+    traded = sums.join(listed, "k")
+    parts = [universe.chosen(traded, symbols).withColumn("index_name", F.lit(name)) for name, symbols in universe.INDICES.items()]
+    whole = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).groupBy("index_name")
+    return whole.agg(F.count_distinct("ticker").cast("int").alias("members"), F.min("ticker").alias("first"), F.max("ticker").alias("last"), F.sum("n").alias("orders"), F.round(F.sum("t"), 2).alias("total"))
 
 
 def month_starts(ticker: str, start: str, stop: str):
@@ -203,17 +215,23 @@ def vendor_read(spark, d):
     return got.withColumn("datetime", F.col("datetime").cast("timestamp_ntz"))
 
 
-@register("SELECT c AS name, true AS is_refused FROM (VALUES ('open'), ('high'), ('low'), ('close'), ('volume'), ('signal')) t(c)")
+@register(_BARS + """, c(name) AS (VALUES ('open'), ('high'), ('low'), ('close'), ('volume'), ('signal')) SELECT ticker, name, count(*) AS bars, true AS is_refused, false AS whole_is_refused FROM bars, c GROUP BY ticker, name""")
 def required_columns(spark, d):
-    """Whether a backtest without each of its columns is refused before it runs."""
+    """Each ticker's bars that a backtest would read, and whether it is refused without one of its columns before any is read."""
     signals, rows = backtest.sma_cross().signals(B.daily_bars(spark, d)), []
-    for name in ("open", "high", "low", "close", "volume", "signal"):
+
+    def refused(table) -> bool:
         try:
-            backtest.backtest(signals.drop(name))
-            rows.append((name, False))
+            backtest.backtest(table)
         except ValueError:
-            rows.append((name, True))
-    return spark.createDataFrame(rows, "name string, is_refused boolean")
+            return True
+        return False
+
+    whole = refused(signals)
+    rows = [(name, refused(signals.drop(name)), whole) for name in ("open", "high", "low", "close", "volume", "signal")]
+    checked = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(r).alias("is_refused"), F.lit(w).alias("whole_is_refused")) for n, r, w in rows)))
+    counts = signals.groupBy("ticker").agg(F.count("*").alias("bars"))
+    return counts.select("ticker", "bars", checked.alias("c")).select("ticker", "c.name", "bars", "c.is_refused", "c.whole_is_refused")
 
 
 # bars and projections
@@ -321,14 +339,26 @@ def rogers_satchell(spark, d):
     return B.daily_bars(spark, d).select("ticker", "datetime", F.round(windows.rogers_satchell(30), 6).alias("volatility"))
 
 
-@register("WITH RECURSIVE " + _BARS.removeprefix("WITH ") + """, w(k, x) AS (SELECT 0, 1.0::DOUBLE UNION ALL SELECT k + 1, -x * (0.4::DOUBLE - k) / (k + 1) FROM w WHERE abs(-x * (0.4::DOUBLE - k) / (k + 1)) >= 0.001),
+_FRAC = "WITH RECURSIVE " + _BARS.removeprefix("WITH ") + """, w(k, x) AS (SELECT 0, 1.0::DOUBLE UNION ALL SELECT k + 1, -x * (0.4::DOUBLE - k) / (k + 1) FROM w WHERE abs(-x * (0.4::DOUBLE - k) / (k + 1)) >= 0.001),
 n AS (SELECT count(*) AS n FROM w), b AS (SELECT ticker, datetime, close, row_number() OVER (PARTITION BY ticker ORDER BY datetime) AS i FROM bars)
-SELECT b.ticker, b.datetime, CASE WHEN b.i >= n.n THEN round((SELECT sum(w.x * c.close) FROM b c, w WHERE c.ticker = b.ticker AND c.i = b.i - n.n + 1 + w.k), 3) END AS frac_diff FROM b, n""")
+SELECT b.ticker, b.datetime, CASE WHEN b.i >= n.n THEN round((SELECT sum(w.x * c.close) FROM b c, w WHERE c.ticker = b.ticker AND c.i = b.i - n.n + 1 + w.k), 3) END AS frac_diff FROM b, n"""
+
+
+@register(_FRAC)
 def frac_diff(spark, d):
     out = windows.frac_diff(B.daily_bars(spark, d), "close", 0.4, 1e-3)
     return out.select("ticker", "datetime", *_round("frac_diff", digits=3))
 
 
+@register(_FRAC.replace("0.001", "0.00001").partition("SELECT b.ticker")[0] + """, l AS (SELECT list(x ORDER BY k) AS x, count(*) AS n FROM w),
+sums AS (SELECT b.ticker, b.datetime, sum(x[c.i - b.i + n] * c.close) AS s FROM l, b JOIN b c ON c.ticker = b.ticker AND c.i <= b.i AND c.i > b.i - (SELECT n FROM l) WHERE b.i >= n GROUP BY ALL)
+SELECT ticker, datetime, round(s, 3) AS frac_diff FROM b LEFT JOIN sums USING (ticker, datetime)""")
+def frac_diff_long(spark, d):
+    """The same down to weights of 1e-5: 1,458 of them."""
+    out = windows.frac_diff(B.daily_bars(spark, d), "close", 0.4)
+    return out.select("ticker", "datetime", *_round("frac_diff", digits=3))
+
+
 def _seeded(n: int, select: str, body: str) -> str:
     return "WITH RECURSIVE " + _BARS.removeprefix("WITH ") + f", b AS (SELECT ticker, datetime, close, close - lag(close) {_W}) AS move, row_number() {_W}) AS i FROM bars), " + body.format(n=n) + select
 
@@ -419,7 +449,7 @@ g AS (SELECT *, ((e * i - f * f) * u + (c * f - b * i) * v + (b * f - c * e) * w
 z AS (SELECT *, sqrt((yy - b0 * u - b1 * v - b2 * w) / (n - 3) * v0) AS sd FROM g)
 SELECT ticker, datetime, round(max(b0 / sd), 3) AS bsadf FROM z GROUP BY ticker, datetime""")
 def bsadf(spark, d):
-    return adf.bsadf(_months(spark, d), "close", "linear", 1, 20, chunks=2).select("ticker", "datetime", *_round("bsadf", digits=3))
+    return adf.bsadf(_months(spark, d), "close", "linear", 1, 20).select("ticker", "datetime", *_round("bsadf", digits=3))
 
 
 _PRE = ["y_lagged * y_lagged", "y_lagged * dy_lag_1", "y_lagged * trend", "dy_lag_1 * dy_lag_1", "dy_lag_1 * trend", "trend * trend", "y_lagged * dy", "dy_lag_1 * dy", "trend * dy", "dy * dy"]
@@ -438,7 +468,41 @@ SELECT ticker, datetime, round(max(b0 / sd), 3) AS bsadf FROM z GROUP BY ticker,
 def bsadf_daily(spark, d):
     """Windows of 120 daily bars or more, every start and every end."""
     rows = B.daily_bars(spark, d).select("ticker", "datetime", F.ln("close").alias("close"))
-    return adf.bsadf(rows, "close", "linear", 1, 120, chunks=8).select("ticker", "datetime", *_round("bsadf", digits=3))
+    return adf.bsadf(rows, "close", "linear", 1, 120, block=256).select("ticker", "datetime", *_round("bsadf", digits=3))
+
+
+_SETTINGS = [("quadratic", [1], False, 0.0), ("linear", [1, 3], True, 0.5), ("sm_poly_1", [1], False, 0.5), ("sm_poly_2", [1], False, 0.0), ("sm_exp", [1], False, 0.5), ("sm_power", [1], False, 0.0)]
+
+
+def _sadf_sql(name: str, model: str, lags: list[int], const: bool, phi: float, least: int) -> str:
+    """One setting over all windows of the months: sums of products, from which all regressors but the first are eliminated in turn."""
+    level = "close" if model == "sm_poly_1" else "ln(close)"
+    z = {"sm_exp": ["t", "1.0"], "sm_power": ["ln(greatest(t, 1))", "1.0"], "sm_poly_1": ["t * t", "1.0", "t"], "sm_poly_2": ["t * t", "1.0", "t"]}.get(model)
+    z = z + [level] if z else ["y1", *(f"d{k}" for k in lags), *(["1.0"] if const else []), "t", *(["t * t"] if model == "quadratic" else []), "dy"]
+    pairs = [(i, j) for i in range(len(z)) for j in range(i, len(z))]
+    get = lambda i, j: f"m{min(i, j)}_{max(i, j)}"
+    out = f"""{name}_d AS (SELECT ticker, datetime, close, lag(close) {_W}) AS y1, close - lag(close) {_W}) AS dy FROM months), {name}_l AS (SELECT *, row_number() {_W}) - {max(lags) + 2} AS t, {", ".join(f"lag(dy, {k}) {_W}) AS d{k}" for k in lags)} FROM {name}_d),
+{name}_z AS (SELECT ticker, datetime, t, {", ".join(f"({x})::DOUBLE AS z{i}" for i, x in enumerate(z))} FROM (SELECT ticker, datetime, close, y1, dy, t::DOUBLE AS t, {", ".join(f"d{k}" for k in lags)} FROM {name}_l WHERE t >= 0)),
+{name}_m0 AS (SELECT e.ticker, e.datetime, s.t AS s, count(*) AS n, {", ".join(f"sum(r.z{i} * r.z{j}) AS {get(i, j)}" for i, j in pairs)}
+  FROM {name}_z e JOIN {name}_z s ON e.ticker = s.ticker AND s.t <= e.t - {least - 1} JOIN {name}_z r ON r.ticker = e.ticker AND r.t BETWEEN s.t AND e.t WHERE e.t >= {least} GROUP BY ALL),"""
+    for p in range(1, len(z) - 1):
+        left = [(i, j) for i, j in pairs if i not in range(1, p + 1) and j not in range(1, p + 1)]
+        out += f"""\n{name}_m{p} AS (SELECT ticker, datetime, s, n, {", ".join(f"{get(i, j)} - {get(i, p)} * {get(p, j)} / {get(p, p)} AS {get(i, j)}" for i, j in left)} FROM {name}_m{p - 1}),"""
+    k = len(z) - 1
+    stat = f"{get(0, k)} / {get(0, 0)} / sqrt(({get(k, k)} - {get(0, k)} * {get(0, k)} / {get(0, 0)}) / (n - {k}) / {get(0, 0)})"
+    stat = f"abs({stat})" if model.startswith("sm") else stat
+    return out + f"""\n{name} AS (SELECT ticker, datetime, '{model}' AS model, max({stat} / pow(n, {phi})) AS v FROM {name}_m{k - 1} GROUP BY ticker, datetime)"""
+
+
+@register(_MONTHS + ", " + ",\n".join(_sadf_sql(f"q{i}", *x, 20) for i, x in enumerate(_SETTINGS)) + " SELECT ticker, datetime, model, round(v, 3) AS bsadf FROM (" + " UNION ALL ".join(f"SELECT * FROM q{i}" for i in range(len(_SETTINGS))) + ")")
+def bsadf_models(spark, d):
+    """The other models: a quadratic trend, several lags with a constant, and the four sub- and supermartingale tests, some weighted by length."""
+    rows = _months(spark, d)
+    parts = [adf.bsadf(rows, "close", model, lags, 20, const, phi).withColumn("model", F.lit(model)) for model, lags, const, phi in _SETTINGS]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out.select("ticker", "datetime", "model", *_round("bsadf", digits=3))
 
 
 # splits
@@ -546,6 +610,52 @@ def best_trial(spark, d):
     return spark.read.parquet(f"{path}/runs").select(F.element_at("params", "factor").alias("factor"), F.element_at("tags", "kind").alias("kind"), F.round("score", 6).alias("score"))
 
 
+_TRIALS, _STARTUP, _JOBS, _LOW, _HIGH = 12, 4, 2, 0.2, 1.8
+
+
+def _study_sql() -> str:
+    """The study replayed by a recursion over trials that carries all factors and scores so far."""
+    number = lambda *parts: "('0x' || substr(md5('42:' || " + " || ':' || ".join(parts) + "), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+    score = "(SELECT avg(s) FROM (SELECT fold, coalesce(2.0::DOUBLE * count(*) FILTER (y = 1 AND close < m * {x}) / nullif(2 * count(*) FILTER (y = 1 AND close < m * {x}) + count(*) FILTER ((y = 1) <> (close < m * {x})), 0), 0) AS s FROM held GROUP BY fold))"
+    low, high = f"{_LOW}::DOUBLE", f"{_HIGH}::DOUBLE"
+    width = lambda c: f"(({high} - {low}) / 8 / sqrt(len({c}) + 1))"
+    logistic = lambda x: f"(1 / (1 + exp(-({x}))))"
+
+    def density(x, c):
+        p, s = logistic(f"({x} - z) / {width(c)}"), width(c)
+        mass = f"{logistic(f'({high} - z) / {s}')} - {logistic(f'({low} - z) / {s}')}"
+        return f"((1 / ({high} - {low}) + coalesce(list_sum(list_transform({c}, lambda z: {p} * (1 - {p}) / {s} / ({mass}))), 0)) / (len({c}) + 1))"
+
+    u, v, s = number("t", "'factor'", "k", "'part'"), number("t", "'factor'", "k", "'place'"), width("good")
+    a, b = logistic(f"({low} - d.c) / {s}"), logistic(f"({high} - d.c) / {s}")
+    drawn = f"list_transform(range(0, 24), lambda k: struct_pack(k := k, v := {v}, c := good[floor({u} * (len(good) + 1))::BIGINT + 1]))"  # beyond the list: no centre, the even part
+    drawn = f"list_transform({drawn}, lambda d: struct_pack(k := d.k, c := d.c, v := d.v, p := least(1 - 1e-15, greatest(1e-15, {a} + d.v * ({b} - {a})))))"
+    drawn = f"list_transform({drawn}, lambda d: struct_pack(k := d.k, x := CASE WHEN d.c IS NULL THEN {low} + d.v * ({high} - {low}) ELSE least({high}, greatest({low}, d.c + {s} * ln(d.p / (1 - d.p)))) END))"
+    return _FOLDS + f""", known AS (SELECT fold, role, close, (label = 2)::INT AS y FROM roles WHERE label IS NOT NULL), means AS (SELECT fold, avg(close) AS m FROM known WHERE role = 'train' GROUP BY fold),
+held AS MATERIALIZED (SELECT fold, close, m, y FROM known JOIN means USING (fold) WHERE role = 'test'),
+study(t, xs, scores) AS (
+  SELECT 0, [x], [{score.format(x='x')}] FROM (SELECT {low} + ({number("0", "'factor'", "'start'")}) * ({high} - {low}) AS x)
+  UNION ALL
+  SELECT t, list_append(xs, x), list_append(scores, {score.format(x='x')}) FROM (
+    SELECT t, xs, scores, CASE WHEN len(good) + len(bad) < {_STARTUP} THEN {low} + ({number("t", "'factor'", "'start'")}) * ({high} - {low})
+      ELSE list_sort(list_transform({drawn},
+        lambda d: struct_pack(gain := ln({density("d.x", "bad")}) - ln({density("d.x", "good")}), k := d.k, x := d.x)))[1].x END AS x
+    FROM (SELECT t, xs, scores, ranked[: greatest(1, (len(ranked) + 3) // 4)] AS good, ranked[greatest(1, (len(ranked) + 3) // 4) + 1 :] AS bad
+      FROM (SELECT t + 1 AS t, xs, scores, list_transform(list_sort(list_transform(range(1, t + 3 - {_JOBS}), lambda i: struct_pack(s := -scores[i], i := i, x := xs[i]))), lambda r: r.x) AS ranked FROM study WHERE t + 1 < {_TRIALS}))))
+SELECT i::INT AS trial, round(xs[i + 1], 9) AS factor, CASE WHEN i + 1 - {_JOBS} >= {_STARTUP} THEN 'parzen' ELSE 'start' END AS origin, round(scores[i + 1], 6) AS score FROM study, range({_TRIALS}) r(i) WHERE t = {_TRIALS} - 1"""
+
+
+@register(_study_sql().replace("WITH bars", "WITH RECURSIVE bars", 1))
+def study_trials(spark, d):
+    """A search over a range, two trials at a time: stopped after five, taken up again from its table, past its start by densities."""
+    path = _scratch(spark)
+    folds = splits.purged_kfold(_barrier(spark, d), 5, "t1", 0.01).filter("label is not null").withColumn("y", (F.col("label") == 2).cast("int"))
+    made = lambda n: search.Study(lambda t: learning.BelowMean(factor=t.suggest_float("factor", _LOW, _HIGH)), learning.metric("f1"), n, startup=_STARTUP, jobs=_JOBS, prune=False, path=path)
+    made(5).run(folds, "y")
+    trials = made(_TRIALS).run(folds, "y")
+    return trials.groupBy("trial").agg(*(F.round(F.first(F.element_at("inner", "factor")), 9).alias("factor"), F.first(F.element_at("origin", "factor")).alias("origin"), F.round(F.avg("score"), 6).alias("score")))
+
+
 @register(_BARS + f""", s AS (SELECT ticker, close / (close + open) AS p, (lead(close) {_W}) > close)::INT AS y FROM bars), k AS (SELECT * FROM s WHERE y IS NOT NULL),
 u AS (SELECT ticker, p, y, rank() OVER (PARTITION BY ticker ORDER BY p) + (count(*) OVER (PARTITION BY ticker, p) - 1) / 2.0 AS r FROM k)
 SELECT ticker, round(2.0 * sum((y = 1 AND p >= 0.5)::INT) / (2 * sum((y = 1 AND p >= 0.5)::INT) + sum((y <> (p >= 0.5)::INT)::INT)), 6) AS f1, round(-avg(CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END), 6) AS log_loss,
@@ -794,9 +904,9 @@ def _lab(spark, d):
     return portfolio.StrategyLab(panel.returns_long(B.daily_bars(spark, d)), {"EqualWeighted": {"estimator": "equal"}, "MeanRisk": {"estimator": "mean_variance", "grid": [{"risk_aversion": 1.0}, {"risk_aversion": 2.0}]}})
 
 
-@register()
 def portfolio_grid(spark, d):
-    return _lab(spark, d).search()
+    """The mean score of each setting of the grid over the test windows."""
+    return _lab(spark, d).search().select("strategy", "param", F.round("score", 4).alias("score"))
 
 
 @register(_RET + """, r AS (SELECT datetime, row_number() OVER (ORDER BY datetime) - 1 AS r FROM (SELECT DISTINCT datetime FROM complete)), s AS (SELECT k FROM range(0, ((SELECT count(*) FROM r) - 126) // 63) t(k))
@@ -845,6 +955,38 @@ def randomised_returns(spark, d):
     return _robust(spark, d).randomised(8, 3, 260, 3).select("subsample", "split", "datetime", *_round("ret"))
 
 
+#: Weights in SQL by moving weight between the pair of assets that gains most, 400 times; v has the settings' risk and pull.
+_WEIGHTS = "WITH RECURSIVE " + _SPLITS.removeprefix("WITH ") + """, names AS (SELECT ticker, row_number() OVER (ORDER BY ticker) AS i FROM (SELECT DISTINCT ticker FROM complete)),
+past AS MATERIALIZED (SELECT split, i, datetime, ret FROM complete JOIN names USING (ticker) JOIN r USING (datetime), s WHERE r >= split * 63 AND r < split * 63 + 126),
+pairs AS (SELECT a.split, a.i, b.i AS j, covar_samp(a.ret, b.ret) AS c, avg(a.ret) AS m FROM past a JOIN past b USING (split, datetime) GROUP BY ALL),
+lines AS (SELECT split, i, list(c ORDER BY j) AS c, any_value(m) AS m FROM pairs GROUP BY split, i),
+cov AS MATERIALIZED (SELECT split, list(c ORDER BY i) AS c, list(m ORDER BY i) AS m, count(*)::INT AS n FROM lines GROUP BY split),
+v(p, risk, pull) AS (VALUES (0, 1.0::DOUBLE, 0.0::DOUBLE), (1, 1.0::DOUBLE, 1.0::DOUBLE), (2, 2.0::DOUBLE, 1.0::DOUBLE)),
+steps(split, p, k, w) AS (
+  SELECT split, p, 0, list_transform(range(n), lambda x: 1.0::DOUBLE / n) FROM cov, v
+  UNION ALL
+  SELECT split, p, k + 1, list_transform(range(1, n + 1), lambda x: w[x] + CASE WHEN x = lo THEN t WHEN x = hi THEN -t ELSE 0 END) FROM (
+    SELECT *, CASE WHEN hi = lo THEN 0 ELSE least(w[hi], greatest(0, (g[hi] - g[lo]) / (2 * risk * (c[hi][hi] + c[lo][lo] - 2 * c[hi][lo])))) END AS t FROM (
+      SELECT *, list_sort(list_transform(list_filter(range(1, n + 1), lambda x: w[x] > 0), lambda x: struct_pack(g := -g[x], x := x)))[1].x AS hi, list_sort(list_transform(range(1, n + 1), lambda x: struct_pack(g := g[x], x := x)))[1].x AS lo FROM (
+        SELECT split, p, k, w, c, m, n, risk, pull, list_transform(range(1, n + 1), lambda x: 2 * risk * list_dot_product(c[x], w) - pull * m[x]) AS g FROM steps JOIN cov USING (split) JOIN v USING (p) WHERE k < 400)))),
+weights AS MATERIALIZED (SELECT split, p, ticker, w[i] AS weight FROM steps, names WHERE k = 400)"""
+
+
+_GRID = _WEIGHTS + """, tested AS (SELECT split, p, datetime, sum(ret * weight) AS ret FROM complete JOIN r USING (datetime) JOIN weights USING (ticker) WHERE r >= split * 63 + 126 AND r < split * 63 + 189 GROUP BY ALL),
+even AS (SELECT split, datetime, avg(ret) AS ret FROM complete JOIN r USING (datetime), s WHERE r >= split * 63 + 126 AND r < split * 63 + 189 GROUP BY ALL),
+scores AS (SELECT 'MeanRisk' AS strategy, p - 1 AS param, split, avg(ret) / stddev_samp(ret) * sqrt(252) AS m FROM tested WHERE p > 0 GROUP BY ALL UNION ALL SELECT 'EqualWeighted', 0, split, avg(ret) / stddev_samp(ret) * sqrt(252) FROM even GROUP BY split)
+SELECT strategy, param, round(avg(m), 4) AS score FROM scores GROUP BY strategy, param"""
+register(_GRID)(portfolio_grid)
+
+
+@register(_WEIGHTS + " SELECT split, p AS param, ticker, round(weight, 5) + 0.0 AS weight FROM weights")
+def mean_variance_weights(spark, d):
+    """Every window's weights of three settings: the least variance, and two risk aversions."""
+    split = portfolio.split_returns(_returns(spark, d))
+    got = portfolio.learned(split, [{}, {"risk_aversion": 1.0}, {"risk_aversion": 2.0}])
+    return got.select("split", "param", "ticker", (F.round("weight", 5) + 0.0).alias("weight"))
+
+
 @register(_SPLITS + " SELECT split, p::INT AS param, true AS feasible, true AS optimal FROM s, range(3) t(p)")
 def mean_variance_optimal(spark, d):
     """Whether every window's weights of three mean-variance settings meet the conditions of an optimum."""
@@ -865,9 +1007,15 @@ def portfolio_curves(spark, d):
     return got.select("strategy", "datetime", *_round("cumulative"), (F.round("drawdown", 6) + 0.0).alias("drawdown"))
 
 
-@register("SELECT i::INT AS point, round((0.025 + i * (0.2 - 0.025) / 7) / 252, 12) AS level FROM range(8) t(i)")
+@register(_RET + """, levels AS (SELECT i::INT AS point, (0.025 + i * (0.2 - 0.025) / 7) / 252 AS level FROM range(8) t(i)), means AS (SELECT ticker, avg(ret) AS m FROM complete GROUP BY ticker)
+SELECT point, round(level, 12) AS level, count(*) FILTER (m >= level)::INT AS reached, round(max(m), 6) AS best FROM levels, means GROUP BY point, level""")
 def frontier_levels(spark, d):
-    return spark.createDataFrame(list(enumerate(portfolio.levels())), "point int, level double").withColumn("level", F.round("level", 12))
+    """The least returns of a frontier, and how many assets' mean returns reach each."""
+    means = _returns(spark, d).groupBy("ticker").agg(F.avg("ret").alias("m"))
+    steps = F.explode(F.array(*(F.struct(F.lit(k).alias("point"), F.lit(r).alias("level")) for k, r in enumerate(portfolio.levels()))))
+    rows = means.select("m", steps.alias("s")).select("m", "s.point", "s.level").groupBy("point", "level")
+    got = rows.agg(F.count(F.when(F.col("m") >= F.col("level"), 1)).cast("int").alias("reached"), F.max("m").alias("best"))
+    return got.select("point", F.round("level", 12).alias("level"), "reached", *_round("best"))
 
 
 @register(_SPLITS + """, e AS (SELECT split, datetime, avg(ret) AS ret FROM complete JOIN r USING (datetime), s WHERE r >= split * 63 + 126 AND r < split * 63 + 189 GROUP BY split, datetime),
@@ -920,7 +1068,7 @@ def stream_accounts(spark, d):
     """An account a ticker, kept as the state of a stream of signals."""
     at = _scratch(spark)
     rows = backtest.sma_cross().signals(B.daily_bars(spark, d)).withColumn("datetime", F.col("datetime").cast("timestamp"))
-    rows.select("ticker", "datetime", "close", "signal").coalesce(1).sortWithinPartitions("datetime").write.parquet(f"{at}/in")
+    rows.select("ticker", "datetime", "close", "signal").write.parquet(f"{at}/in")
     ingest.run_once(ingest.position_state(ingest.read(spark, f"{at}/in"), 1e7, (3.0, 0.001)), f"{at}/out", f"{at}/state")
     return spark.read.parquet(f"{at}/out").select("ticker", F.col("datetime").cast("timestamp_ntz").alias("datetime"), "units", F.format_string("%.5e", "cash").alias("cash"))
 

@@ -38,7 +38,7 @@ def run_once(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 def position_state(signals: DataFrame, cash: float = 10_000.0, commission: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """(ticker, datetime, units, cash) after each signal of a stream, one account a ticker, kept in the state store.
 
-    Fills are the broker's with ``trade_on_close`` and without an end; each file's rows of a ticker are taken in order.
+    Fills are the broker's with ``trade_on_close`` and without an end; a trigger's rows of a ticker are taken in order of time.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -48,9 +48,9 @@ def position_state(signals: DataFrame, cash: float = 10_000.0, commission: tuple
         import pandas as pd
 
         units, money = state.get if state.exists else (0, cash)
-        for frame in frames:
-            out = []
-            for row in frame.sort_values("datetime").itertuples():
+        out = []
+        if parts := list(frames):  # one trigger's rows of a ticker, which come in any order
+            for row in pd.concat(parts).sort_values("datetime").itertuples():
                 able = int(max(0.0, money - fee) // (row.close * (1 + rate))) if row.close > 0 else 0
                 if row.signal > 0 and not units and able:
                     units = able
@@ -59,7 +59,7 @@ def position_state(signals: DataFrame, cash: float = 10_000.0, commission: tuple
                     money, units = money + (units * row.close - (fee + rate * units * row.close)), 0
                 out.append((key[0], row.datetime, units, money))
             state.update((units, money))
-            yield pd.DataFrame(out, columns=["ticker", "datetime", "units", "cash"])
+        yield pd.DataFrame(out, columns=["ticker", "datetime", "units", "cash"])
 
     return signals.select("ticker", "datetime", "close", "signal").groupBy("ticker").applyInPandasWithState(
         step, "ticker string, datetime timestamp, units long, cash double", "units long, cash double", "append", GroupStateTimeout.NoTimeout
