@@ -166,10 +166,10 @@ def test_the_bound_decides(web):
         made += [(f"http://{host}/en/{len(made) + k}", int(k >= bad)) for k in range(n)]
     some = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(made)], "page_id long, url string")
     marks = spark.createDataFrame([(i, q, 0) for i, (_, q) in enumerate(made)], "doc_id long, quality int, toxic int")
-    rep = {r.host: r for r in hosts.reputations(hosts.parse(some), marks).collect()}
+    rep = {r.host: r for r in hosts.reputations(hosts.parse(some), marks, 0.2).collect()}
     assert rep["many.a.org"].below < 0.01 and 0.3 < rep["even.c.org"].below < 0.7
     assert rep["few.b.org"].mean > 0.2 and rep["few.b.org"].below > 0.05  # too few pages to be sure
-    got = {r.host for r in hosts.judge(some, marks).filter("verdict = 'block'").collect()}
+    got = {r.host for r in hosts.judge(some, marks, most_bad=0.2).filter("verdict = 'block'").collect()}
     assert got == {"many.a.org"}
     for a, b, x in ((0.4, 3.0, 0.2), (12.5, 40.0, 0.2), (300.0, 900.0, 0.3), (2.0, 1.0, 0.9), (5000.0, 20000.0, 0.2)):
         t = (np.arange(2_000_000) + 0.5) / 2_000_000 * x
@@ -178,6 +178,16 @@ def test_the_bound_decides(web):
         assert got == pytest.approx(want, abs=1e-2 if a < 1 else 1e-6)
 
 
+def test_average_hosts_stay_however_many_pages_they_have(spark):
+    for n in (20, 400):
+        made = [(f"http://h{k}.a{k % 7}.org/en/{k * n + i}", int(i % 4 > 0)) for k in range(60) for i in range(n)]  # a quarter is bad everywhere
+        made += [(f"http://worse.b.org/en/{len(made) + i}", int(i % 10 > 6)) for i in range(n)]
+        pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(made)], "page_id long, url string")
+        labels = spark.createDataFrame([(i, q, 0) for i, (_, q) in enumerate(made)], "doc_id long, quality int, toxic int")
+        blocked = {r.host for r in hosts.judge(pages, labels).filter("verdict = 'block'").collect()}
+        assert blocked == ({"worse.b.org"} if n == 400 else set())
+
+
 def test_domains_and_suffixes(spark, tmp_path):
     (tmp_path / "list").write_text("// a comment\n\ncom\ngithub.io\n*.ck\na.b.jp\n")
     suffixes = hosts.read_suffixes(str(tmp_path / "list"))

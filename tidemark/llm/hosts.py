@@ -3,9 +3,12 @@
 A page's outcome is known where its address names a labelled document (``/xx/<number>``); it is bad if that document is
 of quality 0 or toxic. Outcomes are shrunk by beta-binomial priors: a suffix towards all pages, a registered domain
 towards its suffix, a host towards its domain. The strength of each prior comes from how far its children lie apart
-beyond chance (moments of the beta-binomial). A host is blocked if the lower LEVEL quantile of its beta posterior is above
-``most_bad``, that is if the posterior puts less than LEVEL below ``most_bad`` (the incomplete beta function, as a
-continued fraction whose length grows with the root of the counts).
+beyond chance (moments of the beta-binomial; the spread is held between 1e-4 and 0.5, a prior of 1 to 9,999 outcomes).
+
+A host is blocked if the lower LEVEL quantile of its beta posterior is above a bound, that is if the posterior puts less than
+LEVEL below it (the incomplete beta function, as a continued fraction whose length grows with the root of the counts).
+The bound has WORSE times the odds of all outcomes (a base rate of a quarter gives a half), so that an average host is never
+blocked, however many pages it has; ``most_bad`` sets it outright.
 
 A host's name is taken without its port and a last dot; an address in numbers or brackets is a domain of the suffix ``ip``.
 A suffix is the longest of ``suffixes`` that fits (``read_suffixes`` reads a list in the public format), else two labels
@@ -30,7 +33,7 @@ from .store import Scratch
 # fixed values
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 SECOND = ["ac", "co", "com", "edu", "gob", "gov", "mil", "net", "or", "org"]
-MOST_BAD = 0.2
+WORSE = 3.0  # times the odds of all outcomes that a blocked host's odds of a bad page surely are
 LEVEL = 0.05
 
 
@@ -109,8 +112,8 @@ def beta_below(x: float, a: Column, b: Column) -> Column:
     return F.when(turn, 1 - front / p / fraction).otherwise(front / p / fraction)
 
 
-def reputations(pages: DataFrame, labels: DataFrame, most_bad: float = MOST_BAD, suffixes: list[str] = ()) -> DataFrame:
-    """(host, n, bad, mean, below): outcomes, posterior mean of each host's chance of a bad page, posterior mass below ``most_bad``."""
+def reputations(pages: DataFrame, labels: DataFrame, most_bad: float | None = None, suffixes: list[str] = ()) -> DataFrame:
+    """(host, n, bad, mean, below): outcomes, posterior mean of each host's chance of a bad page, posterior mass below the bound."""
     outcome = labels.filter("doc_id is not null and (quality is not null or toxic is not null)").groupBy(F.col("doc_id").cast("long").alias("named"))
     outcome = outcome.agg(F.max(F.expr("cast(coalesce(quality = 0, false) OR coalesce(toxic = 1, false) AS int)")).alias("is_bad"))
     number = F.expr("try_cast(regexp_extract(path, '^/[a-z][a-z]/([0-9]+)', 1) AS bigint)")
@@ -118,12 +121,14 @@ def reputations(pages: DataFrame, labels: DataFrame, most_bad: float = MOST_BAD,
     counts = known.groupBy("host").agg(F.count("*").alias("n"), F.sum("is_bad").alias("bad"))
     hosts = Scratch(pages.sparkSession, "hosts").keep(levels(counts, suffixes))
     whole = hosts.agg(F.sum("n"), F.sum("bad")).first()
+    bad, good = (whole[1] or 0) + 0.5, (whole[0] or 0) - (whole[1] or 0) + 0.5
+    bound = WORSE * bad / (WORSE * bad + good) if most_bad is None else most_bad
     upper = None
     for level in ("suffix", "domain", "host"):
         keys = {"suffix": ["suffix"], "domain": ["domain", "suffix"], "host": ["host", "domain"]}[level]
         mine = hosts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
         if upper is None:
-            mine = mine.withColumns({"ua": F.lit((whole[1] or 0) + 0.5), "ub": F.lit((whole[0] or 0) - (whole[1] or 0) + 0.5)})
+            mine = mine.withColumns({"ua": F.lit(bad), "ub": F.lit(good)})
         else:
             key = keys[1]
             mine = mine.join(upper.select(F.col(key).alias("up"), F.col("a").alias("ua"), F.col("b").alias("ub")), F.col(key) == F.col("up")).drop("up")
@@ -133,10 +138,10 @@ def reputations(pages: DataFrame, labels: DataFrame, most_bad: float = MOST_BAD,
         size = 1 / (1 / F.lit(_strength(mine)) + 1 / F.col("known"))  # no prior is surer than its parent
         upper = mine.withColumns({"a": F.col("bad") + size * F.col("prior"), "b": F.col("n") - F.col("bad") + size * (1 - F.col("prior"))})
         upper = upper.withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
-    return upper.select("host", "n", "bad", "mean", beta_below(most_bad, F.col("a"), F.col("b")).alias("below"))
+    return upper.select("host", "n", "bad", "mean", beta_below(bound, F.col("a"), F.col("b")).alias("below"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=RULES, most_bad: float = MOST_BAD, suffixes: list[str] = ()) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules=RULES, most_bad: float | None = None, suffixes: list[str] = ()) -> DataFrame:
     """(page_id, host, path, rule, verdict) of each page."""
     parsed = parse(pages)
     worst = reputations(parsed, labels, most_bad, suffixes).filter(F.col("below") < LEVEL).select(F.col("host").alias("blocked"))
@@ -180,8 +185,8 @@ hk AS (SELECT 1 / least(greatest(coalesce(CASE WHEN sum(n) > count(*) THEN (sum(
   FROM h0 WHERE n > 0 AND prior * (1 - prior) > 0),
 h1 AS (SELECT *, bad + prior / (1 / k + 1 / known) AS a, n - bad + (1 - prior) / (1 / k + 1 / known) AS b FROM h0, hk),
 turned AS (
-  SELECT host, a, b, {MOST_BAD} > (a + 1) / (a + b + 2) AS turn, CASE WHEN turn THEN b ELSE a END AS p, CASE WHEN turn THEN a ELSE b END AS q,
-    CASE WHEN turn THEN 1 - {MOST_BAD}::DOUBLE ELSE {MOST_BAD}::DOUBLE END AS x FROM h1),
+  SELECT host, h1.a, h1.b, bound > (h1.a + 1) / (h1.a + h1.b + 2) AS turn, CASE WHEN turn THEN h1.b ELSE h1.a END AS p, CASE WHEN turn THEN h1.a ELSE h1.b END AS q,
+    CASE WHEN turn THEN 1 - bound ELSE bound END AS x FROM h1, (SELECT {WORSE}::DOUBLE * a / ({WORSE} * a + b) AS bound FROM whole)),
 summed AS (
   SELECT host, turn, exp(p * ln(x) + q * ln(1 - x) + lgamma(p + q) - lgamma(p) - lgamma(q)) / p
     / list_reduce(list_reverse(range(1, 61 + 4 * ceil(sqrt(a + b))::BIGINT))::DOUBLE[], lambda f, m: 1 + CASE
