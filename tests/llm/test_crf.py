@@ -1,11 +1,12 @@
 import random
+import zlib
 from zlib import crc32
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import crf
+from tidemark.llm import crf, sample
 
 
 def brute(score, trans):
@@ -77,12 +78,27 @@ def test_scores_match_enumeration():
 
 def test_sample_of_long_and_repeated_documents(marked):
     docs, labels = marked
-    long = docs.withColumn("text", F.when(F.col("doc_id") == 6, F.expr("repeat(concat(text, '\\n'), 400)")).otherwise(F.col("text")))
+    long = docs.withColumn("text", F.when(F.col("doc_id") == 6, F.expr("repeat(concat(text, '\n'), 400)")).otherwise(F.col("text")))
     more = long.union(long).union(long.filter("doc_id = 9").withColumn("text", F.lit("zzz")))
-    a, b = crf.fit(long, labels, most_lines=50), crf.fit(more, labels, most_lines=50)
+    a, b = crf.fit(long, labels), crf.fit(more, labels)
     assert np.allclose(a.weights, b.weights)
 
 
+def test_rows_are_bounded_and_texts_are_not(marked):
+    docs, labels = marked
+    named = labels.filter("doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("quality").alias("__label")).filter("__label is not null").distinct()
+    text = {r.doc_id: r.text or "" for r in docs.filter("doc_id is not null").collect()}
+    every = sample.labelled_texts(docs, named, 50).collect()
+    assert max(sum(r["__label"] == k for r in every) for k in (0, 1)) == 50 and {r["__text"] for r in every} <= set(text.values())
+    few = sample.labelled_texts(docs, named, 50, 2000).collect()
+    assert few and {r["__text"] for r in few} < {r["__text"] for r in every}
+    assert all(0 < sum(len(r["__text"].encode()) for r in few if r["__label"] == k) <= 2000 for k in (0, 1))
+    one = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5)  # not held out
+    tail = docs.withColumn("text", F.when(F.col("doc_id") == one, F.concat(F.expr("repeat('aa bb cc\n', 2000)"), F.lit("LAST!! LINE##"))).otherwise(F.col("text")))
+    plain = docs.withColumn("text", F.when(F.col("doc_id") == one, F.concat(F.expr("repeat('aa bb cc\n', 2000)"), F.lit("last line"))).otherwise(F.col("text")))
+    assert not np.allclose(crf.fit(tail, labels).weights, crf.fit(plain, labels).weights, atol=1e-12)  # the last of 2,001 lines is learned from
+
+
 @pytest.fixture(scope="module")
 def marked(spark):
     rng = random.Random(2)

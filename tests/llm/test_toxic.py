@@ -72,16 +72,17 @@ def test_chain_against_brute_force():
     bags = [np.unique(np.concatenate([rng.integers(100, 130, 4), rng.integers(10 + 10 * k, 16 + 10 * k, 2) if t and rng.random() < 0.9 else rng.integers(60, 90, 2)])).astype(np.int32) for t, k in zip(toxic_, kind)]
     names = {"first": toxic_ * (kind == 0), "second": toxic_ * (kind == 1)}
     chain = toxic.train(bags, toxic_, names)
-    used = np.flatnonzero(chain.place >= 0)
-    x = np.array([[float(f in set(b.tolist())) for f in used] for b in bags])
-    fold = toxic.fold_of(bags, 5)
+    table = lambda used: np.array([[float(f in set(b.tolist())) for f in used] for b in bags])
+    x, fold = table(np.flatnonzero(chain.place >= 0)), toxic.fold_of(bags, 5)
+    without = [table(toxic.chosen([b for b, f in zip(bags, fold) if f != k], toxic_[fold != k])[0]) for k in range(5)]
     earlier, real = np.zeros((n, 0)), np.zeros((n, 0))
     for y in [*names.values(), toxic_]:
-        own, out = np.column_stack([x, earlier]), np.zeros(n)
+        out = np.zeros(n)
         for k in range(5):
+            own = np.column_stack([without[k], earlier])
             w = newton(own[fold != k], y[fold != k])
             out[fold == k] = 1 / (1 + np.exp(-(own[fold == k] @ w[:-1] + w[-1])))
-        w = newton(own, y)
+        w = newton(np.column_stack([x, earlier]), y)
         real = np.column_stack([real, 1 / (1 + np.exp(-(np.column_stack([x, real]) @ w[:-1] + w[-1])))])
         earlier = np.column_stack([earlier, out])
     assert np.abs(chain.predict(bags) - real).max() < 0.02
@@ -109,6 +110,25 @@ def test_copies_share_a_fold_and_long_and_repeated_documents_are_bounded(marked)
     assert all(np.allclose(v, w) for v, w in zip(a.weights, b.weights))
 
 
+def test_the_last_words_of_a_long_text_are_learned_from(spark, marked):
+    docs, labels = marked
+    long = "concat_ws(' ', transform(sequence(1, 15000), k -> concat('w', translate(k, '0123456789', 'abcdefghij'))))"
+    own = docs.filter("doc_id in (1, 2, 3, 4, 6, 7, 8, 9, 11, 12)")
+    clean = docs.filter("doc_id < 60").selectExpr("doc_id + 2000 as doc_id", f"{long} as text", "p_toxic")  # the same words, so that only the end tells
+    more = [docs.union(clean).union(own.selectExpr("doc_id + 1000 as doc_id", f"concat({long}, ' {tail}') as text", "p_toxic")) for tail in ("zorgle zorgle", "")]
+    ids = [r.doc_id for r in own.collect()]
+    marks = labels.union(spark.createDataFrame([*((1000 + i, 1, 1) for i in ids), *((2000 + i, 1, 0) for i in range(60))], "doc_id long, quality int, toxic int"))
+    with_, without = (toxic.fit(m, marks) for m in more)
+    feature = int(toxic.hashed("zorgle")[np.isin(toxic.hashed("zorgle"), toxic.hashed("zorg"), invert=True)][0])
+    assert with_.place[feature] >= 0 and without.place[feature] < 0
+
+
+def test_features_are_chosen_without_the_fold():
+    toxic_ = np.array([1] * 20 + [0] * 20)
+    bags = [np.array([5, 100 + i], np.int32) if t else np.array([7, 200 + i], np.int32) for i, t in enumerate(toxic_)]
+    assert toxic.chosen(bags, toxic_)[0].tolist() == [5, 7] and toxic.chosen(bags[20:], toxic_[20:])[0].tolist() == []
+
+
 def test_without_both_classes(marked):
     docs, labels = marked
     rows = toxic.score(docs, toxic.fit(docs, labels.filter("toxic = 0"))).collect()

@@ -6,8 +6,8 @@ length and calibrated on the training documents. Lines have no labels of their o
 label on each line and then once lets clearly good lines of bad documents be good.
 
 Only text is read to score; labels, lang, source and doc_id are not. Labels are learned from rows whose crc32 of the id,
-as text, is not a multiple of ``folds``: at most ``per_class`` documents of each class and of each at most ``most_lines``
-lines, neighbours at a place that depends on the text (the bounds of the training sample). Scores read every line.
+as text, is not a multiple of ``folds``: at most ``per_class`` documents of each class and as many as ``most_bytes`` hold
+(the bounds of the training sample), each with all its lines. Scores read every line.
 
 Defined cases: a null text is one empty line, and so is an empty one; null or repeated labels are left out or taken once
 (the smaller), and of several texts of an id the smallest is learned from; with no label, or labels of one class, the score is the smoothed share of good ones; a null id counts as
@@ -17,7 +17,6 @@ not held out; repeated rows get equal scores; an empty table gives no rows; othe
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -26,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sample import BYTES, labelled_texts
 from .store import tidy
 
 PER_CLASS = 3000
-MOST_LINES = 300
 SLICE = 2 << 20
 
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -212,32 +211,22 @@ def _slices(texts):
         yield begin, len(texts)
 
 
-def _some(text: str, most: int) -> str:
-    """The text, or if it has more lines, ``most`` neighbouring ones."""
-    lines = text.split("\n")
-    begin = zlib.crc32(text.encode()) % max(1, len(lines) - most + 1)
-    return text if len(lines) <= most else "\n".join(lines[begin : begin + most])
-
-
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = PER_CLASS, most_lines: int = MOST_LINES) -> Model:
-    """Learns from at most ``per_class`` labelled documents of each class outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = PER_CLASS, most_bytes: int = BYTES) -> Model:
+    """Learns from at most ``per_class`` labelled documents of each class, and ``most_bytes`` of their texts, outside the held-out fold."""
     named = labels.filter("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min("quality").alias("__label"))
     named = named.filter(F.crc32(F.col("__id").cast("string")) % folds != 0)
     sizes = {r["__label"]: r["n"] for r in named.groupBy("__label").agg(F.count("*").alias("n")).collect()}
-    picked = [named.filter(F.col("__label") == k).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for k in (0, 1)]
-    sample = F.broadcast(picked[0].union(picked[1]))  # at most 2 x per_class rows
 
     def run(batches):
         for batch in batches:
             for a, b in _slices(batch.column(0)):
-                x, counts, size = features([_some(t or "", most_lines) for t in batch.column(0)[a:b].to_pylist()])
+                x, counts, size = features(batch.column(0)[a:b].to_pylist())
                 ends = np.cumsum(counts)
                 parts = [(x[e - c : e].tobytes(), size[e - c : e].astype(np.int32).tobytes()) for e, c in zip(ends, counts)]
                 yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], *(pa.array(list(p), pa.binary()) for p in zip(*parts))], names=["label", "x", "size"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text")).join(sample, "__id")
-    found = found.groupBy("__id").agg(F.min(F.coalesce("__text", F.lit(""))).alias("__text"), F.min("__label").alias("__label"))  # one text an id
-    rows = found.select("__text", F.col("__label").cast("int")).mapInArrow(tidy(run), "label int, x binary, size binary").collect()
+    found = labelled_texts(docs, named, per_class, most_bytes)
+    rows = found.mapInArrow(tidy(run), "label int, x binary, size binary").collect()
     rows.sort(key=lambda r: (r.label, bytes(r.x)))
     if not rows:
         return train(np.zeros((0, WIDTH)), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0))

@@ -12,7 +12,8 @@ label are used, and none whose difference between the classes may be chance. Who
 its distinct words, whatever its length.
 
 Learned from rows whose crc32 of the id, as text, is not a multiple of ``folds``: at most ``per_class`` documents of each
-class and MOST distinct features of each (those of the smallest hashes), which bounds the training sample.
+class and as many as ``most_bytes`` hold, which bounds the training sample; each with all its words. Out-of-fold predictions
+use features chosen without their fold. At most KEEP features are used: of more that speak for the label, the strongest.
 
 Defined cases: a null or empty text has no features and gets the models' base rates; null labels are left out, repeated
 ones count once (toxic if any is), and of several texts of an id the smallest is learned from; without both classes all get
@@ -31,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sample import BYTES, labelled_texts
 from .vectors import kmeans, nearest
 
 PER_CLASS = 4000
 SPACE = 1 << 20  # hashed features
 KEEP = 1024  # features that the models use, at most
-MOST = 8_000  # features of one training document
 KINDS = 3  # categories before the last
 LEAST = 2.0  # standard errors from no difference that a feature needs
 _WORD = re.compile(r"[^\W\d_]+")
@@ -138,6 +139,20 @@ def fold_of(found: list[np.ndarray], folds: int) -> np.ndarray:
     return np.array([crc32(f.tobytes()) % folds for f in found], dtype=np.int64)
 
 
+def chosen(found: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features to use, ascending, and for each the standard errors that its log odds lie from no difference)."""
+    count = lambda rows: np.bincount(np.concatenate([np.empty(0, np.int64), *rows]), minlength=SPACE)
+    on, off = count([f for f, t in zip(found, toxic) if t]), count([f for f, t in zip(found, toxic) if not t])
+    n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
+    odds = np.log((on + 0.5) / (n1 + 1)) - np.log((off + 0.5) / (n0 + 1))
+    odds /= np.sqrt(1 / (on + 0.5) + 1 / (off + 0.5))
+    odds[on + off < min(4, n1)] = 0
+    odds[np.abs(odds) < LEAST] = 0
+    best = np.argsort(-np.abs(odds), kind="stable")[:KEEP]
+    best = np.sort(best[odds[best] != 0])
+    return best, odds[best]
+
+
 def train(found: list[np.ndarray], toxic: np.ndarray, kinds: int | dict[str, np.ndarray] = KINDS, folds: int = 5) -> Chain:
     """``kinds``: how many categories to find before the last one, or their names with a 0/1 label for each row."""
     names = [*(kinds if isinstance(kinds, dict) else (f"kind_{k + 1}" for k in range(kinds))), "toxic"]
@@ -145,50 +160,43 @@ def train(found: list[np.ndarray], toxic: np.ndarray, kinds: int | dict[str, np.
     chain = Chain(names, np.full(SPACE, -1, dtype=np.int32), base=base)
     if len(set(toxic.tolist())) < 2:
         return chain
-    on = np.bincount(np.concatenate([f for f, t in zip(found, toxic) if t]), minlength=SPACE)
-    off = np.bincount(np.concatenate([f for f, t in zip(found, toxic) if not t]), minlength=SPACE)
-    n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
-    odds = np.log((on + 0.5) / (n1 + 1)) - np.log((off + 0.5) / (n0 + 1))
-    odds /= np.sqrt(1 / (on + 0.5) + 1 / (off + 0.5))  # standard errors away from no difference
-    odds[on + off < min(4, n1)] = 0
-    odds[np.abs(odds) < LEAST] = 0
-    best = np.argsort(-np.abs(odds), kind="stable")[:KEEP]
-    best = np.sort(best[odds[best] != 0])
+
+    def present(used: np.ndarray) -> np.ndarray:
+        place = np.full(SPACE, -1, dtype=np.int32)
+        place[used] = np.arange(len(used))
+        return Chain([], place).rows(found)[:, : len(used)].astype(np.uint8)
+
+    best, odds = chosen(found, toxic)
     chain.place[best] = np.arange(len(best))
-    x = chain.rows(found).astype(np.float64)
+    x, fold = present(best), fold_of(found, folds)
+    parts = {k: present(chosen([f for f, o in zip(found, fold != k) if o], toxic[fold != k])[0]) for k in np.unique(fold)}
     if isinstance(kinds, dict):
         labels = [np.asarray(y, dtype=float) for y in kinds.values()]
     else:
-        cluster = kinds_of(x[:, odds[best] > 0], toxic, kinds)
+        cluster = kinds_of(x[:, odds > 0].astype(float), toxic, kinds)
         labels = [(cluster == k).astype(float) for k in range(kinds)]
-    fold = fold_of(found, folds)
     earlier = np.zeros((len(toxic), 0))
     for y in [*labels, toxic.astype(float)]:
-        own = np.column_stack([x, earlier])
         out = np.empty(len(y))
-        for k in np.unique(fold):
-            test = fold == k
+        for k, part in parts.items():
+            test, own = fold == k, np.column_stack([part, earlier])
             w = logistic(own[~test], y[~test])
             out[test] = _sigmoid(own[test] @ w[:-1] + w[-1])
-        chain.weights.append(logistic(own, y))
+        chain.weights.append(logistic(np.column_stack([x, earlier]), y))
         earlier = np.column_stack([earlier, out])
     return chain
 
 
-def fit(docs: DataFrame, labels: DataFrame, kinds: int = KINDS, folds: int = 5, per_class: int = PER_CLASS) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, kinds: int = KINDS, folds: int = 5, per_class: int = PER_CLASS, most_bytes: int = BYTES) -> Chain:
     named = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").alias("__label"))
     named = named.filter(F.crc32(F.col("__id").cast("string")) % folds != 0)
-    picked = [named.filter(F.col("__label") == k).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for k in (0, 1)]
-    sample = F.broadcast(picked[0].union(picked[1]))  # at most 2 x per_class rows
 
     def run(batches):
         for batch in batches:
-            bags = [hashed(t.as_py() or "").astype(np.int32)[:MOST] for t in batch.column(0)]
+            bags = [hashed(t.as_py() or "").astype(np.int32) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([b.tobytes() for b in bags], pa.binary())], names=["label", "bag"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text")).join(sample, "__id")
-    found = found.groupBy("__id").agg(F.min(F.coalesce("__text", F.lit(""))).alias("__text"), F.min("__label").alias("__label"))  # one text an id
-    rows = found.select("__text", F.col("__label").cast("int")).mapInArrow(run, "label int, bag binary").toArrow().to_pylist()
+    rows = labelled_texts(docs, named, per_class, most_bytes).mapInArrow(run, "label int, bag binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (crc32(r["bag"]), r["bag"], r["label"]))
     return train([np.frombuffer(r["bag"], np.int32) for r in rows], np.array([r["label"] for r in rows], dtype=np.int64), kinds)
 
