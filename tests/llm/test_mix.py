@@ -127,3 +127,15 @@ def test_mixture_keeps_columns(clash):
     want = mix.copies(clash).agg(F.sum("copies")).first()[0]
     assert out.count() == want
     assert mix.mixture(clash.limit(0)).count() == 0 and mix.copies(clash.limit(0)).count() == 0
+
+
+def test_mixture_of_many_equal_rows_and_any_names(spark):
+    rows = spark.range(100_000).select(F.lit(7).alias("doc_id"), F.lit("one text").alias("text"), F.lit("s").alias("source"), "id")
+    rows = rows.union(spark.range(40).select(F.col("id") + 100, F.lit("another text of words"), F.lit("t"), F.col("id")))
+    odd = rows.withColumns({c: F.col("id") for c in ("__n", "__nth", "__own", "__key", "__copies", "key", "row", "n", "place", "total", "salt")})
+    out = mix.mixture(odd)
+    assert out.columns == odd.columns and out.filter("__n <> id or row <> id or n <> id or salt <> id").count() == 0
+    want = {r.source: r.n for r in mix.copies(odd).groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+    assert {r.source: r["count"] for r in out.groupBy("source").count().collect()} == want
+    each = out.filter("source = 's'").groupBy("id").count().agg(F.min("count"), F.max("count"), F.count("*")).first()
+    assert each[1] - each[0] <= 1 and each[1] <= 2

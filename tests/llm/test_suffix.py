@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import suffix
 
@@ -130,3 +131,14 @@ def test_what_a_task_has_sent_is_settled():
 @pytest.mark.parametrize("pairs,want", [([], []), ([(5, 9), (1, 5), (20, 30), (8, 10)], [(1, 10), (20, 30)])])
 def test_merged(pairs, want):
     assert suffix.merged(pairs) == want
+
+
+def test_cut_with_any_names(spark):
+    text = "a passage of many words that comes again, and is longer than a hundred bytes so that it is found and cut out"
+    rows = [(1, text, 5), (2, f"{text} more", 6), (3, None, 7), (2, f"{text} more", 8)]
+    names = ("__rid", "__marks", "__text", "__id", "__hash", "rid", "rest", "row", "__spans_of_text")
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").withColumns({c: F.col("n") for c in names})
+    out = suffix.cut(df)
+    assert out.columns == df.columns
+    got = sorted(map(tuple, out.collect()), key=lambda r: r[2])
+    assert [r[:2] for r in got[:3]] == [(1, text), (2, " more"), (3, None)] and all(set(r[2:]) == {r[2]} for r in got)

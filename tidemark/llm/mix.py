@@ -29,6 +29,7 @@ from .store import Scratch, partitions
 WORD = r"[^\x20\x09-\x0D]+"
 CELL = 2_500  # documents that a cell should hold
 FAN_IN = 256  # children, so leftovers, of one node of the tree
+SALTS = 64
 BANDS = 512  # bands of size, eight to each doubling, the largest first
 
 
@@ -169,11 +170,20 @@ def _key(seed: int):
 
 
 def mixture(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """docs with each row as often as the mix copies it; all columns stay."""
-    names = docs.columns
-    taken = copies(docs, weights, share, most, seed).groupBy(F.col("key").alias("__key")).agg(F.sort_array(F.collect_list("copies")).alias("__copies"))
-    marked = docs.withColumn("__own", _key(seed))
-    nth = F.row_number().over(Window.partitionBy("__own").orderBy("doc_id"))  # rows that are equal in id, source and text
-    both = marked.withColumn("__nth", nth).join(taken, F.col("__own") == F.col("__key"))
-    both = both.withColumn("__n", F.element_at("__copies", F.col("__nth"))).filter("__n > 0")
-    return both.select(*names, F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__copy")).select(*names)
+    """docs with each row as often as the mix copies it; all columns stay.
+
+    Rows that are equal in id, source and text share their copies as evenly as can be; they are numbered in SALTS parts, so
+    that no task holds all of a text's rows.
+    """
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mixture")
+    taken = copies(docs, weights, share, most, seed).groupBy("key").agg(F.sum("copies").alias("total"), F.count("*").alias("rows")).filter("total > 0")
+    taken = scratch.keep(taken)
+    whole = docs.select(_key(seed).alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("nth"))
+    once = whole.join(taken.filter("rows = 1").select("key", F.col("total").alias("n")), "key").select("row", "n")
+    same = scratch.keep(whole.join(taken.filter("rows > 1"), "key").withColumn("salt", F.pmod(F.xxhash64("nth"), F.lit(SALTS))))
+    parts = same.groupBy("key", "salt").agg(F.count("*").alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy("key").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = same.withColumn("place", F.row_number().over(Window.partitionBy("key", "salt").orderBy("nth")) - 1).join(parts.select("key", "salt", before.alias("before")), ["key", "salt"])
+    several = placed.select("row", F.expr("total div rows + if(place + before < total % rows, 1, 0)").alias("n"))
+    both = once.union(several).filter("n > 0")
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")

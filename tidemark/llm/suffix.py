@@ -464,5 +464,8 @@ def cut(docs: DataFrame, length: int = 100) -> DataFrame:
             cols[text] = pa.array([shorter(t, m) for t, m in zip(cols[text], batch.column(len(names)))], cols[text].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    marked = _marked(docs, length)
-    return marked.select(*names, "__marks").mapInArrow(tidy(run), docs.schema)
+    # all other columns travel as one, so that no name can clash
+    rest = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in names if c not in ("doc_id", "text")))
+    marked = _marked(docs.select("doc_id", "text", rest.alias("rest")), length)
+    back = [(F.col(c) if c in ("doc_id", "text") else F.col("rest")[c]).alias(f"c{k}") for k, c in enumerate(names)]
+    return marked.select(*back, F.col("__marks").alias("marks")).mapInArrow(tidy(run), docs.schema)
