@@ -18,6 +18,7 @@ from .plans.ranges import Step, in_pieces, query
 from .sources import bars as B
 from .sources import store, universe, vendor
 from .streaming import ingest
+from .streaming import labels as stream_barriers
 
 CUT = datetime(1996, 1, 1)
 TICKERS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -1093,6 +1094,18 @@ def stream_hourly(spark, d):
     return spark.read.parquet(f"{at}/out").withColumn("datetime", F.col("datetime").cast("timestamp_ntz"))
 
 
+@register(_HOURS + ", bars AS (SELECT * FROM hours)" + _BARRIER.removeprefix(_BARS) + " SELECT ticker, datetime, label, t1 FROM barrier WHERE t1 <= (SELECT max(datetime) FROM bars) - INTERVAL 90 MINUTE")
+def stream_labels(spark, d):
+    """Barrier labels of hour bars that come as a stream; what the watermark has not decided is still open."""
+    at = _scratch(spark)
+    bars = B.hourly_bars(spark, d).select("ticker", F.col("datetime").cast("timestamp"), "close", (0.6 * F.col("close")).alias("sl"))
+    bars.write.parquet(f"{at}/in")
+    with stream_barriers.timers(spark):
+        found = stream_barriers.triple_barrier(ingest.read(spark, f"{at}/in"), "close", "sl", 0.5, 10, "90 minutes")
+        ingest.run_once(found, f"{at}/out", f"{at}/state")
+    return spark.read.parquet(f"{at}/out").select("ticker", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("datetime", "t1")), "label")
+
+
 @register(_BARS + f", m AS (SELECT ticker, datetime, CASE WHEN count(close) {_W} ROWS 19 PRECEDING) = 20 THEN round(avg(close) {_W} ROWS 19 PRECEDING), 4) END AS sma FROM bars) SELECT * FROM m WHERE ticker IN ('1-URGENT', '2-HIGH') AND datetime >= TIMESTAMP '1996-01-01' AND datetime < TIMESTAMP '1997-01-01'")
 def padded_range(spark, d):
     """A year of two tickers' means, computed from only the bars that they depend on."""
