@@ -162,6 +162,29 @@ def store_tickers(spark, d):
     return store.MarketStore(spark, market.root).tickers().select("ticker", "interval", (F.col("last_updated") >= F.col("first_added")).alias("is_updated"))
 
 
+@register(_BARS + """ SELECT ticker, datetime, close, CASE WHEN ticker = '5-LOW' OR datetime >= TIMESTAMP '1996-01-01' THEN round(close * volume, 2) END AS turnover
+FROM bars WHERE ticker IN ('1-URGENT', '5-LOW') AND datetime > TIMESTAMP '1993-01-01'""")
+def store_recovered(spark, d):
+    """A store in which a load was killed before its commit and made again, and a column was added between two loads."""
+    bars = B.daily_bars(spark, d)
+    root = _scratch(spark)
+    store.MarketStore(spark, root).add_ticker("1-URGENT", _source(bars.filter(F.col("datetime") < F.lit(CUT))), datetime(1993, 1, 1))
+    killed = store.MarketStore(spark, root)
+    killed.write(bars.filter("ticker = '1-URGENT'").withColumn("datetime", F.col("datetime").cast("timestamp")))
+    market = store.MarketStore(spark, root)
+    market.add_column("turnover", "double")
+    rich = bars.withColumn("turnover", F.round(F.col("close") * F.col("volume"), 2))
+
+    def fetch(ticker, start, stop, interval):
+        rows = rich.filter((F.col("ticker") == ticker) & (F.col("datetime") > F.lit(start)))
+        return rows.select(F.col("datetime").alias("Datetime"), *(F.col(c).alias(c.capitalize()) for c in ("open", "high", "low", "close", "volume", "turnover")))
+
+    market.update_ticker("1-URGENT", fetch)
+    market.add_ticker("5-LOW", fetch, datetime(1993, 1, 1))
+    market.vacuum()
+    return store.MarketStore(spark, root).prices().select("ticker", F.col("datetime").cast("timestamp_ntz").alias("datetime"), "close", "turnover")
+
+
 @register(_BARS + """ SELECT ticker, datetime, open, high, low, close, volume::DOUBLE AS volume, (SELECT '1995Q2') AS failed FROM bars
 WHERE ticker = '3-MEDIUM' AND (year(datetime) = 1994 AND quarter(datetime) IN (1, 2, 4) OR year(datetime) = 1995 AND quarter(datetime) = 1)""")
 def store_quarters(spark, d):
