@@ -11,6 +11,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
+from tidemark import queries as market
 from tidemark import schema
 from tidemark.functions import bsadf, labels, recursive, windows
 from tidemark.operators import backtest, learning, panel, portfolio, splits
@@ -532,6 +533,16 @@ def test_margin():
     assert equity.tolist() == [100, 100, 80, -20, -20] and held.tolist() == [0, 20, 20, 20, 0]
 
 
+def test_units_beyond_64_bits_and_whole_quotients(spark):
+    closes = [1.0, 1.0, 1e12, 1.0, 1.0, 1e12, 1e12]
+    runs = backtest.backtest(frame(spark, closes, signal=[1.0, -1.0, 0.0, 1.0, -1.0, 0.0, 0.0]), backtest.Broker(cash=1e10, commission=0.0))
+    (a, b) = runs.first().trades
+    assert (a.units, a.pnl) == (1e10, pytest.approx(1e22)) and (b.units, b.pnl) == (pytest.approx(1e22), pytest.approx(1e34))
+    assert [r.units for r in market._trades(runs).orderBy("entry").collect()] == [10**10, None]  # the second is no long
+    bars = pd.DataFrame({"datetime": pd.date_range("2024-01-01", periods=3), "open": [0.1] * 3, "close": [0.1] * 3, "signal": [1, 0, 0]})
+    assert backtest.Broker(cash=1.0, commission=0.0).run(bars)[1].tolist() == [0, 10, 10]  # as floor(1.0 / 0.1), not 1.0 // 0.1
+
+
 def test_failed_requests_lose_only_their_quarter(spark, tmp_path):
     rows = frame(spark, walk(400)).drop("ticker")
 
