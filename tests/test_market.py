@@ -543,6 +543,15 @@ def test_units_beyond_64_bits_and_whole_quotients(spark):
     assert backtest.Broker(cash=1.0, commission=0.0).run(bars)[1].tolist() == [0, 10, 10]  # as floor(1.0 / 0.1), not 1.0 // 0.1
 
 
+def test_equity_of_far_days_and_beyond_doubles(spark):
+    closes, step = [1.0, 1.0, 1e300, 1.0, 1.0, 1e300, 1e300], timedelta(days=40_000)
+    bars = frame(spark, closes, signal=[1.0, -1.0, 0.0, 1.0, -1.0, 0.0, 0.0], step=step)
+    curve = backtest.backtest(bars, backtest.Broker(cash=1e10, commission=0.0)).select(F.explode("equity").alias("e")).select("e.*")
+    got = curve.select("datetime", market._digits("equity").alias("equity")).collect()
+    assert [r.equity for r in got[:2]] == ["1.00000e+10", "1.00000e+10"] and {r.equity for r in got[2:]} <= {"inf", "-nan"}
+    assert [r.datetime for r in got] == [DAY + i * step for i in range(7)] and got[-1].datetime.year > 2262
+
+
 def test_failed_requests_lose_only_their_quarter(spark, tmp_path):
     rows = frame(spark, walk(400)).drop("ticker")
 
