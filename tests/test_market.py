@@ -552,6 +552,13 @@ def test_equity_of_far_days_and_beyond_doubles(spark):
     assert [r.datetime for r in got] == [DAY + i * step for i in range(7)] and got[-1].datetime.year > 2262
 
 
+def test_metrics_of_a_very_large_account(spark):
+    closes = [1.0, 1.0, 1e12, 1.0, 1.0, 1e12, 1e12]
+    run = backtest.backtest(frame(spark, closes, signal=[1.0, -1.0, 0.0, 1.0, -1.0, 0.0, 0.0]), backtest.Broker(cash=1e10, commission=0.0)).first()
+    assert run.error is None and run.metrics["# Trades"] == 2 and run.metrics["Win Rate [%]"] == 100
+    assert run.metrics["Equity Final [$]"] == pytest.approx(1e34) and run.metrics["Best Trade [%]"] == pytest.approx(1e14)
+
+
 def test_failed_requests_lose_only_their_quarter(spark, tmp_path):
     rows = frame(spark, walk(400)).drop("ticker")
 
