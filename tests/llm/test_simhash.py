@@ -250,3 +250,15 @@ def test_scratch_tables_can_be_deleted(spark, docs):
     assert rows and any(map(os.path.exists, roots))
     store.clean(spark)
     assert not any(map(os.path.exists, roots)) and not store._roots
+
+
+def test_a_group_of_near_copies_gives_one_row_a_text_and_key():
+    n = 300
+    key, fp, rep = np.zeros(n, np.int64), np.arange(n, dtype=np.uint64), np.arange(n)
+    cols = [fp, rep, np.ones(n, bool), np.ones(n, bool), np.full(n, 50), np.zeros((n, simhash.SKETCH // 64), np.uint64)]
+    chosen = [(list(range(16, 64)), 0)]
+    a, apart, b = simhash._possible(key, cols, chosen, 14, 0.8, True)
+    assert a.tolist() == list(range(1, n)) and (b < a).all()
+    assert all(d == min((i ^ j).bit_count() for j in range(i)) for i, d in zip(a.tolist(), apart.tolist()))
+    assert len(simhash._possible(key, cols, chosen, 14, 0.8, False)[0]) == n * (n - 1) // 2
+    assert simhash._rounds([(list(range(4)), 0)] * 15, True) == [[0], list(range(1, 15))]

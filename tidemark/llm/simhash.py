@@ -29,27 +29,37 @@ _LANES = (np.arange(8) * 256).astype(np.int64)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 SEED = 42
 SKETCH = 512  # cells of parities
+ROWS = 20  # probe rows of a text that are on disk at a time
+ROW_COST = 9000  # a probe row with its sketch, in pairs of a key; some 1,000 pairs are checked at its price, a ninth is near in size
 BLOCK = 1 << 16  # owners of a key that one block holds
 CROWDED = 4096  # keys of a partition that can be cut into blocks: each has over this share of all fingerprints
 SPLIT = 1000  # partners of one text that are compared in one place
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """Bits set in over half the XXH64 of the ``width``-word shingles, repeats included; A-Z count as a-z."""
+def _hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of the ``width``-word shingles, repeats included (fewer words: the whole sequence); A-Z count as a-z."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], "<u8")
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate([[0], ends[:-1]])
     spans = zip(starts[: len(words) - width + 1].tolist(), (ends[width - 1 :] - 1).tolist())
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+
+
+def _majority(hashes: np.ndarray) -> int:
     seen = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _LANES).ravel(), minlength=2048).reshape(8, 256)
     return sum(1 << i for i, n in enumerate((seen @ _BITS).ravel().tolist()) if 2 * n > len(hashes))
 
 
+def fingerprint(text: bytes, width: int) -> int:
+    """Bits set in over half the XXH64 of the ``width``-word shingles, repeats included; A-Z count as a-z."""
+    return _majority(_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, fp, hash): the 64 bits as a signed long, and a hash of the whole text."""
 
@@ -173,7 +183,7 @@ def _earlier(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, own: np.ndarray,
     return [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 3
 
 
-def plan(spark: SparkSession, fps: DataFrame, radius: int, parts: tuple[int, ...] = (2, 3, 4, 5, 6)) -> list[tuple[list[int], int]]:
+def plan(spark: SparkSession, fps: DataFrame, radius: int, parts: tuple[int, ...] = (2, 3, 4, 5, 6), row_cost: float = 1000.0) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each probed partition, from counts over all fingerprints."""
 
     def sums(batches):
@@ -192,14 +202,15 @@ def plan(spark: SparkSession, fps: DataFrame, radius: int, parts: tuple[int, ...
         for batch in batches:
             x = batch.column(0).to_numpy().view(np.uint64)
             for k, (_, _, bits) in enumerate(flat):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k)), pa.array(_part(x, bits).view(np.int64))], names=["k", "v"])
+                v, c = np.unique(_part(x, bits), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k)), pa.array(v.view(np.int64)), pa.array(c)], names=["k", "v", "c"])
 
-    counts = fps.select("fp").mapInArrow(values, "k long, v long").groupBy("k", "v").agg(F.count("*").alias("c"))
+    counts = fps.select("fp").mapInArrow(values, "k long, v long, c long").groupBy("k", "v").agg(F.sum("c").alias("c"))
     crowd = {r.k: r.s for r in counts.groupBy("k").agg(F.sum(F.col("c") * F.col("c")).alias("s")).collect()}
     ranked = []
     for m, groups in choices.items():
         at = [crowd.get(k, 0) for k, f in enumerate(flat) if f[0] == m]
-        ranked.append((*allocate([len(g) for g in groups], at, n, radius), groups))
+        ranked.append((*allocate([len(g) for g in groups], at, n, radius, row_cost), groups))
     _, chosen, groups = min(ranked, key=lambda r: r[0])
     return [(g, t) for g, t in zip(groups, chosen) if t >= 0]
 
@@ -217,18 +228,18 @@ def _crowded(fps: DataFrame, chosen: list[tuple[list[int], int]]) -> dict[int, i
     return {r.key: -(-r.n // BLOCK) for r in counts.filter(F.col("n") > max(BLOCK, fps.count() // CROWDED)).collect()}
 
 
-def _keys(fp: np.ndarray, chosen: list[tuple[list[int], int]], crowds: dict[int, int], asking: np.ndarray | None = None, only: int | None = None):
+def _keys(fp: np.ndarray, chosen: list[tuple[list[int], int]], crowds: dict[int, int], asking: np.ndarray | None = None, only: list[int] | None = None):
     """(row, key, whether it owns the key) of everything that rows probe; rows that do not ask only own.
 
     A key is a partition's number, a block and a value. A row owns its own value in the block that its hash picks, and
-    probes all other blocks of it, and all blocks of the values near to it. ``only`` leaves all but one partition out.
+    probes all other blocks of it, and all blocks of the values near to it. ``only`` names the partitions, if not all.
     """
     many = np.array(sorted(crowds), dtype=np.int64)
     blocks = np.array([crowds[k] for k in sorted(crowds)], dtype=np.int64)
     every = np.arange(len(fp))
     mix = (fp * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
     for k, (bits, t) in enumerate(chosen):
-        if only not in (None, k):
+        if only is not None and k not in only:
             continue
         part = _part(fp, bits)
         for mask in _flips(len(bits), t):
@@ -273,23 +284,28 @@ def _runs(batches, columns, own: int):
         yield put(held)
 
 
-def _passes(chosen: list[tuple[list[int], int]], scratch: Scratch, one) -> DataFrame:
-    """``one(k)`` for each probed partition, one after another, so that the probe rows of one at a time are on disk."""
-    parts = []
-    for k in range(len(chosen)):
-        parts.append(scratch.keep(one(k)))
-        scratch.release()
-    return reduce(lambda a, b: a.union(b), parts)
+def _rounds(chosen: list[tuple[list[int], int]], first: bool) -> list[list[int]]:
+    """Partitions whose probe rows are on disk at a time: up to ROWS a text, or one; the first one alone, if asked for."""
+    rounds: list[list[int]] = []
+    taken = 0
+    for k, (bits, t) in enumerate(chosen):
+        rows = sum(comb(len(bits), i) for i in range(t + 1))
+        if not rounds or first and k == 1 or taken + rows > ROWS:
+            rounds.append([])
+            taken = 0
+        rounds[-1].append(k)
+        taken += rows
+    return rounds
 
 
-def _met(fps: DataFrame, chosen: list[tuple[list[int], int]], width: int, find, names: list[str], crowds: dict[int, int] | None = None, only: int | None = None) -> DataFrame:
+def _met(fps: DataFrame, chosen: list[tuple[list[int], int]], width: int, find, names: list[str]) -> DataFrame:
     """Every fingerprint (fp, rep) under each key it probes; ``find`` sees whole runs of equal keys and gives long columns."""
-    crowds = _crowded(fps, chosen) if crowds is None else crowds
+    crowds = _crowded(fps, chosen)
 
     def probes(batches):
         for batch in batches:
             fp, rep = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            for row, key, own in _keys(fp, chosen, crowds, only=only):
+            for row, key, own in _keys(fp, chosen, crowds):
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row].view(np.int64)), pa.array(rep[row]), pa.array(own)], names=["key", "fp", "rep", "own"])
 
     def verify(batches):
@@ -345,51 +361,74 @@ def _sets(width: int):
     return run
 
 
-def _sketches(width: int):
-    """(rep, size, sketch): how many shingles a bag has, and the parity of their counts over SKETCH cells."""
+def _marks(width: int):
+    """(doc_id, fp, hash, size, sketch) of each text: its fingerprint, how many different shingles it has, and the parity
+    of their counts over SKETCH cells."""
 
     def run(batches):
         for batch in batches:
-            bags = [_bag(text.as_py(), width) for text in batch.column(1)]
-            odd = [np.packbits(np.bincount((b % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes() for b in bags]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) for b in bags], pa.int64()), pa.array(odd, pa.binary())], names=["rep", "size", "sketch"])
+            found = [[], [], []]
+            for text in batch.column(1):
+                hashes = _hashes((text.as_py() or "").encode(), width)
+                bag = np.unique(hashes)
+                odd = np.bincount((bag % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+                for column, value in zip(found, (_majority(hashes), len(bag), np.packbits(odd).tobytes())):
+                    column.append(value)
+            fp = pa.array(np.array(found[0], dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp, batch.column(2), pa.array(found[1], pa.int64()), pa.array(found[2], pa.binary())], names=["doc_id", "fp", "hash", "size", "sketch"])
 
     return run
 
 
-def _possible(key: np.ndarray, cols: list[np.ndarray], chosen: list[tuple[list[int], int]], radius: int, similarity: float):
-    """(id, smaller id) of each asking row and owner of its key within the radius that may be alike, where they meet first.
+def _possible(key: np.ndarray, cols: list[np.ndarray], chosen: list[tuple[list[int], int]], radius: int, similarity: float, best: bool):
+    """(id, distance, smaller id) of each asking row and owner of its key within the radius that may be alike, where they
+    meet first; ``best``: of each row's the nearest, then smallest id, of a key.
 
-    Two bags differ in at least as many shingles as their parities differ in cells, so nothing alike is left out.
+    Two bags differ in at least as many shingles as their parities differ in cells, so nothing alike is left out. Rows
+    meet in the order of their sizes, so that only those near in size are checked.
     """
     fp, rep, own, ask, size, sketch = cols
     masks = [(np.uint64(sum(1 << b for b in bits)), t) for bits, t in chosen]
     cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     both = np.flatnonzero(np.logical_or.reduceat(own, cut[:-1]) & np.logical_or.reduceat(ask, cut[:-1]) & (np.diff(cut) > 1))
-    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    found = [(np.empty(0, np.int64),) * 3]
     for g in both.tolist():
         at = np.arange(cut[g], cut[g + 1])
+        at = at[np.argsort(size[at], kind="stable")]
         mine, theirs = at[ask[at]], at[own[at]]
+        sizes = size[theirs]
         part = int(key[cut[g]].view(np.uint64) >> np.uint64(58))
-        step = max(1, (1 << 18) // len(theirs))
-        for i in range(0, len(mine), step):
-            x, y = mine[i : i + step, None], theirs[None]
-            ok = (rep[y] < rep[x]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9)
-            apart = fp[x] ^ fp[y]
-            ok &= np.bitwise_count(apart) <= radius
-            for mask, t in masks[:part]:
-                ok &= np.bitwise_count(apart & mask) > t
-            p, q = np.nonzero(ok)
-            p, q = mine[i + p], theirs[q]
-            total = size[p] + size[q]
-            shared = (total - np.bitwise_count(sketch[p] ^ sketch[q]).sum(1, dtype=np.int64)) / 2
-            ok = shared >= similarity * (total - shared) - 1e-9
-            found.append((rep[p[ok]], rep[q[ok]]))
+        for i in range(0, len(mine), 256):
+            x = mine[i : i + 256]
+            near = theirs[np.searchsorted(sizes, similarity * size[x[0]] - 1e-6) : np.searchsorted(sizes, size[x[-1]] / similarity + 1e-6, "right")]
+            mets = []
+            for j in range(0, len(near), 2048):
+                y = near[j : j + 2048]
+                p, q = np.nonzero(np.bitwise_count(fp[x, None] ^ fp[None, y]) <= radius)
+                p, q = x[p], y[q]
+                ok = (rep[q] < rep[p]) & (np.minimum(size[p], size[q]) >= similarity * np.maximum(size[p], size[q]) - 1e-9)
+                for mask, t in masks[:part]:
+                    ok &= np.bitwise_count((fp[p] ^ fp[q]) & mask) > t
+                p, q = p[ok], q[ok]
+                total = size[p] + size[q]
+                shared = (total - np.bitwise_count(sketch[p] ^ sketch[q]).sum(1, dtype=np.int64)) / 2
+                ok = shared >= similarity * (total - shared) - 1e-9
+                p, q = p[ok], q[ok]
+                mets.append((rep[p], np.bitwise_count(fp[p] ^ fp[q]).astype(np.int64), rep[q]))
+            if not mets:
+                continue
+            a, apart, b = (np.concatenate(c) for c in zip(*mets))
+            if best:
+                by = np.lexsort([b, apart, a])
+                by = by[np.unique(a[by], return_index=True)[1]]
+                a, apart, b = a[by], apart[by], b[by]
+            found.append((a, apart, b))
     return [np.concatenate(c) for c in zip(*found)]
 
 
-def _others(texts: DataFrame, chosen: list[tuple[list[int], int]], radius: int, similarity: float, width: int, crowds: dict[int, int], only: int | None = None) -> DataFrame:
-    """(doc_id, partner) of every row that asks and every earlier text that may be alike; texts: (fp, rep, ask, size, sketch)."""
+def _others(texts: DataFrame, chosen: list[tuple[list[int], int]], radius: int, similarity: float, width: int, crowds: dict[int, int], only: list[int], best: bool = False) -> DataFrame:
+    """(doc_id, apart, partner) of every row that asks and every earlier text, or the nearest ones, that may be alike;
+    texts: (fp, rep, ask, size, sketch)."""
     names = ["key", "fp", "rep", "own", "ask", "size", "sketch"]
 
     def probes(batches):
@@ -405,11 +444,11 @@ def _others(texts: DataFrame, chosen: list[tuple[list[int], int]], radius: int,
 
     def verify(batches):
         for cols in _runs(batches, columns, 3):
-            got = _possible(cols[0], [np.ascontiguousarray(cols[1]).view(np.uint64), *cols[2:]], chosen, radius, similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["doc_id", "partner"])
+            got = _possible(cols[0], [np.ascontiguousarray(cols[1]).view(np.uint64), *cols[2:]], chosen, radius, similarity, best)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["doc_id", "apart", "partner"])
 
     met = texts.select("fp", "rep", "ask", "size", "sketch").mapInArrow(probes, "key long, fp long, rep long, own boolean, ask boolean, size long, sketch binary")
-    return met.repartition(width, "key").sortWithinPartitions("key", F.desc("own")).mapInArrow(tidy(verify), "doc_id long, partner long")
+    return met.repartition(width, "key").sortWithinPartitions("key", F.desc("own")).mapInArrow(tidy(verify), "doc_id long, apart long, partner long")
 
 
 def _alike(similarity: float):
@@ -436,38 +475,43 @@ def _verified(texts: DataFrame, pairs: DataFrame, width: int, similarity: float,
     return dealt.join(bags, "doc_id").join(other, ["partner", "place"]).select("doc_id", "bag", "other").mapInArrow(_alike(similarity), "doc_id long")
 
 
+def _asking(texts: DataFrame, ids: DataFrame, ask: bool) -> DataFrame:
+    """texts with the column ``ask``: ``ask`` for those with one of the ids in doc_id, else its opposite."""
+    named = ids.select(F.col("doc_id").alias("rep"), F.lit(ask).alias("ask")).distinct()
+    return texts.join(named, "rep", "left").withColumn("ask", F.coalesce("ask", F.lit(not ask)))
+
+
 def drop_near_copies(docs: DataFrame, radius: int = 14, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near copies of earlier ones; all columns stay.
 
     A document goes if one of smaller id has an equal text, or a fingerprint within the radius and distinct shingles of a
-    Jaccard similarity of at least ``similarity``. Equal texts are settled by their hash, and one of each is compared:
-    first with one partner (the smallest id of its fingerprint, or else the nearest fingerprint of a smaller id), then, if
-    that is not alike, with all others within the radius. So no two documents that stay are such copies. Rows without an
-    id stay, and so do all rows of an id that stays.
+    Jaccard similarity of at least ``similarity``. Equal texts are settled by their hash, and one of each is compared with
+    earlier ones that sizes and parities do not rule out: first with one partner (the nearest of the first partitions
+    that have any), then, if that is not alike, with all others within the radius. So no two documents that stay are such
+    copies. Rows without an id stay, and so do all rows of an id that stays.
     """
     spark = docs.sparkSession
     scratch, wide = Scratch(spark, "copies"), partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null")
-    marked = scratch.keep(fingerprints(texts, width))
-    unlike = scratch.keep(marked.groupBy("fp", "hash").agg(F.min("doc_id").alias("first")))
-    equal = marked.join(unlike, ["fp", "hash"]).filter("doc_id <> first").select("doc_id")
-    fps = scratch.keep(unlike.groupBy("fp").agg(F.min("first").alias("rep")))
-    chosen = plan(spark, fps, radius)
-    crowds = _crowded(fps, chosen)
-    found = _passes(chosen, scratch, lambda k: _met(fps, chosen, wide, lambda *run: _earlier(*run, radius), ["rep", "apart", "partner"], crowds, k))
-    nearest = found.groupBy("rep").agg(F.min(F.struct("apart", "partner")).alias("best"))
-    shared = unlike.join(fps, "fp").filter("first <> rep").select(F.col("first").alias("doc_id"), F.col("rep").alias("partner"))
-    pairs = scratch.keep(shared.union(nearest.select(F.col("rep").alias("doc_id"), "best.partner")))
-    scratch.release()
+    marked = scratch.keep(texts.select("doc_id", "text", F.xxhash64("text")).mapInArrow(tidy(_marks(width)), "doc_id long, fp long, hash long, size long, sketch binary"))
+    unlike = scratch.keep(marked.groupBy("fp", "hash").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
+    equal = marked.select("doc_id", "fp", "hash").join(unlike.select("fp", "hash", "rep"), ["fp", "hash"]).filter("doc_id <> rep").select("doc_id")
+    chosen = plan(spark, unlike, radius, (4, 5, 6, 8, 10, 12, 15), ROW_COST)
+    crowds = _crowded(unlike, chosen)
+    compared, met = unlike.withColumn("ask", F.lit(True)), []
+    for only in _rounds(chosen, True):  # who has met a partner asks no more
+        met.append(scratch.keep(_others(compared, chosen, radius, similarity, wide, crowds, only, True)))
+        scratch.release()
+        found = reduce(DataFrame.union, met)
+        compared = _asking(unlike, found, False)
+    pairs = scratch.keep(found.groupBy("doc_id").agg(F.min(F.struct("apart", "partner")).alias("best")).select("doc_id", "best.partner"))
     gone = scratch.keep(equal.union(_verified(texts, pairs, width, similarity, scratch)).distinct())
     scratch.release()
-    asking = pairs.join(gone, "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), F.lit(True).alias("ask")).distinct()
-    compared = unlike.select("fp", F.col("first").alias("rep"))
-    sketches = texts.join(compared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(tidy(_sketches(width)), "rep long, size long, sketch binary")
-    compared = compared.join(asking, "rep", "left").join(sketches, "rep").withColumn("ask", F.coalesce("ask", F.lit(False)))
-    compared = scratch.keep(compared)
-    crowds = _crowded(compared, chosen)
-    rest = _passes(chosen, scratch, lambda k: _others(compared, chosen, radius, similarity, wide, crowds, k))
-    more = _verified(texts, rest, width, similarity, scratch)
+    compared = scratch.keep(_asking(unlike, pairs.join(gone, "doc_id", "left_anti"), True))
+    rest = []
+    for only in _rounds(chosen, False):
+        rest.append(scratch.keep(_others(compared, chosen, radius, similarity, wide, crowds, only)))
+        scratch.release()
+    more = _verified(texts, reduce(DataFrame.union, rest).select("doc_id", "partner"), width, similarity, scratch)
     gone = scratch.keep(gone.union(more).select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
