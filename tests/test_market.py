@@ -559,6 +559,22 @@ def test_metrics_of_a_very_large_account(spark):
     assert run.metrics["Equity Final [$]"] == pytest.approx(1e34) and run.metrics["Best Trade [%]"] == pytest.approx(1e14)
 
 
+def test_metrics_order_nan_as_sql_beyond_doubles(spark):
+    closes, signal = [1.0, 1.0, 0.5, 1.0, 1e300, 1.0, 1.0, 1e300, 1.0, 1.0], [1.0, -1.0, 1.0, -1.0, 0.0, 1.0, -1.0, 1.0, 0.0, 0.0]
+    got = backtest.backtest(frame(spark, closes, signal=signal), backtest.Broker(cash=1e10, commission=0.0)).first()
+    held = [e.units for e in got.equity]
+    assert got.error is None and [t.pnl for t in got.trades][:1] == [-5e9] and any(x != x for x in held)
+    over, least = F.col("x") > 0, F.min("x")  # Spark's SQL orders NaN as the largest value, too
+    of = lambda xs, c: spark.createDataFrame([(float(x),) for x in xs], "x double").agg(c).first()[0]
+    assert got.metrics["Exposure Time [%]"] == pytest.approx(100 * of(held, F.avg(over.cast("int"))))
+    assert got.metrics["Win Rate [%]"] == pytest.approx(100 * of([t.pnl for t in got.trades], F.avg(over.cast("int"))))
+    assert got.metrics["Worst Trade [%]"] == pytest.approx(100 * of([t.pnl / (t.units * t.entry_price) for t in got.trades], least))
+    assert "Max. Drawdown [%]" not in got.metrics and got.metrics["Max. Drawdown Duration"] > 0
+    missing = frame(spark, [1.0, 1.0, None, 1.0, 1.0], signal=[1.0, -1.0, 0.0, 0.0, 0.0])  # NaN of a missing price is no largest value
+    metrics = backtest.backtest(missing, backtest.Broker(cash=1e10, commission=0.0)).first().metrics
+    assert metrics["Win Rate [%]"] == 0 and "Max. Drawdown Duration" not in metrics
+
+
 def test_failed_requests_lose_only_their_quarter(spark, tmp_path):
     rows = frame(spark, walk(400)).drop("ticker")
 
