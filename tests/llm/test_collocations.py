@@ -126,3 +126,50 @@ def test_counters_stop_at_the_top():
     count = np.full(3, 250, np.uint8)
     count[[0, 2]] = np.minimum(255, count[[0, 2]] + np.array([3, 900]))
     assert count.tolist() == [253, 250, 255]
+
+
+def test_texts_are_read_as_often_for_many_candidates_as_for_few(spark, monkeypatch):
+    """One scan for each 400 bytes of candidates before."""
+    df, kept, real = frame(spark, corpus()), [], co.Scratch.keep
+    monkeypatch.setattr(co.Scratch, "keep", lambda self, rows: kept.append(rows) or real(self, rows))
+    few = {tuple(r) for r in co.counts(df, 3).collect()}
+    reads = len(kept)
+    many = {tuple(r) for r in co.counts(df, 3, 400).collect()}
+    assert few == many and len(few) > 500 and len(kept) == 2 * reads
+
+
+@pytest.mark.parametrize("block, most, held", [(co.BLOCK, co.PATTERNS, co.HELD), (64, 300, co.HELD), (64, 3000, 3000), (64, 3000, 1)])
+def test_chunks_count_all_candidates(monkeypatch, block, most, held):
+    """With counters that all are high every phrase is a candidate, in whatever chunks and blocks it stands."""
+    monkeypatch.setattr(co, "BLOCK", block)
+    monkeypatch.setattr(co, "HELD", held)
+    rows = [(lang or "und", t or "") for lang, t in corpus()[-200:]]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["lang", "text"])
+    got, want = Counter(), Counter()
+    for out in co._chunks(SimpleNamespace(value=[b"\xff" * (1 << 13)] * 4), 16, most)([batch]):
+        for r in out.to_pylist():
+            got[r["lang"], r["phrase"]] += r["n"]
+    for lang, text in rows:
+        for w in (p.split() for p in text.encode().translate(co._TABLE).split(co.MARK)):
+            want[lang, b""] += len(w)
+            want.update((lang, b" ".join(w[i : i + k])) for k in range(1, 5) for i in range(len(w) - k + 1))
+    assert {k: v for k, v in got.items() if v} == want
+
+
+def test_a_long_phrase_is_counted_only_if_its_parts_may_be_frequent():
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 9), pa.array(["a b c d e"] * 9)], names=["lang", "text"])
+    rows = lambda low: sum(out.num_rows for out in co._sketch(16, SimpleNamespace(value=[bytes([low]) * (1 << 13)] * 2))([batch]))
+    assert rows(0) == 0 < rows(255)
+
+
+def test_a_word_has_one_hash_wherever_it_stands(monkeypatch):
+    monkeypatch.setattr(co, "LONG", 20)
+    words = [b"york", b"x" * 30, b"\0", b"\0\0", "é".encode(), b"x" * 20, b"new"]
+    seen = {}
+    for raw in (b" ".join(words), b"\xff".join([*words[::-1], *words]), b"   " + b"  \xff ".join(words) + b" "):
+        begin, end, piece = co._spans(raw)
+        found = [raw[s:e] for s, e in zip(begin, end)]
+        assert found == [w for w in co._words(raw) if w != co.MARK] and piece.tolist() == [raw[:s].count(co.MARK) for s in begin]
+        for word, h in zip(found, co._hashes(raw, begin, end).tolist()):
+            assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(words)

@@ -6,12 +6,15 @@ lie wholly in them do not count again.
 
 1. *Sketch.* Every task counts its phrases in two rows of one-byte counters that stop at 255, which only matters above the
    threshold; counters of all tasks are added slice by slice. A phrase occurs at most as often as either of its counters
-   says. Rows grow with the corpus to a sixteenth of its phrases or so, at most 2 ** 26 counters: beyond that more phrases
-   pass by chance, and are counted for nothing. One bit for each counter (at the threshold or not) is broadcast.
-2. *Candidates* are the distinct phrases whose upper bound, and whose shorter parts' upper bounds, reach the threshold.
-3. *Scan.* Candidates and their words are compiled into automata, each of at most PATTERNS bytes or so of one group of
-   languages, with a space at both ends of every pattern, so that matches are whole words in one piece. Texts are scanned
-   once for each automaton of their language; overlapping matches count; tasks' counts are added.
+   says. Words and pairs are counted first; a second sketch has only those phrases of 3 and 4 words whose words and pairs all
+   may reach the threshold, so that rare ones do not fill it. Rows grow with the corpus, to at most 2 ** 27 counters: beyond
+   that more phrases pass by chance, and are counted for nothing. One bit for each counter (at the threshold or not) is
+   broadcast.
+2. *Candidates* are the distinct words and phrases whose upper bound, and whose shorter parts' upper bounds, reach the
+   threshold. A task finds those of a chunk of its texts, which ends once they have PATTERNS bytes or the texts CHUNK.
+3. *Scan.* A chunk's candidates are compiled into an automaton, with a space at both ends of every pattern, so that matches
+   are whole words in one piece, and the chunk is scanned by it; overlapping matches count. Whatever the number of
+   candidates in all, texts are scanned once. A candidate is one in every chunk that has it, so chunks' counts are added.
 4. *Thresholds* apply to the exact counts, so that neither sketch nor hashes can change a result.
 
 Score of a phrase: for each cut into two parts, floor(scale a / (l + r)), the least of them, in 38-digit arithmetic.
@@ -23,6 +26,11 @@ nothing is frequent, gives no rows; other columns are ignored. Memory grows with
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import count
+from operator import itemgetter
+from types import SimpleNamespace
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -30,11 +38,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Scratch, partitions, tidy
+from .store import Scratch, partitions, tidy, trim
 
 BLOCK = 1 << 20
 LONGEST = 4  # words of a phrase
-PATTERNS = 5_000_000  # bytes of patterns that one automaton holds
+PATTERNS = 5_000_000  # bytes of patterns that one automaton holds, but for those of one more block
+CHUNK = 16 << 20  # bytes of texts that are scanned by one automaton
+HELD = 1_000_000  # rows that a task adds up before it sends them
+LONG = 1 << 16  # bytes of words that are hashed with others
+MOST = 65536  # rows of a batch
+PRUNED = 3  # words of the shortest phrases that are counted only if their parts may be frequent
 SLICE = 14  # bits: counters that one row of the sketch's exchange holds
 SALTS = 64
 SPREAD = 2  # tasks of a pass over the texts, for each core
@@ -47,8 +60,8 @@ def _words(raw: bytes) -> list[bytes]:
     return raw.replace(MARK, b" \xff ").split()
 
 
-def blocks(texts: list[bytes]):
-    """(carried words, words) of texts of one language: a text begins with a mark, and is cut only if longer than a block."""
+def _cut(texts: list[bytes]):
+    """(carried words, bytes) of texts of one language: a text begins with a mark, and is cut only if longer than a block."""
     held, size = [], 0
     for text in texts:
         text = text.translate(_TABLE)
@@ -56,7 +69,7 @@ def blocks(texts: list[bytes]):
             held.append(text)
             size += len(text) + 1
             if size >= BLOCK:
-                yield [], _words(MARK.join(held))
+                yield [], MARK.join(held)
                 held, size = [], 0
             continue
         begin, carried = 0, []
@@ -67,78 +80,113 @@ def blocks(texts: list[bytes]):
                 if cut <= begin:  # one word longer than a block
                     cut = min((c for c in (text.find(MARK, end), text.find(b" ", end)) if c >= 0), default=len(text))
                 end = cut
-            words = _words(text[begin:end])
-            yield carried, words
-            carried, begin = (carried + words)[1 - LONGEST :], end
+            yield carried, text[begin:end]
+            carried, begin = (carried + _words(text[begin:end]))[1 - LONGEST :], end
     if held:
-        yield [], _words(MARK.join(held))
+        yield [], MARK.join(held)
+
+
+def blocks(texts: list[bytes]):
+    """(carried words, words) of texts of one language."""
+    return ((carried, _words(raw)) for carried, raw in _cut(texts))
 
 
-def _streams(batches):
-    """(language, carried words, words) of batches of (language, text)."""
+def _streams(batches, cut=blocks):
+    """(language, carried words, words) of batches of (language, text); or bytes, by ``_cut``."""
     for batch in batches:
         column = batch.column(0).dictionary_encode()
         own = column.indices.to_numpy()
         for k, lang in enumerate(column.dictionary.to_pylist()):
             texts = batch.column(1).take(pa.array(np.flatnonzero(own == k)))
             # Arrow keeps the texts; a block's worth becomes Python bytes at a time
-            for carried, words in blocks(t.as_buffer().to_pybytes() for t in texts):
-                yield lang, carried, words
-
-
-class _Numbers(dict):
-    """Exact numbers of words from 1, and their hashes; 0 is the mark."""
-
-    def __init__(self):
-        super().__init__({MARK: 0})
-        self.fresh, self.array, self.filled = [0], np.empty(1 << 14, np.uint64), 0
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.fresh.append(xxhash.xxh3_64_intdigest(word))
-        return n
-
-    def hashes(self) -> np.ndarray:
-        """The hash of each number."""
-        if len(self) > len(self.array):
-            self.array = np.concatenate([self.array, np.empty(len(self), np.uint64)])
-        self.array[self.filled : len(self)] = self.fresh
-        self.filled, self.fresh = len(self), []
-        return self.array
+            for carried, block in cut(t.as_buffer().to_pybytes() for t in texts):
+                yield lang, carried, block
+
+
+def _spans(raw: bytes):
+    """Where the words of a block begin and end, and the number of marks before each."""
+    each = np.frombuffer(raw, np.uint8)
+    mark = each == MARK[0]
+    edge = np.diff((~mark & (each != 32)).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    begin = np.flatnonzero(edge == 1)
+    return begin, np.flatnonzero(edge == -1), np.searchsorted(np.flatnonzero(mark), begin)
+
+
+# words' hashes are polynomials over 64 bits: a number for each byte, by the powers of an odd number, which has an inverse
+_BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+_ODD = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, np.uint64)] * 2
+
+
+def _hashes(raw: bytes, begin, end) -> np.ndarray:
+    """The hash of each word, wherever it stands; words longer than LONG on their own, so that memory does not follow them."""
+    out = np.empty(len(begin), np.uint64)
+    long = np.flatnonzero(end - begin > LONG)
+    for k in long.tolist():
+        out[k] = xxhash.xxh3_64_intdigest(raw[begin[k] : end[k]])
+    for i, j in zip([0, *(long + 1).tolist()], [*long.tolist(), len(begin)]):
+        if i < j:
+            size, first, last = int(end[j - 1] - begin[i]), begin[i:j] - begin[i], end[i:j] - begin[i]
+            if size > len(_powers[0]):
+                _powers[:] = (np.multiply.accumulate(np.array([1, *[x] * size], np.uint64)) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+            total = np.zeros(size + 1, np.uint64)
+            np.cumsum(_BYTES[np.frombuffer(raw, np.uint8, size, begin[i])] * _powers[0][:size], out=total[1:])
+            out[i:j] = (total[last] - total[first]) * _powers[1][first]
+    return out
 
 
 def _phrases(batches, shift: int):
-    """(language, words, numbers, {length: (first words' places, counters of both rows)}) of each block, carried ones not again."""
-    numbers = _Numbers()
-    for lang, carried, words in _streams(batches):
-        if len(numbers) > 200_000:
-            numbers = _Numbers()
-        words = carried + words
-        number = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-        hashes = numbers.hashes()[number]
-        seed = np.uint64(xxhash.xxh3_64_intdigest(lang))
-        h, inside, out = hashes ^ seed, number > 0, {}
-        for n in range(2, LONGEST + 1):
-            if len(words) < n:
-                break
-            h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[n - 1 :]
-            inside = inside[:-1] & (number[n - 1 :] > 0)
-            at = np.flatnonzero(inside[max(0, len(carried) - n + 1) :]) + max(0, len(carried) - n + 1)
+    """(language, bytes, (carried words, words' begins, ends, pieces), {length: (first words' places, counters of both rows)}) of each block, carried phrases not again."""
+    for lang, carried, raw in _streams(batches, _cut):
+        raw = b" ".join([*carried, raw])
+        old = len(carried) - carried.count(MARK)
+        begin, end, piece = _spans(raw)
+        hashes = _hashes(raw, begin, end)
+        h, out = hashes ^ np.uint64(xxhash.xxh3_64_intdigest(lang)), {}
+        for n in range(1, min(LONGEST, len(begin)) + 1):
+            if n > 1:
+                h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * np.uint64(_ODD) + hashes[n - 1 :]
+            first = max(0, old - n + 1)
+            at = np.flatnonzero(piece[first : len(piece) - n + 1] == piece[first + n - 1 :]) + first
             mixed = h[at]
             for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
                 mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(k)
-            out[n] = at, ((mixed & np.uint64(0xFFFFFFFF)) >> np.uint64(shift)).astype(np.int64), (mixed >> np.uint64(32 + shift)).astype(np.int64)
-        yield lang, words, number, out
-
-
-def _sketch(bits: int):
-    """Slices (row and place, counters) of a task's sketch, those without a count left out."""
+            out[n] = at, ((mixed & np.uint64(0xFFFFFFFF)) >> np.uint64(shift)).astype(np.uint32), (mixed >> np.uint64(32 + shift)).astype(np.uint32)
+        yield lang, raw, (old, begin, end, piece), out
+
+
+def _may(found, size: int, heavy):
+    """(length, places) of a block's phrases that may be frequent, as all their parts may; where ``heavy`` ends, only the parts say."""
+    may = np.ones(size, bool)
+    for n, (at, a, b) in found.items():
+        # phrases wholly among carried words are not known here, and may be frequent
+        now = np.zeros(size, bool)
+        now[: at[0] if len(at) else 0] = True
+        now[at] = True
+        if n > 1:
+            now[:-1] &= may[:-1] & may[1:]
+        k = np.flatnonzero(now[at])
+        for rows, place in zip(heavy[(n >= PRUNED) * 2 :][:2], (a, b)):
+            k = k[(rows[place[k] >> 3] >> (7 - (place[k] & 7)) & 1).astype(bool)]
+        now[at] = False
+        now[at[k]] = True
+        may = now
+        yield n, k, at[k]
+
+
+def _sketch(bits: int, shipped=None):
+    """Slices (row and place, counters) of a task's sketch, those without a count left out: of the phrases below PRUNED words, or with their bits of the others."""
 
     def run(batches):
         count = np.zeros((2, 1 << bits), np.uint8)
-        for _, _, _, found in _phrases(batches, 32 - bits):
+        heavy = [np.frombuffer(raw, np.uint8) for raw in shipped.value] if shipped else []
+        for _, _, (_, begin, *_), found in _phrases(batches, 32 - bits):
+            if shipped:
+                some = [tuple(row[k] for row in found[n][1:]) for n, k, _ in _may(found, len(begin), heavy) if n >= PRUNED]
+            else:
+                some = [f[1:] for n, f in found.items() if n < PRUNED]
             for row in (0, 1):
-                place, n = np.unique(np.concatenate([f[1 + row] for f in found.values()]) if found else np.empty(0, np.int64), return_counts=True)
+                place, n = np.unique(np.concatenate([np.empty(0, np.uint32), *(f[row] for f in some)]), return_counts=True)
                 count[row, place] = np.minimum(255, count[row, place] + n)
         flat = count.reshape(-1, 1 << SLICE)
         used = np.flatnonzero(flat.any(axis=1))
@@ -171,31 +219,17 @@ def _heavy(least: int):
     return run
 
 
-def _candidates(shipped, bits: int):
-    """(language, phrase): the phrases of a block, each once, that may be frequent, as all their parts may."""
-
-    def run(batches):
-        heavy = [np.frombuffer(raw, np.uint8) for raw in shipped.value]
-        for lang, words, number, found in _phrases(batches, 32 - bits):
-            may, out = np.ones(len(words), bool), []
-            for n, (at, a, b) in found.items():
-                ok = (heavy[0][a >> 3] >> (7 - (a & 7)) & 1 & (heavy[1][b >> 3] >> (7 - (b & 7)))).astype(bool)
-                # phrases wholly among carried words are not known here, and may be frequent
-                now = np.zeros(len(words), bool)
-                now[: max(0, at[0] if len(at) else 0)] = True
-                now[at] = ok
-                now[:-1] &= may[:-1] & may[1:]
-                may = now
-                pick = at[may[at]]
-                same = np.stack([number[pick + k] for k in range(n)], axis=1)
-                first = np.unique(same, axis=0, return_index=True)[1] if len(same) else []
-                out += [b" ".join(words[i : i + n]) for i in pick[first].tolist()] if len(pick) else []
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), pa.array(out, pa.binary())], names=["lang", "phrase"])
-
-    return run
-
-
-_automata: dict[int, tuple] = {}
+def _distinct(words: list[bytes], number, place, may) -> list[bytes]:
+    """The phrases of a block, each once, that ``may`` be frequent; of what words there are at ``place``, with their numbers."""
+    out, own = [], number
+    for n, _, at in may[1:]:
+        at = place[at]
+        # a phrase is the number of the phrase without its last word, and that word's; what has none is like no other
+        _, first, same = np.unique(own[at] << 32 | number[at + n - 1], return_index=True, return_inverse=True)
+        own = np.arange(1 << 30, (1 << 30) + len(words))
+        own[at] = same
+        out += [b" ".join(words[i : i + n]) for i in at[first].tolist()]
+    return out
 
 
 def automaton(patterns: list[bytes]):
@@ -207,33 +241,33 @@ def automaton(patterns: list[bytes]):
     return found
 
 
-def _scan(shipped, key: int, total: bool):
-    """(language, phrase, n): matches of the automaton's patterns; with ``total`` the words of a language, as the empty phrase."""
+def _rows(lang: str, phrases: list[bytes], n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
 
-    def run(batches):
+
+def _scan(shipped, most: int, total: bool):
+    """(language, phrase, n), at most ``most`` a batch: matches of the patterns; with ``total`` the words of a language, as the empty phrase."""
+
+    def run(batches, streams=_streams):
         patterns = shipped.value
-        if key not in _automata:
-            _automata.clear()
-            _automata[key] = automaton(patterns)
-        find, counts = _automata[key], {}
+        find, counts = automaton(patterns), {}
 
         def rows():
             for lang, count in counts.items():
-                for s in range(0, len(count), 65536):
-                    used = np.flatnonzero(count[s : s + 65536]) + s
-                    names = pa.array([patterns[k] if k < len(patterns) else b"" for k in used.tolist()], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), names, pa.array(count[used])], names=["lang", "phrase", "n"])
+                for s in range(0, len(count), most):
+                    used = np.flatnonzero(count[s : s + most]) + s
+                    yield _rows(lang, [patterns[k] if k < len(patterns) else b"" for k in used.tolist()], count[used])
             counts.clear()
 
-        for lang, carried, words in _streams(batches):
+        for lang, carried, words in streams(batches):
             if lang not in counts:
                 if len(counts) >= 16:
                     yield from rows()
                 counts[lang] = np.zeros(len(patterns) + 1, np.int64)
             text = b" ".join([b"", *carried, *words, b""]).decode("latin-1")
             before = sum(map(len, carried)) + len(carried)  # the place of the space after the carried words
-            hits = find.iter(text)
-            picked = np.fromiter((v for e, v in hits if e > before), np.int64) if carried else np.fromiter((v for _, v in hits), np.int64)
+            hits = find.iter(text) if patterns else ()
+            picked = np.fromiter((v for e, v in hits if e > before), np.int64) if carried else np.fromiter(map(itemgetter(1), hits), np.int64)
             counts[lang] += np.bincount(picked, minlength=len(patterns) + 1)
             if total:
                 counts[lang][-1] += len(words) - words.count(MARK)
@@ -242,56 +276,116 @@ def _scan(shipped, key: int, total: bool):
     return run
 
 
+def _chunks(shipped, bits: int, automaton_bytes: int):
+    """(language, phrase, n) of a chunk: words that may be frequent, matches of its candidates, and all its words as the empty phrase.
+
+    Phrases that are candidates in another language only may be too few, but those are below the threshold.
+    """
+
+    def run(batches):
+        heavy = [np.frombuffer(raw, np.uint8) for raw in shipped.value]
+
+        def fresh():
+            return [], set(), defaultdict(count().__next__), {}, 0, automaton_bytes
+
+        def scanned():
+            """The rows of a chunk, whose automaton goes with them."""
+            if size > BLOCK:
+                trim()
+            yield from _scan(SimpleNamespace(value=sorted(patterns)), MOST, False)(held, iter)
+            names = list(numbers)
+            for lang, (words, each) in totals.items():
+                yield _rows(lang, [b""], [words])
+                for s in range(0, len(each), MOST):
+                    used = np.flatnonzero(each[s : s + MOST]) + s
+                    yield _rows(lang, [names[k] for k in used.tolist()], each[used])
+
+        def sent(rows, last=False):
+            """Rows to go, and those to stay, equal phrases' added up."""
+            if last or sum(r.num_rows for r in rows) >= HELD:
+                table = pa.Table.from_batches(rows).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
+                rows = table.select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"]).to_batches(max_chunksize=MOST)
+                if last or table.num_rows >= HELD * 2 // 3:
+                    return rows, []
+            return [], rows
+
+        held, patterns, numbers, totals, size, room = fresh()
+        rows = []
+        for lang, raw, (old, begin, end, piece), found in _phrases(batches, 32 - bits):
+            if room <= 0 or size >= CHUNK or lang not in totals and len(totals) >= 16:
+                go, rows = sent([*rows, *scanned()])
+                yield from go
+                held, patterns, numbers, totals, size, room = fresh()
+            may = list(_may(found, len(begin), heavy))
+            # words that no frequent phrase can have are left out from here on
+            some = np.zeros(len(begin), bool)
+            some[:old] = True
+            for _, _, at in may[:1]:
+                some[at] = True
+            place, some = np.cumsum(some) - 1, np.flatnonzero(some)
+            number = np.fromiter(map(numbers.__getitem__, [raw[s:e] for s, e in zip(begin[some].tolist(), end[some].tolist())]), np.int64, len(some))
+            names = list(numbers)
+            words = [names[k] for k in number.tolist()]  # one object a word
+            each = np.bincount(number[old:], minlength=len(names))
+            before, seen = totals.get(lang, (0, each[:0]))
+            each[: len(seen)] += seen
+            totals[lang] = before + len(begin) - old, each
+            more = set(_distinct(words, number, place, may)) - patterns
+            patterns |= more
+            room -= sum(map(len, more)) + 2 * len(more)
+            # of these, the words of pairs are scanned, with a mark where others stood
+            pair = np.zeros(len(begin), bool)
+            pair[:old] = True
+            for _, _, at in may[1:2]:
+                pair[at] = pair[at + 1] = True
+            pair = np.flatnonzero(pair)
+            cut = np.flatnonzero((np.diff(pair) > 1) | (np.diff(piece[pair]) > 0)) + 1
+            words.append(MARK)
+            text = [words[k] for k in np.insert(place[pair], cut, -1).tolist()]
+            own = old + int(np.searchsorted(cut, old))
+            held.append((lang, text[:own], text[own:]))
+            size += len(raw)
+        if held:
+            yield from sent([*rows, *scanned()], True)[0]
+
+    return run
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def _bits(bytes_: int) -> int:
-    return min(26, max(16, (bytes_ // 32).bit_length()))
+    return min(27, max(16, (bytes_ // 32).bit_length()))
 
 
-def candidates(texts: DataFrame, least: int, scratch: Scratch) -> DataFrame:
-    """(lang, phrase binary): phrases of 2 to 4 words that may occur ``least`` times, and others by chance."""
-    if not 1 <= least <= 255:
-        raise ValueError("counters hold 1 to 255")
-    spark = texts.sparkSession
-    context = spark.sparkContext
-    bits = _bits(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    parts = texts.mapInArrow(tidy(_sketch(bits)), "slice int, counts binary")
-    dealt = parts.repartition(partitions(spark), "slice").sortWithinPartitions("slice")
-    # at most 2 ** 26 bits for each of two rows
+def reached(texts: DataFrame, least: int, bits: int, shipped=None) -> list[bytes]:
+    """Bits of both rows of a sketch: whether a counter reaches ``least``; with the bits of the shorter phrases, those of the longer."""
+    parts = texts.mapInArrow(tidy(_sketch(bits, shipped)), "slice int, counts binary")
+    dealt = parts.repartition(partitions(texts.sparkSession), "slice").sortWithinPartitions("slice")
+    # at most 2 ** 27 bits for each of two rows
     found = dealt.mapInArrow(_heavy(least), "slice int, heavy binary").collect()
-    heavy = np.zeros((2 << bits >> SLICE, 1 << SLICE >> 3), np.uint8)
+    out = np.zeros((2 << bits >> SLICE, 1 << SLICE >> 3), np.uint8)
     for r in found:
-        heavy[r.slice] = np.frombuffer(r.heavy, np.uint8)
-    shipped = context.broadcast([row.tobytes() for row in heavy.reshape(2, -1)])
-    return scratch.keep(texts.mapInArrow(tidy(_candidates(shipped, bits)), "lang string, phrase binary").distinct())
+        out[r.slice] = np.frombuffer(r.heavy, np.uint8)
+    return [row.tobytes() for row in out.reshape(2, -1)]
 
 
 def counts(docs: DataFrame, least: int = 30, automaton_bytes: int = PATTERNS) -> DataFrame:
-    """(lang, phrase, n): exact counts of all phrases that occur ``least`` times, their words, other candidates; and of all words, as the empty phrase."""
+    """(lang, phrase, n): exact counts of all words and phrases of 2 to 4 words that occur ``least`` times; and of all words, as the empty phrase."""
+    if not 1 <= least <= 255:
+        raise ValueError("counters hold 1 to 255")
     spark = docs.sparkSession
-    scratch = Scratch(spark, "phrases")
-    # a task sends a whole sketch, and each phrase that it finds once, so there are SPREAD tasks a core, not one a file
-    texts = _texts(docs).coalesce(SPREAD * spark.sparkContext.defaultParallelism)
-    found = candidates(texts, least, scratch)
-    words = found.select("lang", F.explode(F.transform(F.split(F.col("phrase").cast("string"), " "), lambda w: w.cast("binary"))).alias("phrase"))
-    patterns = scratch.keep(found.union(words).distinct())
-    size = F.length("phrase") + 2
-    total = patterns.agg(F.sum(size)).first()[0] or 0
-    groups = max(1, -(-total // automaton_bytes))
-    group = F.pmod(F.xxhash64("lang"), F.lit(groups))
-    done = spark.createDataFrame([], "lang string, phrase binary, n long")
-    for g, n in patterns.groupBy(group.alias("g")).agg(F.sum(size)).collect():  # a row for each automaton at most
-        shards = -(-n // automaton_bytes)
-        for s in range(shards):
-            own = patterns.filter((group == g) & (F.pmod(F.xxhash64("phrase"), F.lit(shards)) == s)).select("phrase").distinct()
-            names = sorted(bytes(r.phrase) for r in own.collect())  # bounded by automaton_bytes
-            shipped = spark.sparkContext.broadcast(names)
-            rows = texts.filter(group == g).mapInArrow(tidy(_scan(shipped, hash((scratch.root, g, s)), s == 0)), "lang string, phrase binary, n long")
-            done = done.union(scratch.keep(rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))))
-            shipped.unpersist()
-    return scratch.keep(done.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).withColumn("phrase", F.col("phrase").cast("string")))
+    context = spark.sparkContext
+    # a task sends a whole sketch, and each candidate of a chunk once, so there are SPREAD tasks a core, not one a file
+    texts = _texts(docs).coalesce(SPREAD * context.defaultParallelism)
+    bits = _bits(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    short = reached(texts, least, bits)
+    shipped = context.broadcast(short)
+    both = context.broadcast(short + reached(texts, least, bits, shipped))
+    shipped.unpersist()
+    found = texts.mapInArrow(tidy(_chunks(both, bits, automaton_bytes)), "lang string, phrase binary, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return Scratch(spark, "phrases").keep(found.withColumn("phrase", F.col("phrase").cast("string")).filter((F.col("n") >= least) | (F.col("phrase") == "")))
 
 
 def _inner(words: Column, n: Column) -> Column:
